@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import pii, simhash
+from tickloom.llm import pii, quality_gam, recompression, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,15 @@ def op2_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_feistel_pii, op2_simhash_ball)}
+def op3_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gam.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = recompression.repeated_words(table(spark, sf_dir, "documents"), window=35)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_feistel_pii, op2_simhash_ball, op3_quality_gam, op4_recompression)}
 
 SQL: dict[str, str] = {}
