@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import packing, pii, quality_gam, recompression, simhash, topk
+from tickloom.llm import licenses, mixing, outliers, packing, pii, quality_gam, recompression, sharding, simhash, topk
+
+
+#: Target shares of tokens, and bytes of text that a shard may hold.
+MIX, SHARD_BYTES = {"high": 0.9, "low": 0.05, "toxic": 0.05}, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,15 +34,33 @@ def op4_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    domains = mixing.quality_domains(table(spark, sf_dir, "labels"))
+    out = mixing.mixed(table(spark, sf_dir, "documents"), domains, MIX)
+    return out.select("doc_id", "n_tokens", "rate", "posterior.*")
+
+
+def op6_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.outliers(table(spark, sf_dir, "documents"))
+
+
 def op7_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"), limit=SHARD_BYTES)
+
+
 def op9_histogram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return topk.top_k(rows, rows.where("vec_id % 20 = 0"), k=20)
 
 
-QUERIES = {f.__name__: f for f in (op1_feistel_pii, op2_simhash_ball, op3_quality_gam, op4_recompression, op7_vector_packing, op9_histogram_topk)}
+def op10_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licensed(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_feistel_pii, op2_simhash_ball, op3_quality_gam, op4_recompression, op5_soft_mixing, op6_mcd_outliers, op7_vector_packing, op8_extendible_shards, op9_histogram_topk, op10_license_digests)}
 
 SQL: dict[str, str] = {}
