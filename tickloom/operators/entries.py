@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 from tickloom.operators.bars import last, percent_rank
 
-PAIR = Window.partitionBy("pair").orderBy("ts")
+
+def of_pair() -> Window:
+    """A pair's rows in order of time."""
+    return Window.partitionBy("pair").orderBy("ts")
 
 
 def no(c: Column) -> Column:
@@ -48,7 +51,7 @@ def sweep(signals: DataFrame, entries: Sequence[float]) -> DataFrame:
 
 def velocity(signals: DataFrame, k: int) -> DataFrame:
     """signals with velocity, acceleration, reverting, fresh and stale."""
-    z, a, b = F.col("z"), F.lag("z", k).over(PAIR), F.lag("z", 2 * k).over(PAIR)
+    z, a, b = F.col("z"), F.lag("z", k).over(of_pair()), F.lag("z", 2 * k).over(of_pair())
     d = signals.withColumns({"velocity": (z - a) / k, "acceleration": ((z - a) - (a - b)) / (k * k), "change": F.abs(z) - F.abs(a), "__old": F.abs(b)})
     reverting = no((z * F.col("velocity")) < 0)
     return d.withColumns({"reverting": reverting, "fresh": no(F.col("change") >= -0.1 * k), "stale": no(F.col("__old") > F.abs(z)) & reverting}).drop("change", "__old")
@@ -62,7 +65,7 @@ def ou_profit(z: Column, vol: Column, half: Column, exit_z: float, cost: float,
 
 def rolling_half_life(n: int) -> Column:
     """From the rolling AR(1) coefficient of z on z1, the value before, kept between .01 and .99; between 50 and 500 bars."""
-    f = last(PAIR, n)
+    f = last(of_pair(), n)
     phi = clip(F.covar_samp("z", "z1").over(f) / F.var_samp("z").over(f), 0.01, 0.99)
     return clip(-F.log(F.lit(2.0)) / F.log(phi), 50.0, 500.0)
 
@@ -104,10 +107,10 @@ def filters(signals: DataFrame, entry: float, bars: int, turn: int, stale: int)
     d = signals.withColumn("__a", F.abs("z"))
     beyond = no(F.col("__a") >= entry).cast("int")
     return d.withColumn("__b", beyond).withColumns({
-        "slope": no(F.col("__a") < F.lag("__a").over(PAIR)),
-        "confirmed": (F.count("*").over(last(PAIR, bars)) >= bars) & (F.min("__b").over(last(PAIR, bars)) == 1),
-        "inflected": no(F.col("__a") < F.max("__a").over(last(PAIR, turn + 1))) & (F.count("__a").over(last(PAIR, turn + 1)) >= 2),
-        "not_stale": F.sum("__b").over(last(PAIR, stale + 1)) <= stale,
+        "slope": no(F.col("__a") < F.lag("__a").over(of_pair())),
+        "confirmed": (F.count("*").over(last(of_pair(), bars)) >= bars) & (F.min("__b").over(last(of_pair(), bars)) == 1),
+        "inflected": no(F.col("__a") < F.max("__a").over(last(of_pair(), turn + 1))) & (F.count("__a").over(last(of_pair(), turn + 1)) >= 2),
+        "not_stale": F.sum("__b").over(last(of_pair(), stale + 1)) <= stale,
     }).drop("__a", "__b")
 
 
@@ -116,9 +119,9 @@ def inflection(signals: DataFrame, threshold: float, frame: int = 11, least: int
 
     Only the last `frame` bars count, the first of them not as a beginning; a missing z ends a run.
     """
-    a, b = F.abs("z"), F.abs(F.lag("z").over(PAIR))
-    d = signals.withColumns({"__k": F.row_number().over(PAIR), "__above": no(a >= threshold), "__v": a - b})
-    d = d.withColumns({"__out": F.max(F.when(~F.col("__above"), F.col("__k"))).over(last(PAIR, frame - 1)), "__v1": F.lag("__v").over(PAIR), "__top": F.max(a).over(last(PAIR, frame))})
+    a, b = F.abs("z"), F.abs(F.lag("z").over(of_pair()))
+    d = signals.withColumns({"__k": F.row_number().over(of_pair()), "__above": no(a >= threshold), "__v": a - b})
+    d = d.withColumns({"__out": F.max(F.when(~F.col("__above"), F.col("__k"))).over(last(of_pair(), frame - 1)), "__v1": F.lag("__v").over(of_pair()), "__top": F.max(a).over(last(of_pair(), frame))})
     since = F.when(F.col("__above"), F.col("__k") - F.coalesce("__out", F.greatest(F.col("__k") - frame + 1, F.lit(0)))) - 1
     d = d.withColumns({"bars_since": F.coalesce(since, F.lit(-1)).cast("long"), "velocity_turn": no((F.col("__v1") > 0) & (F.col("__v") <= reversal))})
     timing = F.when((F.col("bars_since") >= least) & (F.col("bars_since") <= most), 1.0).otherwise(0.0)
@@ -136,7 +139,7 @@ def cooled(masks_: DataFrame, after: dict[int, int], unit: str = "hour") -> Data
         if k:
             wait = F.when(F.col("exit_reason") == k, v).otherwise(wait)
     until = F.when(F.col("exit_mask"), F.timestamp_add(unit.upper(), wait, F.col("ts")))
-    before = PAIR.rowsBetween(Window.unboundedPreceding, -1)
+    before = of_pair().rowsBetween(Window.unboundedPreceding, -1)
     return masks_.withColumn("__until", until).withColumn("blocked", F.col("entry_mask") & no(F.max("__until").over(before) >= F.col("ts"))).drop("__until")
 
 

@@ -12,7 +12,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SEQ = Window.partitionBy("pair").orderBy("trade_seq").rowsBetween(Window.unboundedPreceding, 0)
+
+def so_far() -> Window:
+    """A pair's trades up to this one."""
+    return Window.partitionBy("pair").orderBy("trade_seq").rowsBetween(Window.unboundedPreceding, 0)
 
 
 def count_if(c: Column) -> Column:
@@ -84,7 +87,7 @@ def leg_blacklist(t: DataFrame, min_trades: int = 5, min_windows: int = 2, worst
 def retired(t: DataFrame, min_trades: int = 6, max_stops: float = 0.5, min_mean: float = 0.0, min_wins: float = 0.25) -> DataFrame:
     """(pair, retired_at, reason): the first trade after which a rule fails, in the order stops, expectancy, wins."""
     n = F.row_number().over(Window.partitionBy("pair").orderBy("trade_seq"))
-    d = t.withColumns({"k": n, "s": F.avg((F.col("exit_reason") == 3).cast("int")).over(SEQ), "m": F.avg("net").over(SEQ), "p": F.avg((F.col("net") > 0).cast("int")).over(SEQ)})
+    d = t.withColumns({"k": n, "s": F.avg((F.col("exit_reason") == 3).cast("int")).over(so_far()), "m": F.avg("net").over(so_far()), "p": F.avg((F.col("net") > 0).cast("int")).over(so_far())})
     reason = F.when(F.col("s") > max_stops, "stops").when(F.col("m") < min_mean, "expectancy").when(F.col("p") < min_wins, "wins")
     return d.where(F.col("k") >= min_trades).withColumn("reason", reason).where("reason is not null").groupBy("pair").agg(F.min("trade_seq").alias("retired_at"), F.min_by("reason", "trade_seq").alias("reason"))
 
@@ -92,7 +95,7 @@ def retired(t: DataFrame, min_trades: int = 6, max_stops: float = 0.5, min_mean:
 def kill_switch(t: DataFrame, min_trades: int = 6, streak: int = 3, min_wins: float = 0.35, min_mean: float = -0.005, min_sum: float = -0.02) -> DataFrame:
     """(pair, disabled_at, reason): the first trade after which a rule holds; only a win ends a streak of stops."""
     w = Window.partitionBy("pair").orderBy("trade_seq")
-    d = t.withColumns({"k": F.row_number().over(w), "wins": F.sum((F.col("net") > 0).cast("int")).over(SEQ), "m": F.avg("net").over(SEQ), "c": F.sum("net").over(SEQ)})
+    d = t.withColumns({"k": F.row_number().over(w), "wins": F.sum((F.col("net") > 0).cast("int")).over(so_far()), "m": F.avg("net").over(so_far()), "c": F.sum("net").over(so_far())})
     since = Window.partitionBy("pair", "wins").orderBy("trade_seq").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("stops", F.sum(((F.col("exit_reason") == 3) & (F.col("net") <= 0)).cast("int")).over(since))
     reason = F.when(F.col("stops") >= streak, "stop_streak").when(F.col("wins") / F.col("k") < min_wins, "win_rate").when(F.col("m") < min_mean, "mean").when(F.col("c") < min_sum, "sum")

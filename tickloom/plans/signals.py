@@ -17,7 +17,10 @@ from tickloom.plans.catalog import query, rounded
 
 S, K = X.SIGNALS, X.MASKS
 OVER = "PARTITION BY pair ORDER BY ts"
-PAIR = Window.partitionBy("pair").orderBy("ts")
+
+def of_pair() -> Window:
+    """A pair's rows in order of time."""
+    return Window.partitionBy("pair").orderBy("ts")
 
 
 def keep(df, *cols):
@@ -63,8 +66,8 @@ def spread_velocity(spark, sf):
 SELECT pair, ts, round(CASE WHEN count(z * z1) OVER w >= 24 AND stddev_samp(z) OVER w * stddev_samp(z1) OVER w > 1e-12 THEN (avg(z * z1) OVER w - avg(z) OVER w * avg(z1) OVER w) / (stddev_samp(z) OVER w * stddev_samp(z1) OVER w) END, 5) + 0.0 AS lag1 FROM l WINDOW w AS ({OVER} ROWS 23 PRECEDING)""")
 def lag1_autocorr(spark, sf):
     """E5: rolling lag-1 autocorrelation."""
-    d = X.signals(spark, sf).withColumn("z1", F.lag("z").over(PAIR))
-    return rounded(d.select("pair", "ts", B.lag1(F.col("z"), F.col("z1"), PAIR, 24).alias("lag1")), 5)
+    d = X.signals(spark, sf).withColumn("z1", F.lag("z").over(of_pair()))
+    return rounded(d.select("pair", "ts", B.lag1(F.col("z"), F.col("z1"), of_pair(), 24).alias("lag1")), 5)
 
 
 @query(f"""WITH {X.RETURNS}, q AS (SELECT ts, quantile_cont(ret, 0.1) AS lo, quantile_cont(ret, 0.9) AS hi FROM returns GROUP BY ts), m AS (SELECT r.ts, avg(ret) AS market FROM returns r JOIN q USING (ts) WHERE ret >= lo AND ret <= hi GROUP BY r.ts),
@@ -144,8 +147,8 @@ SELECT pair, ts, round(abs(z), 6) + 0.0 AS abs_z, round(z - z1, 6) + 0.0 AS dz,
  (sum(coalesce(z * z1 < 0, false)::INT) OVER w)::BIGINT AS crossings FROM f WINDOW w AS ({OVER} ROWS 23 PRECEDING)""")
 def signal_features(spark, sf):
     """Features of a signal for models."""
-    d = X.signals(spark, sf).withColumns({"z1": F.lag("z").over(PAIR), "b24": F.lag("beta", 24).over(PAIR)})
-    w = X.rows(PAIR, 24)
+    d = X.signals(spark, sf).withColumns({"z1": F.lag("z").over(of_pair()), "b24": F.lag("beta", 24).over(of_pair())})
+    w = X.rows(of_pair(), 24)
     cross = F.coalesce(F.col("z") * F.col("z1") < 0, F.lit(False)).cast("long")
     d = d.withColumn("cross", cross)
     out = d.select("pair", "ts", F.abs("z").alias("abs_z"), (F.col("z") - F.col("z1")).alias("dz"), (F.col("expected_profit") / F.greatest("expected_hold", F.lit(1))).alias("profit_per_bar"), (F.col("vol") / F.avg("vol").over(w) - 1).alias("vol_trend"), F.round(F.col("beta") - F.col("b24"), 5).alias("beta_drift"), F.sum("cross").over(w).alias("crossings"))
@@ -156,8 +159,8 @@ def signal_features(spark, sf):
 SELECT pair, ts, round(CASE WHEN count(d) OVER w = 12 THEN stddev_samp(d) OVER w END, 6) + 0.0 AS forward_vol, round(greatest(0, -min(d) OVER w), 6) + 0.0 AS worst_bar FROM d WINDOW w AS ({OVER} ROWS BETWEEN 1 FOLLOWING AND 12 FOLLOWING)""")
 def forward_labels(spark, sf):
     """Volatility and worst move of the bars ahead."""
-    ahead = PAIR.rowsBetween(1, 12)
-    d = X.signals(spark, sf).withColumn("d", F.col("spread") - F.lag("spread").over(PAIR))
+    ahead = of_pair().rowsBetween(1, 12)
+    d = X.signals(spark, sf).withColumn("d", F.col("spread") - F.lag("spread").over(of_pair()))
     return keep(d, F.when(F.count("d").over(ahead) == 12, F.stddev_samp("d").over(ahead)).alias("forward_vol"), F.greatest(F.lit(0.0), -F.min("d").over(ahead)).alias("worst_bar"))
 
 
@@ -184,7 +187,7 @@ def weekly_health(spark, sf):
 def spread_changes(spark, sf):
     """Changes of the hedged spread, those of the ratio included."""
     d = X.signals(spark, sf).withColumn("s", F.col("y") - F.col("beta") * F.col("x"))
-    return rounded(d.select("pair", "ts", (F.col("s") - F.lag("s").over(PAIR)).alias("change")), 5)
+    return rounded(d.select("pair", "ts", (F.col("s") - F.lag("s").over(of_pair())).alias("change")), 5)
 
 
 @query(f"WITH {K} SELECT ts, round(spread, 6) + 0.0 AS spread, round(z, 6) + 0.0 AS z, entry_mask, exit_mask FROM masks WHERE pair = 'click-view'")
@@ -224,7 +227,7 @@ def greedy_cluster_cap(spark, sf):
 SELECT p.pair, p.ts, entry_mask AND greatest(coalesce(a.n, 0), coalesce(b.n, 0)) < 2 AS allowed FROM p LEFT JOIN l a ON p.ts = a.ts AND p.coin_y = a.coin LEFT JOIN l b ON p.ts = b.ts AND p.coin_x = b.coin""")
 def leg_cap(spark, sf):
     """no entry with a leg that is in enough open positions."""
-    m = X.masks(spark, sf).withColumn("active", F.coalesce(F.abs(F.lag("z").over(PAIR)) > 1.2, F.lit(False)))
+    m = X.masks(spark, sf).withColumn("active", F.coalesce(F.abs(F.lag("z").over(of_pair())) > 1.2, F.lit(False)))
     return E.leg_cap(m.select("pair", "ts", "coin_y", "coin_x", "entry_mask", "active"), 2).select("pair", "ts", "allowed")
 
 
@@ -268,8 +271,8 @@ def ou_profit(spark, sf):
 SELECT pair, ts, round(CASE WHEN n >= 48 THEN greatest(50, least(500, -ln(2) / ln(phi))) END, 4) + 0.0 AS half_life FROM p""")
 def rolling_half_life(spark, sf):
     """H3: half-life from the rolling coefficient of z on the z before."""
-    d = X.signals(spark, sf).withColumn("z1", F.lag("z").over(PAIR))
-    n = F.count("z1").over(X.rows(PAIR, 48))
+    d = X.signals(spark, sf).withColumn("z1", F.lag("z").over(of_pair()))
+    n = F.count("z1").over(X.rows(of_pair(), 48))
     return rounded(d.select("pair", "ts", F.when(n >= 48, E.rolling_half_life(48)).alias("half_life")), 4)
 
 
@@ -460,7 +463,7 @@ def win_classifier(spark, sf):
 @query()
 def risk_regressor(spark, sf):
     """A boosted regressor of forward volatility."""
-    f = X.signals(spark, sf).withColumn("forward", F.stddev_samp("spread").over(PAIR.rowsBetween(1, 12))).where("z is not null and forward is not null").select("pair", "ts", F.abs("z").alias("a"), "vol", "forward")
+    f = X.signals(spark, sf).withColumn("forward", F.stddev_samp("spread").over(of_pair().rowsBetween(1, 12))).where("z is not null and forward is not null").select("pair", "ts", F.abs("z").alias("a"), "vol", "forward")
     cut = F.lit("2024-01-24").cast("timestamp_ntz")
     return M.boosted(f.where(F.col("ts") < cut), f.where(F.col("ts") >= cut), ["a", "vol"], "forward", classify=False, rounds=5).select("pair", "ts", "score")
 
@@ -537,7 +540,7 @@ def asof_rates(spark, sf):
 SELECT pair, ts, round(-sign(z) * ((xy - y) - beta * (xx - x)) / (1 + abs(beta)), 5) + 0.0 AS ret, date_diff('hour', ts, xt) AS hours FROM e WHERE entry_mask AND xt IS NOT NULL""")
 def realised_returns(spark, sf):
     """K4: what entries made until six bars later."""
-    d = X.masks(spark, sf).withColumns({"xt": F.lead("ts", 6).over(PAIR), "xy": F.lead("y", 6).over(PAIR), "xx": F.lead("x", 6).over(PAIR)}).where("entry_mask and xt is not null")
+    d = X.masks(spark, sf).withColumns({"xt": F.lead("ts", 6).over(of_pair()), "xy": F.lead("y", 6).over(of_pair()), "xx": F.lead("x", 6).over(of_pair())}).where("entry_mask and xt is not null")
     ret = -F.signum("z") * ((F.col("xy") - F.col("y")) - F.col("beta") * (F.col("xx") - F.col("x"))) / (1 + F.abs("beta"))
     return rounded(d.select("pair", "ts", ret.alias("ret"), F.timestamp_diff("HOUR", F.col("ts"), F.col("xt")).alias("hours")), 5)
 
