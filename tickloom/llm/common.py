@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: Most rows and bytes that one Arrow batch hands to a Python worker, so that long texts don't pile up.
-BATCH_ROWS, BATCH_BYTES = 2048, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 4096, 16 << 20
 
 
 @functools.cache

@@ -18,18 +18,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import bound_batches, own_columns, quoted
+from tickloom.llm.common import bound_batches, own_columns, quoted, written
 
 #: Examples in a pool, on average: what one task packs.
 POOL = 8192
 #: Words whose ids a worker remembers.
-REMEMBERED = 700_000
+REMEMBERED = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -67,8 +66,6 @@ class WordIds:
         self.known: dict[str, bytes] = {}
 
     def _learn(self, letters: set[str], others: set[str]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
         if letters:
             words = list(letters)
             ids = np.array(self.letters.encode_batch_fast([" \\ ".join(words)], add_special_tokens=False)[0].ids, "<u4")
@@ -84,8 +81,12 @@ class WordIds:
     def of_words(self, words: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        parts, letters, others, known = [], set(), set(), self.known
-        for w in words:
+        known = self.known
+        out = list(map(known.get, words))
+        fresh = [i for i, x in enumerate(out) if x is None]
+        parts, letters, others = [], set(), set()
+        for i in fresh:
+            w = words[i]
             core = w.rstrip(".,")
             if core.isalpha() and (core.isascii() or "Σ" not in core and unicodedata.is_normalized("NFC", core) and core.lower().isalpha()):
                 tail, core = w[len(core) :], core.lower()
@@ -93,16 +94,14 @@ class WordIds:
                     letters.add(core)
                 if tail and tail not in known:
                     others.add(tail)
-                parts.append((core, tail))
+                parts.append((i, core, tail))
             else:
-                if w not in known:
-                    others.add(w)
-                parts.append((w, ""))
-        if letters or others:
-            self._learn(letters, others)
-            if len(known) < len(letters):  # was emptied
-                return self.of_words(words)
-        return [known[a] + known[b] if b else known[a] for a, b in parts]
+                others.add(w)
+                parts.append((i, w, ""))
+        self._learn(letters, others)
+        for i, core, tail in parts:
+            out[i] = known[words[i]] = known[core] + known[tail] if tail else known[core]
+        return out
 
     def of_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin and end."""
@@ -136,16 +135,14 @@ def token_pieces(df: DataFrame, id_col: str = "doc_id", text: str = "text", toke
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(path)
         for batch in batches:
-            for a in range(0, len(batch), 512):
-                part = batch.slice(a, 512)
-                ids, at = words.of_texts(part.column(1))
-                raw, out = ids.tobytes(), []
-                for i, (x, y) in enumerate(zip(at.tolist(), at[1:].tolist())):
-                    one = raw[4 * x : 4 * y] + last
-                    total = len(one) // 4
-                    out += [(i, s, min(size, total - s), zlib.crc32(one[4 * s : 4 * (s + size)]), total) for s in range(0, total, size)]
-                rows, *cols = np.array(out, np.int64).reshape(-1, 5).T
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), *map(pa.array, cols)], ["id", "start", "length", "ids_crc32", "doc_tokens"])
+            ids, at = words.of_texts(batch.column(1))
+            raw, out = ids.tobytes(), []
+            for i, (x, y) in enumerate(zip(at.tolist(), at[1:].tolist())):
+                one = raw[4 * x : 4 * y] + last
+                total = len(one) // 4
+                out += [(i, s, min(size, total - s), zlib.crc32(one[4 * s : 4 * (s + size)]), total) for s in range(0, total, size)]
+            rows, *cols = np.array(out, np.int64).reshape(-1, 5).T
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *map(pa.array, cols)], ["id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return df.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text)).alias("text")).mapInArrow(go, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long").withColumnRenamed("id", id_col)
 
@@ -223,7 +220,8 @@ def packed_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     A text's tokens all bear loss and each piece is a segment. Texts longer than a sequence fill as many as they can.
     """
-    pieces = token_pieces(df, id_col, text, tokenizer, size=min(limits.tokens, limits.loss))
+    # written, or each use of the pieces would call the tokenizer again
+    pieces = written(token_pieces(df, id_col, text, tokenizer, size=min(limits.tokens, limits.loss)), "pieces")
     made = pack(pieces.withColumns({"segments": F.lit(1), "loss": F.col("length")}), "length", "segments", "loss", limits)
     return made.drop("segments", "loss")
 
