@@ -92,11 +92,12 @@ def posteriors(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: s
     return out.select(*(F.col(quoted(c)) for c in df.columns), "__n", *(f"p{k}" for k in range(len(domains)))), domains
 
 
-def rates(table: DataFrame, domains: list[str], weights: Mapping[str, float], tokens: float | None = None, keep: bool = False, most: int = 200, close: float = 1e-4) -> DataFrame:
+def rates(table: DataFrame, domains: list[str], weights: Mapping[str, float], tokens: float | None = None, keep: bool = False, spare: bool = False, most: int = 200, close: float = 1e-4) -> DataFrame:
     """table (__n, p0, p1, ...) with a rate for each row.
 
     weights are the domains' shares of the tokens, scaled down if they sum up to over 1; domains without one share the
     rest as at present. tokens is how many there are to be, those at hand if None. keep asks for as many as it takes for no domain to shrink.
+    spare keeps the rate at 1 or more where domains that are to shrink are not likelier than the others.
     """
     k_all = range(len(domains))
     n, p = F.col("__n").cast("double"), [F.col(f"p{k}") for k in k_all]
@@ -121,13 +122,15 @@ def rates(table: DataFrame, domains: list[str], weights: Mapping[str, float], to
         size = math.sqrt(sum(x * x for x in v)) or 1.0
         v = [x / size for x in v]
     step = 1 / (1.02 * size)
+    shrink = sum((p[k] for k in k_all if target[k] < now[k]), F.lit(0.0))
+    least = F.when(shrink <= 0.5, 1.0).otherwise(0.0) if spare else F.lit(0.0)
     rated, rate = table.withColumn("rate", F.lit(1.0)), F.col("rate")
     for turn in range(1, most + 1):
         got = rated.agg(*(F.coalesce(F.sum(n * rate * p[k]), F.lit(0.0)) for k in k_all)).first()
         error = [g - t for g, t in zip(got, target)]
         if max(abs(e) for e in error) <= close * budget:
             break
-        rate = F.greatest(F.lit(0.0), rate - sum((p[k] * (step * weigh[k] * error[k]) for k in k_all), F.lit(0.0)))
+        rate = F.greatest(least, rate - sum((p[k] * (step * weigh[k] * error[k]) for k in k_all), F.lit(0.0)))
         if turn % 12 == 0:
             rated, rate = written(rated.withColumn("rate", rate), "rates"), F.col("rate")
     return rated.withColumn("rate", rate)
@@ -150,15 +153,15 @@ def mixed(df: DataFrame, labels: DataFrame, weights: Mapping[str, float], id_col
     return out.select(F.col("id").alias(id_col), F.col("__n").alias("n_tokens"), "rate", F.struct(*(F.col(f"p{k}").alias(d) for k, d in enumerate(domains))).alias("posterior"))
 
 
-def resampled(df: DataFrame, labels: DataFrame, weights: Mapping[str, float], id_col: str = "doc_id", text: str = "text", tokens: float | None = None, keep: bool = True) -> DataFrame:
+def resampled(df: DataFrame, labels: DataFrame, weights: Mapping[str, float], id_col: str = "doc_id", text: str = "text", tokens: float | None = None, keep: bool = True, spare: bool = False) -> DataFrame:
     """df's rows, each as often as its rate says: the whole part, and once more with the chance of the rest.
 
     The chance is a hash of id and text, so the same table gives the same rows. With keep, no domain shrinks and so
-    hardly any row goes.
+    hardly any row goes; with spare, none that is likely of a domain that doesn't.
     """
     cols = own_columns(df)
     table, domains = posteriors(df, labels, id_col, text)
-    out = rates(written(table, "posteriors"), domains, weights, tokens, keep)
+    out = rates(written(table, "posteriors"), domains, weights, tokens, keep, spare)
     chance = F.expr(f"pmod(xxhash64({quoted(id_col)}, {quoted(text)}, 17), 1000000)") / 1e6
     times = (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("int")
     return out.withColumn("__times", times).where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*(F.col(quoted(c)) for c in cols))
