@@ -117,16 +117,36 @@ def stationarity(spreads: DataFrame, keys: Sequence[str] = ("pair",), lags: int
     return spreads.select(*keys, "ts", "spread").groupBy(*keys).applyInPandas(test, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n long, adf double, p_value double")
 
 
+def engle_granger(y: np.ndarray, x: np.ndarray, lags: int = 1) -> tuple[float, float, float, float, float, float]:
+    """(beta, alpha, spread_vol, half_life, adf, p_value) of the regression of y on x and of what it leaves over."""
+    nan = float("nan")
+    if len(y) < 3 or np.ptp(x) < 1e-12:
+        return nan, nan, nan, float("inf"), nan, 1.0
+    beta = float(np.cov(y, x)[0, 1] / np.var(x, ddof=1))
+    alpha = float(y.mean() - beta * x.mean())
+    s = y - beta * x - alpha
+    before, change = s[:-1], np.diff(s)
+    v = np.var(before)
+    slope = float(np.mean((change - change.mean()) * (before - before.mean())) / v) if v > 1e-18 else 0.0
+    t = adf(s, lags)
+    return beta, alpha, float(s.std(ddof=1)), float(-np.log(2) / slope) if slope < -1e-10 else float("inf"), t, p_value(t, 2)
+
+
 def scan(pair_bars: DataFrame, keys: Sequence[str] = ("pair",), lags: int = 1) -> DataFrame:
-    """Engle-Granger both ways: (keys, direction, beta, alpha, spread_vol, half_life, adf, p_value), of the lower p."""
-    keys = list(keys)
-    both = None
-    for name, d in (("y~x", pair_bars), ("x~y", pair_bars.withColumns({"y": F.col("x"), "x": F.col("y")}))):
-        s = with_spread(d, hedge(d, keys), keys)
-        one = s.groupBy(*keys).agg(F.first("beta").alias("beta"), F.first("alpha").alias("alpha"), F.stddev_samp("spread").alias("spread_vol")).join(half_life(s, keys), keys).join(stationarity(s, keys, lags).drop("n"), keys).withColumn("direction", F.lit(name))
-        both = one if both is None else both.unionByName(one)
-    rest = [c for c in both.columns if c not in keys]
-    return both.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct("p_value", "direction")).alias("r")).select(*keys, "r.*")
+    """Engle-Granger both ways: (keys, direction, beta, alpha, spread_vol, half_life, adf, p_value), of the lower p.
+
+    One shuffle of the bars; a task sees one group, a pair in a window.
+    """
+    kinds = dict(pair_bars.dtypes)
+
+    def test(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ts")
+        y, x = pdf["y"].to_numpy(float), pdf["x"].to_numpy(float)
+        fine = np.isfinite(y) & np.isfinite(x)
+        both = [("x~y", *engle_granger(x[fine], y[fine], lags)), ("y~x", *engle_granger(y[fine], x[fine], lags))]
+        return pd.DataFrame([(*(pdf[k].iat[0] for k in keys), *min(both, key=lambda r: (r[-1], r[0])))], columns=[*keys, "direction", "beta", "alpha", "spread_vol", "half_life", "adf", "p_value"])
+
+    return pair_bars.select(*keys, "ts", "y", "x").groupBy(*keys).applyInPandas(test, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", direction string, beta double, alpha double, spread_vol double, half_life double, adf double, p_value double")
 
 
 def rolling_stationarity(spreads: DataFrame, size: int, step: int, lags: int = 5, level: float = 0.05) -> DataFrame:
