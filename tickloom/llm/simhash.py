@@ -113,7 +113,7 @@ def near_pairs(fps: DataFrame, radius: int = 2, chunk: int = CHUNK, bucket: int
     while rest - 8 * low_bytes > 16:
         low_bytes += 1
     cell_bits, width = rest - 8 * low_bytes, bucket_bits + rest
-    dealt = fps.select(F.expr(f"cast(pmod(xxhash64(fp, 7), {chunks}) as int)").alias("chunk"), "fp")
+    dealt = fps.select(F.expr(f"cast(pmod(xxhash64(fp, 7), {chunks}) as int)").alias("chunk"), "fp").repartition(2 * chunks, "chunk")  # rows are few and what they make is much: tasks must not be merged by their input
 
     def emit(pdf: pd.DataFrame) -> pd.DataFrame:
         own = np.unique(pdf["fp"].to_numpy().view(np.uint64))
