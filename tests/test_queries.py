@@ -28,7 +28,9 @@ def cell(x):
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    return sorted(tuple(map(cell, r)) for r in frame.astype(object).where(frame.notna(), None).itertuples(index=False))
+    found = (tuple(map(cell, r)) for r in frame.astype(object).where(frame.notna(), None).itertuples(index=False))
+    number = lambda x: isinstance(x, float)
+    return sorted(found, key=lambda r: (tuple("" if number(x) else x for x in r), tuple(x if number(x) else 0.0 for x in r)))
 
 
 def close(a, b):

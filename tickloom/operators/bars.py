@@ -81,10 +81,10 @@ def lag1(c: Column, before: Column, w, n: int) -> Column:
 def regime(returns: DataFrame, benchmark: str, n: int, vol_limit: float, calm: float, wild: float) -> DataFrame:
     """(ts, vol_rank, dispersion_pos, allowed, state): by rank of the benchmark's rolling volatility and place of dispersion in its range.
 
-    A missing rank blocks, missing dispersion doesn't. The rank is over all of the table, as for a finished test window.
+    A missing rank blocks, missing dispersion doesn't. Volatilities that agree to nine digits are equal. The rank is over all of the table, as for a finished test window.
     """
     w = Window.orderBy("ts")
-    b = returns.where(F.col("symbol") == benchmark).select("ts", F.when(F.count("ret").over(last(w, n)) >= n // 2, F.stddev_samp("ret").over(last(w, n))).alias("vol"))
+    b = returns.where(F.col("symbol") == benchmark).select("ts", F.when(F.count("ret").over(last(w, n)) >= n // 2, F.round(F.stddev_samp("ret").over(last(w, n)), 9)).alias("vol"))
     b = b.withColumn("vol_rank", percent_rank(F.col("vol"), Window.partitionBy()))
     x = returns.groupBy("ts").agg(F.stddev_samp("ret").alias("dispersion"))
     lo, hi = F.min("dispersion").over(last(w, n)), F.max("dispersion").over(last(w, n))

@@ -80,7 +80,7 @@ def coin_features(spark, sf):
     return rounded(B.coin_features(X.returns(spark, sf), 240, 120), 5)
 
 
-REGIME = X.RETURNS + """, v AS (SELECT ts, CASE WHEN count(ret) OVER w >= 12 THEN stddev_samp(ret) OVER w END AS vol FROM returns WHERE symbol = 'click' WINDOW w AS (ORDER BY ts ROWS 23 PRECEDING)),
+REGIME = X.RETURNS + """, v AS (SELECT ts, CASE WHEN count(ret) OVER w >= 12 THEN round(stddev_samp(ret) OVER w, 9) END AS vol FROM returns WHERE symbol = 'click' WINDOW w AS (ORDER BY ts ROWS 23 PRECEDING)),
  b AS (SELECT ts, vol, CASE WHEN vol IS NOT NULL THEN (rank() OVER (ORDER BY vol NULLS LAST) + (count(vol) OVER (PARTITION BY vol) - 1) / 2) / count(vol) OVER () END AS vol_rank FROM v),
  x AS (SELECT ts, dispersion, count(dispersion) OVER w AS n, min(dispersion) OVER w AS lo, max(dispersion) OVER w AS hi FROM (SELECT ts, stddev_samp(ret) AS dispersion FROM returns GROUP BY ts) WINDOW w AS (ORDER BY ts ROWS 23 PRECEDING)),
  regime AS (SELECT coalesce(b.ts, x.ts) AS ts, vol_rank, CASE WHEN n >= 12 AND hi > lo THEN (dispersion - lo) / (hi - lo) END AS dispersion_pos FROM b FULL JOIN x ON b.ts = x.ts)"""
