@@ -63,4 +63,17 @@ def op10_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_feistel_pii, op2_simhash_ball, op3_quality_gam, op4_recompression, op5_soft_mixing, op6_mcd_outliers, op7_vector_packing, op8_extendible_shards, op9_histogram_topk, op10_license_digests)}
 
-SQL: dict[str, str] = {}
+#: Of the others, SQL has no permutations under a key, XXH64, boosting, iterations to a target, or tokenizers.
+SQL: dict[str, str] = {
+    "op4_recompression": r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+ h AS (SELECT doc_id, unnest(hs) AS h, generate_subscripts(hs, 1) AS i FROM (SELECT doc_id, list_transform(range(1, len(w) - 33), lambda i: md5(array_to_string(w[i:i + 34], ' '))) AS hs FROM w)),
+ c AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1), g AS (SELECT DISTINCT doc_id, i + k AS i FROM (SELECT doc_id, i FROM h SEMI JOIN c USING (h)), range(35) t(k)),
+ k AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w),
+ a AS (SELECT k.doc_id, count(g.i) AS n, string_agg(word, ' ' ORDER BY k.i) FILTER (g.i IS NULL) AS kept FROM k LEFT JOIN g ON k.doc_id = g.doc_id AND k.i = g.i GROUP BY k.doc_id)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN a ON w.doc_id = a.doc_id""",
+    "op9_histogram_topk": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20""",
+}
