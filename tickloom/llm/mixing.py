@@ -4,7 +4,7 @@ A classifier learnt from a table of labels gives each text a probability for eac
 to be taken; the expected tokens of a domain are the sum over texts of rate x tokens x probability. Projected-gradient
 least squares moves the rates, from 1 each and never below 0, until those sums meet the targets. An iteration is one pass
 over a table of tokens and probabilities that returns one number for each domain; a rate is an expression of the
-residuals so far.
+steps so far.
 """
 
 from __future__ import annotations
@@ -92,12 +92,30 @@ def posteriors(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: s
     return out.select(*(F.col(quoted(c)) for c in df.columns), "__n", *(f"p{k}" for k in range(len(domains)))), domains
 
 
-def rates(table: DataFrame, domains: list[str], weights: Mapping[str, float], tokens: float | None = None, keep: bool = False, spare: bool = False, most: int = 200, close: float = 1e-4) -> DataFrame:
-    """table (__n, p0, p1, ...) with a rate for each row.
+def solved(matrix: list[list[float]], right: list[float]) -> list[float]:
+    """x of matrix x = right, by elimination; the matrix is small and positive."""
+    n, rows = len(right), [[*row, y] for row, y in zip(matrix, right)]
+    for i in range(n):
+        top = max(range(i, n), key=lambda k: abs(rows[k][i]))
+        rows[i], rows[top] = rows[top], rows[i]
+        for k in range(i + 1, n):
+            f = rows[k][i] / rows[i][i]
+            rows[k] = [b - f * a for a, b in zip(rows[i], rows[k])]
+    x = [0.0] * n
+    for i in reversed(range(n)):
+        x[i] = (rows[i][n] - sum(rows[i][k] * x[k] for k in range(i + 1, n))) / rows[i][i]
+    return x
+
+
+def rate(table: DataFrame, domains: list[str], weights: Mapping[str, float], tokens: float | None = None, keep: bool = False, spare: bool = False, most: int = 60, close: float = 5e-4) -> Column:
+    """The rate of each row of table (__n, p0, p1, ...), as an expression of p0, p1, ...
 
     weights are the domains' shares of the tokens, scaled down if they sum up to over 1; domains without one share the
     rest as at present. tokens is how many there are to be, those at hand if None. keep asks for as many as it takes for no domain to shrink.
     spare keeps the rate at 1 or more where domains that are to shrink are not likelier than the others.
+
+    The objective is the squared distance of the domains' expected tokens from their targets, in the metric of the cross
+    products of the posteriors, in which a gradient step has length 1 whatever the domains' sizes.
     """
     k_all = range(len(domains))
     n, p = F.col("__n").cast("double"), [F.col(f"p{k}") for k in k_all]
@@ -105,7 +123,7 @@ def rates(table: DataFrame, domains: list[str], weights: Mapping[str, float], to
     now = [cross[f"t{k}"] for k in k_all]
     whole = sum(now)
     if not whole:
-        return table.withColumn("rate", F.lit(1.0))
+        return F.lit(1.0)
     given = {d: w for d, w in weights.items() if d in domains}
     total_w = max(1.0, sum(weights.values()))
     rest = sum(now[k] for k, d in enumerate(domains) if d not in given)
@@ -113,27 +131,31 @@ def rates(table: DataFrame, domains: list[str], weights: Mapping[str, float], to
     share = [x / sum(share) for x in share]
     budget = max(now[k] / share[k] for k in k_all if share[k] > 0) if keep else whole if tokens is None else float(tokens)
     target = [budget * x for x in share]
-    # errors are weighed by the size of what they are errors of, and a step by a row's tokens: neither domains nor texts that are small lag
-    weigh = [1 / max(t, 1e-6 * budget) for t in target]
-    m = [[cross[f"m{i}_{j}"] * math.sqrt(weigh[i] * weigh[j]) for j in k_all] for i in k_all]
-    v = [1.0] * len(domains)
-    for _ in range(100):
-        v = [sum(a * b for a, b in zip(row, v)) for row in m]
-        size = math.sqrt(sum(x * x for x in v)) or 1.0
-        v = [x / size for x in v]
-    step = 1 / (1.02 * size)
     shrink = sum((p[k] for k in k_all if target[k] < now[k]), F.lit(0.0))
     least = F.when(shrink <= 0.5, 1.0).otherwise(0.0) if spare else F.lit(0.0)
-    rated, rate = table.withColumn("rate", F.lit(1.0)), F.col("rate")
+    square = lambda get: [[get(min(i, j), max(i, j)) + (1e-6 * whole if i == j else 0.0) for j in k_all] for i in k_all]
+    every = square(lambda i, j: cross[f"m{i}_{j}"])
+    steps, seen = [], []
+    at, expr, best = table.select("__n", *(f"p{k}" for k in k_all), F.lit(1.0).alias("rate")), F.col("rate"), math.inf
     for turn in range(1, most + 1):
-        got = rated.agg(*(F.coalesce(F.sum(n * rate * p[k]), F.lit(0.0)) for k in k_all)).first()
-        error = [g - t for g, t in zip(got, target)]
-        if max(abs(e) for e in error) <= close * budget:
-            break
-        rate = F.greatest(least, rate - sum((p[k] * (step * weigh[k] * error[k]) for k in k_all), F.lit(0.0)))
-        if turn % 12 == 0:
-            rated, rate = written(rated.withColumn("rate", rate), "rates"), F.col("rate")
-    return rated.withColumn("rate", rate)
+        free = F.when(expr > least, n)
+        got = at.agg(*(F.coalesce(F.sum(n * expr * p[k]), F.lit(0.0)).alias(f"t{k}") for k in k_all), *(F.coalesce(F.sum(free * p[i] * p[j]), F.lit(0.0)).alias(f"m{i}_{j}") for i in k_all for j in range(i, len(domains)))).first()
+        error = [got[f"t{k}"] - target[k] for k in k_all]
+        worst = max(map(abs, error))
+        seen.append(worst)
+        if worst <= close * budget or turn > 8 and min(seen[-4:]) > 0.97 * min(seen[:-4]):
+            break  # met, or as near as the bounds let it come
+        # rows at their bound can't take a share of the step; should that overshoot, the next step counts them again
+        m = square(lambda i, j, got=got: got[f"m{i}_{j}"]) if worst < best else every
+        best = min(best, worst)
+        steps.append(solved(m, error))
+        expr = F.greatest(least, expr - sum((p[k] * steps[-1][k] for k in k_all), F.lit(0.0)))
+        if turn % 6 == 0:  # numbers only: the texts stay where they are
+            at, expr = written(at.withColumn("rate", expr), "rates"), F.col("rate")
+    if not steps:
+        return F.lit(1.0)
+    moves = F.array(*(F.array(*map(F.lit, x)) for x in steps))
+    return F.aggregate(moves, F.lit(1.0), lambda r, x: F.greatest(least, r - sum((p[k] * x[k] for k in k_all), F.lit(0.0))))
 
 
 def quality_domains(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -149,7 +171,8 @@ def mixed(df: DataFrame, labels: DataFrame, weights: Mapping[str, float], id_col
     which meets the number of tokens. An empty table gives an empty result. Other columns play no part.
     """
     table, domains = posteriors(df.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text)).alias("text")), labels.withColumnRenamed(id_col, "id"), "id")
-    out = rates(written(table.drop("text"), "posteriors"), domains, weights, tokens, keep)
+    table = written(table.drop("text"), "posteriors")
+    out = table.withColumn("rate", rate(table, domains, weights, tokens, keep))
     return out.select(F.col("id").alias(id_col), F.col("__n").alias("n_tokens"), "rate", F.struct(*(F.col(f"p{k}").alias(d) for k, d in enumerate(domains))).alias("posterior"))
 
 
@@ -161,7 +184,8 @@ def resampled(df: DataFrame, labels: DataFrame, weights: Mapping[str, float], id
     """
     cols = own_columns(df)
     table, domains = posteriors(df, labels, id_col, text)
-    out = rates(written(table, "posteriors"), domains, weights, tokens, keep, spare)
+    table = written(table, "posteriors")  # once, texts and all, or each use of a probability would work it out anew
+    out = table.withColumn("rate", rate(table, domains, weights, tokens, keep, spare))
     chance = F.expr(f"pmod(xxhash64({quoted(id_col)}, {quoted(text)}, 17), 1000000)") / 1e6
     times = (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("int")
     return out.withColumn("__times", times).where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*(F.col(quoted(c)) for c in cols))
