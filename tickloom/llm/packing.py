@@ -27,8 +27,8 @@ from tickloom.llm.common import bound_batches, own_columns, quoted, written
 
 #: Examples in a pool, on average: what one task packs.
 POOL = 8192
-#: Words whose ids a worker remembers.
-REMEMBERED = 1_000_000
+#: Words whose ids a worker remembers, twice: those met lately, and those before. Rows that it takes at a time.
+REMEMBERED, AT_ONCE = 250_000, 2048
 
 
 @dataclass(frozen=True)
@@ -64,6 +64,7 @@ class WordIds:
         self.letters = Tokenizer.from_str(json.dumps(spec))
         (self.mark,) = self.full.encode("\\", add_special_tokens=False).ids
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def _learn(self, letters: set[str], others: set[str]) -> None:
         if letters:
@@ -79,19 +80,25 @@ class WordIds:
                 self.known[w] = np.array(e.ids, "<u4").tobytes()
 
     def of_words(self, words: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
+        if len(self.known) > REMEMBERED:  # what is met again in time moves over, the rest is forgotten
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
         out = list(map(known.get, words))
         fresh = [i for i, x in enumerate(out) if x is None]
         parts, letters, others = [], set(), set()
         for i in fresh:
             w = words[i]
+            if (x := before.get(w)) is not None:
+                out[i] = known[w] = x
+                continue
             core = w.rstrip(".,")
             if core.isalpha() and (core.isascii() or "Σ" not in core and unicodedata.is_normalized("NFC", core) and core.lower().isalpha()):
                 tail, core = w[len(core) :], core.lower()
                 if core not in known:
-                    letters.add(core)
+                    if (x := before.get(core)) is None:
+                        letters.add(core)
+                    else:
+                        known[core] = x
                 if tail and tail not in known:
                     others.add(tail)
                 parts.append((i, core, tail))
@@ -112,7 +119,9 @@ class WordIds:
         ids, at = np.frombuffer(b"".join(each), "<u4"), coded.indices.to_numpy()
         n, begin = sizes[at], (np.cumsum(sizes) - sizes)[at]
         ends = np.cumsum(n)
-        ids = ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - n), n)]
+        place = np.repeat((begin - (ends - n)).astype(np.int32), n)
+        place += np.arange(len(place), dtype=np.int32)
+        ids = ids[place]
         return ids, np.r_[0, ends][split.offsets.to_numpy()]
 
 
@@ -135,14 +144,20 @@ def token_pieces(df: DataFrame, id_col: str = "doc_id", text: str = "text", toke
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(path)
         for batch in batches:
-            ids, at = words.of_texts(batch.column(1))
-            raw, out = ids.tobytes(), []
-            for i, (x, y) in enumerate(zip(at.tolist(), at[1:].tolist())):
-                one = raw[4 * x : 4 * y] + last
-                total = len(one) // 4
-                out += [(i, s, min(size, total - s), zlib.crc32(one[4 * s : 4 * (s + size)]), total) for s in range(0, total, size)]
-            rows, *cols = np.array(out, np.int64).reshape(-1, 5).T
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *map(pa.array, cols)], ["id", "start", "length", "ids_crc32", "doc_tokens"])
+            for a in range(0, len(batch), AT_ONCE):
+                part = batch.slice(a, AT_ONCE)
+                ids, at = words.of_texts(part.column(1))
+                raw, out = memoryview(ids.tobytes()), []
+                for i, (x, y) in enumerate(zip(at.tolist(), at[1:].tolist())):
+                    total = y - x + 1
+                    for s in range(0, total, size):
+                        n = min(size, total - s)
+                        crc = zlib.crc32(raw[4 * (x + s) : 4 * min(x + s + n, y)])
+                        out.append((i, s, n, zlib.crc32(last, crc) if s + n == total else crc, total))
+                rows, *cols = np.array(out, np.int64).reshape(-1, 5).T
+                del ids, raw
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), *map(pa.array, cols)], ["id", "start", "length", "ids_crc32", "doc_tokens"])
+                pa.default_memory_pool().release_unused()
 
     return df.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text)).alias("text")).mapInArrow(go, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long").withColumnRenamed("id", id_col)
 
