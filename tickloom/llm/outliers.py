@@ -123,7 +123,7 @@ def outliers(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: st
     for _ in range(steps):
         now = written(now, "estimates")
         placed = with_distance(used, now)
-        limits = nearest(placed, KEYS, spread_of(F.col("d2")), ALPHA, 256)
+        limits = written(nearest(placed, KEYS, spread_of(F.col("d2")), ALPHA, 256), "limits")  # its size is known then, and rows need not move to it if it is small
         now = estimate(placed.join(limits, KEYS).where(spread_of(F.col("d2")) < F.col("limit")), scale)
     now = written(now, "estimates")
     near = chi2_quantile(0.975, P)
