@@ -63,8 +63,8 @@ LOWER, UPPER, DIGIT, HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUV
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 LEAP_YEARS = [y for y in range(1900, 2100) if calendar.isleap(y)]
 LATE_DAYS = [(m, d) for m in range(1, 13) for d in range(13, calendar.monthrange(2001, m)[1] + 1)]
-#: First octets of assigned unicast addresses.
-OCTETS = [x for x in range(1, 224) if x not in (10, 127)]
+#: First octets of addresses.
+OCTETS = range(1, 256)
 
 
 def luhn(digits: str) -> int:
@@ -72,6 +72,11 @@ def luhn(digits: str) -> int:
     return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(digits)))
 
 
+def nanp(digits: str) -> bool:
+    """Whether ten digits are a number of the North American plan."""
+    return digits[0] not in "01" and digits[3] not in "01"
+
+
 def mod97(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
@@ -120,8 +125,13 @@ class Pseudonyms:
         d = re.sub(r"\D", "", s)
         if len(d) == 10 or len(d) == 11 and d[0] == "1":
             head, d = d[:-10], d[-10:]
-            if d[0] in "01" or d[3] in "01":
-                return None
+            if not nanp(d):
+                # no number of that plan; with a country code it may still be somebody's, and stays outside the plan
+                if not s.startswith("+"):
+                    return None
+                while nanp(d := f"{self._go('phone+', 10**10, int(d)):010d}"):
+                    pass
+                return self._laid(s, head + d)
             x = ((int(d[0]) - 2) * 100 + int(d[1:3])) * 8_000_000 + (int(d[3]) - 2) * 1_000_000 + int(d[4:])
             area, x = divmod(self._go("phone", 6_400_000_000, x), 8_000_000)
             first, rest = divmod(x, 1_000_000)
