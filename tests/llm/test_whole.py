@@ -1,0 +1,22 @@
+"""Cases in which an operator once did less than its whole job."""
+
+import collections
+
+import corpus_pipeline
+
+
+def mix(spark, tmp_path, toxic, total=600):
+    """Documents of which the first `toxic` are toxic, and how often each is in the target mix."""
+    word = lambda i, k: f"{'vile' if i < toxic else 'calm'}{'abcdefgh'[(i * 7 + k * k) % 8]}{'abcdefgh'[(i + k) % 8]}"
+    docs = spark.createDataFrame([(i, " ".join(word(i, k) for k in range(80)), "en", "s", 0) for i in range(total)], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(i, int(i >= toxic and i % 3 > 0), int(i < toxic)) for i in range(total)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    return collections.Counter(r["doc_id"] for r in corpus_pipeline.in_target_mix(spark, docs, str(tmp_path)).collect())
+
+
+def test_a_mix_below_the_toxic_ceiling_stays_as_it_is(spark, tmp_path):
+    assert mix(spark, tmp_path, 10) == dict.fromkeys(range(600), 1)
+
+
+def test_a_mix_above_the_toxic_ceiling_shrinks_toxic_texts_alone(spark, tmp_path):
+    got = mix(spark, tmp_path, 60)
+    assert sum(got[i] for i in range(60)) < 40 and all(got[i] >= 1 for i in range(60, 600))

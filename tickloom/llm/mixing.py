@@ -10,7 +10,7 @@ steps so far.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -107,12 +107,13 @@ def solved(matrix: list[list[float]], right: list[float]) -> list[float]:
     return x
 
 
-def rate(table: DataFrame, domains: list[str], weights: Mapping[str, float], tokens: float | None = None, keep: bool = False, spare: bool = False, most: int = 60, close: float = 5e-4) -> Column:
+def rate(table: DataFrame, domains: list[str], weights: Mapping[str, float], tokens: float | None = None, keep: bool = False, spare: bool = False, ceilings: Collection[str] = (), most: int = 60, close: float = 5e-4) -> Column:
     """The rate of each row of table (__n, p0, p1, ...), as an expression of p0, p1, ...
 
     weights are the domains' shares of the tokens, scaled down if they sum up to over 1; domains without one share the
     rest as at present. tokens is how many there are to be, those at hand if None. keep asks for as many as it takes for no domain to shrink.
-    spare keeps the rate at 1 or more where domains that are to shrink are not likelier than the others.
+    spare keeps the rate at 1 or more where domains that are to shrink are not likelier than the others. The weights of `ceilings` are
+    upper bounds: such a domain keeps its present share if that is less, and spare then protects from these domains, whichever shrink.
 
     The objective is the squared distance of the domains' expected tokens from their targets, in the metric of the cross
     products of the posteriors, in which a gradient step has length 1 whatever the domains' sizes.
@@ -124,6 +125,8 @@ def rate(table: DataFrame, domains: list[str], weights: Mapping[str, float], tok
     whole = sum(now)
     if not whole:
         return F.lit(1.0)
+    present = dict(zip(domains, now))
+    weights = {d: min(w, present[d] / whole) if d in ceilings and d in present else w for d, w in weights.items()}
     given = {d: w for d, w in weights.items() if d in domains}
     total_w = max(1.0, sum(weights.values()))
     rest = sum(now[k] for k, d in enumerate(domains) if d not in given)
@@ -131,7 +134,7 @@ def rate(table: DataFrame, domains: list[str], weights: Mapping[str, float], tok
     share = [x / sum(share) for x in share]
     budget = max(now[k] / share[k] for k in k_all if share[k] > 0) if keep else whole if tokens is None else float(tokens)
     target = [budget * x for x in share]
-    shrink = sum((p[k] for k in k_all if target[k] < now[k]), F.lit(0.0))
+    shrink = sum((p[k] for k, d in enumerate(domains) if (d in ceilings if ceilings else target[k] < now[k])), F.lit(0.0))
     least = F.when(shrink <= 0.5, 1.0).otherwise(0.0) if spare else F.lit(0.0)
     square = lambda get: [[get(min(i, j), max(i, j)) + (1e-6 * whole if i == j else 0.0) for j in k_all] for i in k_all]
     every = square(lambda i, j: cross[f"m{i}_{j}"])
@@ -176,16 +179,16 @@ def mixed(df: DataFrame, labels: DataFrame, weights: Mapping[str, float], id_col
     return out.select(F.col("id").alias(id_col), F.col("__n").alias("n_tokens"), "rate", F.struct(*(F.col(f"p{k}").alias(d) for k, d in enumerate(domains))).alias("posterior"))
 
 
-def resampled(df: DataFrame, labels: DataFrame, weights: Mapping[str, float], id_col: str = "doc_id", text: str = "text", tokens: float | None = None, keep: bool = True, spare: bool = False) -> DataFrame:
+def resampled(df: DataFrame, labels: DataFrame, weights: Mapping[str, float], id_col: str = "doc_id", text: str = "text", tokens: float | None = None, keep: bool = True, spare: bool = False, ceilings: Collection[str] = ()) -> DataFrame:
     """df's rows, each as often as its rate says: the whole part, and once more with the chance of the rest.
 
     The chance is a hash of id and text, so the same table gives the same rows. With keep, no domain shrinks and so
-    hardly any row goes; with spare, none that is likely of a domain that doesn't.
+    hardly any row goes; with spare, none that is likely of a domain that doesn't. ceilings are as for rate().
     """
     cols = own_columns(df)
     table, domains = posteriors(df, labels, id_col, text)
     table = written(table, "posteriors")  # once, texts and all, or each use of a probability would work it out anew
-    out = table.withColumn("rate", rate(table, domains, weights, tokens, keep, spare))
+    out = table.withColumn("rate", rate(table, domains, weights, tokens, keep, spare, ceilings))
     chance = F.expr(f"pmod(xxhash64({quoted(id_col)}, {quoted(text)}, 17), 1000000)") / 1e6
     times = (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("int")
     return out.withColumn("__times", times).where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*(F.col(quoted(c)) for c in cols))
