@@ -214,8 +214,8 @@ PATTERN = re.compile(
     r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w(+-])\(\d{3}\) ?\d{3}[ .-]\d{4}(?![\w-])|(?<![\w.+-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))",
     re.ASCII,
 )
-#: Every kind holds one of these.
-HINT = re.compile(r"[0-9@]|(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,3}[=:]")
+#: Whatever PATTERN matches holds one of these; keys may be of letters alone.
+HINT = re.compile(r"[0-9@]|(?:AKIA|gh[pousr]_|sk-)[A-Za-z0-9]{16}|(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,3}[=:]")
 
 
 def pseudonymize_text(text: str, names: Pseudonyms, counts: dict[str, int]) -> str:
