@@ -5,7 +5,7 @@ import collections
 import pytest
 
 import corpus_pipeline
-from tickloom.llm import pii
+from tickloom.llm import outliers, pii
 
 
 @pytest.mark.parametrize("text", ["key AKIA" + "QWERTYUIOPASDFGH" + " end", "ghp_" + "abcdefghijKLMNOPQRST", "use sk-" + "abcdefghijklmnopqrstuvwx", "password = hunters", "x.y@example.org", "call (212) 555-0187"])
@@ -34,3 +34,19 @@ def test_a_mix_below_the_toxic_ceiling_stays_as_it_is(spark, tmp_path):
 def test_a_mix_above_the_toxic_ceiling_shrinks_toxic_texts_alone(spark, tmp_path):
     got = mix(spark, tmp_path, 60)
     assert sum(got[i] for i in range(60)) < 40 and all(got[i] >= 1 for i in range(60, 600))
+
+
+def test_each_statistic_alone_rejects_an_extreme_row(spark):
+    """In a group whose other rows are alike: words of five letters, no signs and no repeats."""
+    word = lambda i, k: "".join("abcdefghij"[int(c)] for c in f"{(i * 100 + k) * 7 + 10000:05d}")
+    text = lambda i: [[word(i, 10 * a + b) for b in range(10)] for a in range(10)]
+    rows = {i: text(i) for i in range(80)}
+    rows[80] = [[w * 3 for w in x] for x in text(80)]  # long words
+    rows[81] = [["##$$%", *x[1:]] for x in text(81)]  # signs
+    rows[82] = [y for x in text(82) for y in (x, ["zzzzz"])]  # half of the lines repeat, no three words do
+    rows[83] = [[*x[:7], "zzzzz", "yyyyy", "xxxxx"] for x in text(83)]  # 30 % of the words are in threes that repeat, no line does
+    rows[84] = [["zzzzz", "yyyyy", "xxxxx"] if a in (1, 4, 6) else x for a, x in enumerate(text(84))]  # a few of both
+    docs = spark.createDataFrame([(i, "\n".join(map(" ".join, x)), "en", "s") for i, x in rows.items()], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in outliers.outliers(docs).collect()}
+    assert got[82]["n_repeat_words"] == 0 and got[82]["n_dup_lines"] == 9 and got[83]["n_repeat_words"] == 30 and got[83]["n_dup_lines"] == 0
+    assert not any(r["base_failed"] for r in got.values()) and {i for i, r in got.items() if not r["kept"]} == {80, 81, 82, 83, 84}

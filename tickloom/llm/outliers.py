@@ -19,10 +19,11 @@ from tickloom.llm.common import quoted, written
 P = 4
 #: Share of a group's rows that an estimate rests on; concentration steps; rows below which a group has no verdict.
 ALPHA, STEPS, LEAST_ROWS = 0.75, 5, 50
-#: A statistic's least standard deviation: differences well below it mean nothing, even where all rows are alike.
-FLOORS = (0.06, 0.35, 1.0, 0.8)
+#: A statistic's least standard deviation: differences well below it mean nothing, even where all rows are alike. Where they are, each
+#: statistic can reject by itself: words a tenth longer or shorter, half a sign in 100 letters, or 8 % of repeated lines or words.
+FLOORS = (0.02, 0.1, 0.5, 0.5)
 #: Share of a normal group's rows that the cutoff leaves.
-CUTOFF = 0.99999
+CUTOFF = 0.999
 WORD, SPACES = r"[^\x20\x09-\x0D]", r"[\x20\x09-\x0D]+"
 KEYS = ["__lang", "__source"]
 
