@@ -5,7 +5,7 @@ import collections
 import pytest
 
 import corpus_pipeline
-from tickloom.llm import outliers, pii
+from tickloom.llm import outliers, pii, simhash
 
 
 @pytest.mark.parametrize("text", ["key AKIA" + "QWERTYUIOPASDFGH" + " end", "ghp_" + "abcdefghijKLMNOPQRST", "use sk-" + "abcdefghijklmnopqrstuvwx", "password = hunters", "x.y@example.org", "call (212) 555-0187"])
@@ -50,3 +50,10 @@ def test_each_statistic_alone_rejects_an_extreme_row(spark):
     got = {r["doc_id"]: r for r in outliers.outliers(docs).collect()}
     assert got[82]["n_repeat_words"] == 0 and got[82]["n_dup_lines"] == 9 and got[83]["n_repeat_words"] == 30 and got[83]["n_dup_lines"] == 0
     assert not any(r["base_failed"] for r in got.values()) and {i for i, r in got.items() if not r["kept"]} == {80, 81, 82, 83, 84}
+
+
+def test_texts_that_share_an_id_stay_unless_they_are_near_copies(spark):
+    texts = [" ".join(f"w{i}x{k}" for k in range(60)) for i in range(5)]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[2]), (1, texts[2]), (2, texts[1]), (3, texts[3]), (2, texts[4])]
+    got = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], texts.index(r["text"])) for r in got) == [(1, 0), (1, 1), (1, 2), (2, 4), (3, 3)]

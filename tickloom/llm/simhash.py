@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import bound_batches, own_columns, quoted, written
@@ -200,6 +200,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return roots.toDF("node", "root")
 
 
+def rooted(fps: DataFrame, value: Column, radius: int) -> DataFrame:
+    """(fp, least, root): each distinct fingerprint, the least value of its rows, and the fingerprint that names its component."""
+    classes = written(fps.groupBy("fp").agg(F.min(value).alias("least")), "classes")
+    roots = components(near_pairs(classes.select("fp"), radius))
+    return classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 2) -> DataFrame:
     """One row per row of df: its id, fp (signed long) and component_id, the least id that it reaches over links.
 
@@ -208,18 +215,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", s
     give repeated results. An empty table gives an empty result. Other columns of df play no part.
     """
     fps = written(with_fingerprints(df.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text)).alias("text")), "text", shingle).select("id", "fp"), "fingerprints")
-    classes = written(fps.groupBy("fp").agg(F.min("id").alias("least")), "classes")
-    roots = components(near_pairs(classes.select("fp"), radius))
-    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    roots = rooted(fps, F.col("id"), radius)
+    named = roots.join(roots.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return fps.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 2) -> DataFrame:
-    """The rows of df whose id is the least in its component; of rows that repeat such an id, one stays.
+    """One row of each component of df: that with the least id, and of several with this id that with the least hash of its text.
 
-    Rows with a null id can't be told apart or referred to: they take no part, and stay.
+    So a row only goes if another one of its component stays, whatever texts share an id. Rows with a null id can't be
+    referred to: they take no part, and stay.
     """
+    key = [F.col(quoted(id_col)).alias("__id"), F.xxhash64(F.col(quoted(text))).alias("__hash")]
     named = df.where(F.col(quoted(id_col)).isNotNull())
-    kept = near_duplicates(named, id_col, text, shingle, radius).where(F.col("component_id") == F.col(quoted(id_col))).select(id_col)
-    return named.join(kept, id_col, "left_semi").dropDuplicates([id_col]).unionByName(df.where(F.col(quoted(id_col)).isNull()))
+    fps = written(with_fingerprints(named.select(*key, F.col(quoted(text)).alias("text")), "text", shingle).select("__id", "__hash", "fp"), "fingerprints")
+    kept = rooted(fps, F.struct("__id", "__hash"), radius).groupBy("root").agg(F.min("least").alias("least")).select("least.*")
+    stay = named.select(F.struct(*(F.col(quoted(c)) for c in df.columns)).alias("__row"), *key).join(kept, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"]).select("__row.*")
+    return stay.unionByName(df.where(F.col(quoted(id_col)).isNull()))
