@@ -5,7 +5,7 @@ import collections
 import pytest
 
 import corpus_pipeline
-from tickloom.llm import outliers, pii, simhash
+from tickloom.llm import mixing, outliers, pii, simhash
 
 
 @pytest.mark.parametrize("text", ["key AKIA" + "QWERTYUIOPASDFGH" + " end", "ghp_" + "abcdefghijKLMNOPQRST", "use sk-" + "abcdefghijklmnopqrstuvwx", "password = hunters", "x.y@example.org", "call (212) 555-0187"])
@@ -57,3 +57,10 @@ def test_texts_that_share_an_id_stay_unless_they_are_near_copies(spark):
     rows = [(1, texts[0]), (1, texts[1]), (1, texts[2]), (1, texts[2]), (2, texts[1]), (3, texts[3]), (2, texts[4])]
     got = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"], texts.index(r["text"])) for r in got) == [(1, 0), (1, 1), (1, 2), (2, 4), (3, 3)]
+
+
+def test_no_domain_vanishes(spark):
+    docs = spark.createDataFrame([(i, f"text number {i} of a few words") for i in range(70)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "concat('d', doc_id + 100) as domain")
+    _, domains = mixing.posteriors(docs, labels)
+    assert domains == [f"d{i}" for i in range(100, 170)]

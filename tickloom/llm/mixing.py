@@ -70,7 +70,7 @@ def posteriors(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: s
     texts = df.select(F.col(quoted(id_col)).alias("__id"), F.col(quoted(text)).alias("text"))
     # about `rows` ids and labels, whatever the input
     marked = written(texts.join(F.broadcast(part), "__id"), "marked")
-    domains = sorted(x[0] for x in marked.select("domain").distinct().limit(64).collect()) or ["all"]
+    domains = sorted(x[0] for x in marked.select("domain").distinct().collect()) or ["all"]
     lists = word_lists(marked, domains)
     tabled = with_tokens(marked, "text")
     figures = tabled.select("domain", F.posexplode(F.array(*cells(lists, "text"))).alias("figure", "cell"))
