@@ -166,11 +166,37 @@ def test_rates_meet_targets(spark, sf):
     assert got[["high", "low", "toxic"]].sum(axis=1).to_numpy() == pytest.approx(1)
 
 
+def test_rates_are_the_least_squares_solution(spark):
+    """Against scipy-free projected gradient on the driver, run to convergence."""
+    rng = np.random.default_rng(8)
+    p = rng.dirichlet([0.4, 0.3, 0.2, 0.1], 300)
+    n = rng.integers(1, 500, 300)
+    table = spark.createDataFrame([(int(a), list(map(float, x))) for a, x in zip(n, p)], "__n long, __p array<double>")
+    found, miss = mixing.rate(table, list("abcd"), {"a": 0.05, "d": 0.6}, most=200, close=1e-6)
+    got = np.array([r[0] for r in table.select(found).collect()])
+    now = n @ p
+    target = n.sum() * np.array([0.05, 0.35 * now[1] / (now[1] + now[2]), 0.35 * now[2] / (now[1] + now[2]), 0.6])
+    r = np.ones(300)
+    for _ in range(20000):
+        r = np.maximum(0, r - p @ (((n * r) @ p - target) / now))
+    want, have = (n * r) @ p - target, (n * got) @ p - target
+    assert (got >= 0).all() and (have**2 / now).sum() <= (want**2 / now).sum() + 1e-3 * n.sum()
+    assert [miss[d] * n.sum() for d in "abcd"] == pytest.approx(have.tolist(), abs=1e-3 * n.sum())
+
+
+def test_many_domains(spark):
+    docs_ = spark.createDataFrame([(i, f"{'abcdefghij'[i % 10] * 3}{i % 80} " * (20 + i % 7)) for i in range(800)], "doc_id long, text string")
+    marks = docs_.selectExpr("doc_id", "concat('d', doc_id % 80) as domain")
+    got = mixing.mixed(docs_, marks, {"d3": 0.1, "d7": 0.002}).select("n_tokens", "rate", "posterior.d3", "posterior.d7", "missed").toPandas()
+    part = [(got["n_tokens"] * got["rate"] * got[d]).sum() / got["n_tokens"].sum() for d in ("d3", "d7")]
+    assert part == pytest.approx([0.1, 0.002], abs=max(1e-3, got["missed"].iat[0]))
+
+
 def test_copies_follow_rates(spark, sf):
     docs_ = spark.read.parquet(f"{sf}/documents.parquet")
     marks = mixing.quality_domains(spark.read.parquet(f"{sf}/labels.parquet"))
     rate = {r["doc_id"]: r["rate"] for r in mixing.mixed(docs_, marks, {"toxic": 0.01}).collect()}
-    n = collections.Counter(r["doc_id"] for r in mixing.resampled(docs_, marks, {"toxic": 0.01}, keep=False).collect())
+    n = collections.Counter(r["doc_id"] for r in mixing.resampled(docs_, marks, {"toxic": 0.01}, size="same").collect())
     assert all(n[i] in (math.floor(x), math.floor(x) + 1) for i, x in rate.items())
 
 

@@ -33,7 +33,7 @@ def test_a_mix_below_the_toxic_ceiling_stays_as_it_is(spark, tmp_path):
 
 def test_a_mix_above_the_toxic_ceiling_shrinks_toxic_texts_alone(spark, tmp_path):
     got = mix(spark, tmp_path, 60)
-    assert sum(got[i] for i in range(60)) < 40 and all(got[i] >= 1 for i in range(60, 600))
+    assert sum(got[i] for i in range(60)) < 40 and all(got[i] == 1 for i in range(60, 600)) and all(got[i] <= 1 for i in range(60))
 
 
 def test_each_statistic_alone_rejects_an_extreme_row(spark):

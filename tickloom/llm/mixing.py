@@ -2,163 +2,183 @@
 
 A classifier learnt from a table of labels gives each text a probability for each domain. Every text then has a rate, how often it is
 to be taken; the expected tokens of a domain are the sum over texts of rate x tokens x probability. Projected-gradient
-least squares moves the rates, from 1 each and never below 0, until those sums meet the targets. An iteration is one pass
+least squares moves the rates, from 1 each and within their bounds, until those sums meet the targets. An iteration is one pass
 over a table of tokens and probabilities that returns one number for each domain; a rate is an expression of the
 steps so far.
 """
 
 from __future__ import annotations
 
+import json
 import math
-from collections.abc import Collection, Mapping
+from collections.abc import Callable, Collection, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import own_columns, quoted, written
 
-#: Labelled texts that the classifier learns from, at most about; words of a domain's list; cells of a figure.
+#: Labelled texts that the classifier learns from, at most; words of a domain's list; cells of a figure.
 FIT_ROWS, WORDS, CELLS = 20_000, 24, 16
-WORD = r"[^\x20\x09-\x0D]+"
+SPACES, MARKS = r"[\x20\x09-\x0D]+", '.,;:!?"()'
 
 
-def with_tokens(df: DataFrame, text: str) -> DataFrame:
-    """df with the number of words (__n) and figures of the text that cells are made of."""
+def among(words: Collection[str]) -> Callable[[Column], Column]:
+    return lambda w: w.isin(*words)
+
+
+def with_figures(df: DataFrame, text: str, listed: Collection[str] = ()) -> DataFrame:
+    """df with __n, the number of words, the figures that cells are made of, and __hits: the words that are in some list.
+
+    The text is cut into words once; all that follows looks at the array.
+    """
     t = F.coalesce(F.col(quoted(text)), F.lit(""))
-    df = df.withColumns({"__n": F.regexp_count(t, F.lit(WORD)).cast("long"), "__signs": F.regexp_count(t, F.lit(r"[#*$%&|<>]")), "__size": F.length(t), "__lines": F.split(t, "\n")})
-    return df.withColumns({"__line": F.size("__lines"), "__kinds": F.size(F.array_distinct("__lines"))}).drop("__lines")
+    df = df.withColumns({"__words": F.filter(F.split(F.lower(t), SPACES), lambda w: w != ""), "__lines": F.split(t, "\n"), "__signs": F.regexp_count(t, F.lit(r"[#*$%&|<>]")), "__size": F.length(t)})
+    hits = F.filter(F.transform("__words", lambda w: F.rtrim(w, F.lit(MARKS))), among(listed)) if listed else F.array().cast("array<string>")
+    return df.select(*(c for c in df.columns if c not in ("__words", "__lines")), F.size("__words").cast("long").alias("__n"), F.size("__lines").alias("__line"), F.size(F.array_distinct("__lines")).alias("__kinds"), hits.alias("__hits"))
 
 
 def cell(x: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(CELLS - 1), F.floor(x))).cast("int")
 
 
-def cells(lists: list[list[str]], text: str) -> list[Column]:
+def cells(lists: list[list[str]]) -> list[Column]:
     """Each figure's cell, 0 to CELLS - 1: length, word length, signs, repeated lines, line length, and words of each list."""
-    t = F.lower(F.coalesce(F.col(quoted(text)), F.lit("")))
     n = F.greatest(F.col("__n"), F.lit(1))
     out = [cell(F.log2(n)), cell(2 * F.col("__size") / n - 4), cell(60 * F.col("__signs") / F.greatest(F.col("__size"), F.lit(1))), cell(16 * (1 - F.col("__kinds") / F.col("__line"))), cell(2 * F.log2(1 + n / F.col("__line")))]
     for words in lists:
         if words:
-            out.append(cell(F.regexp_count(t, F.lit(r"(?<![\p{L}])(?:" + "|".join(words) + r")(?![\p{L}])")) * 300 / F.greatest(n, F.lit(100))))
+            out.append(cell(F.size(F.filter("__hits", among(words))) * 300 / F.greatest(n, F.lit(100))))
     return out
 
 
-def word_lists(marked: DataFrame, domains: list[str]) -> list[list[str]]:
+def word_lists(marked: DataFrame, sizes: Mapping[str, int]) -> dict[str, list[str]]:
     """For each domain, the words whose share of its texts exceeds most clearly their share of the others'."""
-    words = marked.select("domain", F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"))).alias("w")).where("length(w) > 1")
-    counts = words.groupBy("w").agg(F.count("*").alias("all"), *(F.count(F.when(F.col("domain") == d, 1)).alias(f"c{k}") for k, d in enumerate(domains))).where("all >= 8")
-    sizes = dict(marked.groupBy("domain").count().collect())
-    total, out = sum(sizes.values()), []
-    for k, d in enumerate(domains):
-        inside, outside = (F.col(f"c{k}") + 0.5) / (sizes.get(d, 0) + 1), (F.col("all") - F.col(f"c{k}") + 0.5) / (total - sizes.get(d, 0) + 1)
-        score = F.log(inside / outside) * F.sqrt(F.col(f"c{k}"))
-        top = counts.where(score > 12).orderBy(score.desc(), "w").limit(WORDS).select("w").collect()
-        out.append([x["w"] for x in top])
+    words = F.transform(F.split(F.lower(F.coalesce("text", F.lit(""))), SPACES), lambda w: F.rtrim(w, F.lit(MARKS)))
+    counts = marked.select("domain", F.explode(F.array_distinct(words)).alias("w")).where("length(w) > 1").groupBy("domain", "w").agg(F.count("*").alias("own"))
+    known = F.from_json(F.lit(json.dumps(dict(sizes))), "map<string,bigint>")
+    size, total = F.element_at(known, F.col("domain")), sum(sizes.values())
+    every = counts.groupBy("w").agg(F.sum("own").alias("all")).where("all >= 8")
+    score = F.log((F.col("own") + 0.5) / (size + 1) / ((F.col("all") - F.col("own") + 0.5) / (total - size + 1))) * F.sqrt("own")
+    rank = F.row_number().over(Window.partitionBy("domain").orderBy(F.desc("score"), "w"))
+    top = counts.join(every, "w").withColumn("score", score).where("score > 12").withColumn("k", rank).where(F.col("k") <= WORDS).orderBy("domain", "k").select("domain", "w")
+    out: dict[str, list[str]] = {}
+    for d, w in top.collect():  # WORDS for each domain at most
+        out.setdefault(d, []).append(w)
     return out
 
 
+def sampled_labels(marks: DataFrame, rows: int) -> DataFrame:
+    """marks (__id, ...), one row for each id: those of the `rows` least hashes of their id."""
+    total = marks.count()
+    if total <= rows:
+        return marks
+    draw = F.pmod(F.xxhash64("__id", F.lit(13)), F.lit(1 << 40))
+    # the filter leaves a little more than is wanted, so that few rows are sorted
+    return marks.where(draw < math.ceil((1 << 40) * min(1.0, 1.05 * rows / total + 100 / total))).orderBy(draw, "__id").limit(rows)
+
+
 def posteriors(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "domain", rows: int = FIT_ROWS) -> tuple[DataFrame, list[str]]:
-    """df with __n (words of its text) and p0, p1, ...: the probability of each domain, in the order of the returned names.
+    """df with __n (words of its text) and __p: the probability of each domain, in the order of the returned names.
 
-    labels has an id and a domain; nulls don't count, of several labels of an id the least counts. At most about `rows` labelled
-    texts are learnt from, taken by a hash of their id. Without labels there is one domain, `all`.
+    labels has an id and a domain; nulls don't count, of several labels of an id the least counts, and so does the least of several
+    texts. At most `rows` labelled texts are learnt from, those of the least hashes of their ids. Without labels there is one domain, `all`.
     """
     marks = labels.select(F.col(quoted(id_col)).alias("__id"), F.col(quoted(label)).cast("string").alias("domain")).where("__id is not null and domain is not null").groupBy("__id").agg(F.min("domain").alias("domain"))
-    total = marks.count()
-    part = marks.where(F.expr(f"pmod(xxhash64(__id, 13), 1000000) < {math.ceil(1e6 * rows / total)}")) if total > rows else marks
-    texts = df.select(F.col(quoted(id_col)).alias("__id"), F.col(quoted(text)).alias("text"))
-    # about `rows` ids and labels, whatever the input
-    marked = written(texts.join(F.broadcast(part), "__id"), "marked")
-    domains = sorted(x[0] for x in marked.select("domain").distinct().collect()) or ["all"]
-    lists = word_lists(marked, domains)
-    tabled = with_tokens(marked, "text")
-    figures = tabled.select("domain", F.posexplode(F.array(*cells(lists, "text"))).alias("figure", "cell"))
-    counts = {(r["domain"], r["figure"], r["cell"]): r["count"] for r in figures.groupBy("domain", "figure", "cell").count().collect()}
+    texts = df.select(F.col(quoted(id_col)).alias("__id"), F.coalesce(F.col(quoted(text)), F.lit("")).alias("text"))
+    # no more than `rows` ids and labels go to all tasks, whatever the input
+    marked = written(texts.join(F.broadcast(sampled_labels(marks, rows)), "__id").groupBy("__id", "domain").agg(F.min("text").alias("text")), "marked")
     sizes = dict(marked.groupBy("domain").count().collect())
-    all_rows = sum(sizes.values())
-    columns = cells(lists, text)
-    out = with_tokens(df, text).withColumn("__cells", F.array(*columns))
-    own = lambda d, j: [math.log((counts.get((d, j, c), 0) + 0.5) / (sizes.get(d, 0) + 0.5 * CELLS)) for c in range(CELLS)]
-    for k, d in enumerate(domains):
-        score = F.lit(math.log((sizes.get(d, 0) + 1) / (all_rows + len(domains))))
-        for j in range(len(columns)):
-            score = score + F.array(*map(F.lit, own(d, j)))[F.col("__cells")[j]]
-        out = out.withColumn(f"__s{k}", score)
-    most = F.greatest(*(F.col(f"__s{k}") for k in range(len(domains)))) if len(domains) > 1 else F.col("__s0")
-    out = out.withColumn("__most", most).withColumns({f"__e{k}": F.exp(F.col(f"__s{k}") - F.col("__most")) for k in range(len(domains))})
-    whole = sum((F.col(f"__e{k}") for k in range(len(domains))), F.lit(0.0))
-    out = out.withColumns({f"p{k}": F.col(f"__e{k}") / whole for k in range(len(domains))})
-    return out.select(*(F.col(quoted(c)) for c in df.columns), "__n", *(f"p{k}" for k in range(len(domains)))), domains
-
-
-def solved(matrix: list[list[float]], right: list[float]) -> list[float]:
-    """x of matrix x = right, by elimination; the matrix is small and positive."""
-    n, rows = len(right), [[*row, y] for row, y in zip(matrix, right)]
-    for i in range(n):
-        top = max(range(i, n), key=lambda k: abs(rows[k][i]))
-        rows[i], rows[top] = rows[top], rows[i]
-        for k in range(i + 1, n):
-            f = rows[k][i] / rows[i][i]
-            rows[k] = [b - f * a for a, b in zip(rows[i], rows[k])]
-    x = [0.0] * n
-    for i in reversed(range(n)):
-        x[i] = (rows[i][n] - sum(rows[i][k] * x[k] for k in range(i + 1, n))) / rows[i][i]
-    return x
-
-
-def rate(table: DataFrame, domains: list[str], weights: Mapping[str, float], tokens: float | None = None, keep: bool = False, spare: bool = False, ceilings: Collection[str] = (), most: int = 60, close: float = 5e-4) -> Column:
-    """The rate of each row of table (__n, p0, p1, ...), as an expression of p0, p1, ...
+    domains, total = sorted(sizes) or ["all"], sum(sizes.values())
+    by_domain = word_lists(marked, sizes)
+    lists = [by_domain.get(d, []) for d in domains]
+    listed = sorted({w for x in lists for w in x})
+    figures = with_figures(marked, "text", listed).select("domain", F.posexplode(F.array(*cells(lists))).alias("figure", "cell"))
+    counts = {(r["domain"], r["figure"], r["cell"]): r["count"] for r in figures.groupBy("domain", "figure", "cell").count().collect()}
+    columns = cells(lists)
+    # the tables of the classifier are one constant: figure, cell, domain
+    tables = [[[math.log((counts.get((d, j, c), 0) + 0.5) / (sizes.get(d, 0) + 0.5 * CELLS)) for d in domains] for c in range(CELLS)] for j in range(len(columns))]
+    prior = [math.log((sizes.get(d, 0) + 1) / (total + len(domains))) for d in domains]
+    table, start = F.from_json(F.lit(json.dumps(tables)), "array<array<array<double>>>"), F.from_json(F.lit(json.dumps(prior)), "array<double>")
+    out = with_figures(df, text, listed).withColumn("__cells", F.array(*columns))
+    score = F.aggregate(F.sequence(F.lit(0), F.lit(len(columns) - 1)), start, lambda s, j: F.zip_with(s, table[j][F.col("__cells")[j]], lambda a, b: a + b))
+    out = out.withColumn("__s", score).withColumn("__e", F.transform("__s", lambda x: F.exp(x - F.array_max("__s"))))
+    p = F.transform("__e", lambda x: x / F.aggregate("__e", F.lit(0.0), lambda a, b: a + b))
+    return out.select(*(F.col(quoted(c)) for c in df.columns), "__n", p.alias("__p")), domains
+
+
+def dot(p: Column, x: Column) -> Column:
+    return F.aggregate(F.zip_with(p, x, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+
+
+def moved(steps: list[tuple[float, list[float]]], least: Column, most: float) -> Column:
+    """The rate after steps (momentum, move) from 1: each takes p . move off, then goes on by momentum x what the step changed, within bounds."""
+    if not steps:
+        return F.lit(1.0)
+    given = F.from_json(F.lit(json.dumps([{"m": m, "x": x} for m, x in steps])), "array<struct<m:double,x:array<double>>>")
+    inside = lambda r: F.greatest(least, F.least(r, F.lit(most)))
+    # s: the rate, and where the last step led before momentum
+    start = F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("led"))
+    stepped = F.aggregate(given, start, lambda s, g: carried(inside(s["rate"] - dot(F.col("__p"), g["x"])), s["led"], g["m"], inside))
+    return stepped["rate"]
+
+
+def carried(now: Column, before: Column, momentum: Column, inside: Callable[[Column], Column]) -> Column:
+    return F.struct(inside(now + momentum * (now - before)).alias("rate"), now.alias("led"))
+
+
+def rate(table: DataFrame, domains: list[str], weights: Mapping[str, float], tokens: float | None = None, size: str = "same", spare: bool = False, ceilings: Collection[str] = (), most: int = 80, close: float = 2e-4) -> tuple[Column, dict[str, float]]:
+    """The rate of each row of table (__n, __p) as an expression of __p, and by how much each domain misses its target, as a share of all tokens.
 
     weights are the domains' shares of the tokens, scaled down if they sum up to over 1; domains without one share the
-    rest as at present. tokens is how many there are to be, those at hand if None. keep asks for as many as it takes for no domain to shrink.
-    spare keeps the rate at 1 or more where domains that are to shrink are not likelier than the others. The weights of `ceilings` are
+    rest as at present. size says how many tokens there are to be: `same` as at hand (or `tokens`), `up` as many as it takes for
+    no domain to shrink, `down` as many as leave no domain larger, with no rate above 1. spare keeps the rate at 1 or more
+    where domains that are to shrink are not likelier than the others. The weights of `ceilings` are
     upper bounds: such a domain keeps its present share if that is less, and spare then protects from these domains, whichever shrink.
 
-    The objective is the squared distance of the domains' expected tokens from their targets, in the metric of the cross
-    products of the posteriors, in which a gradient step has length 1 whatever the domains' sizes.
+    The objective is the squared distance of the domains' expected tokens from their targets, each in units of its present tokens. In
+    that metric a gradient step of length 1 never overshoots, since no row's probabilities exceed 1 in sum. Steps carry
+    momentum, which restarts when the distance grows. Where bounds keep the targets out of reach, or `most` steps are not enough,
+    the second result says what is missing.
     """
-    k_all = range(len(domains))
-    n, p = F.col("__n").cast("double"), [F.col(f"p{k}") for k in k_all]
-    cross = table.agg(*(F.coalesce(F.sum(n * p[i] * p[j]), F.lit(0.0)).alias(f"m{i}_{j}") for i in k_all for j in k_all), *(F.coalesce(F.sum(n * p[k]), F.lit(0.0)).alias(f"t{k}") for k in k_all)).first()
-    now = [cross[f"t{k}"] for k in k_all]
+    k_all, n = range(len(domains)), F.col("__n").cast("double")
+
+    def sums(r: Column) -> list[float]:
+        got = table.select(F.posexplode(F.transform("__p", lambda x: n * r * x)).alias("k", "t")).groupBy("k").agg(F.sum("t").alias("t"))
+        found = dict(got.collect())  # one number for each domain
+        return [found.get(k) or 0.0 for k in k_all]
+
+    now = sums(F.lit(1.0))
     whole = sum(now)
     if not whole:
-        return F.lit(1.0)
+        return F.lit(1.0), dict.fromkeys(domains, 0.0)
     present = dict(zip(domains, now))
     weights = {d: min(w, present[d] / whole) if d in ceilings and d in present else w for d, w in weights.items()}
     given = {d: w for d, w in weights.items() if d in domains}
     total_w = max(1.0, sum(weights.values()))
     rest = sum(now[k] for k, d in enumerate(domains) if d not in given)
-    share = [given[d] / total_w if d in given else max(0.0, 1 - sum(given.values()) / total_w) * now[k] / rest for k, d in enumerate(domains)]
-    share = [x / sum(share) for x in share]
-    budget = max(now[k] / share[k] for k in k_all if share[k] > 0) if keep else whole if tokens is None else float(tokens)
+    share = [given[d] / total_w if d in given else max(0.0, 1 - sum(given.values()) / total_w) * now[k] / rest if rest else 0.0 for k, d in enumerate(domains)]
+    share = [x / (sum(share) or 1.0) for x in share]
+    fits = [now[k] / share[k] for k in k_all if share[k] > 0] or [whole]
+    budget = {"up": max(fits), "down": min(fits), "same": whole if tokens is None else float(tokens)}[size]
     target = [budget * x for x in share]
-    shrink = sum((p[k] for k, d in enumerate(domains) if (d in ceilings if ceilings else target[k] < now[k])), F.lit(0.0))
-    least = F.when(shrink <= 0.5, 1.0).otherwise(0.0) if spare else F.lit(0.0)
-    square = lambda get: [[get(min(i, j), max(i, j)) + (1e-6 * whole if i == j else 0.0) for j in k_all] for i in k_all]
-    every = square(lambda i, j: cross[f"m{i}_{j}"])
-    steps, seen = [], []
-    at, expr, best = table.select("__n", *(f"p{k}" for k in k_all), F.lit(1.0).alias("rate")), F.col("rate"), math.inf
-    for turn in range(1, most + 1):
-        free = F.when(expr > least, n)
-        got = at.agg(*(F.coalesce(F.sum(n * expr * p[k]), F.lit(0.0)).alias(f"t{k}") for k in k_all), *(F.coalesce(F.sum(free * p[i] * p[j]), F.lit(0.0)).alias(f"m{i}_{j}") for i in k_all for j in range(i, len(domains)))).first()
-        error = [got[f"t{k}"] - target[k] for k in k_all]
-        worst = max(map(abs, error))
-        seen.append(worst)
-        if worst <= close * budget or turn > 8 and min(seen[-4:]) > 0.97 * min(seen[:-4]):
+    shrinks = [k for k, d in enumerate(domains) if (d in ceilings if ceilings else target[k] < now[k])]
+    shrink = sum((F.col("__p")[k] for k in shrinks), F.lit(0.0))
+    least, bound = F.when(shrink <= 0.5, 1.0).otherwise(0.0) if spare else F.lit(0.0), 1.0 if size == "down" else math.inf
+    steps: list[tuple[float, list[float]]] = []
+    speed, last, best, done = 1.0, math.inf, math.inf, 0
+    for turn in range(most):
+        miss = [a - b for a, b in zip(sums(moved(steps, least, bound)) if steps else now, target)]
+        reached = max(map(abs, miss))
+        if reached < 0.999 * best:
+            best, done = reached, turn
+        if reached <= close * budget or turn - done > 6:
             break  # met, or as near as the bounds let it come
-        # rows at their bound can't take a share of the step; should that overshoot, the next step counts them again
-        m = square(lambda i, j, got=got: got[f"m{i}_{j}"]) if worst < best else every
-        best = min(best, worst)
-        steps.append(solved(m, error))
-        expr = F.greatest(least, expr - sum((p[k] * steps[-1][k] for k in k_all), F.lit(0.0)))
-        if turn % 6 == 0:  # numbers only: the texts stay where they are
-            at, expr = written(at.withColumn("rate", expr), "rates"), F.col("rate")
-    if not steps:
-        return F.lit(1.0)
-    moves = F.array(*(F.array(*map(F.lit, x)) for x in steps))
-    return F.aggregate(moves, F.lit(1.0), lambda r, x: F.greatest(least, r - sum((p[k] * x[k] for k in k_all), F.lit(0.0))))
+        distance = sum(e * e / c for e, c in zip(miss, now) if c)
+        before, speed = (1.0, 1.0) if distance > last else (speed, (1 + math.sqrt(1 + 4 * speed * speed)) / 2)
+        last = distance
+        steps.append(((before - 1) / speed, [e / c if c else 0.0 for e, c in zip(miss, now)]))
+    return moved(steps, least, bound), {d: e / whole for d, e in zip(domains, miss)}
 
 
 def quality_domains(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -166,29 +186,32 @@ def quality_domains(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return labels.select(id_col, F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "high").alias("domain"))
 
 
-def mixed(df: DataFrame, labels: DataFrame, weights: Mapping[str, float], id_col: str = "doc_id", text: str = "text", tokens: float | None = None, keep: bool = False) -> DataFrame:
-    """One row per row of df: its id, n_tokens, rate and posterior, a struct with a probability for each domain.
+def mixed(df: DataFrame, labels: DataFrame, weights: Mapping[str, float], id_col: str = "doc_id", text: str = "text", tokens: float | None = None, size: str = "same") -> DataFrame:
+    """One row per row of df: its id, n_tokens, rate, posterior (a struct with a probability for each domain), and missed.
 
     Tokens are words. Null and empty texts have none: they have the rate of the domains that they resemble and change no total. Rows
-    that repeat count as often, and come back; an id may be null. With no labels, all texts are of one domain and the rate is that
-    which meets the number of tokens. An empty table gives an empty result. Other columns play no part.
+    that repeat, or tie in all figures, have equal rates and come back as often; an id may be null. With no labels, all texts are of
+    one domain and the rate is that which meets the number of tokens. missed is the largest distance of a domain from its target, as a share
+    of all tokens, the same in each row. An empty table gives an empty result. Other columns play no part.
     """
     table, domains = posteriors(df.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text)).alias("text")), labels.withColumnRenamed(id_col, "id"), "id")
     table = written(table.drop("text"), "posteriors")
-    out = table.withColumn("rate", rate(table, domains, weights, tokens, keep))
-    return out.select(F.col("id").alias(id_col), F.col("__n").alias("n_tokens"), "rate", F.struct(*(F.col(f"p{k}").alias(d) for k, d in enumerate(domains))).alias("posterior"))
+    found, miss = rate(table, domains, weights, tokens, size)
+    return table.select(F.col("id").alias(id_col), F.col("__n").alias("n_tokens"), found.alias("rate"), F.struct(*(F.col("__p")[k].alias(d) for k, d in enumerate(domains))).alias("posterior"), F.lit(max(map(abs, miss.values()))).alias("missed"))
 
 
-def resampled(df: DataFrame, labels: DataFrame, weights: Mapping[str, float], id_col: str = "doc_id", text: str = "text", tokens: float | None = None, keep: bool = True, spare: bool = False, ceilings: Collection[str] = ()) -> DataFrame:
+def resampled(df: DataFrame, labels: DataFrame, weights: Mapping[str, float], id_col: str = "doc_id", text: str = "text", tokens: float | None = None, size: str = "up", spare: bool = False, ceilings: Collection[str] = ()) -> DataFrame:
     """df's rows, each as often as its rate says: the whole part, and once more with the chance of the rest.
 
-    The chance is a hash of id and text, so the same table gives the same rows. With keep, no domain shrinks and so
-    hardly any row goes; with spare, none that is likely of a domain that doesn't. ceilings are as for rate().
+    The chance is a hash of id and text, so the same table gives the same rows, and rows that repeat fare alike. With size `up`, no domain
+    shrinks and so hardly any row goes; with `down`, no row comes twice; with spare, none goes that is likely of a domain that doesn't shrink.
+    ceilings are as for rate(). Null ids, null and empty texts are drawn like any others; without labels, or of an empty table, all rows
+    stay. All columns are kept.
     """
     cols = own_columns(df)
     table, domains = posteriors(df, labels, id_col, text)
     table = written(table, "posteriors")  # once, texts and all, or each use of a probability would work it out anew
-    out = table.withColumn("rate", rate(table, domains, weights, tokens, keep, spare, ceilings))
+    out = table.withColumn("__rate", rate(table.select("__n", "__p"), domains, weights, tokens, size, spare, ceilings)[0])
     chance = F.expr(f"pmod(xxhash64({quoted(id_col)}, {quoted(text)}, 17), 1000000)") / 1e6
-    times = (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("int")
+    times = (F.floor("__rate") + (chance < F.col("__rate") - F.floor("__rate")).cast("int")).cast("int")
     return out.withColumn("__times", times).where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*(F.col(quoted(c)) for c in cols))

@@ -37,7 +37,7 @@ def op4_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     domains = mixing.quality_domains(table(spark, sf_dir, "labels"))
     out = mixing.mixed(table(spark, sf_dir, "documents"), domains, MIX)
-    return out.select("doc_id", "n_tokens", "rate", "posterior.*")
+    return out.select("doc_id", "n_tokens", "rate", "posterior.*", "missed")
 
 
 def op6_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
