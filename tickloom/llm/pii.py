@@ -3,20 +3,25 @@
 Each value that its format's own rule validates (Luhn, mod 97, calendar, number plan, octets) is replaced by the image
 of a keyed permutation of all valid values of that format. Equal values get equal pseudonyms in every document, different
 ones stay different, and the holder of the key can invert the map. Nothing is shuffled: a pseudonym depends on the
-value and the key alone.
+value and the key alone. The key is the session's spark.tickloom.pii.key; a session without one draws one at random, so
+that pseudonyms are linked within that application alone and nobody can turn them back.
 """
 
 from __future__ import annotations
 
 import calendar
 import datetime
+import functools
 import hashlib
+import ipaddress
 import math
 import re
+import secrets
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,7 +29,17 @@ from tickloom.llm.common import bound_batches, own_columns, quoted
 
 ROUNDS = 10
 KINDS = ("email", "phone", "card", "iban", "ssn", "ip", "date", "secret")
-DEFAULT_KEY = "tickloom-demo-key"
+KEY = "spark.tickloom.pii.key"
+
+
+@functools.cache
+def _drawn(app_id: str) -> str:
+    return secrets.token_hex(32)
+
+
+def session_key(spark: SparkSession) -> str:
+    """The session's key, or one drawn at random, once for each application."""
+    return spark.conf.get(KEY, None) or _drawn(spark.sparkContext.applicationId)
 
 
 class Feistel:
@@ -65,6 +80,35 @@ LEAP_YEARS = [y for y in range(1900, 2100) if calendar.isleap(y)]
 LATE_DAYS = [(m, d) for m in range(1, 13) for d in range(13, calendar.monthrange(2001, m)[1] + 1)]
 #: First octets of addresses.
 OCTETS = range(1, 256)
+#: How long an IBAN is by country.
+IBAN_SIZES = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29,
+    "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20,
+    "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25,
+    "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+#: Groups of digits that card numbers are written in.
+CARD_GROUPS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3), (4, 4, 4, 1), (4, 4, 5), (8, 8)}
+#: Names of the months. A name that several lists have belongs to the first.
+MONTHS = {
+    "en": "january february march april may june july august september october november december".split(),
+    "abbreviated": "jan feb mar apr may jun jul aug sep oct nov dec".split(),
+    "de": "januar februar märz april mai juni juli august september oktober november dezember".split(),
+    "fr": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split(),
+    "es": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split(),
+}
+MONTH_OF = {name: (lang, m + 1) for lang, names in reversed(MONTHS.items()) for m, name in enumerate(names)}
+MONTH_DAYS = {lang: {padded: [(m, d) for name, (x, m) in sorted(MONTH_OF.items()) if x == lang for d in range(1, 10 if padded else calendar.monthrange(2001, m)[1] + 1)] for padded in (False, True)} for lang in MONTHS}
+
+
+@functools.cache
+def alphabet(c: str) -> str:
+    """The characters among which one of a free-form value stays: its ASCII class, else the letters of its kind in its row of 64; "" if it is no letter or digit."""
+    for x in (LOWER, UPPER, DIGIT):
+        if c in x:
+            return x
+    kind = unicodedata.category(c)
+    return "".join(x for x in map(chr, range(ord(c) & ~63, (ord(c) | 63) + 1)) if unicodedata.category(x) == kind) if kind[0] == "L" else ""
 
 
 def luhn(digits: str) -> int:
@@ -109,7 +153,7 @@ class Pseudonyms:
         return "".join(reversed(out))
 
     def classed(self, tweak: str, text: str, alnum: str = LOWER) -> str:
-        return self.mixed(tweak, text, [alnum if c in alnum else LOWER if c in LOWER else UPPER if c in UPPER else DIGIT if c in DIGIT else "" for c in text])
+        return self.mixed(tweak, text, [alnum if c in alnum else alphabet(c) for c in text])
 
     @staticmethod
     def _laid(pattern: str, digits: str) -> str:
@@ -140,20 +184,30 @@ class Pseudonyms:
             return None
         return self._laid(s, d[:2] + f"{self._go('phone' + d[:2], 10 ** (len(d) - 2), int(d[2:])):0{len(d) - 2}d}")
 
-    def card(self, s: str) -> str | None:
-        d = re.sub(r"\D", "", s)
-        if not 13 <= len(d) <= 19 or d[0] not in "23456" or luhn(d) % 10:
-            return None
-        body = d[0] + f"{self._go('card' + d[0], 10 ** (len(d) - 2), int(d[1:-1])):0{len(d) - 2}d}"
-        return self._laid(s, body + str(-luhn(body + "0") % 10))
-
-    def iban(self, s: str) -> str | None:
+    def card(self, s: str) -> tuple[int, str] | None:
+        """The longest valid number that s begins with: all of s, or groups of digits as cards have them."""
+        groups = list(re.finditer(r"\d+", s))
+        for k in range(len(groups), 0, -1):
+            d = "".join(g[0] for g in groups[:k])
+            if len(d) < 13:
+                break
+            if len(d) > 19 or d[0] not in "23456" or luhn(d) % 10 or k < len(groups) and k > 1 and tuple(len(g[0]) for g in groups[:k]) not in CARD_GROUPS:
+                continue
+            body = d[0] + f"{self._go('card' + d[0], 10 ** (len(d) - 2), int(d[1:-1])):0{len(d) - 2}d}"
+            return groups[k - 1].end(), self._laid(s[: groups[k - 1].end()], body + str(-luhn(body + "0") % 10))
+        return None
+
+    def iban(self, s: str) -> tuple[int, str] | None:
+        """The number that s begins with: as long as its country's are, or all of s."""
         flat = s.replace(" ", "")
-        if not 15 <= len(flat) <= 34 or mod97(flat) != 1:
-            return None
-        body = self.classed("iban" + flat[:2], flat[4:])
-        it = iter(f"{flat[:2]}{98 - mod97(flat[:2] + '00' + body):02d}{body}")
-        return "".join(c if c == " " else next(it) for c in s)
+        places = [i for i, c in enumerate(s) if c != " "]
+        for size in (IBAN_SIZES.get(flat[:2].upper(), 0), len(flat)):
+            if not 15 <= size <= min(34, len(flat)) or s[places[size - 1] + 1 : places[size - 1] + 2] not in ("", " ") or mod97(flat[:size]) != 1:
+                continue
+            body = self.classed("iban" + flat[:2].upper(), flat[4:size])
+            it, end = iter(f"{flat[:2]}{98 - mod97(flat[:2] + '00' + body):02d}{body}"), places[size - 1] + 1
+            return end, "".join(c if c == " " else next(it) for c in s[:end])
+        return None
 
     def ssn(self, s: str) -> str | None:
         area, group, serial = map(int, s.split("-"))
@@ -164,6 +218,24 @@ class Pseudonyms:
         area, group = divmod(x, 99)
         return f"{area + 1 + (area >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
 
+    def ip6(self, s: str) -> str | None:
+        """Each digit stays a digit in its place; an address with capitals keeps one at least."""
+        try:
+            ipaddress.IPv6Address(s)
+        except ValueError:
+            return None
+        if not re.search(r"\d", s) or len(re.findall("[0-9A-Fa-f]+", s)) < 3:
+            return None
+        upper = bool(re.search("[A-F]", s))
+        if upper and re.search("[a-f]", s):
+            return self.ip6(s.lower())
+        out = s
+        while out == s or upper and not re.search("[A-F]", out) or not re.search(r"\d", out):
+            out = self.mixed("ip6", out, ["" if c == ":" else HEX.upper() if upper else HEX for c in out])
+            if out == s:
+                break
+        return out
+
     def ip(self, s: str) -> str | None:
         a, *rest = parts = [int(x) for x in s.split(".")]
         if a not in OCTETS or max(parts) > 255 or any(len(x) > 1 and x[0] == "0" for x in s.split(".")):
@@ -193,6 +265,27 @@ class Pseudonyms:
             y, (m, d) = y + 1900, LATE_DAYS[x]
         return f"{m:02d}{sep}{d:02d}{sep}{y:04d}"
 
+    def written(self, s: str) -> str | None:
+        """A date with the name of its month: day and year are written as before, the month in the same language and case."""
+        name, numbers = re.search(r"[^\W\d_]{3,}(?<!th)", re.sub(r"\d(?:st|nd|rd|th)\b", "0..", s))[0], re.findall(r"\d+", s)
+        lang, m = MONTH_OF[name.lower()]
+        day, y = numbers[0], int(numbers[1])
+        padded, d = day[0] == "0", int(day)
+        if not (1900 <= y <= 2099 and 1 <= d <= calendar.monthrange(y, m)[1]):
+            return None
+        days = MONTH_DAYS[lang][padded]
+        if (m, d) == (2, 29):
+            y = LEAP_YEARS[self._go("written-leap", len(LEAP_YEARS), LEAP_YEARS.index(y))]
+        else:
+            y, x = divmod(self._go(f"written-{lang}-{padded}", 200 * len(days), (y - 1900) * len(days) + days.index((m, d))), len(days))
+            y, (m, d) = y + 1900, days[x]
+        new = MONTHS[lang][m - 1]
+        new = new.upper() if name.isupper() else new.capitalize() if name[0].isupper() else new
+        out = s.replace(name, "\0", 1)
+        ordinal = "th" if 10 <= d % 100 <= 20 else {1: "st", 2: "nd", 3: "rd"}.get(d % 10, "th")
+        out = re.sub(rf"\b{numbers[1]}\b", f"{y:04d}", re.sub(rf"\b{day}(st|nd|rd|th)?(?!\d)", lambda g: f"{d:02d}" if padded and not g[1] else f"{d}{ordinal if g[1] else ''}", out, count=1))
+        return out.replace("\0", new)
+
     def secret(self, s: str) -> str:
         if s.startswith("AKIA") and len(s) == 20:
             return "AKIA" + self.mixed("akia", s[4:], [UPPER + DIGIT] * 16)
@@ -201,44 +294,54 @@ class Pseudonyms:
         return self.classed("secret", s)
 
 
-#: One pass over a text; the first alternative that matches at a place is tried.
+NAMES = "|".join(sorted(MONTH_OF, key=len, reverse=True))
+#: One pass over a text; the first alternative that matches at a place is tried, and what its format's rule rejects is searched again from the next character on.
 PATTERN = re.compile(
-    r"(?P<email>(?<![\w.+%-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-]))"
+    r"(?<!\w)(?:"
+    r"(?P<email>(?u:(?<![\w.+%\u0300-\u036f-])\w[\w.%+\u0300-\u036f-]*@(?:[\w\u0300-\u036f-]+\.)+[^\W\d_]{2,}(?![\w-])))"
     r"|(?P<secret>\bAKIA[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{20,}\b|\bsk-[A-Za-z0-9]{20,}\b)"
-    r"|(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?)(?P<value>[^\s\"',;]{6,})"
-    r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
+    r"|(?=[PSTApsta])(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?)(?P<value>[^\s\"',;]{6,})"
+    r"|(?P<iban>(?<!\w)[A-Za-z]{2}\d{2}(?: ?[A-Za-z0-9]{4}){2,7}(?: ?[A-Za-z0-9]{1,3})?(?!\w))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<date>(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4}|\d{2}-\d{2}-\d{4})(?![\w/-]))"
+    r"|(?P<date>(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4}|\d{2}-\d{2}-\d{4})(?:(?=T\d\d:)|(?![\w/-])))"
+    r"|(?P<written>(?<![\w./-])(?iu:\d{1,2}(?:st|nd|rd|th)?\.?\s{1,3}(?:(?:of|de)\s)?(?:" + NAMES + r")\.?(?:\sde|,)?\s{1,3}\d{4}|(?=\w{3,10}\.?\s{1,3}\d)(?:" + NAMES + r")\.?\s{1,3}\d{1,2}(?:st|nd|rd|th)?,?\s{1,3}\d{4})(?![\w-]))"
     r"|(?P<ip>(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d))"
+    r"|(?P<ip6>(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:|::)[0-9A-Fa-f:]{3,38}(?<!:)(?![\w.:]))"
     r"|(?P<card>(?<![\w+-])\d(?:[ -]?\d){12,18}(?![\w-]))"
-    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w(+-])\(\d{3}\) ?\d{3}[ .-]\d{4}(?![\w-])|(?<![\w.+-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))",
+    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w(+-])\(\d{3}\) ?\d{3}[ .-]\d{4}(?![\w-])|(?<![\w.+-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])))",
     re.ASCII,
 )
 #: Whatever PATTERN matches holds one of these; keys may be of letters alone.
 HINT = re.compile(r"[0-9@]|(?:AKIA|gh[pousr]_|sk-)[A-Za-z0-9]{16}|(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,3}[=:]")
+#: What a group of PATTERN counts as, where it isn't named so.
+COUNTED = {"value": "secret", "written": "date", "ip6": "ip"}
 
 
 def pseudonymize_text(text: str, names: Pseudonyms, counts: dict[str, int]) -> str:
-    def put(m: re.Match) -> str:
+    out, done, at = [], 0, 0
+    while m := PATTERN.search(text, at):
         kind = m.lastgroup
-        s = m[kind]
-        kind = "secret" if kind == "value" else kind
-        new = getattr(names, kind)(s)
+        new = names.secret(m[kind]) if kind == "value" else getattr(names, kind)(m[kind])
         if new is None:
-            return m[0]
-        counts[kind] += 1
-        return m[0][: m.start(m.lastgroup) - m.start()] + new + m[0][m.end(m.lastgroup) - m.start() :]
-
-    return PATTERN.sub(put, text)
+            at = m.start() + 1
+            continue
+        size, new = new if isinstance(new, tuple) else (len(m[kind]), new)
+        begin, at = m.start(kind), m.start(kind) + size
+        out += [text[done:begin], new]
+        done = at
+        counts[COUNTED.get(kind, kind)] += 1
+    return "".join([*out, text[done:]]) if done else text
 
 
-def pseudonymize(df: DataFrame, text: str = "text", key: str = DEFAULT_KEY, sign: int = 1, counts: bool = True) -> DataFrame:
+def pseudonymize(df: DataFrame, text: str = "text", key: str | None = None, sign: int = 1, counts: bool = True) -> DataFrame:
     """df with its text pseudonymised; with counts, also n_pii and a column n_<kind> for each kind.
 
     A null text stays null with zero counts, an empty one stays empty. Other columns, repeated rows and their number are
-    left as they are; columns named like the counts are replaced. sign -1 turns pseudonyms back.
+    left as they are; columns named like the counts are replaced. sign -1 turns pseudonyms back. Without a key, that of the session
+    counts.
     """
     bound_batches(df.sparkSession)
+    key = key or session_key(df.sparkSession)
     schema = T.StructType([T.StructField("text", T.StringType()), *(T.StructField(k, T.LongType()) for k in KINDS)])
 
     @F.pandas_udf(schema)
