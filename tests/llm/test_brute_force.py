@@ -273,7 +273,47 @@ def test_outliers_of_a_group(spark):
     rows = [(i, " ".join(f"w{(i * 31 + k * k) % 997}x{k}" for k in range(60 + i % 40)), "en", "a") for i in range(100)] + [(1000 + i, bad, "en", "a") for i in range(30)] + [(5000, good, "xx", None)]
     got = by_id(outliers.outliers(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")))
     assert not any(got[1000 + i]["kept"] for i in range(30)) and all(got[i]["kept"] for i in range(100))
-    assert got[5000]["kept"] and got[5000]["distance"] is None
+    assert got[5000]["kept"]  # alone in its language and source: it widens the estimate that it leans on
+
+
+def plain_mcd(x, starts=300, steps=40):
+    """The least log determinant, by concentration steps from many random handfuls."""
+    rng, h, best = np.random.default_rng(1), math.ceil(outliers.ALPHA * len(x)), math.inf
+    scale = outliers.ALPHA / outliers.chi2_cdf(outliers.chi2_quantile(outliers.ALPHA, 4), 6)
+    for _ in range(starts):
+        own = x[rng.choice(len(x), 8)]
+        m, s = own.mean(0), np.cov(own.T, bias=True) + np.diag(np.square(outliers.FLOORS))
+        for _ in range(steps):
+            near = x[np.argsort(np.einsum("ni,ij,nj->n", x - m, np.linalg.inv(s), x - m), kind="stable")[:h]]
+            m, s = near.mean(0), scale * np.cov(near.T, bias=True) + np.diag(np.square(outliers.FLOORS))
+        best = min(best, np.linalg.slogdet(s)[1])
+    return best
+
+
+def test_determinants_are_as_small_as_a_plain_search_finds(spark):
+    rng, groups = np.random.default_rng(6), {}
+    for g, (n, bad) in enumerate([(120, 0.2), (80, 0.1), (300, 0.24), (40, 0.0)]):
+        x = rng.normal(0, 1, (n, 4)) @ rng.normal(0, 0.6, (4, 4))
+        x[: int(bad * n)] += rng.normal(4, 0.2, 4)
+        groups[f"=g{g}"] = x
+    rows = spark.createDataFrame([("=en", g, *map(float, r)) for g, x in groups.items() for r in x], "__lang string, __source string, x0 double, x1 double, x2 double, x3 double")
+    got = {r["__source"]: r["logdet"] for r in outliers.least_determinants(outliers.counted(rows)).collect() if r["__source"] != outliers.ALL}
+    assert got.keys() == groups.keys()
+    for g, x in groups.items():
+        assert got[g] <= plain_mcd(x) + 0.15
+
+
+def test_a_hot_group_and_many_small_ones_get_their_own_estimates(spark):
+    found = spark.createDataFrame([("=en", f"={i}", float(i)) for i in range(50)], "__lang string, __source string, m0 double")
+    rows = spark.createDataFrame([("=en", f"={i % 50 if i % 3 else 7}") for i in range(3000)] + [("=xx", "null")], "__lang string, __source string")
+    sizes = rows.groupBy(*outliers.KEYS).agg(F.count("*").alias("rows"))
+    for hot in (2, 20, 10**6):
+        outliers.HOT, before = hot, outliers.HOT
+        try:
+            got = outliers.looked_up(rows, found, sizes).collect()
+        finally:
+            outliers.HOT = before
+        assert len(got) == 3001 and all(r["m0"] == (None if r["__lang"] == "=xx" else float(r["__source"][1:])) for r in got)
 
 
 def test_chi_square():
@@ -353,7 +393,7 @@ def test_op9(spark, sf):
 def test_topk_over_blocks_with_many_ties(spark, monkeypatch):
     from tickloom.llm import topk
 
-    for k, x in (("BLOCK", 16), ("PART", 5), ("CHUNK", 30), ("TOGETHER", 1), ("BINS", 7)):
+    for k, x in (("BLOCK", 16), ("PART", 5), ("CHUNK", 30), ("BINS", 7)):
         monkeypatch.setattr(topk, k, x)
     rng = np.random.default_rng(4)
     v = rng.integers(-2, 3, (400, 3)).astype(float)
@@ -365,6 +405,21 @@ def test_topk_over_blocks_with_many_ties(spark, monkeypatch):
     assert got == want
 
 
+def test_topk_of_large_components(spark):
+    """Scores of any size that a long holds are exact; those beyond count as the largest one."""
+    from tickloom.llm import topk
+
+    v = {0: [1.0, 2.0], 1: [1e9, -3.0], 2: [-1e9, 5.0], 3: [0.5, 0.5], 4: [1e17, 1.0], 5: [-1e17, -1.0], 10: [1e17, 1e17], 6: [2e9, 7.0], 7: [1.0, 2.0]}
+    df = spark.createDataFrame([(i, x) for i, x in v.items()], "vec_id long, embedding array<double>")
+    got = {tuple(r) for r in topk.top_k(df, df.where("vec_id % 10 = 0"), k=6).collect()}
+    whole = {i: [max(-(1 << 63), min((1 << 63) - 1, math.floor(64 * a))) for a in x] for i, x in v.items()}
+    want = set()
+    for q in (0, 10):
+        s = {i: max(-topk.MOST, min(topk.MOST, sum(a * b for a, b in zip(whole[q], x)))) for i, x in whole.items() if i != q}
+        want |= {(q, n + 1, i, s[i]) for n, i in enumerate(sorted(s, key=lambda i: (-s[i], i))[:6])}
+    assert got == want
+
+
 def test_licences(spark):
     mit = dict((n, t) for n, t in licenses.KNOWN if n == "MIT" and len(t) > 500)["MIT"]
     isc = next(t for n, t in licenses.KNOWN if n == "ISC")

@@ -1,10 +1,12 @@
 """Quality rules: robust multivariate outliers, with DataFrame operations alone.
 
-For each language and source, the minimum covariance determinant is sought by concentration steps: from a robust start,
-centre and covariance are taken over the rows that lie nearest by the last estimate, again and again. A last estimate weighs all
-rows that are not far. A row is rejected if its Mahalanobis distance is beyond the cutoff. An estimate is one row for
-each group: sums that Spark combines before shuffling. Which rows are nearest is read off a histogram of distances, so no
-group is ever gathered, however large.
+For each language and source, the minimum covariance determinant is sought from several starts: centre and covariance are taken over
+the share of rows that lie nearest by the last estimate, again and again, until determinants settle; the estimate of the least
+determinant counts. A last estimate weighs all rows that are not far. A row is rejected if its Mahalanobis distance is beyond the cutoff.
+
+Rows are counted once, into cells of nearly equal statistics that keep the rows' exact sums; all steps look at cells, of which
+a group has a bounded number however many rows it holds. Estimates lean on those of the language, and these on those of all rows, as
+if PRIOR rows more were drawn from there, so that small groups need no rule of their own.
 """
 
 from __future__ import annotations
@@ -17,8 +19,12 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import quoted, written
 
 P = 4
-#: Share of a group's rows that an estimate rests on; concentration steps; rows below which a group has no verdict.
-ALPHA, STEPS, LEAST_ROWS = 0.75, 5, 50
+#: Share of a group's rows that an estimate rests on; random starts beside that from the medians, and rows that each is made of; most concentration steps.
+ALPHA, STARTS, START_ROWS, STEPS = 0.75, 4, 8, 30
+#: Rows of the wider group that each estimate counts in.
+PRIOR = 10
+#: A group that has more than 1/HOT of all rows is looked up by broadcast: there are fewer than HOT of them.
+HOT = 1000
 #: A statistic's least standard deviation: differences well below it mean nothing, even where all rows are alike. Where they are, each
 #: statistic can reject by itself: words a tenth longer or shorter, half a sign in 100 letters, or 8 % of repeated lines or words.
 FLOORS = (0.02, 0.1, 0.5, 0.5)
@@ -26,6 +32,9 @@ FLOORS = (0.02, 0.1, 0.5, 0.5)
 CUTOFF = 0.999
 WORD, SPACES = r"[^\x20\x09-\x0D]", r"[\x20\x09-\x0D]+"
 KEYS = ["__lang", "__source"]
+#: Stands for all sources or languages; those of rows begin with "=".
+ALL = "*"
+X, LOWER = [f"x{i}" for i in range(P)], [(i, j) for i in range(P) for j in range(i + 1)]
 
 
 def chi2_cdf(x: float, even: int) -> float:
@@ -60,75 +69,140 @@ def vector() -> list[Column]:
     return [F.log(F.greatest(F.col("word_chars"), F.lit(1)) / F.greatest(F.col("n_words"), F.lit(1))), share("n_symbols", "word_chars"), share("n_dup_lines", "n_lines"), share("n_repeat_words", "n_words")]
 
 
-def nearest(df: DataFrame, keys: list[str], value: Column, share: float, fine: float) -> DataFrame:
-    """(keys, limit): the least edge of bins of width 1/fine below which a share of each group's values lies."""
-    bins = df.groupBy(*keys, F.floor(value * fine).alias("__bin")).agg(F.count("*").alias("__n"))
-    run = Window.partitionBy(*keys).orderBy("__bin")
-    total = F.sum("__n").over(Window.partitionBy(*keys))
-    return bins.withColumns({"__run": F.sum("__n").over(run), "__total": total}).where(F.col("__run") >= F.ceil(F.col("__total") * share)).groupBy(*keys).agg(((F.min("__bin") + 1) / fine).alias("limit"))
+def counted(used: DataFrame) -> DataFrame:
+    """(keys, cell, n, x0.., q00..) of each group, language and all rows: means and sums of products over the rows of each cell, and total: the group's rows."""
+    cell = F.array(*(F.round(F.col(x) / (f / 2)).cast("int") for x, f in zip(X, FLOORS)))
+    first = used.withColumn("cell", cell).groupBy(*KEYS, "cell").agg(F.count("*").alias("n"), *(F.sum(x).alias(f"t{i}") for i, x in enumerate(X)), *(F.sum(F.col(X[i]) * F.col(X[j])).alias(f"q{i}{j}") for i, j in LOWER))
+    sums = [F.sum(c).alias(c) for c in first.columns if c not in (*KEYS, "cell")]
+    wider = first.groupBy(KEYS[0], "cell").agg(*sums).withColumn(KEYS[1], F.lit(ALL))
+    widest = wider.groupBy("cell").agg(*sums).withColumns(dict.fromkeys(KEYS, F.lit(ALL)))
+    every = written(first.unionByName(wider).unionByName(widest), "counted")
+    totals = every.groupBy(*KEYS).agg(F.sum("n").alias("total"))
+    means = [(F.col(f"t{i}") / F.col("n")).alias(x) for i, x in enumerate(X)]
+    return written(every.join(totals, KEYS).select(*KEYS, "cell", "n", "total", *means, *(f"q{i}{j}" for i, j in LOWER)), "cells")
 
 
-def spread_of(d2: Column) -> Column:
-    """A scale on which bins of distances are fine near and coarse far."""
-    return F.log2(1 + d2)
+def with_factor(df: DataFrame, cov: dict[tuple[int, int], Column]) -> DataFrame:
+    """df with l00..: the lower Cholesky factor of a covariance, of which the least standard deviations are FLOORS, and logdet."""
+    for i, j in LOWER:
+        rest = cov[i, j] - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
+        df = df.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(FLOORS[i] ** 2 / 100))) if i == j else rest / F.col(f"l{j}{j}"))
+    return df.withColumn("logdet", sum((2 * F.log(f"l{i}{i}") for i in range(P)), F.lit(0.0)))
 
 
-def estimate(rows: DataFrame, scale: float) -> DataFrame:
-    """(keys, n, m0.., l00..): mean and lower Cholesky factor of the scaled covariance of x0.. in each group."""
-    x = [F.col(f"x{i}") for i in range(P)]
-    sums = rows.groupBy(*KEYS).agg(F.count("*").alias("n"), *(F.avg(x[i]).alias(f"m{i}") for i in range(P)), *(F.avg(x[i] * x[j]).alias(f"s{i}{j}") for i in range(P) for j in range(i + 1)))
-    cov = {(i, j): (F.col(f"s{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) * scale for i in range(P) for j in range(i + 1)}
-    for i in range(P):
-        cov[i, i] = F.greatest(cov[i, i], F.lit(0.0)) + FLOORS[i] ** 2
-    for i in range(P):
-        for j in range(i + 1):
-            rest = cov[i, j] - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
-            sums = sums.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(FLOORS[i] ** 2 / 100))) if i == j else rest / F.col(f"l{j}{j}"))
-    return sums.select(*KEYS, "n", *(f"m{i}" for i in range(P)), *(f"l{i}{j}" for i in range(P) for j in range(i + 1)))
+def estimate(cells: DataFrame, keys: list[str], weight: Column, scale: float) -> DataFrame:
+    """(keys, n, m0.., l00.., logdet): mean and factor of the scaled covariance of each group's rows; weight is the part of a cell's rows that counts."""
+    sums = cells.groupBy(*keys).agg(F.sum(weight * F.col("n")).alias("n"), *(F.sum(weight * F.col("n") * F.col(x)).alias(f"m{i}") for i, x in enumerate(X)), *(F.sum(weight * F.col(f"q{i}{j}")).alias(f"s{i}{j}") for i, j in LOWER))
+    sums = sums.withColumns({f"m{i}": F.col(f"m{i}") / F.col("n") for i in range(P)})
+    cov = {(i, j): (F.col(f"s{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) * scale for i, j in LOWER}
+    cov |= {(i, i): F.greatest(cov[i, i], F.lit(0.0)) + FLOORS[i] ** 2 for i in range(P)}
+    return with_factor(sums, cov).select(*keys, "n", *(f"m{i}" for i in range(P)), *(f"l{i}{j}" for i, j in LOWER), "logdet")
 
 
-def with_distance(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """rows and the square of their Mahalanobis distance, d2; null where their group has no estimate."""
-    own = rows.columns
-    out = rows.drop("d2").join(estimates, KEYS, "left")
+def distance(df: DataFrame) -> DataFrame:
+    """df, which has x0.., m0.. and l00.., with the square of the Mahalanobis distance, d2."""
+    own = df.columns
     for i in range(P):
-        out = out.withColumn(f"y{i}", (F.col(f"x{i}") - F.col(f"m{i}") - sum((F.col(f"l{i}{k}") * F.col(f"y{k}") for k in range(i)), F.lit(0.0))) / F.col(f"l{i}{i}"))
-    return out.withColumn("d2", sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(P)), F.lit(0.0))).select(*(c for c in own if c != "d2"), "d2")
+        df = df.withColumn(f"y{i}", (F.col(f"x{i}") - F.col(f"m{i}") - sum((F.col(f"l{i}{k}") * F.col(f"y{k}") for k in range(i)), F.lit(0.0))) / F.col(f"l{i}{i}"))
+    return df.withColumn("d2", sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(P)), F.lit(0.0))).select(*own, "d2")
+
+
+def starts(cells: DataFrame) -> DataFrame:
+    """(keys, start, m0.., l00..): the medians with median deviations, and STARTS random handfuls of each group's rows."""
+    medians = cells.groupBy(*KEYS).agg(*(F.percentile(x, F.lit(0.5), F.col("n")).alias(f"m{i}") for i, x in enumerate(X)))
+    spreads = cells.join(medians, KEYS).groupBy(*KEYS, *(f"m{i}" for i in range(P))).agg(*(F.percentile(F.abs(F.col(x) - F.col(f"m{i}")), F.lit(0.5), F.col("n")).alias(f"d{i}") for i, x in enumerate(X)))
+    zero = F.lit(0.0)
+    robust = spreads.select(*KEYS, F.lit(0).alias("start"), *(f"m{i}" for i in range(P)), *((F.greatest(1.4826 * F.col(f"d{i}"), F.lit(FLOORS[i])) if i == j else zero).alias(f"l{i}{j}") for i, j in LOWER))
+    # a row is drawn by the least of exponential variates, which are as often least as a cell has rows
+    draw = lambda s, k: -F.log((F.pmod(F.xxhash64("cell", F.lit(s), F.lit(k)), F.lit(1 << 30)) + 1) / (1 << 30)) / F.col("n")
+    drawn = cells.groupBy(*KEYS).agg(*(F.array(*(F.min_by(F.array(*X), draw(s, k)) for k in range(START_ROWS))).alias(f"h{s}") for s in range(STARTS)))
+    drawn = drawn.select(*KEYS, F.posexplode(F.array(*(f"h{s}" for s in range(STARTS)))).alias("start", "h"))
+    mean = lambda get: F.aggregate("h", F.lit(0.0), lambda a, r: a + get(r)) / START_ROWS
+    drawn = drawn.select(*KEYS, (F.col("start") + 1).alias("start"), *(mean(component(i)).alias(f"m{i}") for i in range(P)), *(mean(product(i, j)).alias(f"s{i}{j}") for i, j in LOWER))
+    cov = {(i, j): F.col(f"s{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}") + (FLOORS[i] ** 2 if i == j else 0.0) for i, j in LOWER}
+    return robust.unionByName(with_factor(drawn, cov).select(*robust.columns))
+
+
+def component(i: int):
+    return lambda r: r[i]
+
+
+def product(i: int, j: int):
+    return lambda r: r[i] * r[j]
+
+
+def concentrated(cells: DataFrame, now: DataFrame, scale: float) -> DataFrame:
+    """The estimates over the ALPHA of each group's rows that are nearest by those of now; of the last cell, as many rows as are wanted."""
+    keys = [*KEYS, "start"]
+    placed = distance(cells.join(now.select(*keys, *(f"m{i}" for i in range(P)), *(f"l{i}{j}" for i, j in LOWER)), KEYS))
+    before = F.sum("n").over(Window.partitionBy(*keys).orderBy("d2", "cell")) - F.col("n")
+    weight = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.ceil(F.col("total") * ALPHA) - before) / F.col("n")))
+    return estimate(placed.withColumn("__w", weight).where("__w > 0"), keys, F.col("__w"), scale)
 
 
-def outliers(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", cutoff: float = CUTOFF, steps: int = STEPS) -> DataFrame:
-    """One row per row of df: its id, the statistics, base_failed, kept and distance (null where there is no verdict).
+def least_determinants(cells: DataFrame, starts_kept: int = 2, steps: int = STEPS) -> DataFrame:
+    """Of each group the estimate of the least determinant (keys, m0.., l00.., logdet), after concentration from all starts.
+
+    All starts take three steps, the best two go on until no determinant changes.
+    """
+    scale = ALPHA / chi2_cdf(chi2_quantile(ALPHA, P), P + 2)
+    now, last = written(starts(cells), "estimates"), None
+    best = lambda df, k: df.withColumn("__k", F.row_number().over(Window.partitionBy(*KEYS).orderBy("logdet", "start"))).where(F.col("__k") <= k).drop("__k")
+    for step in range(steps):
+        new = concentrated(cells, now, scale)
+        now, last = written(best(new, starts_kept) if step == 2 else new, "estimates"), now
+        if step > 2:
+            moved = now.join(last.select(*KEYS, "start", F.col("logdet").alias("__last")), [*KEYS, "start"]).agg(F.max(F.abs(F.col("logdet") - F.col("__last")))).first()[0]
+            if moved is None or moved < 1e-6:
+                break
+    return best(now, 1).drop("start")
+
+
+def leaning(own: DataFrame, wider: DataFrame, on: list[str]) -> DataFrame:
+    """own's estimates with PRIOR rows of wider's counted in: mean and covariance of both together."""
+    renamed = wider.select(*on, *(F.col(c).alias(f"w_{c}") for c in wider.columns if c not in (*KEYS, "n", "logdet")))
+    both = own.join(renamed, on) if on else own.withColumn("__one", F.lit(1)).join(renamed.withColumn("__one", F.lit(1)), "__one").drop("__one")
+    part = F.col("n") / (F.col("n") + PRIOR)
+    product = lambda pre, i, j: sum((F.col(f"{pre}l{i}{k}") * F.col(f"{pre}l{j}{k}") for k in range(j + 1)), F.lit(0.0))
+    cov = {(i, j): part * product("", i, j) + (1 - part) * product("w_", i, j) + part * (1 - part) * (F.col(f"m{i}") - F.col(f"w_m{i}")) * (F.col(f"m{j}") - F.col(f"w_m{j}")) for i, j in LOWER}
+    both = both.withColumns({f"c{i}{j}": c for (i, j), c in cov.items()}).withColumns({f"m{i}": part * F.col(f"m{i}") + (1 - part) * F.col(f"w_m{i}") for i in range(P)})
+    return with_factor(both.drop(*(f"l{i}{j}" for i, j in LOWER)), {k: F.col(f"c{k[0]}{k[1]}") for k in cov}).select(*own.columns)
+
+
+def estimates(cells: DataFrame) -> DataFrame:
+    """(keys, n, m0.., l00..) of each group: the least determinant's estimate, weighed anew over the rows that are not far, and leaning on the language's."""
+    raw = least_determinants(cells)
+    near = chi2_quantile(0.975, P)
+    fine = written(estimate(distance(cells.join(raw.drop("n"), KEYS)).where(F.col("d2") <= near), KEYS, F.lit(1.0), 0.975 / chi2_cdf(near, P + 2)), "weighed")
+    widest, wider = fine.where(F.col(KEYS[0]) == ALL), fine.where((F.col(KEYS[0]) != ALL) & (F.col(KEYS[1]) == ALL))
+    wider = written(leaning(wider, widest, []), "languages")
+    return leaning(fine.where(F.col(KEYS[1]) != ALL), wider, KEYS[:1])
+
+
+def looked_up(rows: DataFrame, found: DataFrame, sizes: DataFrame) -> DataFrame:
+    """rows with their group's estimate. Groups of many rows are few, and go to all tasks; the others are joined, none of them large."""
+    most = (sizes.agg(F.sum("rows")).first()[0] or 0) / HOT
+    hot = sizes.where(F.col("rows") > most).select(*KEYS)
+    hot_found = F.broadcast(found.join(hot, KEYS).withColumn("__hot", F.lit(True)))  # fewer than HOT rows
+    first = rows.join(hot_found, KEYS, "left")
+    rest = first.where("__hot is null").select(*rows.columns).join(found.join(hot, KEYS, "left_anti"), KEYS, "left")
+    return first.where("__hot").drop("__hot").unionByName(rest)
+
+
+def outliers(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", cutoff: float = CUTOFF) -> DataFrame:
+    """One row per row of df: its id, the statistics, base_failed, kept and distance.
 
     A row fails the base rules with under 50 words, or if over half of its words are in windows of three that repeat. Of the
-    others, all are kept whose distance is within the cutoff. Estimates rest on rows that pass the base rules; sources of
-    fewer than LEAST_ROWS such rows share an estimate in their language, and one of fewer rows still rejects none. Null languages and sources are groups of their own. Null and empty
-    texts have no words and fail. Repeated rows and ids each count and come back; an empty table gives an empty result.
+    others, all are kept whose distance is within the cutoff. Estimates rest on rows that pass the base rules; distance is null where a
+    language and source has no such row. A group of few rows has
+    hardly an estimate of its own: it widens that of its language enough to hold its own centre. Null languages and sources are groups of
+    their own. Null and empty texts have no words and fail. Repeated rows and ids each count and come back, ties fare alike; an empty table
+    gives an empty result. Other columns play no part.
     """
     stats = with_statistics(df.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text)).alias("text"), *(F.coalesce(F.concat(F.lit("="), F.col(quoted(c)).cast("string")), F.lit("null")).alias(k) for c, k in zip((lang, source), KEYS)))).drop("text")
-    rows = stats.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).withColumns({f"x{i}": x for i, x in enumerate(vector())})
+    rows = stats.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).withColumns(dict(zip(X, vector())))
     rows = written(rows, "statistics")
-    # sources too small for an estimate share one in their language
-    sizes = rows.groupBy(*KEYS).agg(F.sum(F.when(~F.col("base_failed"), 1).otherwise(0)).alias("__size"))
-    rows = written(rows.join(sizes, KEYS).withColumn("__source", F.when(F.col("__size") < LEAST_ROWS, "small").otherwise(F.col("__source"))).drop("__size"), "pooled")
-    used = rows.where("not base_failed").select(*KEYS, *(f"x{i}" for i in range(P)))
-
-    # the start: distances from medians, in median deviations
-    long = used.select(*KEYS, F.posexplode(F.array(*(f"x{i}" for i in range(P)))).alias("dim", "x"))
-    medians = written(nearest(long, [*KEYS, "dim"], F.col("x"), 0.5, 1000), "medians").withColumnRenamed("limit", "median")
-    spreads = nearest(long.join(medians, [*KEYS, "dim"]), [*KEYS, "dim"], F.abs(F.col("x") - F.col("median")), 0.5, 1000).join(medians, [*KEYS, "dim"])
-    at = lambda c, i: F.max(F.when(F.col("dim") == i, F.col(c)))
-    floor = lambda i, j: F.greatest(1.4826 * at("limit", i), F.lit(FLOORS[i])) if i == j else F.lit(0.0)
-    now = spreads.groupBy(*KEYS).agg(F.lit(0).cast("long").alias("n"), *(at("median", i).alias(f"m{i}") for i in range(P)), *(floor(i, j).alias(f"l{i}{j}") for i in range(P) for j in range(i + 1)))
-
-    scale = ALPHA / chi2_cdf(chi2_quantile(ALPHA, P), P + 2)
-    for _ in range(steps):
-        now = written(now, "estimates")
-        placed = with_distance(used, now)
-        limits = written(nearest(placed, KEYS, spread_of(F.col("d2")), ALPHA, 256), "limits")  # its size is known then, and rows need not move to it if it is small
-        now = estimate(placed.join(limits, KEYS).where(spread_of(F.col("d2")) < F.col("limit")), scale)
-    now = written(now, "estimates")
-    near = chi2_quantile(0.975, P)
-    now = estimate(with_distance(used, now).where(F.col("d2") <= near), 0.975 / chi2_cdf(near, P + 2))
-    counts = used.groupBy(*KEYS).agg(F.count("*").alias("rows")).where(F.col("rows") >= LEAST_ROWS).select(*KEYS)
-    final = with_distance(rows, written(now.join(counts, KEYS), "estimates"))
+    found = written(estimates(counted(rows.where("not base_failed"))), "final")
+    sizes = written(rows.groupBy(*KEYS).agg(F.count("*").alias("rows")), "sizes")
+    final = distance(looked_up(rows, found.drop("n", "logdet"), sizes))
     return final.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.coalesce(F.col("d2") <= chi2_quantile(cutoff, P), F.lit(True))).alias("kept"), F.sqrt("d2").alias("distance"))
