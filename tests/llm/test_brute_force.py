@@ -429,6 +429,41 @@ def test_licences(spark):
     assert got[5]["notices"] == ["MIT"] and got[6]["notices"] == [] and got[6]["digest"] is None
 
 
+def test_longer_licences_by_digest(spark):
+    """Where the machine has the published texts: whole, in capitals, with another copyright line, and cut after the terms."""
+    import pathlib
+
+    folder = pathlib.Path("/usr/share/common-licenses")
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    texts = {n: (folder / n).read_text() for n in names if (folder / n).exists()}
+    if not texts:
+        pytest.skip("no published texts here")
+    rows = [(f"{n}{k}", names[n], f(t)) for n, t in texts.items() for k, f in enumerate((str, str.upper, lambda t: "Copyright (c) 2031 Some Body\n" + re.sub(r"\blicense\b", "licence", t).replace(",", " ;")))]
+    rows += [(n, names[n], texts[n][: texts[n].index("END OF TERMS")]) for n in ("Apache-2.0", "GPL-2", "GPL-3") if n in texts]
+    rows += [(f"{n}x", None, t.replace("terms", "words")) for n, t in texts.items() if "terms" in t]
+    got = {r["doc_id"]: r["license"] for r in licenses.licensed(spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id string, text string")).collect()}
+    assert got == {i: n for i, n, _ in rows}
+
+
+def test_notices_over_several_lines_and_doubled_spellings(spark):
+    words = next(t for n, t in licenses.KNOWN if n == "Apache-2.0" and len(t) > 200).split(" ")
+    wrapped = "Code.\n\n" + "\n".join(" ".join(words[i : i + 9]) for i in range(0, len(words), 9)) + "\n \nMore."
+    got = {r["doc_id"]: r for r in licenses.licensed(spark.createDataFrame([(1, wrapped), (2, "licence licence licences"), (3, "license license licenses"), (4, "the sub\nlicense"), (5, "the sublicense")], "doc_id long, text string")).collect()}
+    assert got[1]["notices"] == ["Apache-2.0"] and got[1]["license"] is None
+    assert got[2]["digest"] == got[3]["digest"] and got[4]["digest"] == got[5]["digest"]
+
+
+def plain_canonical(text):
+    t = re.sub(r"(?im)^[^a-zA-Z\n]*(?:copyright\b[^\n]*(?:\d{4}|\(c\)|©)|\(c\) ?\d{4}|©|all rights reserved)[^\n]*$", " ", text).lower()
+    words = [licenses.SPELLINGS.get(w, w) for w in re.findall(r"[^\W_]+", t)]
+    return re.sub(r"\b(copyright owner|per cent|sub license)\b", lambda m: licenses.SPELLINGS[m[0]], " ".join(words))
+
+
+def test_op10_digests(spark, sf, docs):
+    for i, r in by_id(registry.op10_license_digests(spark, sf)).items():
+        assert r["digest"] == hashlib.sha256(plain_canonical(docs[i]).encode()).hexdigest()
+
+
 def test_more_licences(spark):
     more = spark.createDataFrame([("Do as you like.",)], "text string").select(licenses.digest(F.col("text")).alias("digest")).selectExpr("digest", "'OWN-1' as license")
     got = licenses.licensed(spark.createDataFrame([(1, "do, as you LIKE"), (2, "no")], "doc_id long, text string"), more=more)

@@ -1,12 +1,15 @@
 """License scans by canonical digest lookup, with DataFrame operations alone.
 
 A text is brought to a canonical form: lower case, equivalent spellings made one, copyright lines, punctuation and runs of
-white space gone. The digest of the whole canonical text is looked up among those of known licence texts, and so is that
-of each line that is not a copyright line, for notices. The known digests are a fixed table of a few rows.
+white space gone. Its digest is joined with those of known licence texts: a fixed table, of texts given here and of digests of the
+longer ones. Each line and each paragraph that is not a copyright line is looked up in the same way, for notices; the text is
+brought to its form once for all three.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,43 +112,100 @@ KNOWN = (
 )
 
 
-def canonical(text: Column) -> Column:
-    """A text's canonical form; null stays null. Copyright lines go before anything else."""
-    out = F.lower(F.regexp_replace(text, r"(?im)^[^\p{L}\n]*(?:copyright\b[^\n]*(?:\d{4}|\(c\)|©)|\(c\) ?\d{4}|©|all rights reserved)[^\n]*$", " "))
-    out = F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
+#: SHA-256 of the canonical forms of longer texts as published: whole, up to the end of their terms, and without that line.
+DIGESTS = {
+    "8318fc18753641674a0b35f73f00e865e8cceb1ed8b6eb85f62d4a5d5146a5f1": "Apache-2.0",
+    "6530dac82be99e5bbcc128a6caf5bfdd0451a21fe23ac3df15ed85a1c550c859": "Apache-2.0",
+    "2b4a3f34572f63637f58db72bdacad38516a1e1e6788b08931d0a0d5c0be33dd": "Apache-2.0",
+    "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702": "Artistic-1.0",
+    "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f": "CC0-1.0",
+    "5379e6f33e826ba185b23fd11a414555c2161fda481478babd1e73a3ae098a71": "GFDL-1.2-only",
+    "93d6108daecdddc5f284cf8f2512fb0d72f6e9ee12381feb9704ba194b00c3e6": "GFDL-1.3-only",
+    "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224": "GPL-1.0-only",
+    "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc": "GPL-1.0-only",
+    "89f75ffda938e788be38679f9f83e317c2a03398fccf03ee60505d44d1bf9f70": "GPL-1.0-only",
+    "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821": "GPL-2.0-only",
+    "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34": "GPL-2.0-only",
+    "6d332dc4c3c5293a73c6c9da402f9bbc970b3bb1eb472f577e00580573469808": "GPL-2.0-only",
+    "a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68": "GPL-3.0-only",
+    "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636": "GPL-3.0-only",
+    "092a7f3b82e6c22949b46388bca99e725b6e756f1c2b1e3f575447fbd44b6191": "GPL-3.0-only",
+    "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908": "LGPL-2.0-only",
+    "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260": "LGPL-2.0-only",
+    "430627da7218a92ab4a6d75d5140cdb70ee750be7a53f913299b37e0d1b0eea2": "LGPL-2.0-only",
+    "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891": "LGPL-2.1-only",
+    "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4": "LGPL-2.1-only",
+    "bf2f0c6bf1c47b3b1e3cbedeefecddd1e7db21d1919858d45c2f918efaf426df": "LGPL-2.1-only",
+    "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be": "LGPL-3.0-only",
+    "26ba73e836ecb04fe87d5eca80ca27cff1afa2d7683455be1517bd23b8d27986": "MPL-1.1",
+    "9eab7902f21bef0326dee4ed0cae1402c781cbf1f8e3dbeed6fbe176d641bb13": "MPL-2.0",
+}
+
+COPYRIGHT = r"(?im)^[^\p{L}\n]*(?:copyright\b[^\n]*(?:\d{4}|\(c\)|©)|\(c\) ?\d{4}|©|all rights reserved)[^\n]*$"
+PHRASES = {a: b for a, b in SPELLINGS.items() if " " in a}
+
+
+def folded(text: Column) -> Column:
+    """A text in lower case, of letters, digits and line ends, each apart by two spaces, copyright lines gone, single words spelled alike."""
+    out = F.lower(F.regexp_replace(text, COPYRIGHT, " "))
+    out = F.replace(F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", "  "), F.lit("\n"), F.lit("  \n  "))
     padded = F.concat(F.lit(" "), out, F.lit(" "))
-    hit = r"(?<= )(?:" + "|".join(sorted(SPELLINGS, key=len, reverse=True)) + r")(?= )"
+    # most texts hold none of the spellings
+    hit = r"(?<= )(?:" + "|".join(sorted(SPELLINGS.keys() - PHRASES.keys(), key=len, reverse=True)) + r")(?= )"
     respelled = padded
     for a, b in SPELLINGS.items():
-        respelled = F.replace(respelled, F.lit(f" {a} "), F.lit(f" {b} "))
-    # most texts hold none of the spellings
-    return F.trim(F.when(padded.rlike(hit), respelled).otherwise(padded))
+        if a not in PHRASES:
+            respelled = F.replace(respelled, F.lit(f" {a} "), F.lit(f" {b} "))
+    return F.when(padded.rlike(hit), respelled).otherwise(padded)
+
+
+def joined(fold: Column) -> Column:
+    """A folded text, or a part of one, as words with one space between, phrases spelled alike."""
+    out = F.trim(F.regexp_replace(fold, r"[ \n]+", " "))
+    padded = F.concat(F.lit(" "), out, F.lit(" "))
+    for a, b in PHRASES.items():
+        out = F.when(F.contains(padded, F.lit(f" {a} ")), F.trim(F.regexp_replace(padded, f"(?<= ){a}(?= )", b))).otherwise(out)
+        padded = F.concat(F.lit(" "), out, F.lit(" "))
+    return out
+
+
+def canonical(text: Column) -> Column:
+    """A text's canonical form; null stays null. Copyright lines go before anything else."""
+    return joined(folded(text))
 
 
 def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
-    """(digest, license): one row for each digest."""
-    return spark.createDataFrame(list(known), "license string, text string").select(digest(F.col("text")).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN, digests: Mapping[str, str] = DIGESTS) -> DataFrame:
+    """(digest, license, size): one row for each digest; size, the length of the canonical text, is null where only the digest is known."""
+    values = ", ".join("({}, {})".format(*("'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" for x in row)) for row in known) or "('', '')"
+    texts = spark.sql(f"SELECT * FROM VALUES {values} AS t(license, text)").select(canonical(F.col("text")).alias("text"), "license")
+    own = texts.select(F.sha2("text", 256).alias("digest"), "license", F.length("text").alias("size"))
+    if digests:
+        own = own.unionByName(spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{d}', '{n}')" for d, n in digests.items()) + " AS t(digest, license)").withColumn("size", F.lit(None).cast("int")))
+    return own.where(F.col("digest") != F.sha2(F.lit(""), 256)).groupBy("digest").agg(F.min("license").alias("license"), F.min("size").alias("size"))
 
 
-def licensed(df: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN, more: DataFrame | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of df: its id, digest, license (of the whole text) and notices (licences of its lines, sorted).
+def licensed(df: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN, more: DataFrame | None = None, id_col: str = "doc_id", text: str = "text", digests: Mapping[str, str] = DIGESTS) -> DataFrame:
+    """One row per row of df: its id, digest, license (of the whole text) and notices (licences of its lines and paragraphs, sorted).
 
-    known is a list that the caller wrote down: it goes to all tasks. A table `more` (digest, license; digests are distinct) of any
-    size is joined by digest; known wins. license is null and notices empty without a match; a null text has a
+    known and digests are lists that the caller wrote down: they go to all tasks. A table `more` (digest, license) of any
+    size is joined by digest; known wins, and of several licences of a digest the least. license is null and notices empty without a match; a null text has a
     null digest, an empty one the digest of nothing, which is never a licence. Rows that repeat, and their ids, come back as
     often. Other columns play no part.
     """
-    own = known_digests(df.sparkSession, known).where(F.col("digest") != F.sha2(F.lit(""), 256))
-    listed = own.collect()  # no more than the list has
+    own = known_digests(df.sparkSession, known, digests)
+    listed = own.where("size is not null").collect()  # no more than the list has
     look = F.create_map(*(F.lit(x) for r in listed for x in (r["digest"], r["license"]))) if listed else F.lit(None).cast("map<string,string>")
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[\p{L}\p{N}]"))
-    found = F.filter(F.transform(lines, lambda x: F.try_element_at(look, digest(x))), lambda x: x.isNotNull())
-    texts = df.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text)).alias("text")).select("id", digest(F.col("text")).alias("digest"), F.coalesce(F.sort_array(F.array_distinct(found)), F.array().cast("array<string>")).alias("notices"))
-    out = texts.join(F.broadcast(own), "digest", "left")
+    sizes = sorted({r["size"] for r in listed}) or [-1]
+    # only what is as long as a known notice can be one
+    named = lambda part: F.filter(F.transform(F.filter(F.transform(F.split("fold", part), joined), lambda x: F.length(x).isin(*sizes)), lambda x: F.try_element_at(look, F.sha2(x, 256))), lambda x: x.isNotNull())
+    paragraphs = F.when(F.contains("fold", F.lit("\n")), named(r"\n *\n")).otherwise(F.array().cast("array<string>"))
+    notices = F.sort_array(F.array_distinct(F.concat(named("\n"), paragraphs)))
+    texts = df.select(F.col(quoted(id_col)).alias("id"), folded(F.col(quoted(text))).alias("fold")).select("id", F.sha2(joined(F.col("fold")), 256).alias("digest"), F.coalesce(notices, F.array().cast("array<string>")).alias("notices"))
+    out = texts.join(F.broadcast(own.drop("size")), "digest", "left")
     if more is not None:
-        out = out.join(more.select("digest", F.col("license").alias("__more")), "digest", "left").withColumn("license", F.coalesce("license", "__more"))
+        out = out.join(more.groupBy("digest").agg(F.min("license").alias("__more")), "digest", "left").withColumn("license", F.coalesce("license", "__more"))
     return out.select(F.col("id").alias(id_col), "digest", "license", "notices")
