@@ -213,6 +213,21 @@ def test_repeats_within_a_text_and_at_its_ends(spark):
     assert [tuple(s) for s in got[1]["spans"]] == [(0, 40), (41, 81)]
 
 
+def test_first_hashes_that_collide_are_told_apart():
+    known, second = np.array([5, 5, 9], np.uint64), np.array([1, 3, 2], np.uint32)
+    got = recompression.both_among(np.array([5, 5, 5, 9, 9, 7], np.uint64), np.array([1, 2, 3, 2, 1, 1], np.uint32), known, second)
+    assert got.tolist() == [True, False, True, True, False, False]
+    h1, h2, n = recompression.distinct(np.array([9, 5, 5, 9], np.uint64), np.array([2, 3, 1, 2], np.uint32))
+    assert (h1.tolist(), h2.tolist(), n.tolist()) == ([5, 5, 9], [1, 3, 2], [1, 1, 2])
+
+
+def test_rows_that_repeat_are_dealt_to_all_chunks(spark, monkeypatch):
+    monkeypatch.setattr(recompression, "CHUNK", 1 << 12)
+    text = " ".join(f"w{i}" for i in range(50))
+    got = recompression.repeated_words(spark.createDataFrame([(1, text)] * 400 + [(2, text[:-4])], "doc_id long, text string")).toPandas()
+    assert len(got) == 401 and (got["n_words"] == got["n_removed"]).all() and sorted(set(got["n_words"])) == [49, 50]
+
+
 def test_rates_meet_targets(spark, sf):
     marks = mixing.quality_domains(spark.read.parquet(f"{sf}/labels.parquet"))
     got = mixing.mixed(spark.read.parquet(f"{sf}/documents.parquet"), marks, {"high": 0.8, "low": 0.15, "toxic": 0.05}).select("n_tokens", "rate", "posterior.*").toPandas()

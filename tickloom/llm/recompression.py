@@ -7,7 +7,7 @@ same one without a shared dictionary. Three Spark rounds follow over chunks of d
 
 1. names of the last round are counted over all texts; a chunk learns which of its own stand anywhere else;
 2. a window can only repeat if each name that it alone determines does; the windows for which this holds are counted by
-   96 bits of their word sequence, which tells real repeats from windows whose parts only occur apart;
+   95 bits of their word sequence, which tells real repeats from windows whose parts only occur apart;
 3. words that repeated windows cover go.
 
 What is shuffled between chunks and the buckets of hashes is packed arrays, one row for each chunk and bucket. A hot passage
@@ -112,6 +112,25 @@ def blobs(h: np.ndarray, bits: int, *more: np.ndarray) -> Iterator[tuple]:
             yield i, h[a:b].tobytes(), *(x[a:b].tobytes() for x in more)
 
 
+def distinct(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs, sorted, and how often each occurs."""
+    order = np.lexsort((h2, h1))
+    h1, h2 = h1[order], h2[order]
+    first = np.flatnonzero(np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]) if len(h1) else np.zeros(0, np.int64)
+    return h1[first], h2[first], np.diff(np.r_[first, len(h1)])
+
+
+def both_among(h1: np.ndarray, h2: np.ndarray, known: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Which pairs are among the known ones."""
+    known, second, _ = distinct(known, second)
+    begin, end = np.searchsorted(known, h1, "left"), np.searchsorted(known, h1, "right")
+    out = np.zeros(len(h1), bool)
+    for k in range(int((end - begin).max(initial=0))):  # one turn, but for first hashes that collide
+        at = np.minimum(begin + k, max(len(known) - 1, 0))
+        out |= (begin + k < end) & (second[at] == h2)
+    return out
+
+
 def repeated_words(df: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 35, rounds: int = ROUNDS) -> DataFrame:
     """One row per row of df: its id, n_words, n_removed, kept (the words left, joined by a space) and spans.
 
@@ -124,10 +143,12 @@ def repeated_words(df: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     docs = df.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text)).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks, bits = math.ceil(max(size, 1) / CHUNK), max(0, math.ceil(math.log2(max(1, size / BUCKET))))
-    dealt = docs.select(F.expr(f"cast(pmod(xxhash64(id, text), {chunks}) as int)").alias("chunk"), "id", "text")
+    # rows that repeat are spread by their place, which matters to none of them
+    dealt = docs.select(F.expr(f"cast(pmod(xxhash64(id, text, monotonically_increasing_id() % 4099), {chunks}) as int)").alias("chunk"), "id", "text")
     parts = "chunk int, bucket int, once binary, more binary"
     part_type = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("once", pa.binary()), ("more", pa.binary())])
     answer_type = pa.schema([("chunk", pa.int32()), ("found", pa.binary())])
+    pair_type = pa.schema([*answer_type, ("second", pa.binary())])
     out_type = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))])
 
     def rows(items: list[tuple], schema: pa.Schema) -> pa.Table:
@@ -168,10 +189,9 @@ def repeated_words(df: DataFrame, id_col: str = "doc_id", text: str = "text", wi
         a, b = np.maximum(hi[alone] - window, words.starts[owner[alone]]), lo[alone] + 1
         ruled = np.bincount(a, minlength=len(words.names) + 1) - np.bincount(b, minlength=len(words.names) + 1)
         open_ = np.cumsum(ruled)[at] == 0
-        h1, first, count = np.unique(h1[open_], return_index=True, return_counts=True)
-        h2 = h2[open_][first]
-        # the count of the chunk's own copies takes the lowest bit of the second hash
-        return rows([(chunk["chunk"][0].as_py(), *x) for x in blobs(h1, bits, h2 & np.uint32(0xFFFFFFFE) | (count > 1).astype(np.uint32))], part_type)
+        h1, h2, count = distinct(h1[open_], h2[open_] >> np.uint32(1))
+        # whether the chunk has several takes the lowest bit of the second hash
+        return rows([(chunk["chunk"][0].as_py(), *x) for x in blobs(h1, bits, h2 << np.uint32(1) | (count > 1).astype(np.uint32))], part_type)
 
     def verified(bucket: pa.Table) -> pa.Table:
         own = [np.frombuffer(x, np.uint64) for x in bucket["once"].to_pylist()]
@@ -185,14 +205,15 @@ def repeated_words(df: DataFrame, id_col: str = "doc_id", text: str = "text", wi
         flags = np.zeros(len(s), bool)
         flags[order] = twin
         cut = np.cumsum([0, *map(len, own)]).tolist()
-        return rows([(k, h[f].tobytes()) for k, h, f in zip(bucket["chunk"].to_pylist(), own, (flags[a:b] for a, b in zip(cut, cut[1:]))) if f.any()], answer_type)
+        return rows([(k, h[f].tobytes(), u[f].tobytes()) for k, h, u, f in zip(bucket["chunk"].to_pylist(), own, (second[a:b] >> np.uint32(1) for a, b in zip(cut, cut[1:])), (flags[a:b] for a, b in zip(cut, cut[1:]))) if f.any()], pair_type)
 
     def cut(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(chunk):
             return out_schema.empty_table()
         words = Words(chunk["text"])
-        at, h1, _ = words.windows(window)
-        at = at[among(h1, heard(answers))]
+        at, h1, h2 = words.windows(window)
+        known, second = (np.concatenate([np.zeros(0, t), *(np.frombuffer(x, t) for x in answers[c].to_pylist())]) for c, t in (("found", np.uint64), ("second", np.uint32)))
+        at = at[both_among(h1, h2 >> np.uint32(1), known, second)]
         edge = np.bincount(at, minlength=len(words.names) + 1) - np.bincount(at + window, minlength=len(words.names) + 1)
         gone = np.cumsum(edge)[:-1] > 0
         kept_n = np.bincount(words.owner[~gone], minlength=len(chunk))
@@ -209,6 +230,6 @@ def repeated_words(df: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     out_schema = out_type.set(0, pa.field("id", pa.string())) if kind.typeName() == "string" else out_type
     learnt = dealt.groupBy("chunk").applyInArrow(name, parts).groupBy("bucket").applyInArrow(named, "chunk int, found binary")
     asked = dealt.groupBy("chunk").cogroup(learnt.groupBy("chunk")).applyInArrow(candidates, parts)
-    told = asked.groupBy("bucket").applyInArrow(verified, "chunk int, found binary")
+    told = asked.groupBy("bucket").applyInArrow(verified, "chunk int, found binary, second binary")
     done = dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(cut, f"id {kind.simpleString()}, n_words long, n_removed long, kept string, spans array<struct<begin:long,end:long>>")
     return done.withColumnRenamed("id", id_col)
