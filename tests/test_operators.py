@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.operators import asof, bars, entries, ledger, learning, pairs, universe, walkforward
-from tickloom.sources import tables
+from tickloom.sources import runs, tables
 from tickloom.streaming import kalman, regimes, ticks
 
 T0 = dt.datetime(2025, 1, 1)
@@ -39,13 +39,13 @@ def test_history_skips_bad_lines(spark, tmp_path):
     from pyspark.sql import types as T
 
     schema = T.StructType([T.StructField("pair", T.StringType()), T.StructField("ts", T.TimestampNTZType())])
-    got = tables.read_trades(spark, str(p), schema, F.lit("2025-01-01").cast("timestamp_ntz")).collect()
+    got = runs.read_trades(spark, str(p), schema, F.lit("2025-01-01").cast("timestamp_ntz")).collect()
     assert [r["pair"] for r in got] == ["A-B"]
 
 
 def test_sinks_round_trip(spark, tmp_path):
     df = frame(spark, [("r", 0, 1.0), ("r", 1, 2.0)], "run_id string, window_id int, x double")
-    tables.write_run(df, str(tmp_path / "run"))
+    runs.write_run(df, str(tmp_path / "run"))
     assert spark.read.parquet(str(tmp_path / "run")).where("window_id = 1").first()["x"] == 2.0
 
 
@@ -237,3 +237,37 @@ def test_regimes_change_one_step_at_a_time():
     assert "RED" in got[400:470]
     steps = {(a, b) for a, b in zip(got, got[1:]) if a != b}
     assert ("RED", "GREEN") not in steps
+
+
+def test_turns_are_graded(spark):
+    """A positive run that turns after three bars, and a negative one that turns at once."""
+    z = [1.0, 2.1, 2.3, 2.4, 2.3, 2.1, 0.5, -2.2, -2.5, -2.0]
+    d = spark.createDataFrame([("p", i, x) for i, x in enumerate(z)], "pair string, ts int, z double")
+    got = {r["ts"]: r for r in entries.inflection(d, 2.0).collect()}
+    assert [got[i]["bars_since"] for i in range(10)] == [-1, 0, 1, 2, 3, 4, -1, 0, 1, -1]
+    assert got[4]["peak"] and got[5]["peak"] and not got[3]["peak"] and not any(got[i]["valley"] for i in range(10))
+    assert got[5]["confidence"] == pytest.approx(0.4 * 1.0 + 0.4 * (0.2 / 2.3) / 0.1 + 0.2) and got[3]["confidence"] == 0
+
+
+def test_trades_in_and_out(spark):
+    z = [0.0, 2.0, 2.5, 0.1, 3.0, 0.2, 0.0, -2.0]
+    s = [1.0, 4.0, 5.0, 1.0, -2.0, -1.0, 0.0, 9.0]
+    d = spark.createDataFrame([("p", i, a, b) for i, (a, b) in enumerate(zip(z, s))] + [("q", 0, None, 1.0)], "pair string, ts int, z double, spread double")
+    got = {r["pair"]: (r["n_trades"], r["expectancy"]) for r in entries.in_and_out(d, 1.5, 0.5).collect()}
+    assert got == {"p": (2, pytest.approx(((4 - 1) / 4 + (-1 + 2) / 2) / 2))}
+
+
+def test_numbers_over_several_ranges(spark):
+    d = spark.createDataFrame([(x,) for x in [5, 3, 9, 1, 7, 2, 8, 4, 6, 0, 6]], "k int")
+    got = sorted((r["k"], r["__i"]) for r in learning.numbered(d, "k", 11, part=3).collect())
+    assert [i for _, i in got] == list(range(11))
+
+
+def test_histories_skip_bad_lines_and_reports_come_back(spark, tmp_path):
+    states = spark.createDataFrame([("a-b", 1.0, [0.5, 0.25])], "pair string, x0 double, errors array<double>")
+    runs.save_states(states, str(tmp_path / "s"))
+    assert runs.load_states(spark, str(tmp_path / "s")).collect() == states.collect()
+    report = spark.createDataFrame([("a-b", 3, 0.5), ("c-d", 1, None)], "pair string, trades long, win_rate double")
+    runs.write_report(report, str(tmp_path / "r"))
+    for kind in ("csv", "json"):
+        assert sorted(runs.read_report(spark, str(tmp_path / "r"), report.schema, kind).collect(), key=str) == sorted(report.collect(), key=str)

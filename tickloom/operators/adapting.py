@@ -73,8 +73,3 @@ def two_stage(pair_bars: DataFrame, cut: Column, loose: float, strict: float, lo
     two = P.scan(pair_bars.where(F.col("ts") >= cut).join(one.select("pair"), "pair", "left_semi")).where((F.col("p_value") <= strict) & F.col("half_life").between(lo, hi)).select("pair", *(F.col(c).alias(f"stage2_{c}") for c in cols))
     return one.join(two, "pair").select("pair", F.col("stage2_p_value").alias("p_value"), F.col("stage2_half_life").alias("half_life_bars"), *(f"stage{k}_{c}" for k in (1, 2) for c in cols))
 
-
-def compared(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Metrics of many runs, one JSON object in each path, with the path's folder as run_id; a metric that a run lacks is null."""
-    rows = spark.read.option("multiLine", True).json(paths).select("*", F.input_file_name().alias("__f"))
-    return rows.withColumn("run_id", F.element_at(F.split("__f", "/"), -2)).drop("__f")

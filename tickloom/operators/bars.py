@@ -110,3 +110,16 @@ def coin_features(returns: DataFrame, n: int, rsi_n: int) -> DataFrame:
         F.stddev_samp(F.when(near, F.col("ret"))).alias("vol"), (100 * up / (up + down)).alias("rsi"), (F.max_by("px", "ts") / F.median(F.when(near, F.col("px"))) - 1).alias("reversion"),
     )
     return g.select("symbol", "beta", (F.col("mean") - F.col("beta") * F.col("m")).alias("alpha"), "vol", "rsi", "reversion")
+
+
+def flows(turnover: DataFrame, near: int, far: int) -> DataFrame:
+    """(symbol, volume_flow): mean turnover of the last `near` bars against that of the last `far`, less 1; missing turnover is none."""
+    d = turnover.withColumns({"v": F.coalesce("turnover", F.lit(0.0)), "k": F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ts")))})
+    mean = lambda n: F.avg(F.when(F.col("k") <= n, F.col("v")))
+    return d.groupBy("symbol").agg((mean(near) / F.when(mean(far) == 0, 1.0).otherwise(mean(far)) - 1).alias("volume_flow"))
+
+
+def sentiment(funding: DataFrame, n: int) -> DataFrame:
+    """(symbol, funding_sentiment): the mean of the last n rates, in percent."""
+    d = funding.withColumn("k", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ts")))).where(F.col("k") <= n)
+    return d.groupBy("symbol").agg((100 * F.avg("rate")).alias("funding_sentiment"))

@@ -41,12 +41,12 @@ def funnel(gates: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataF
     return out.withColumns({"conversion": F.when(F.col(names[0]) > 0, F.col(names[-1]) / F.col(names[0])).otherwise(0.0), "blocker": blocker})
 
 
-def sweep(signals: DataFrame, entries: Sequence[float]) -> DataFrame:
-    """(entry_z, n, net, sharpe, ranks): all thresholds in one pass over the signals."""
+def sweep(signals: DataFrame, entries: Sequence[float], cost: float = 0.0028) -> DataFrame:
+    """(entry_z, n, net, sharpe, cost_to_gross, cheap, ranks): all thresholds in one pass over the signals; cheap: costs are under half of the gross."""
     grid = signals.where("z is not null").withColumn("entry_z", F.explode(F.array(*map(F.lit, entries)))).where("abs(z) > entry_z")
-    out = grid.groupBy("entry_z").agg(F.count("*").alias("n"), F.sum("expected_profit").alias("net"), (F.avg("expected_profit") / F.stddev_samp("expected_profit")).alias("sharpe"))
-    rank = lambda c: F.row_number().over(Window.orderBy(F.desc(c), "entry_z")).cast("long")  # noqa: E731  a row for each threshold
-    return out.withColumns({"rank_net": rank("net"), "rank_sharpe": rank("sharpe")})
+    out = grid.groupBy("entry_z").agg(F.count("*").alias("n"), F.sum("expected_profit").alias("net"), (F.avg("expected_profit") / F.stddev_samp("expected_profit")).alias("sharpe"), (F.count("*") * cost / F.abs(F.sum("expected_profit") + F.count("*") * cost)).alias("cost_to_gross"))
+    rank = lambda c: F.row_number().over(Window.orderBy(c, "entry_z")).cast("long")  # noqa: E731  a row for each threshold
+    return out.withColumns({"cheap": F.col("cost_to_gross") < 0.5, "rank_net": rank(F.desc("net")), "rank_sharpe": rank(F.desc("sharpe")), "rank_cost": rank(F.asc("cost_to_gross"))})
 
 
 def velocity(signals: DataFrame, k: int) -> DataFrame:
@@ -115,18 +115,48 @@ def filters(signals: DataFrame, entry: float, bars: int, turn: int, stale: int)
 
 
 def inflection(signals: DataFrame, threshold: float, frame: int = 11, least: int = 2, most: int = 10, reversal: float = -0.05) -> DataFrame:
-    """signals with bars_since, the bars since the run beyond the threshold began, velocity_turn, and confidence.
+    """signals with bars_since, the bars since the run beyond the threshold began (-1 outside one), peak, valley, reverting and confidence.
 
-    Only the last `frame` bars count, the first of them not as a beginning; a missing z ends a run.
+    Only the last `frame` bars count, the first of them not as a beginning; a missing z ends a run. A peak is a positive z whose change is
+    below `reversal`, a valley another z whose change is above -reversal; both only from `least` to `most` bars after the run began. The
+    confidence weighs speed, how much of |z| is gone, and timing, best after 3 to 5 bars.
     """
-    a, b = F.abs("z"), F.abs(F.lag("z").over(of_pair()))
-    d = signals.withColumns({"__k": F.row_number().over(of_pair()), "__above": no(a >= threshold), "__v": a - b})
-    d = d.withColumns({"__out": F.max(F.when(~F.col("__above"), F.col("__k"))).over(last(of_pair(), frame - 1)), "__v1": F.lag("__v").over(of_pair()), "__top": F.max(a).over(last(of_pair(), frame))})
+    z, before = F.col("z"), F.lag("z").over(of_pair())
+    d = signals.withColumns({"__k": F.row_number().over(of_pair()), "__above": no(F.abs(z) > threshold), "__b": before})
+    d = d.withColumn("__out", F.max(F.when(~F.col("__above"), F.col("__k"))).over(last(of_pair(), frame - 1)))
     since = F.when(F.col("__above"), F.col("__k") - F.coalesce("__out", F.greatest(F.col("__k") - frame + 1, F.lit(0)))) - 1
-    d = d.withColumns({"bars_since": F.coalesce(since, F.lit(-1)).cast("long"), "velocity_turn": no((F.col("__v1") > 0) & (F.col("__v") <= reversal))})
-    timing = F.when((F.col("bars_since") >= least) & (F.col("bars_since") <= most), 1.0).otherwise(0.0)
-    conf = 0.4 * F.col("velocity_turn").cast("double") + 0.4 * F.coalesce(clip((F.col("__top") - a) / 0.5, 0.0, 1.0), F.lit(0.0)) + 0.2 * timing
-    return d.withColumn("confidence", F.when(F.col("__above"), conf).otherwise(0.0)).drop("__k", "__above", "__v", "__v1", "__out", "__top")
+    d = d.withColumns({"bars_since": F.coalesce(since, F.lit(-1)).cast("long"), "__v": z - F.col("__b")})
+    inside = (F.col("__k") >= 4) & F.col("bars_since").between(least, most)
+    d = d.withColumns({"peak": no(inside & (z > 0) & (F.col("__v") < reversal)), "valley": no(inside & (z <= 0) & (F.col("__v") > -reversal)), "reverting": no(inside & (F.abs(z) < F.abs("__b")))})
+    a, b, n = F.abs(z), F.abs("__b"), F.col("bars_since")
+    gone = F.when(b > 1e-10, (b - a) / b).otherwise(0.0)
+    timing = F.when(n.between(3, 5), 1.0).when(n < 3, n / 3).otherwise(F.greatest(F.lit(0.2), 1 - (n - 5) / 5))
+    conf = 0.4 * F.least(F.abs("__v") / 0.2, F.lit(1.0)) + 0.4 * F.least(gone / 0.1, F.lit(1.0)) + 0.2 * timing
+    return d.withColumn("confidence", F.when(F.col("peak") | F.col("valley"), conf).otherwise(0.0)).drop("__k", "__above", "__v", "__b", "__out")
+
+
+def ou_profit_v2(z: Column, vol: Column, half: Column, exit_z: float, cost: float, per_bar: float, max_hold: float, lo: float, hi: float, discount: float = 0.5) -> tuple[Column, Column]:
+    """(profit, hold) of a mean-reverting spread: the hold is capped, the profit net of costs and funding clipped and discounted."""
+    hold = F.least(half * clip(F.log(F.greatest(F.abs(z) / exit_z, F.lit(1.01))), 0.5, 3.0), F.lit(max_hold))
+    net = F.abs(z) * vol * (1 - F.exp(-F.log(F.lit(2.0)) / half * hold)) - cost - per_bar * hold
+    return F.when(net.isNotNull(), clip(net, lo, hi) * discount), hold
+
+
+def in_and_out(signals: DataFrame, entry: float, leave: float) -> DataFrame:
+    """(pair, n_trades, expectancy): a trade opens at |z| above entry and closes at |z| below leave, one at a time.
+
+    What it makes is the move of the spread towards zero, relative to the spread at its entry. A trade is open where the last crossing
+    was of the entry, so no bar needs another's outcome.
+    """
+    a = F.abs("z")
+    all_ = of_pair().rowsBetween(Window.unboundedPreceding, -1)
+    d = signals.where("z is not null").withColumn("__e", F.when(a > entry, 1).when(a < leave, 0))
+    d = d.withColumn("__open", F.coalesce(F.last("__e", True).over(all_), F.lit(0)))
+    d = d.withColumn("__s", F.last(F.when((F.col("__e") == 1) & (F.col("__open") == 0), F.col("spread")), True).over(all_))
+    s, now = F.col("__s"), F.col("spread")
+    made = F.when(F.abs(s) > 1e-10, F.when(s > 0, s - now).otherwise(now - s) / F.abs(s)).otherwise(0.0)
+    closed = (F.col("__e") == 0) & (F.col("__open") == 1)
+    return d.groupBy("pair").agg(F.count(F.when(closed, 1)).alias("n_trades"), F.coalesce(F.avg(F.when(closed, made)), F.lit(0.0)).alias("expectancy"))
 
 
 def cooled(masks_: DataFrame, after: dict[int, int], unit: str = "hour") -> DataFrame:

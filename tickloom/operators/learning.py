@@ -33,12 +33,24 @@ def prediction_quality(pred: DataFrame, keys: Sequence[str], bins: int = 10) ->
     return b.groupBy(*keys).agg(F.count("*").alias("n"), F.sqrt(e2).alias("rmse"), e2.alias("brier"), F.avg(((F.col("p") >= 0.5) == (F.col("y") == 1)).cast("int")).alias("hit_rate"), F.median("p").alias("median_p")).join(ece, list(keys)).select(*keys, "n", "rmse", "brier", "ece", "hit_rate", "median_p")
 
 
+def numbered(rows: DataFrame, order: str, n: int, part: int = 1 << 20, most: int = 4096) -> DataFrame:
+    """rows with __i, their place in the order of a numeric column: ranges of about `part` rows (no more than `most` ranges) are numbered side by side, from the rows before each."""
+    k = min(most, n // part + 1)
+    edges = sorted(set(rows.approxQuantile(order, [i / k for i in range(1, k)], 0.2 / k))) if k > 1 else []
+    of = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col(order))) if edges else F.lit(0)
+    d = rows.withColumn("__r", of)
+    counts = d.groupBy("__r").agg(F.count("*").alias("__n"))
+    before = counts.withColumn("__b", F.coalesce(F.sum("__n").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")  # a row for each range
+    place = F.row_number().over(Window.partitionBy("__r").orderBy(order)) - 1
+    return d.withColumn("__p", place).join(F.broadcast(before), "__r").withColumn("__i", F.col("__p") + F.col("__b")).drop("__r", "__p", "__b")
+
+
 def purged_folds(rows: DataFrame, order: str, folds: int, gap: int, first: float = 0.5) -> DataFrame:
     """(fold, role, rows of `rows`): expanding training parts, and test parts that begin `gap` rows after."""
     n = rows.count()
     start = int(n * first)
     size = max(1, (n - start) // folds)
-    d = rows.withColumn("__i", F.row_number().over(Window.orderBy(order)) - 1).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+    d = numbered(rows, order, n).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
     end = F.lit(start) + F.col("fold") * size
     role = F.when(F.col("__i") < end, "train").when((F.col("__i") >= end + gap) & (F.col("__i") < end + size + gap), "test")
     return d.withColumn("role", role).where("role is not null").drop("__i")

@@ -169,6 +169,24 @@ def false_discovery(tests: DataFrame, alpha: float, keys: Sequence[str] = (), me
     return d.withColumn("significant", F.coalesce(F.col("rank") <= last, F.lit(False))).drop("m")
 
 
+def subwindow_passes(pair_bars: DataFrame, n: int, level: float, min_half_life: float = 0.0, max_half_life: float = float("inf")) -> DataFrame:
+    """(pair, parts, passed, pass_rate, half_life_cv): parts of equal length are tested one by one; the variation is that of the parts that passed, 0 with fewer than two."""
+    each = scan(parts(pair_bars, n).select("pair", "part", "ts", "y", "x"), ("pair", "part"))
+    ok = (F.col("p_value") < level) & F.col("half_life").between(min_half_life, max_half_life)
+    life = F.when(ok & (F.col("half_life") < float("inf")), F.col("half_life"))
+    g = each.groupBy("pair").agg(F.count("*").alias("parts"), F.sum(ok.cast("long")).alias("passed"), F.count(life).alias("k"), F.stddev_pop(life).alias("sd"), F.avg(life).alias("mean"))
+    return g.select("pair", "parts", "passed", (F.col("passed") / n).alias("pass_rate"), F.when(F.col("k") >= 2, F.col("sd") / F.col("mean")).otherwise(0.0).alias("half_life_cv"))
+
+
+def weighted_stationarity(pair_bars: DataFrame, half: int, lags: int = 1) -> DataFrame:
+    """(pair, beta, n, adf, p_value, half_life): the spread of the forgetting hedge ratio, tested on its last 3 half bars; its half-life is that of all bars."""
+    w = weighted_hedge(pair_bars, half).select("pair", "beta")
+    s = pair_bars.join(w, "pair").withColumn("spread", F.col("y") - F.col("beta") * F.col("x"))
+    recent = s.withColumn("k", F.row_number().over(Window.partitionBy("pair").orderBy(F.desc("ts")))).where(F.col("k") <= 3 * half)
+    lives = half_life(s.select("pair", "ts", "spread"))
+    return w.join(stationarity(recent, ("pair",), lags, 1), "pair").join(lives, "pair")
+
+
 def rolling_beta(n: int, y: Column, x: Column) -> Column:
     """Covariance over variance of the last n rows of a pair."""
     w = Window.partitionBy("pair").orderBy("ts").rowsBetween(1 - n, 0)

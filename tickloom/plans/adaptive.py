@@ -9,6 +9,7 @@ from tickloom.operators import adapting as A
 from tickloom.operators import bars as B
 from tickloom.operators import ledger as L
 from tickloom.operators import pairs as P
+from tickloom.operators.entries import in_and_out
 from tickloom.plans import fixtures as X
 from tickloom.plans.catalog import query, rounded
 from tickloom.plans.signals import HEDGE, REGIME, S
@@ -78,12 +79,18 @@ def stepped_thresholds(spark, sf):
     return rounded(A.stepped(w, 0.8, 0.05, 0.5, 0.9))
 
 
-@query(f"""WITH {S} SELECT pair, sum((abs(z) > 1.5)::INT)::BIGINT AS entries, sum((abs(z) > 3)::INT)::BIGINT AS stops, round(coalesce(sum((abs(z) > 3)::INT) / nullif(sum((abs(z) > 1.5)::INT), 0), 0), 6) + 0.0 AS stop_rate FROM signals GROUP BY pair""")
+@query(f"""WITH {S}, g AS (SELECT pair, sum((abs(z) > 1.5)::INT)::BIGINT AS entries, sum((abs(z) > 3)::INT)::BIGINT AS stops FROM signals GROUP BY pair),
+ e AS (SELECT pair, ts, spread, CASE WHEN abs(z) > 1.5 THEN 1 WHEN abs(z) < 0.5 THEN 0 END AS e FROM signals WHERE z IS NOT NULL), o AS (SELECT *, coalesce(last_value(e IGNORE NULLS) OVER w, 0) AS open FROM e WINDOW w AS (PARTITION BY pair ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ s AS (SELECT *, last_value(CASE WHEN e = 1 AND open = 0 THEN spread END IGNORE NULLS) OVER (PARTITION BY pair ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s0 FROM o),
+ t AS (SELECT pair, count(*) AS n_trades, avg(CASE WHEN abs(s0) > 1e-10 THEN CASE WHEN s0 > 0 THEN s0 - spread ELSE spread - s0 END / abs(s0) ELSE 0 END) AS expectancy FROM s WHERE e = 0 AND open = 1 GROUP BY pair)
+SELECT g.pair, entries, stops, round(CASE WHEN entries > 0 THEN least(stops / entries, 1) ELSE 0.5 END, 6) + 0.0 AS stop_rate, coalesce(n_trades, 0)::BIGINT AS n_trades, round(coalesce(expectancy, 0), 5) + 0.0 AS expectancy FROM g LEFT JOIN t USING (pair)""")
 def training_stop_rate(spark, sf):
-    """How often signals of the past went on to a stop."""
-    a = F.abs("z")
-    g = X.signals(spark, sf).groupBy("pair").agg(F.sum((a > 1.5).cast("long")).alias("entries"), F.sum((a > 3).cast("long")).alias("stops"))
-    return rounded(g.withColumn("stop_rate", F.when(F.col("entries") > 0, F.col("stops") / F.col("entries")).otherwise(0.0)))
+    """How often signals of the past went on to a stop, half of them without any, and what a simple trade in and out made."""
+    s, a = X.signals(spark, sf), F.abs("z")
+    g = s.groupBy("pair").agg(F.coalesce(F.sum((a > 1.5).cast("long")), F.lit(0)).alias("entries"), F.coalesce(F.sum((a > 3).cast("long")), F.lit(0)).alias("stops"))
+    g = g.withColumn("stop_rate", F.when(F.col("entries") > 0, F.least(F.col("stops") / F.col("entries"), F.lit(1.0))).otherwise(0.5))
+    t = in_and_out(s, 1.5, 0.5).select("pair", "n_trades", (F.round("expectancy", 5) + 0.0).alias("expectancy"))
+    return rounded(g.join(t, "pair", "left").na.fill({"n_trades": 0, "expectancy": 0.0}))
 
 
 @query()

@@ -98,19 +98,21 @@ def timeframe_metrics(spark, sf):
     return rounded(d.groupBy("hours").agg(F.count("ret").alias("n"), F.sum("ret").alias("gross"), (F.count("ret") * 4 * 0.0007).alias("cost"), (F.avg("ret") / F.stddev_samp("ret")).alias("sharpe")))
 
 
-@query(f"""WITH {X.RETURNS}, {X.windows_sql()}, w AS (SELECT window_id, symbol, ts, ret FROM returns JOIN windows ON ts >= train_end AND ts < test_end),
- b AS (SELECT window_id, exp(sum(ln(1 + ret))) - 1 AS bench_return, stddev_samp(ret) AS bench_vol FROM w WHERE symbol = 'click' AND ret > -1 GROUP BY window_id),
+@query(f"""WITH {X.RETURNS}, {X.windows_sql()}, w AS (SELECT window_id, symbol, ts, px, CASE WHEN ts > train_end THEN ret END AS ret FROM returns JOIN windows ON ts >= train_end AND ts < test_end),
+ b AS (SELECT window_id, arg_max(px, ts) / arg_min(px, ts) - 1 AS bench_return, stddev_samp(ret) * sqrt(24 * 365) AS bench_vol FROM w WHERE symbol = 'click' AND px > 0 GROUP BY window_id),
  x AS (SELECT window_id, avg(sd) AS dispersion FROM (SELECT window_id, ts, stddev_samp(ret) AS sd FROM w GROUP BY ALL) GROUP BY window_id),
  c AS (SELECT window_id, avg(c) AS mean_corr FROM (SELECT a.window_id, a.symbol, b.symbol, corr(a.ret, b.ret) AS c FROM w a JOIN w b ON a.window_id = b.window_id AND a.ts = b.ts AND a.symbol < b.symbol GROUP BY ALL) GROUP BY window_id)
-SELECT window_id, round(log(1 + bench_return), 5) + 0.0 AS bench_return, round(bench_vol, 5) + 0.0 AS bench_vol, round(dispersion, 5) + 0.0 AS dispersion, round(mean_corr, 5) + 0.0 AS mean_corr FROM b JOIN x USING (window_id) JOIN c USING (window_id)""")
+SELECT window_id, round(bench_return, 5) + 0.0 AS bench_return, round(bench_vol, 5) + 0.0 AS bench_vol, round(dispersion, 5) + 0.0 AS dispersion, round(mean_corr, 5) + 0.0 AS mean_corr FROM b JOIN x USING (window_id) JOIN c USING (window_id)""")
 def window_conditions(spark, sf):
     """Benchmark return and volatility, dispersion and mean correlation in each test window."""
     from tickloom.operators.pairs import correlated
 
-    w = X.returns(spark, sf).join(F.broadcast(X.windows(spark)), F.expr("ts >= train_end and ts < test_end")).select("window_id", "symbol", "ts", "ret")
-    b = w.where("symbol = 'click' and ret > -1").groupBy("window_id").agg(F.log10(F.exp(F.sum(F.log1p("ret")))).alias("bench_return"), F.stddev_samp("ret").alias("bench_vol"))
+    w = X.returns(spark, sf).join(F.broadcast(X.windows(spark)), F.expr("ts >= train_end and ts < test_end"))
+    # returns inside the window: its first bar has none
+    w = w.select("window_id", "symbol", "ts", "px", F.when(F.col("ts") > F.col("train_end"), F.col("ret")).alias("ret"))
+    b = w.where("symbol = 'click' and px > 0").groupBy("window_id").agg((F.max_by("px", "ts") / F.min_by("px", "ts") - 1).alias("bench_return"), (F.stddev_samp("ret") * (24 * 365) ** 0.5).alias("bench_vol"))
     x = w.groupBy("window_id", "ts").agg(F.stddev_samp("ret").alias("sd")).groupBy("window_id").agg(F.avg("sd").alias("dispersion"))
-    c = correlated(w.where("ret is not null").withColumnRenamed("ret", "lp"), 0.0, 2, ["window_id"]).groupBy("window_id").agg(F.avg("corr").alias("mean_corr"))
+    c = correlated(w.where("ret is not null").select("window_id", "symbol", "ts", F.col("ret").alias("lp")), 0.0, 2, ["window_id"]).groupBy("window_id").agg(F.avg("corr").alias("mean_corr"))
     return rounded(b.join(x, "window_id").join(c, "window_id"), 5)
 
 
@@ -250,8 +252,8 @@ def cluster_exposure(spark, sf):
     return rounded(c.withColumn("t", F.sum("legs").over(w)).withColumn("diversity", 1 - F.sum(F.pow(F.col("legs") / F.col("t"), 2)).over(w)).drop("t"))
 
 
-@query(f"""WITH {X.SIGNALS}, p AS (SELECT unnest([1.0, 1.5, 2.0])::DOUBLE AS entry_z), r AS (SELECT entry_z, count(*) AS n, sum(expected_profit) AS net, avg(expected_profit) / stddev_samp(expected_profit) AS sharpe FROM signals JOIN p ON abs(z) > entry_z GROUP BY entry_z)
-SELECT entry_z, n, round(net, 6) + 0.0 AS net, round(sharpe, 6) + 0.0 AS sharpe, row_number() OVER (ORDER BY net DESC, entry_z) AS rank_net, row_number() OVER (ORDER BY sharpe DESC, entry_z) AS rank_sharpe FROM r""")
+@query(f"""WITH {X.SIGNALS}, p AS (SELECT unnest([1.0, 1.5, 2.0])::DOUBLE AS entry_z), r AS (SELECT entry_z, count(*) AS n, sum(expected_profit) AS net, count(*) * 0.0028 / abs(sum(expected_profit) + count(*) * 0.0028) AS cost_to_gross, avg(expected_profit) / stddev_samp(expected_profit) AS sharpe FROM signals JOIN p ON abs(z) > entry_z GROUP BY entry_z)
+SELECT entry_z, n, round(cost_to_gross, 6) + 0.0 AS cost_to_gross, cost_to_gross < 0.5 AS cheap, row_number() OVER (ORDER BY cost_to_gross, entry_z) AS rank_cost, round(net, 6) + 0.0 AS net, round(sharpe, 6) + 0.0 AS sharpe, row_number() OVER (ORDER BY net DESC, entry_z) AS rank_net, row_number() OVER (ORDER BY sharpe DESC, entry_z) AS rank_sharpe FROM r""")
 def parameter_sweep(spark, sf):
     """A grid of thresholds over one pass of the signals, ranked."""
     from tickloom.operators.entries import sweep

@@ -70,14 +70,18 @@ def lag1_autocorr(spark, sf):
     return rounded(d.select("pair", "ts", B.lag1(F.col("z"), F.col("z1"), of_pair(), 24).alias("lag1")), 5)
 
 
-@query(f"""WITH {X.RETURNS}, q AS (SELECT ts, quantile_cont(ret, 0.1) AS lo, quantile_cont(ret, 0.9) AS hi FROM returns GROUP BY ts), m AS (SELECT r.ts, avg(ret) AS market FROM returns r JOIN q USING (ts) WHERE ret >= lo AND ret <= hi GROUP BY r.ts),
+@query(f"""WITH {X.RETURNS}, {X.CANDLES}, {X.FUNDING}, q AS (SELECT ts, quantile_cont(ret, 0.1) AS lo, quantile_cont(ret, 0.9) AS hi FROM returns GROUP BY ts), m AS (SELECT r.ts, avg(ret) AS market FROM returns r JOIN q USING (ts) WHERE ret >= lo AND ret <= hi GROUP BY r.ts),
  d AS (SELECT symbol, ts, px, ret, market, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM returns JOIN m USING (ts) WHERE ret IS NOT NULL),
  g AS (SELECT symbol, covar_samp(ret, market) FILTER (k <= 240) / var_samp(market) FILTER (k <= 240) AS beta, avg(ret) FILTER (k <= 240) AS mean, avg(market) FILTER (k <= 240) AS mm, stddev_samp(ret) FILTER (k <= 240) AS vol,
-  100 * avg(greatest(ret, 0)) FILTER (k <= 120) / (avg(greatest(ret, 0)) FILTER (k <= 120) + avg(greatest(-ret, 0)) FILTER (k <= 120)) AS rsi, arg_max(px, ts) / quantile_cont(px, 0.5) FILTER (k <= 240) - 1 AS reversion FROM d GROUP BY symbol)
-SELECT symbol, round(beta, 5) + 0.0 AS beta, round(mean - beta * mm, 5) + 0.0 AS alpha, round(vol, 5) + 0.0 AS vol, round(rsi, 5) + 0.0 AS rsi, round(reversion, 5) + 0.0 AS reversion FROM g""")
+  100 * avg(greatest(ret, 0)) FILTER (k <= 120) / (avg(greatest(ret, 0)) FILTER (k <= 120) + avg(greatest(-ret, 0)) FILTER (k <= 120)) AS rsi, arg_max(px, ts) / quantile_cont(px, 0.5) FILTER (k <= 240) - 1 AS reversion FROM d GROUP BY symbol), v AS (SELECT b.symbol, b.ts, coalesce(sum(c.turnover), 0) AS turnover FROM bars b LEFT JOIN candles c ON b.symbol = c.symbol AND b.ts = c.ts GROUP BY ALL), vk AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM v),
+ vf AS (SELECT symbol, avg(turnover) FILTER (k <= 72) / CASE WHEN avg(turnover) FILTER (k <= 720) = 0 THEN 1 ELSE avg(turnover) FILTER (k <= 720) END - 1 AS volume_flow FROM vk GROUP BY symbol), ff AS (SELECT symbol, 100 * avg(rate) FILTER (k <= 9) AS funding_sentiment FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM funding) GROUP BY symbol)
+SELECT symbol, round(beta, 5) + 0.0 AS beta, round(mean - beta * mm, 5) + 0.0 AS alpha, round(vol, 5) + 0.0 AS vol, round(rsi, 5) + 0.0 AS rsi, round(reversion, 5) + 0.0 AS reversion, round(volume_flow, 5) + 0.0 AS volume_flow, round(coalesce(funding_sentiment, 0), 9) + 0.0 AS funding_sentiment FROM g JOIN vf USING (symbol) LEFT JOIN ff USING (symbol)""")
 def coin_features(spark, sf):
     """Figures of each symbol against a trimmed market return."""
-    return rounded(B.coin_features(X.returns(spark, sf), 240, 120), 5)
+    turnover = X.bars(spark, sf).select("symbol", "ts").join(X.candles(spark, sf).groupBy("symbol", "ts").agg(F.sum("turnover").alias("turnover")), ["symbol", "ts"], "left")
+    out = B.coin_features(X.returns(spark, sf), 240, 120).join(B.flows(turnover, 72, 720), "symbol").join(B.sentiment(X.funding(spark, sf), 9), "symbol", "left")
+    mood = F.round(F.coalesce("funding_sentiment", F.lit(0.0)), 9) + 0.0
+    return out.select("symbol", *((F.round(c, 5) + 0.0).alias(c) for c in ("beta", "alpha", "vol", "rsi", "reversion", "volume_flow")), mood.alias("funding_sentiment"))
 
 
 REGIME = X.RETURNS + """, v AS (SELECT ts, CASE WHEN count(ret) OVER w >= 12 THEN round(stddev_samp(ret) OVER w, 9) END AS vol FROM returns WHERE symbol = 'click' WINDOW w AS (ORDER BY ts ROWS 23 PRECEDING)),
@@ -120,13 +124,13 @@ def entry_filters(spark, sf):
     return E.filters(X.signals(spark, sf), 1.5, 2, 2, 4).select("pair", "ts", "slope", "confirmed", "inflected", "not_stale")
 
 
-@query(f"""WITH {S}, a AS (SELECT pair, ts, abs(z) AS a, coalesce(abs(z) >= 1.5, false) AS above, abs(z) - abs(lag(z) OVER ({OVER})) AS v, row_number() OVER ({OVER}) AS k FROM signals),
- b AS (SELECT *, max(CASE WHEN NOT above THEN k END) OVER ({OVER} ROWS 9 PRECEDING) AS o, lag(v) OVER ({OVER}) AS v1, max(a) OVER ({OVER} ROWS 10 PRECEDING) AS top FROM a),
- c AS (SELECT *, coalesce(CASE WHEN above THEN k - coalesce(o, greatest(k - 10, 0)) END - 1, -1)::BIGINT AS since, coalesce(v1 > 0 AND v <= -0.05, false) AS turn FROM b)
-SELECT pair, ts, since AS bars_since, turn AS velocity_turn, round(CASE WHEN above THEN 0.4 * turn::INT + 0.4 * coalesce(greatest(0, least(1, (top - a) / 0.5)), 0) + 0.2 * (since BETWEEN 2 AND 10)::INT ELSE 0 END, 6) + 0.0 AS confidence FROM c""")
+@query(f"""WITH {S}, a AS (SELECT pair, ts, z, coalesce(abs(z) > 1.5, false) AS above, lag(z) OVER ({OVER}) AS b, row_number() OVER ({OVER}) AS k FROM signals),
+ o AS (SELECT *, z - b AS v, max(CASE WHEN NOT above THEN k END) OVER ({OVER} ROWS 9 PRECEDING) AS o FROM a), n AS (SELECT *, CASE WHEN above THEN k - coalesce(o, greatest(k - 10, 0)) - 1 ELSE -1 END AS since FROM o),
+ s AS (SELECT *, k >= 4 AND since BETWEEN 2 AND 10 AS inside FROM n), t AS (SELECT *, coalesce(inside AND z > 0 AND v < -0.05, false) AS peak, coalesce(inside AND z <= 0 AND v > 0.05, false) AS valley, coalesce(inside AND abs(z) < abs(b), false) AS reverting FROM s)
+SELECT pair, ts, since::BIGINT AS bars_since, peak, valley, reverting, round(CASE WHEN peak OR valley THEN 0.4 * least(abs(v) / 0.2, 1) + 0.4 * least(CASE WHEN abs(b) > 1e-10 THEN (abs(b) - abs(z)) / abs(b) ELSE 0 END / 0.1, 1) + 0.2 * CASE WHEN since BETWEEN 3 AND 5 THEN 1 WHEN since < 3 THEN since / 3 ELSE greatest(0.2, 1 - (since - 5) / 5) END ELSE 0 END, 6) + 0.0 AS confidence FROM t""")
 def inflection_points(spark, sf):
     """Turns of a run beyond the threshold, with a confidence."""
-    return keep(E.inflection(X.signals(spark, sf), 1.5), "bars_since", "velocity_turn", "confidence")
+    return keep(E.inflection(X.signals(spark, sf), 1.5), "bars_since", "peak", "valley", "reverting", "confidence")
 
 
 @query(f"""WITH {S}, r AS (SELECT pair, ts, CASE WHEN expected_profit IS NOT NULL THEN (rank() OVER (PARTITION BY ts ORDER BY expected_profit NULLS LAST) + (count(expected_profit) OVER (PARTITION BY ts, expected_profit) - 1) / 2) / count(expected_profit) OVER (PARTITION BY ts) END AS r FROM signals)
@@ -209,14 +213,18 @@ def top_scores(spark, sf):
     return rounded(E.top_scores(scores(spark, sf), ["window_id"], 10, 0.25))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SCORES}, o AS (SELECT window_id, pair, split_part(pair, '-', 1) AS y, substr(pair, instr(pair, '-') + 1) AS x, row_number() OVER (PARTITION BY window_id ORDER BY round(-score, 9), pair) AS k FROM scores),
+ f AS (SELECT DISTINCT window_id, 0::BIGINT AS k, []::VARCHAR[] AS legs, NULL::VARCHAR AS pair, false AS taken FROM o
+  UNION ALL SELECT window_id, k, CASE WHEN ok THEN list_concat(legs, [y, x]) ELSE legs END, pair, ok FROM (SELECT o.*, f.legs, len(list_filter(f.legs, lambda v: v = o.y)) < 2 AND len(list_filter(f.legs, lambda v: v = o.x)) < 2 AS ok FROM f JOIN o ON f.window_id = o.window_id AND o.k = f.k + 1))
+SELECT window_id, pair FROM f WHERE taken""")
 def greedy_leg_cap(spark, sf):
     """F2: in order of score, at most two pairs with the same leg."""
     s = scores(spark, sf).withColumns({"coin_y": F.split("pair", "-", 2)[0], "coin_x": F.split("pair", "-", 2)[1], "rank": F.round(-F.col("score"), 9)})
     return E.greedy(s.select("window_id", "pair", "coin_y", "coin_x", "rank"), ["window_id"], ["rank", "pair"], 2).select("window_id", "pair")
 
 
-@query()
+@query(f"""WITH {SCORES}, o AS (SELECT window_id, pair, CASE WHEN pair[7] = '5' THEN 'none' ELSE pair[1:7] END AS cluster, round(-score, 9) AS place FROM scores)
+SELECT window_id, pair, cluster FROM o QUALIFY cluster = 'none' OR row_number() OVER (PARTITION BY window_id, cluster ORDER BY place, pair) <= 3""")
 def greedy_cluster_cap(spark, sf):
     """in order of score, at most three pairs in a cluster; pairs without a cluster are free."""
     s = scores(spark, sf).withColumns({"cluster": F.when(F.substring("pair", 7, 1) == "5", "none").otherwise(F.substring("pair", 1, 7)), "rank": F.round(-F.col("score"), 9)})
@@ -267,13 +275,16 @@ def ou_profit(spark, sf):
     return d.select("pair", "ts", F.lit(round(cost, 9)).alias("round_trip"), (F.round(E.ou_profit(F.col("z"), F.col("vol"), F.lit(24.0), 0.6, 0.0028), 6) + 0.0).alias("profit"))
 
 
-@query(f"""WITH {S}, l AS (SELECT pair, ts, z, lag(z) OVER ({OVER}) AS z1 FROM signals), p AS (SELECT pair, ts, greatest(0.01::DOUBLE, least(0.99::DOUBLE, covar_samp(z, z1) OVER w / var_samp(z) OVER w)) AS phi, count(z1) OVER w AS n FROM l WINDOW w AS ({OVER} ROWS 47 PRECEDING))
-SELECT pair, ts, round(CASE WHEN n >= 48 THEN greatest(50, least(500, -ln(2) / ln(phi))) END, 4) + 0.0 AS half_life FROM p""")
+@query(f"""WITH {S}, l AS (SELECT pair, ts, z, vol, lag(z) OVER ({OVER}) AS z1 FROM signals), p AS (SELECT pair, ts, z, vol, greatest(0.01::DOUBLE, least(0.99::DOUBLE, covar_samp(z, z1) OVER w / var_samp(z) OVER w)) AS phi, count(z1) OVER w AS n FROM l WINDOW w AS ({OVER} ROWS 47 PRECEDING)),
+ h AS (SELECT *, CASE WHEN n >= 48 THEN greatest(50, least(500, -ln(2) / ln(phi))) END AS hl FROM p), f AS (SELECT *, least(coalesce(hl, 200) * greatest(0.5, least(3, ln(greatest(abs(z) / 0.6, 1.01)))), 96) AS hold FROM h)
+SELECT pair, ts, round(hl, 4) + 0.0 AS half_life, round(hold, 4) + 0.0 AS hold, round(CASE WHEN z IS NOT NULL THEN 0.5 * greatest(-0.02, least(0.05, abs(z) * vol * (1 - exp(-ln(2) / coalesce(hl, 200) * hold)) - 0.0028 - 1e-6 * hold)) END, 6) + 0.0 AS profit FROM f""")
 def rolling_half_life(spark, sf):
-    """H3: half-life from the rolling coefficient of z on the z before."""
+    """H3: half-life from the rolling coefficient of z on the z before, and the profit expected with it."""
     d = X.signals(spark, sf).withColumn("z1", F.lag("z").over(of_pair()))
     n = F.count("z1").over(X.rows(of_pair(), 48))
-    return rounded(d.select("pair", "ts", F.when(n >= 48, E.rolling_half_life(48)).alias("half_life")), 4)
+    d = d.withColumn("half_life", F.when(n >= 48, E.rolling_half_life(48)))
+    profit, hold = E.ou_profit_v2(F.col("z"), F.col("vol"), F.coalesce("half_life", F.lit(200.0)), 0.6, 0.0028, 1e-6, 96.0, -0.02, 0.05)
+    return d.select("pair", "ts", (F.round("half_life", 4) + 0.0).alias("half_life"), (F.round(hold, 4) + 0.0).alias("hold"), (F.round(profit, 6) + 0.0).alias("profit"))
 
 
 @query(f"""WITH {S} SELECT pair, ts, coalesce(abs(z) > 1.5, false) AS gate_z, coalesce(expected_profit / (1 + abs(beta)) > 0.1, false) AS gate_profit, coalesce(abs(z) < 3, false) AS gate_bound, coalesce(vol >= 0.2, false) AS gate_vol,
@@ -513,8 +524,9 @@ def walk_forward_run(spark, sf):
 
 @query()
 def trade_ledger(spark, sf):
-    """K1: trades of all pairs, no more than three at a time and one for each leg."""
-    return L.fold_trades(X.masks(spark, sf).withColumn("run", F.lit(0)), ["run"], 5e-4, 5e-4, 48, 0.5, {"portfolio": 3, "leg": 1}).drop("run")
+    """K1: trades of each test window, no more than three at a time and one for each leg; a window's last bar closes what is open."""
+    m = X.masks(spark, sf).join(F.broadcast(X.windows(spark)), F.expr("ts >= train_end and ts < test_end"))
+    return L.fold_trades(m, ["window_id"], 5e-4, 5e-4, 48, 0.5, {"portfolio": 3, "leg": 1})
 
 
 @query()

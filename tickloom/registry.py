@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickloom.plans import adaptive, ledgers, signals, sources_joins  # noqa: F401
+from tickloom.plans import adaptive, ledgers, runs, signals, sources_joins  # noqa: F401
 from tickloom.plans.catalog import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

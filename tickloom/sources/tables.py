@@ -57,11 +57,14 @@ def latest(df: DataFrame, keys: Sequence[str], arrival: Sequence[str]) -> DataFr
 def regular(prices: DataFrame, grid: DataFrame, least_coverage: float) -> DataFrame:
     """(symbol, ts, close) on the whole grid, filled forward, of symbols with enough of it.
 
-    grid has the ts column, one row for each bar.
+    grid has the ts column, one row for each bar, at equal steps.
     """
-    n = grid.count()
+    n, first, last = grid.agg(F.count("*"), F.min("ts"), F.max("ts")).first()
+    if not n:
+        return prices.select("symbol", "ts", "close").where("false")
+    step = int((last - first).total_seconds()) // max(n - 1, 1) or 1
     good = prices.where("close is not null").join(grid, "ts", "left_semi").groupBy("symbol").agg(F.count_distinct("ts").alias("n")).where(F.col("n") >= least_coverage * n).select("symbol")
-    cells = good.withColumn("k", F.lit(0)).join(grid.withColumn("k", F.lit(0)), "k").drop("k")
+    cells = good.withColumn("ts", F.explode(F.expr(f"sequence(timestamp_ntz'{first}', timestamp_ntz'{last}', interval '{step}' second)")))
     fill = Window.partitionBy("symbol").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     return cells.join(prices.select("symbol", "ts", "close"), ["symbol", "ts"], "left").withColumn("close", F.last("close", True).over(fill))
 
@@ -86,21 +89,10 @@ def unseen(df: DataFrame, loaded: DataFrame) -> DataFrame:
     return df.join(loaded, "symbol", "left").where("max_ts is null or ts > max_ts").drop("max_ts")
 
 
-def read_trades(spark: SparkSession, path: str, schema: T.StructType, since: Column) -> DataFrame:
-    """Trades of a JSON-lines history from a time on; lines that don't parse are left out."""
-    rows = spark.read.schema(schema.add("_bad", "string")).option("columnNameOfCorruptRecord", "_bad").json(path).cache()
-    return rows.where("_bad is null").drop("_bad").where(F.col("ts") >= since)
-
-
 def write_by_month(df: DataFrame, path: str) -> None:
     df.withColumn("month", F.date_trunc("month", "ts").cast("date")).write.mode("overwrite").partitionBy("month").parquet(path)
 
 
-def write_run(df: DataFrame, path: str) -> None:
-    """Signals or returns of a run, a folder for each window."""
-    df.write.mode("overwrite").partitionBy("run_id", "window_id").parquet(path)
-
-
 def members(clusters: DataFrame) -> DataFrame:
     """(cluster, symbol) of rows with a JSON object {cluster: [symbols]} in the column `json`."""
     parsed = clusters.select(F.from_json("json", "map<string, array<string>>").alias("m"))
