@@ -374,12 +374,31 @@ def test_vector_packing_keeps_all_limits():
     assert (sums <= caps).all() and len(sums) <= 1.1 * (d.sum(0) / caps).max()
 
 
-def test_conversations_as_examples(spark, sf):
-    ex = packing.conversation_examples(spark.read.parquet(f"{sf}/conversations.parquet"))
-    got = packing.pack(ex, limits=packing.Limits(1024, 12, 512)).toPandas()
+def test_conversation_packing(spark, sf):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.default_tokenizer())
+    want = collections.defaultdict(lambda: [0, 0, 0])
+    for r in spark.read.parquet(f"{sf}/conversations.parquet").collect():
+        n = len(tok.encode(r["text"] or "", add_special_tokens=False).ids) + 1
+        want[r["conv_id"]] = [a + b for a, b in zip(want[r["conv_id"]], (n, 1, n if r["role"] == "assistant" else 0))]
+    got = registry.conversation_packing(spark, sf).toPandas()
+    assert {r.conv_id: [r.tokens, r.segments, r.loss] for r in got.itertuples()} == dict(want)
+    cap = registry.CONVERSATIONS
     sums = got.groupby("sequence_id")[["tokens", "segments", "loss"]].sum()
     one = got.groupby("sequence_id").size() == 1
-    assert ((sums <= [1024, 12, 512]).all(axis=1) | one).all() and (got["loss"] <= got["tokens"]).all()
+    assert ((sums <= [cap.tokens, cap.segments, cap.loss]).all(axis=1) | one).all()
+    for _, s in got.groupby("sequence_id"):
+        s = s.sort_values("offset")
+        assert list(s["offset"]) == list(np.cumsum(s["tokens"]) - s["tokens"])
+
+
+def test_each_limit_of_a_packing_binds(spark):
+    sf = "/root/testdata/sf0.01"
+    got = packing.packed_conversations(spark.read.parquet(f"{sf}/conversations.parquet"), packing.Limits(1024, 9, 700)).toPandas()
+    sums = got.groupby("sequence_id")[["tokens", "segments", "loss"]].sum()
+    full = (sums / [1024, 9, 700]).to_numpy()
+    assert all((full[:, k] > 0.97).any() for k in range(3))
 
 
 def test_op8(spark, sf, docs):

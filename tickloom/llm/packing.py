@@ -242,6 +242,15 @@ def packed_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 def conversation_examples(turns: DataFrame, conv: str = "conv_id", role: str = "role", text: str = "text", tokenizer: str | None = None, answers: str = "assistant") -> DataFrame:
-    """An example for each conversation: tokens, segments (turns) and loss, the tokens of turns whose role is `answers`."""
+    """An example for each conversation: tokens, segments (turns) and loss, the tokens of turns whose role is `answers`.
+
+    Null and empty turns are their closing id; a null role bears no loss; turns of a null conversation are one example; repeated turns
+    count as often. An empty table gives an empty result. Other columns play no part.
+    """
     sized = token_pieces(turns.select(F.struct(F.col(quoted(conv)).alias("c"), F.col(quoted(role)).alias("r")).alias("id"), F.col(quoted(text)).alias("text")), "id", "text", tokenizer, size=1 << 40)
     return sized.groupBy(F.col("id.c").alias(conv)).agg(F.sum("length").alias("tokens"), F.count("*").alias("segments"), F.coalesce(F.sum(F.when(F.col("id.r") == answers, F.col("length"))), F.lit(0)).alias("loss"))
+
+
+def packed_conversations(turns: DataFrame, limits: Limits, conv: str = "conv_id", role: str = "role", text: str = "text", tokenizer: str | None = None) -> DataFrame:
+    """Conversations as wholes in sequences under all three limits: conv, tokens, segments, loss, sequence_id, offset."""
+    return pack(written(conversation_examples(turns, conv, role, text, tokenizer), "examples"), "tokens", "segments", "loss", limits)

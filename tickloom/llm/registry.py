@@ -10,6 +10,8 @@ from tickloom.llm import licenses, mixing, outliers, packing, pii, quality_gam,
 
 #: Target shares of tokens, and bytes of text that a shard may hold.
 MIX, SHARD_BYTES = {"high": 0.9, "low": 0.05, "toxic": 0.05}, 16 << 20
+#: What a sequence of conversations may hold.
+CONVERSATIONS = packing.Limits(tokens=8192, segments=48, loss=6144)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +50,11 @@ def op7_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"))
 
 
+def conversation_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vector packing of instruction data: whole conversations, limited in tokens, turns and tokens of answers, each of which binds."""
+    return packing.packed_conversations(table(spark, sf_dir, "conversations"), CONVERSATIONS)
+
+
 def op8_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"), limit=SHARD_BYTES)
 
@@ -61,7 +68,7 @@ def op10_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licensed(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_feistel_pii, op2_simhash_ball, op3_quality_gam, op4_recompression, op5_soft_mixing, op6_mcd_outliers, op7_vector_packing, op8_extendible_shards, op9_histogram_topk, op10_license_digests)}
+QUERIES = {f.__name__: f for f in (op1_feistel_pii, op2_simhash_ball, op3_quality_gam, op4_recompression, op5_soft_mixing, op6_mcd_outliers, op7_vector_packing, conversation_packing, op8_extendible_shards, op9_histogram_topk, op10_license_digests)}
 
 #: Of the others, SQL has no permutations under a key, XXH64, boosting, iterations to a target, or tokenizers.
 SQL: dict[str, str] = {
