@@ -146,26 +146,23 @@ PHRASES = {a: b for a, b in SPELLINGS.items() if " " in a}
 
 
 def folded(text: Column) -> Column:
-    """A text in lower case, of letters, digits and line ends, each apart by two spaces, copyright lines gone, single words spelled alike."""
-    out = F.lower(F.regexp_replace(text, COPYRIGHT, " "))
-    out = F.replace(F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", "  "), F.lit("\n"), F.lit("  \n  "))
+    """A text in lower case, of words with one space between and line ends, copyright lines gone, words and phrases of a line spelled alike."""
+    out = F.regexp_replace(F.lower(F.regexp_replace(text, COPYRIGHT, " ")), r"[^\p{L}\p{N}\n]+", " ")
     padded = F.concat(F.lit(" "), out, F.lit(" "))
-    # most texts hold none of the spellings
-    hit = r"(?<= )(?:" + "|".join(sorted(SPELLINGS.keys() - PHRASES.keys(), key=len, reverse=True)) + r")(?= )"
-    respelled = padded
+    # most texts hold none of the spellings; in those that do, words stand apart by two spaces while they are replaced
+    hit = r"(?<=[ \n])(?:" + "|".join(sorted(SPELLINGS, key=len, reverse=True)) + r")(?=[ \n])"
+    apart = F.replace(F.replace(padded, F.lit(" "), F.lit("  ")), F.lit("\n"), F.lit("  \n  "))
     for a, b in SPELLINGS.items():
-        if a not in PHRASES:
-            respelled = F.replace(respelled, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.when(padded.rlike(hit), respelled).otherwise(padded)
+        apart = F.replace(apart, F.lit(" " + a.replace(" ", "  ") + " "), F.lit(f" {b} "))
+    return F.when(padded.rlike(hit), F.regexp_replace(apart, " +", " ")).otherwise(padded)
 
 
 def joined(fold: Column) -> Column:
-    """A folded text, or a part of one, as words with one space between, phrases spelled alike."""
-    out = F.trim(F.regexp_replace(fold, r"[ \n]+", " "))
-    padded = F.concat(F.lit(" "), out, F.lit(" "))
+    """A folded text, or a part of one, as words with one space between; phrases that a line end parts are spelled alike too."""
+    out = F.trim(F.regexp_replace(fold, r" *\n[ \n]*", " "))
     for a, b in PHRASES.items():
-        out = F.when(F.contains(padded, F.lit(f" {a} ")), F.trim(F.regexp_replace(padded, f"(?<= ){a}(?= )", b))).otherwise(out)
         padded = F.concat(F.lit(" "), out, F.lit(" "))
+        out = F.when(F.contains(out, F.lit(a)), F.trim(F.regexp_replace(padded, f"(?<= ){a}(?= )", b))).otherwise(out)
     return out
 
 
@@ -201,9 +198,11 @@ def licensed(df: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN, more: Da
     look = F.create_map(*(F.lit(x) for r in listed for x in (r["digest"], r["license"]))) if listed else F.lit(None).cast("map<string,string>")
     sizes = sorted({r["size"] for r in listed}) or [-1]
     # only what is as long as a known notice can be one
-    named = lambda part: F.filter(F.transform(F.filter(F.transform(F.split("fold", part), joined), lambda x: F.length(x).isin(*sizes)), lambda x: F.try_element_at(look, F.sha2(x, 256))), lambda x: x.isNotNull())
-    paragraphs = F.when(F.contains("fold", F.lit("\n")), named(r"\n *\n")).otherwise(F.array().cast("array<string>"))
-    notices = F.sort_array(F.array_distinct(F.concat(named("\n"), paragraphs)))
+    named = lambda parts: F.filter(F.transform(F.filter(parts, lambda x: F.length(x).isin(*sizes)), lambda x: F.try_element_at(look, F.sha2(x, 256))), lambda x: x.isNotNull())
+    lines = named(F.transform(F.split("fold", "\n"), lambda x: F.trim(x)))
+    parted = F.contains("fold", F.lit("\n\n")) | F.contains("fold", F.lit("\n \n"))
+    paragraphs = F.when(parted, named(F.transform(F.split("fold", r"\n *\n"), joined))).otherwise(F.array().cast("array<string>"))
+    notices = F.sort_array(F.array_distinct(F.concat(lines, paragraphs)))
     texts = df.select(F.col(quoted(id_col)).alias("id"), folded(F.col(quoted(text))).alias("fold")).select("id", F.sha2(joined(F.col("fold")), 256).alias("digest"), F.coalesce(notices, F.array().cast("array<string>")).alias("notices"))
     out = texts.join(F.broadcast(own.drop("size")), "digest", "left")
     if more is not None:
