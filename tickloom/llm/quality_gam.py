@@ -191,15 +191,17 @@ def held_out(id_col: str = "doc_id") -> Column:
 def learnt(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", rows: int = FIT_ROWS) -> Gam:
     """The model of at most about rows labelled texts that are not held out; null labels and ids don't count.
 
-    An id with several labels has their majority; label 1 wins a tie.
+    An id with several labels has their majority; label 1 wins a tie. Of an id's several texts the least counts.
     """
     marked = labels.select(F.col(quoted(id_col)).alias("__id"), F.col(quoted(label)).alias("__y")).where("__id is not null and __y is not null").where(~held_out("__id"))
     marked = marked.groupBy("__id").agg((F.avg("__y") >= 0.5).cast("int").alias("__y"))
     total = marked.count()
     part = marked.where(F.expr(f"pmod(xxhash64(__id, 11), 1000000) < {math.ceil(1e6 * rows / total)}")) if total > rows else marked
     texts = df.select(F.col(quoted(id_col)).alias("__id"), F.col(quoted(text)).alias("__text"))
-    # the side that is sent to all tasks has about `rows` rows of two numbers, whatever the input
-    got = with_figures(texts.join(F.broadcast(part), "__id"), "__text").select("__id", "__y", "figures.*").limit(4 * rows).toPandas()
+    # at most `rows` ids, those of the least hashes, go to all tasks, and as many rows of numbers come back, whatever the input
+    part = part.orderBy(F.xxhash64("__id", F.lit(11)), "__id").limit(rows) if total > rows else part
+    own = texts.join(F.broadcast(part), "__id").groupBy("__id", "__y").agg(F.min("__text").alias("__text"))
+    got = with_figures(own, "__text").select("__id", "__y", "figures.*").toPandas()
     got = got.sort_values(["__id", *FIGURES])
     return fit(got[list(FIGURES)].to_numpy(float), got["__y"].to_numpy(float))
 
