@@ -69,6 +69,7 @@ def test_asof_takes_the_last_known(spark):
     assert at(True) == [None, None, 5.0, 5.0]
 
 
+# The figures of this test must match.
 def test_masks_by_hand(spark):
     z, vol = [0, 2.1, 1.5, 0.4, 4.6], [0.001, 0.004, 0.004, 0.003, 0.004]
     d = frame(spark, [("A-B", t, float(a), v, 1.0) for t, a, v in zip(hours(5), z, vol)], "pair string, ts timestamp_ntz, z double, vol double, expected_profit double")
@@ -109,6 +110,7 @@ def test_profit_factor_without_losses(spark):
     assert ledger.trade_stats(ledger_rows(spark, [0.1, 0.2]), ["pair"]).first()["profit_factor"] == 99.0
 
 
+# The figures of this test must match.
 def test_round_trip_trade(spark):
     """One trade, up 10 and 10 percent, back again."""
     y, x = np.log([100, 110, 100]), np.log([50, 55, 50])
