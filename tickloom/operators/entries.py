@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.bars import last, percent_rank
+from tickloom.operators.bars import lag1, last, percent_rank
 
 
 def of_pair() -> Window:
@@ -89,6 +89,34 @@ def masks(signals: DataFrame, entry: float, leave: float, stop: float, most: flo
     return d.withColumns({"entry_mask": F.col("gate_z") & F.col("gate_profit") & F.col("gate_bound") & F.col("gate_vol"), "exit_mask": no((a < leave) | (a > stop))})
 
 
+def entry_paths(signals: DataFrame, entry: float, most: float, hurdle: float, least_score: float, cost: float, hold: tuple[int, int], vol: tuple[float, float], autocorr: float, n: int, k: int = 3, least_confidence: float = 0.5, base: float = 1.5, sizes: tuple[float, float] = (1.5, 2.5)) -> DataFrame:
+    """signals with every way to enter, each false where a figure it needs is missing.
+
+    gated: beyond entry and turned since the bar before, back over k bars, profit over the hurdle, |z| under most, autocorrelation of n bars
+    at most `autocorr` (or unknown), hold in its range, an inflection of enough confidence. scored: the score in place of those gates. dynamic: beyond a
+    threshold that costs move from `base`. continuous: an exposure over 1 percent, from none to whole between `sizes`. by_gates and by_score are the gated or scored way, or dynamic, or continuous,
+    each only with volatility in its range. The profit counts for both legs' weight, 1 + |beta|.
+    """
+    z, a, before = F.col("z"), F.abs("z"), F.abs("__z1")
+    d = velocity(inflection(signals, entry), k).withColumn("__z1", F.lag("z").over(of_pair()))
+    d = d.withColumns({"__lag1": lag1(F.col("z"), F.col("__z1"), of_pair(), n), "profit": F.col("expected_profit") / (1 + F.abs("beta"))})
+    profit = F.col("profit")
+    d = d.withColumns({"score": signal_score(z, F.col("velocity"), profit, F.col("vol"), entry, most), "dynamic_z": entry_threshold(F.col("vol"), cost, base, 1.2, 2.0)})
+    d = d.withColumn("size", F.when((profit >= hurdle) & (a >= sizes[0]), exposure(z, *sizes)).otherwise(0.0))
+    fair = (profit > hurdle) & (a < most)
+    calm = (F.col("__lag1") <= autocorr) | F.col("__lag1").isNull()
+    turned = (before > entry) & (a < before)
+    d = d.withColumns({
+        "gated": no(fair & (a > entry) & turned & F.col("reverting") & calm & F.col("expected_hold").between(*hold) & (F.col("confidence") >= least_confidence)),
+        "scored": no(fair & (a > entry) & (F.col("score") >= least_score)),
+        "dynamic": no(fair & (a > F.col("dynamic_z"))),
+        "continuous": no(F.abs("size") > 0.01),
+        "vol_ok": no(F.col("vol").between(*vol)),
+    })
+    either = F.col("dynamic") | F.col("continuous")
+    return d.withColumns({"by_gates": (F.col("gated") | either) & F.col("vol_ok"), "by_score": (F.col("scored") | either) & F.col("vol_ok")}).drop("__z1", "__lag1")
+
+
 def exposure(z: Column, start: float, whole: float) -> Column:
     """Against the sign of z, from 0 at start to 1 at whole."""
     return F.coalesce(-F.signum(z) * clip((F.abs(z) - start) / (whole - start), 0.0, 1.0), F.lit(0.0))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import bars as B
 from tickloom.operators import entries as E
+from tickloom.operators import features as T
 from tickloom.operators import learning as M
 from tickloom.operators import ledger as L
 from tickloom.operators import pairs as P
@@ -146,17 +147,84 @@ def rolling_beta(spark, sf):
     return rounded(X.pair_bars(spark, sf).select("pair", "ts", P.rolling_beta(48, F.col("y"), F.col("x")).alias("beta")), 5)
 
 
-@query(f"""WITH {S}, f AS (SELECT pair, ts, z, vol, expected_profit, expected_hold, lag(z) OVER ({OVER}) AS z1, lag(beta, 24) OVER ({OVER}) AS b24, beta FROM signals)
-SELECT pair, ts, round(abs(z), 6) + 0.0 AS abs_z, round(z - z1, 6) + 0.0 AS dz, round(expected_profit / greatest(expected_hold, 1), 6) + 0.0 AS profit_per_bar, round(vol / avg(vol) OVER w - 1, 6) + 0.0 AS vol_trend, round(beta - b24, 5) + 0.0 AS beta_drift,
- (sum(coalesce(z * z1 < 0, false)::INT) OVER w)::BIGINT AS crossings FROM f WINDOW w AS ({OVER} ROWS 23 PRECEDING)""")
+HALF = f"""l AS (SELECT *, lag(z) OVER ({OVER}) AS z1 FROM signals), h AS (SELECT *, CASE WHEN count(z1) OVER w >= 48 THEN greatest(50, least(500, -ln(2) / ln(greatest(0.01::DOUBLE, least(0.99::DOUBLE, covar_samp(z, z1) OVER w / var_samp(z) OVER w))))) END AS half_life FROM l WINDOW w AS ({OVER} ROWS 47 PRECEDING))"""
+
+
+def with_half_life(spark, sf):
+    """Signals with a rolling half-life, missing until it has 48 bars."""
+    d = X.signals(spark, sf).withColumn("z1", F.lag("z").over(of_pair()))
+    return d.withColumn("half_life", F.when(F.count("z1").over(X.rows(of_pair(), 48)) >= 48, E.rolling_half_life(48))).drop("z1")
+
+
+def within(x: str, lo: float, hi: float) -> str:
+    return f"CASE WHEN {x} IS NOT NULL THEN greatest({lo}::DOUBLE, least({hi}::DOUBLE, {x})) END"
+
+
+def rounds(columns: dict[str, str], digits: int = 5) -> str:
+    return ", ".join(f"round({x}, {digits}) + 0.0 AS {n}" for n, x in columns.items())
+
+
+SCORE_FEATURES = {
+    "z_score_abs": "abs(z)",
+    "z_normalized": "(abs(z) - 1.5::DOUBLE) / 2.5::DOUBLE",
+    "z_dist_from_optimal": "abs(abs(z) - 2.75::DOUBLE) / 2.5::DOUBLE",
+    "z_velocity": "abs(v)",
+    "is_expanding": "coalesce(z * v > 0, false)::INT::DOUBLE",
+    "is_reverting": "coalesce(z * v < 0, false)::INT::DOUBLE",
+    "is_fresh_extreme": "coalesce(abs(z) - abs(z3) >= -0.1::DOUBLE * 3, false)::INT::DOUBLE",
+    "is_stale_signal": "coalesce(abs(z6) > abs(z) AND z * v < 0, false)::INT::DOUBLE",
+    "z_acceleration": "abs(v - (z3 - z6) / 3) / 3",
+    "expected_profit": within("expected_profit", -0.1, 0.1),
+    "expected_hold_bars": within("expected_hold::DOUBLE", 0, 2000),
+    "profit_per_bar": within("(expected_profit / nullif(expected_hold, 0))", -0.001, 0.001),
+    "spread_volatility": "vol",
+    "vol_trend": within("(vol / nullif(vm, 0))", 0.5, 2),
+    "half_life_bars": "coalesce(half_life, 500)::DOUBLE",
+    "half_life_normalized": within("(coalesce(half_life, 500) / 240)", 0.1, 5),
+    "mean_reversion_rate": "ln(2) / greatest(60::DOUBLE, least(2000::DOUBLE, coalesce(half_life, 500)))",
+    "kalman_gain": "0.5::DOUBLE",
+    "beta_abs": within("abs(beta)", 0, 5),
+    "beta_drift_recent": within("abs(beta - b24)", 0, 1),
+    "rolling_zero_crosses": "crosses",
+}
+
+
+@query(f"""WITH {S}, {HALF}, a AS (SELECT *, lag(z, 3) OVER ({OVER}) AS z3, lag(z, 6) OVER ({OVER}) AS z6, lag(beta, 24) OVER ({OVER}) AS b24, CASE WHEN count(vol) OVER w = 24 THEN avg(vol) OVER w END AS vm, coalesce(z * z1 < 0, false)::INT AS c FROM h WINDOW w AS ({OVER} ROWS 23 PRECEDING)),
+ f AS (SELECT *, (z - z3) / 3 AS v, CASE WHEN count(*) OVER p = 240 THEN sum(c) OVER p ELSE 0 END::DOUBLE AS crosses FROM a WINDOW p AS ({OVER} ROWS 239 PRECEDING))
+SELECT pair, ts, {rounds(SCORE_FEATURES)} FROM f""")
 def signal_features(spark, sf):
-    """Features of a signal for models."""
-    d = X.signals(spark, sf).withColumns({"z1": F.lag("z").over(of_pair()), "b24": F.lag("beta", 24).over(of_pair())})
-    w = X.rows(of_pair(), 24)
-    cross = F.coalesce(F.col("z") * F.col("z1") < 0, F.lit(False)).cast("long")
-    d = d.withColumn("cross", cross)
-    out = d.select("pair", "ts", F.abs("z").alias("abs_z"), (F.col("z") - F.col("z1")).alias("dz"), (F.col("expected_profit") / F.greatest("expected_hold", F.lit(1))).alias("profit_per_bar"), (F.col("vol") / F.avg("vol").over(w) - 1).alias("vol_trend"), F.round(F.col("beta") - F.col("b24"), 5).alias("beta_drift"), F.sum("cross").over(w).alias("crossings"))
-    return rounded(out)
+    """21 features of a signal for a score."""
+    return rounded(T.for_scores(with_half_life(spark, sf), 1.5, 4.0), 5)
+
+
+RISK_FEATURES = {
+    "z_score_abs": "abs(z)",
+    "z_normalized": "abs(z) / 1.5::DOUBLE",
+    "z_velocity": "z - z3",
+    "is_fresh_extreme": "coalesce(abs(z) > 1.5 AND abs(z1) <= 1.5, false)::INT::DOUBLE",
+    "is_reverting": "coalesce(abs(z) < abs(z1) AND abs(z) > 0.5, false)::INT::DOUBLE",
+    "spread_volatility": "vol",
+    "spread_vol_ratio": within("(vol / greatest(mid, 1e-6))", 0.1, 10),
+    "spread_autocorr_lag1": "CASE WHEN n = 24 THEN coalesce(ac, 0) ELSE 0 END::DOUBLE",
+    "kalman_gain": "0.5::DOUBLE",
+    "beta_drift_recent": "abs(beta - b24)",
+    "half_life_normalized": "half_life / 240",
+    "hours_since_last_trade": "24::DOUBLE",
+    "recent_mae_same_pair": "0.01::DOUBLE",
+    "vol_regime_pctl": "coalesce(vol_rank, 0.5)",
+    "trend_autocorr": "coalesce(trend, 0)::DOUBLE",
+}
+
+
+@query(f"""WITH {X.RETURNS}, {S[len(X.BARS) + 2:]}, {HALF}, b AS (SELECT ts, ret, lag(ret) OVER (ORDER BY ts) AS r1 FROM returns WHERE symbol = 'click'),
+ bw AS (SELECT ts, CASE WHEN count(ret) OVER w = 336 THEN round(stddev_samp(ret) OVER w, 9) END AS bv, CASE WHEN count(ret) OVER w = 336 THEN CASE WHEN stddev_samp(ret) OVER q * stddev_samp(r1) OVER q > 1e-12 THEN covar_samp(ret, r1) OVER q / (stddev_samp(ret) OVER q * stddev_samp(r1) OVER q) END END AS trend FROM b WINDOW w AS (ORDER BY ts ROWS 335 PRECEDING), q AS (ORDER BY ts ROWS 334 PRECEDING)),
+ br AS (SELECT ts, trend, CASE WHEN bv IS NOT NULL THEN (rank() OVER (ORDER BY bv NULLS LAST) + (count(bv) OVER (PARTITION BY bv) - 1) / 2) / count(bv) OVER () END AS vol_rank FROM bw),
+ a AS (SELECT *, z - z1 AS d, lag(z, 3) OVER ({OVER}) AS z3, lag(beta, 24) OVER ({OVER}) AS b24, quantile_cont(vol, 0.5) OVER (PARTITION BY pair) AS mid FROM h), c AS (SELECT *, lag(d) OVER ({OVER}) AS d1 FROM a),
+ f AS (SELECT *, count(d) OVER w AS n, CASE WHEN stddev_samp(d) OVER q * stddev_samp(d1) OVER q > 1e-12 THEN covar_samp(d, d1) OVER q / (stddev_samp(d) OVER q * stddev_samp(d1) OVER q) END AS ac FROM c WINDOW w AS ({OVER} ROWS 23 PRECEDING), q AS ({OVER} ROWS 22 PRECEDING))
+SELECT pair, f.ts, {rounds(RISK_FEATURES)} FROM f LEFT JOIN br ON f.ts = br.ts""")
+def risk_features(spark, sf):
+    """15 features for the risk of an entry, those of a benchmark's regime included."""
+    return rounded(T.for_risk(with_half_life(spark, sf), T.benchmark_state(X.returns(spark, sf), "click"), 1.5), 5)
 
 
 @query(f"""WITH {S}, d AS (SELECT pair, ts, spread - lag(spread) OVER ({OVER}) AS d FROM signals)
@@ -294,6 +362,21 @@ def entry_masks(spark, sf):
     return E.masks(X.signals(spark, sf), 1.5, 0.5, 3.5, 3.0, 0.1, 0.2, beta=True).select("pair", "ts", "gate_z", "gate_profit", "gate_bound", "gate_vol", "entry_mask", "exit_mask")
 
 
+@query(f"""WITH {S}, a AS (SELECT *, abs(z) AS a, coalesce(abs(z) > 0.8, false) AS above, lag(z) OVER ({OVER}) AS b, lag(z, 3) OVER ({OVER}) AS z3, row_number() OVER ({OVER}) AS k, expected_profit / (1 + abs(beta)) AS profit FROM signals),
+ o AS (SELECT *, z - b AS v, (z - z3) / 3 AS velocity, max(CASE WHEN NOT above THEN k END) OVER ({OVER} ROWS 9 PRECEDING) AS o, CASE WHEN count(z * b) OVER w >= 24 AND stddev_samp(z) OVER w * stddev_samp(b) OVER w > 1e-12 THEN (avg(z * b) OVER w - avg(z) OVER w * avg(b) OVER w) / (stddev_samp(z) OVER w * stddev_samp(b) OVER w) END AS lag1 FROM a WINDOW w AS ({OVER} ROWS 23 PRECEDING)),
+ n AS (SELECT *, CASE WHEN above THEN k - coalesce(o, greatest(k - 10, 0)) - 1 ELSE -1 END AS since FROM o),
+ t AS (SELECT *, CASE WHEN k >= 4 AND since BETWEEN 2 AND 10 AND ((z > 0 AND v < -0.05) OR (z <= 0 AND v > 0.05)) THEN 0.4 * least(abs(v) / 0.2, 1) + 0.4 * least(CASE WHEN abs(b) > 1e-10 THEN (abs(b) - a) / abs(b) ELSE 0 END / 0.1, 1) + 0.2 * CASE WHEN since BETWEEN 3 AND 5 THEN 1 WHEN since < 3 THEN since / 3 ELSE greatest(0.2, 1 - (since - 5) / 5) END ELSE 0 END AS confidence,
+  coalesce(0.35 * greatest(0, least(1, 1 - abs(a - 2.4) / 1.6)) + 0.25 * greatest(0, least(1, -sign(z) * velocity)) + 0.25 * greatest(0, least(1, profit / 0.02)) + 0.15 / (1 + vol), 0) AS score, greatest(1.2, 2 + 2 * 0.0028 / CASE WHEN vol > 1e-9 THEN vol END) AS dynamic_z,
+  CASE WHEN profit >= 0.1 AND a >= 2.5 THEN -sign(z) * greatest(0, least(1, (a - 2.5) / 1)) ELSE 0 END AS size, coalesce(vol BETWEEN 0.2 AND 5, false) AS vol_ok FROM n),
+ p AS (SELECT *, coalesce(profit > 0.1 AND a < 4 AND a > 0.8 AND abs(b) > 0.8 AND a < abs(b) AND z * velocity < 0 AND coalesce(lag1 <= 0.8, true) AND expected_hold BETWEEN 2 AND 12 AND confidence >= 0.5, false) AS gated, coalesce(profit > 0.1 AND a < 4 AND a > 0.8 AND score >= 0.55, false) AS scored,
+  coalesce(profit > 0.1 AND a < 4 AND a > dynamic_z, false) AS dynamic, coalesce(abs(size) > 0.01, false) AS continuous FROM t)
+SELECT pair, ts, round(size, 6) + 0.0 AS size, gated, scored, dynamic, continuous, vol_ok, (gated OR dynamic OR continuous) AND vol_ok AS by_gates, (scored OR dynamic OR continuous) AND vol_ok AS by_score FROM p""")
+def entry_paths(spark, sf):
+    """H4: entries by gates, by score, beyond a moving threshold, and by continuous exposure."""
+    d = E.entry_paths(X.signals(spark, sf), 0.8, 4.0, 0.1, 0.55, 0.0028, (2, 12), (0.2, 5.0), 0.8, 24, base=2.0, sizes=(2.5, 3.5))
+    return keep(d, "size", "gated", "scored", "dynamic", "continuous", "vol_ok", "by_gates", "by_score")
+
+
 @query(f"""WITH {S}, v AS (SELECT *, (z - lag(z, 3) OVER ({OVER})) / 3 AS velocity FROM signals)
 SELECT pair, ts, round(coalesce(0.35 * greatest(0, least(1, 1 - abs(abs(z) - 2.75) / 1.25)) + 0.25 * greatest(0, least(1, -sign(z) * velocity)) + 0.25 * greatest(0, least(1, expected_profit / 0.02)) + 0.15 / (1 + vol), 0), 6) + 0.0 AS score FROM v WHERE velocity IS NOT NULL""")
 def signal_score(spark, sf):
