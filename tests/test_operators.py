@@ -7,7 +7,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.operators import asof, bars, entries, ledger, learning, pairs, universe, walkforward
+from tickloom.operators import asof, bars, entries, features, ledger, learning, pairs, universe, walkforward
+from tickloom.plans import fixtures
 from tickloom.sources import runs, tables
 from tickloom.streaming import kalman, regimes, ticks
 
@@ -273,3 +274,27 @@ def test_histories_skip_bad_lines_and_reports_come_back(spark, tmp_path):
     runs.write_report(report, str(tmp_path / "r"))
     for kind in ("csv", "json"):
         assert sorted(runs.read_report(spark, str(tmp_path / "r"), report.schema, kind).collect(), key=str) == sorted(report.collect(), key=str)
+
+
+def test_cells_of_a_sweep_are_runs(spark, sf):
+    b, w = fixtures.pair_bars(spark, sf).where("pair in ('click-view', 'click-purchase', 'error-view')"), fixtures.windows(spark)
+    got = {(r["max_p"], r["entry_z"], r["exit_z"]): r for r in walkforward.sweep_runs(b, w, [1.5, 9.0], [0.5], [0.01, 1.0]).collect()}
+    assert len(got) == 4 and sorted(r["rank_net"] for r in got.values()) == [1, 2, 3, 4]
+    for p in (0.01, 1.0):
+        alone = walkforward.run(b, w, max_p=p, entry=1.5, leave=0.5).agg(F.coalesce(F.sum("trades"), F.lit(0)).alias("trades"), F.coalesce(F.sum("net"), F.lit(0.0)).alias("net")).first()
+        assert got[(p, 1.5, 0.5)]["trades"] == alone["trades"] and got[(p, 1.5, 0.5)]["net"] == pytest.approx(alone["net"])
+        assert got[(p, 9.0, 0.5)]["trades"] == 0 and got[(p, 9.0, 0.5)]["cheap"] is False
+    assert got[(1.0, 1.5, 0.5)]["trades"] > 0
+
+
+def test_features_of_missing_figures(spark):
+    rows = [("p", i, z, v, 1.0 + i, 0.2, h, None) for i, (z, v, h) in enumerate([(None, None, 0), (2.0, 0.1, 2), (-2.5, 0.2, 0), (1.0, None, 3)])]
+    d = spark.createDataFrame(rows, "pair string, ts int, z double, vol double, beta double, expected_profit double, expected_hold long, half_life double")
+    s = {r["ts"]: r for r in features.for_scores(d, 1.5, 4.0).collect()}
+    assert s[0]["z_score_abs"] is None and s[0]["is_expanding"] == 0 and s[0]["half_life_bars"] == 500 and s[0]["rolling_zero_crosses"] == 0
+    assert s[1]["profit_per_bar"] == 0.001 and s[2]["profit_per_bar"] is None and s[2]["expected_profit"] == 0.1 and s[3]["spread_volatility"] is None
+    empty = spark.createDataFrame([], "ts int, vol_regime_pctl double, trend_autocorr double")
+    r = {x["ts"]: x for x in features.for_risk(d, empty, 1.5).collect()}
+    assert (r[1]["vol_regime_pctl"], r[1]["trend_autocorr"], r[1]["spread_autocorr_lag1"], r[1]["half_life_normalized"]) == (0.5, 0.0, 0.0, None)
+    assert [r[i]["is_fresh_extreme"] for i in range(4)] == [0, 0, 0, 0] and r[3]["is_reverting"] == 1 and r[2]["spread_vol_ratio"] == pytest.approx(0.2 / 0.15)
+    assert features.for_scores(d.limit(0), 1.5, 4.0).count() == 0

@@ -72,16 +72,37 @@ def trade_funding(trades: DataFrame, per_bar: DataFrame) -> DataFrame:
     return d.withColumn("funding", -F.col("dir") * (F.col("r1") - F.col("r0"))).select(*trades.columns, "funding")
 
 
+def picked_spreads(pair_bars: DataFrame, windows: DataFrame, max_p: float, n: int) -> DataFrame:
+    """Test bars of the pairs that pass the test on train, with p_value, beta and z; z also looks back into train."""
+    d = with_windows(pair_bars, windows)
+    picked = P.scan(d.where("role = 'train'").select("window_id", "pair", "ts", "y", "x"), ("window_id", "pair")).where(F.col("p_value") <= max_p).select("window_id", "pair", "p_value", F.col("beta").alias("hedge"))
+    w = Window.partitionBy("window_id", "pair").orderBy("ts").rowsBetween(1 - n, 0)
+    s = d.join(picked, ["window_id", "pair"]).withColumn("spread", F.col("y") - F.col("hedge") * F.col("x"))
+    s = s.withColumn("z", F.when((F.count("spread").over(w) >= n) & (F.stddev_samp("spread").over(w) > 1e-9), (F.col("spread") - F.avg("spread").over(w)) / F.stddev_samp("spread").over(w)))
+    return s.where("role = 'test'").withColumn("beta", F.col("hedge"))
+
+
 def run(pair_bars: DataFrame, windows: DataFrame, max_p: float = 0.5, n: int = 24, entry: float = 1.5, leave: float = 0.5) -> DataFrame:
     """(window_id, pair, trades, win_rate, gross, net) of a run: pairs are picked on train, signals and trades made on test.
 
     All windows are one job; no window needs another's result.
     """
-    d = with_windows(pair_bars, windows)
-    picked = P.scan(d.where("role = 'train'").select("window_id", "pair", "ts", "y", "x"), ("window_id", "pair")).where(F.col("p_value") <= max_p).select("window_id", "pair", F.col("beta").alias("hedge"))
-    w = Window.partitionBy("window_id", "pair").orderBy("ts").rowsBetween(1 - n, 0)
-    s = d.join(picked, ["window_id", "pair"]).withColumn("spread", F.col("y") - F.col("hedge") * F.col("x"))
-    s = s.withColumn("z", F.when((F.count("spread").over(w) >= n) & (F.stddev_samp("spread").over(w) > 1e-9), (F.col("spread") - F.avg("spread").over(w)) / F.stddev_samp("spread").over(w)))
-    s = s.where("role = 'test'").withColumns({"beta": F.col("hedge"), "entry_mask": F.coalesce(F.abs("z") > entry, F.lit(False)), "exit_mask": F.coalesce(F.abs("z") < leave, F.lit(False))})
+    s = picked_spreads(pair_bars, windows, max_p, n).withColumns({"entry_mask": F.coalesce(F.abs("z") > entry, F.lit(False)), "exit_mask": F.coalesce(F.abs("z") < leave, F.lit(False))})
     t = L.fold_trades(s, ["window_id"], 5e-4, 5e-4, 48, 0.5)
     return L.ledger_stats(t, ["window_id", "pair"], total=False).select("window_id", "pair", "trades", "win_rate", "gross", "net")
+
+
+def sweep_runs(pair_bars: DataFrame, windows: DataFrame, entries: Sequence[float], leaves: Sequence[float], max_ps: Sequence[float], n: int = 24) -> DataFrame:
+    """(max_p, entry_z, exit_z, trades, win_rate, gross, net, cost_to_gross, cheap, rank_net): a run of all windows for each cell of the grid.
+
+    Pairs are tested once, at the loosest limit; cells are rows of the same job, and a task folds one pair of one window and cell. A cell
+    without a trade has 0 trades and no rate. Ranks, over the cells alone, go by net, then by the cell.
+    """
+    axis = lambda xs: F.array(*(F.lit(float(x)) for x in xs))
+    cell = ["max_p", "entry_z", "exit_z"]
+    grid = lambda d: d.withColumn("max_p", F.explode(axis(max_ps))).withColumn("entry_z", F.explode(axis(entries))).withColumn("exit_z", F.explode(axis(leaves)))
+    s = grid(picked_spreads(pair_bars, windows, max(max_ps), n)).where("p_value <= max_p")
+    s = s.withColumns({"entry_mask": F.coalesce(F.abs("z") > F.col("entry_z"), F.lit(False)), "exit_mask": F.coalesce(F.abs("z") < F.col("exit_z"), F.lit(False))})
+    t = L.ledger_stats(L.fold_trades(s, [*cell, "window_id"], 5e-4, 5e-4, 48, 0.5), cell, total=False).select(*cell, "trades", "win_rate", "gross", "net", "cost_to_gross")
+    all_ = grid(pair_bars.sparkSession.range(1)).drop("id").join(t, cell, "left").fillna(0, ["trades"]).fillna(0.0, ["gross", "net"])
+    return all_.withColumns({"cheap": F.coalesce(F.col("cost_to_gross") < 0.5, F.lit(False)), "rank_net": F.row_number().over(Window.orderBy(F.round("net", 9).desc(), *cell)).cast("long")})

@@ -605,6 +605,12 @@ def walk_forward_run(spark, sf):
     return W.run(X.pair_bars(spark, sf), X.windows(spark))
 
 
+@query()
+def sweep_runs(spark, sf):
+    """A run of all windows for each cell of entry, exit and test limit, ranked."""
+    return W.sweep_runs(X.pair_bars(spark, sf), X.windows(spark), [1.0, 1.5, 2.0], [0.0, 0.5], [0.05, 0.5])
+
+
 @query()
 def trade_ledger(spark, sf):
     """K1: trades of each test window, no more than three at a time and one for each leg; a window's last bar closes what is open."""
