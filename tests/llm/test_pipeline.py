@@ -1,13 +1,21 @@
 """The pipeline against the same stages done by hand."""
 
+import itertools
+import re
+from collections import Counter
 
 import pytest
 
 import corpus_pipeline
-from tickloom.llm import packing, pii, quality_gam, simhash
+from tickloom.llm import packing, pii, quality_gam
 from tickloom.llm.common import written
 
 
+def shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
 @pytest.fixture(scope="module")
 def stages(spark, sf):
     docs, out = spark.read.parquet(f"{sf}/documents.parquet"), []
@@ -22,21 +30,25 @@ def test_stages_one_by_one(spark, sf, stages):
     quality = quality_gam.quality(docs, spark.read.parquet(f"{sf}/labels.parquet")).toPandas()
     kept = sorted(quality[quality["predicted"] == 1]["doc_id"])
     assert sorted(stages[0]["doc_id"]) == kept and list(stages[0].columns) == docs.columns
-    # near-copies, by all pairs
-    fp = {r.doc_id: simhash.fingerprint(r.text) for r in stages[0].itertuples()}
-    root = {i: i for i in fp}
+    # near-copies, by all pairs of texts with a common shingle
+    sets = {r.doc_id: shingles(r.text) for r in stages[0].itertuples()}
+    holders = {}
+    for i, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    common = Counter(pair for ids in holders.values() for pair in itertools.combinations(sorted(ids), 2))
+    root = {i: i for i in sets}
 
     def find(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    for i in fp:
-        for j in fp:
-            if i < j and (fp[i] ^ fp[j]).bit_count() <= 4:
-                a, b = sorted((find(i), find(j)))
-                root[b] = a
-    assert sorted(stages[1]["doc_id"]) == sorted({find(i) for i in fp})
+    for (i, j), n in common.items():
+        if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n):
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    assert sorted(stages[1]["doc_id"]) == sorted({find(i) for i in sets})
     before = dict(zip(stages[1]["doc_id"], stages[1]["text"]))
     for r in stages[2].itertuples():
         assert r.text == pii.pseudonymize_text(before[r.doc_id], pii.Pseudonyms(pii.session_key(spark)), dict.fromkeys(pii.KINDS, 0)) and r.n_chars == len(r.text)

@@ -1,6 +1,7 @@
 """Cases in which an operator once did less than its whole job."""
 
 import collections
+import random
 
 import pytest
 
@@ -64,3 +65,29 @@ def test_no_domain_vanishes(spark):
     labels = docs.selectExpr("doc_id", "concat('d', doc_id + 100) as domain")
     _, domains = mixing.posteriors(docs, labels)
     assert domains == [f"d{i}" for i in range(100, 170)]
+
+
+def test_near_copies_by_similarity(spark):
+    """Pairs by band of similarity: nearly all at 0.8 and above go, none below."""
+    rng, rows, similar = random.Random(5), [], {}
+    for i in range(300):
+        words = [f"w{rng.randrange(100_000)}" for _ in range(rng.randrange(60, 400))]
+        changed = list(words)
+        for at in rng.sample(range(len(words)), rng.randrange(1, max(2, len(words) // 25))):
+            changed[at] = "other"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(changed).upper())]
+        a, b = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (words, changed))
+        similar[i] = len(a & b) / len(a | b)
+    rows += [(1000 + i, rows[0][1]) for i in range(200)] + [(2000, None), (2001, ""), (2002, " \n"), (2003, "one two"), (2004, "ONE  two"), (2005, "two one")]
+    got = {r["doc_id"] for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    near = [i for i, j in similar.items() if j >= 0.8]
+    assert all({2 * i, 2 * i + 1} <= got for i in similar if similar[i] < 0.8)
+    assert len(near) > 50 and sum(2 * i + 1 not in got for i in near) >= 0.98 * len(near) and all(2 * i in got for i in near)
+    assert {x for x in got if x >= 1000} == {2000, 2003, 2005}
+
+
+def test_length_and_number_of_fingerprints():
+    """Longer and more of them for more rows; always the recall asked for."""
+    sizes = [simhash.tables(n, 0.8, 0.98, 1) for n in (0, 1, 1000, 10**6, 10**10)]
+    assert sizes == sorted(sizes) and sizes[0][1] >= 1 and sizes[-1][0] < 48
+    assert simhash.tables(1000, 1.0, 0.98, 1)[1] == 1

@@ -7,6 +7,9 @@ for 64 bits and r = 2), so what is shuffled first is only a sorted, bit-packed a
 hold; the chunk then sends those few variants in full, and the links that they make are verified. Every group that
 a task sees is bounded: a chunk by its number of fingerprints, a bucket by the hash, one variant by the ball around it.
 Copies fold into their fingerprint before anything else, however many there are.
+
+deduplicated() takes a similarity of shingle sets instead of a number of bits: several shorter fingerprints of a text go
+through the same balls, each marked with its number in the bits above, and candidates are verified on whole texts.
 """
 
 from __future__ import annotations
@@ -98,12 +101,12 @@ def unpacked(counts: bytes, low: bytes, low_bytes: int) -> np.ndarray:
     return out.view("<u8").ravel().astype(np.uint64) | np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(8 * low_bytes)
 
 
-def near_pairs(fps: DataFrame, radius: int = 2, chunk: int = CHUNK, bucket: int = BUCKET) -> DataFrame:
-    """Links (a, b), a < b, between distinct fingerprints (column fp) within 2 radius bits.
+def near_pairs(fps: DataFrame, radius: int = 2, chunk: int = CHUNK, bucket: int = BUCKET, bits: int = 64) -> DataFrame:
+    """Links (a, b), a < b, between distinct fingerprints (column fp) that agree above their low bits and differ in at most 2 radius of these.
 
     Of the fingerprints that share a variant, each links to the smallest, so that components are those of all links.
     """
-    masks = ball(radius)
+    masks = ball(radius, bits)
     total = fps.count() * len(masks)
     chunks = max(1, math.ceil(total / len(masks) / chunk))
     bucket_bits = max(0, math.ceil(math.log2(max(1, total / bucket))))
@@ -143,10 +146,11 @@ def near_pairs(fps: DataFrame, radius: int = 2, chunk: int = CHUNK, bucket: int
         wanted = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in hits["hits"]]))
         fp = np.unique(own["fp"].to_numpy().view(np.uint64))
         found: list[tuple[np.ndarray, np.ndarray]] = []
-        for i in range(0, len(masks), 64):
-            h = variant_hashes(fp, masks[i : i + 64], width)
+        step = max(1, 64 * CHUNK // len(fp))
+        for i in range(0, len(masks), step):
+            h = variant_hashes(fp, masks[i : i + step], width)
             k, j = np.nonzero((wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h))
-            found.append((fp[j] ^ masks[i : i + 64][k], fp[j]))
+            found.append((fp[j] ^ masks[i : i + step][k], fp[j]))
         v, f = (np.concatenate(x) for x in zip(*found))
         to = (mixed(v.copy()) >> np.uint64(64 - width) >> np.uint64(rest)).astype(np.int64)
         order = np.argsort(to, kind="stable")
@@ -220,15 +224,100 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", s
     return fps.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def deduplicated(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 2) -> DataFrame:
+def word_shingles(text: str | None, shingle: int) -> tuple[int, np.ndarray]:
+    """A hash of the words (signed) and those of their shingles, repeats included; A-Z in lower case, (0, none) without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return 0, np.empty(0, np.uint64)
+    joined, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words]) - 1
+    k = max(1, len(words) - shingle + 1)
+    starts = np.concatenate([[0], ends[:-1] + 1])[:k].tolist()
+    return signed(xxhash.xxh64_intdigest(joined, 7)), np.array([xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, ends[-k:].tolist())], np.uint64)
+
+
+def majority(hashes: np.ndarray, n: int) -> np.ndarray:
+    """The n bits of a long SimHash; each 64 of them come from the hashes mixed anew."""
+    out, rows = [], 255  # so many bits add up within a byte
+    for i in range(-(-n // 64)):
+        total = np.zeros(64, np.int64)
+        for a in range(0, len(hashes), rows << 7):
+            h = mixed(hashes[a : a + (rows << 7)] ^ np.uint64((i * int(MIX)) & (1 << 64) - 1))
+            h = np.concatenate([h, np.zeros(-len(h) % rows, np.uint64)])
+            total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).reshape(-1, rows, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+        out.append(2 * total > len(hashes))
+    return np.concatenate(out)[:n]
+
+
+def tables(rows: int, similarity: float, recall: float, radius: int) -> tuple[int, int]:
+    """(bits, n): the length and number of short fingerprints by which rows texts are searched.
+
+    Bits grow with the logarithm of rows, so that a variant meets an unrelated text once in 50 at any size. n follows: a pair whose
+    shingle sets are as similar as asked for differs in a bit with the chance angle / pi, and is to be within 2 radius
+    bits in one of the n with the chance recall.
+    """
+    bits = 8
+    while rows * len(ball(radius, bits)) > 0.02 * 2**bits:
+        bits += 1
+    p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    one = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(2 * radius + 1))
+    return bits, 1 if one >= recall else math.ceil(math.log(1 - recall) / math.log(1 - one))
+
+
+def jaccard(a: Column, b: Column, shingle: int) -> Column:
+    """Similarity of two texts' sets of shingles."""
+
+    @F.pandas_udf("double")
+    def go(x: pd.Series, y: pd.Series) -> pd.Series:
+        last, out = (None, None), []
+        for s, t in zip(x, y):
+            if s != last[0]:
+                last = (s, np.unique(word_shingles(s, shingle)[1]))
+            other = np.unique(word_shingles(t, shingle)[1])
+            both = len(np.intersect1d(last[1], other, assume_unique=True))
+            out.append(both / max(1, len(last[1]) + len(other) - both))
+        return pd.Series(out, dtype="float64")
+
+    return go(a, b)
+
+
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.98, radius: int = 1) -> DataFrame:
     """One row of each component of df: that with the least id, and of several with this id that with the least hash of its text.
 
+    Rows link if their sets of word shingles have a Jaccard similarity of at least `similarity`. Candidates come from several short
+    fingerprints of a text (see tables), each searched by balls of half the radius; every candidate is verified on whole
+    texts. Equal word sequences are one class whatever their number; null and empty texts are one, too. A variant's
+    members are held against its least one, so a link may also be missed where that is no near copy of either.
+
     So a row only goes if another one of its component stays, whatever texts share an id. Rows with a null id can't be
     referred to: they take no part, and stay.
     """
+    bound_batches(df.sparkSession)
     key = [F.col(quoted(id_col)).alias("__id"), F.xxhash64(F.col(quoted(text))).alias("__hash")]
     named = df.where(F.col(quoted(id_col)).isNotNull())
-    fps = written(with_fingerprints(named.select(*key, F.col(quoted(text)).alias("text")), "text", shingle).select("__id", "__hash", "fp"), "fingerprints")
-    kept = rooted(fps, F.struct("__id", "__hash"), radius).groupBy("root").agg(F.min("least").alias("least")).select("least.*")
+    bits, n = tables(named.count(), similarity, recall, radius)
+
+    @F.pandas_udf("class long, at array<long>")
+    def prints(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        weights, tags = np.int64(1) << np.arange(bits, dtype=np.int64), np.arange(n, dtype=np.int64) << np.int64(bits)
+        for texts in batches:
+            rows = []
+            for x in texts:
+                name, hashes = word_shingles(x, shingle)
+                rows.append((name, majority(hashes, bits * n).reshape(n, bits) @ weights + tags if len(hashes) else np.empty(0, np.int64)))
+            yield pd.DataFrame(rows, columns=["class", "at"])
+
+    fps = written(named.select(*key, prints(F.col(quoted(text))).alias("p")).select("__id", "__hash", "p.*"), "prints")
+    classes = written(fps.groupBy("class").agg(F.min(F.struct("__id", "__hash")).alias("least"), F.first("at").alias("at")), "classes")
+    cells = classes.select("class", F.explode("at").alias("fp"))
+    firsts = written(cells.groupBy("fp").agg(F.min("class").alias("first"), F.count("*").alias("n")), "cells")
+    near = near_pairs(firsts.select("fp"), radius, chunk=CHUNK * len(ball(2)) // len(ball(radius, bits)), bits=bits)
+    inside = cells.join(firsts.where("n > 1"), "fp").select(F.col("class").alias("x"), F.col("first").alias("y"))
+    across = near.join(firsts.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select("x", "y")
+    pairs = written(inside.union(across).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "candidates")
+    held = classes.join(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct(), "class", "left_semi").select("class", "least.*")
+    texts = written(named.select(*key, F.col(quoted(text)).alias("text")).dropDuplicates(["__id", "__hash"]).join(held, ["__id", "__hash"]).select("class", "text"), "texts")
+    sides = pairs.join(texts.toDF("a", "s"), "a").join(texts.toDF("b", "t"), "b")
+    roots = components(sides.where(jaccard(F.col("s"), F.col("t"), shingle) >= similarity).select("a", "b"))
+    kept = classes.join(roots, classes["class"] == roots["node"], "left").groupBy(F.coalesce("root", "class").alias("root")).agg(F.min("least").alias("least")).select("least.*")
     stay = named.select(F.struct(*(F.col(quoted(c)) for c in df.columns)).alias("__row"), *key).join(kept, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"]).select("__row.*")
     return stay.unionByName(df.where(F.col(quoted(id_col)).isNull()))
