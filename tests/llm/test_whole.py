@@ -89,5 +89,5 @@ def test_near_copies_by_similarity(spark):
 def test_length_and_number_of_fingerprints():
     """Longer and more of them for more rows; always the recall asked for."""
     sizes = [simhash.tables(n, 0.8, 0.98, 1) for n in (0, 1, 1000, 10**6, 10**10)]
-    assert sizes == sorted(sizes) and sizes[0][1] >= 1 and sizes[-1][0] < 48
+    assert sizes == sorted(sizes) and all(x[2] < x[0] * x[1] for x in sizes) and sizes[0][1] >= 1 and sizes[-1][0] < 48
     assert simhash.tables(1000, 1.0, 0.98, 1)[1] == 1

@@ -237,30 +237,30 @@ def word_shingles(text: str | None, shingle: int) -> tuple[int, np.ndarray]:
 
 def majority(hashes: np.ndarray, n: int) -> np.ndarray:
     """The n bits of a long SimHash; each 64 of them come from the hashes mixed anew."""
-    out, rows = [], 255  # so many bits add up within a byte
-    for i in range(-(-n // 64)):
-        total = np.zeros(64, np.int64)
-        for a in range(0, len(hashes), rows << 7):
-            h = mixed(hashes[a : a + (rows << 7)] ^ np.uint64((i * int(MIX)) & (1 << 64) - 1))
-            h = np.concatenate([h, np.zeros(-len(h) % rows, np.uint64)])
-            total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).reshape(-1, rows, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
-        out.append(2 * total > len(hashes))
-    return np.concatenate(out)[:n]
+    words, rows = -(-n // 64), 255  # so many bits add up within a byte
+    salts = np.arange(words, dtype=np.uint64) * MIX
+    total = np.zeros(64 * words, np.int64)
+    for a in range(0, len(hashes), rows << 3):
+        h = mixed(hashes[a : a + (rows << 3), None] ^ salts).view(np.uint8)
+        for i in range(0, len(h), rows):
+            total += np.unpackbits(h[i : i + rows], axis=1).sum(axis=0, dtype=np.uint8)
+    return (2 * total > len(hashes))[:n]
 
 
-def tables(rows: int, similarity: float, recall: float, radius: int) -> tuple[int, int]:
-    """(bits, n): the length and number of short fingerprints by which rows texts are searched.
+def tables(rows: int, similarity: float, recall: float, radius: int) -> tuple[int, int, int]:
+    """(bits, n, limit): the length and number of short fingerprints by which rows texts are searched, and most bits that differ in all.
 
     Bits grow with the logarithm of rows, so that a variant meets an unrelated text once in 50 at any size. n follows: a pair whose
     shingle sets are as similar as asked for differs in a bit with the chance angle / pi, and is to be within 2 radius
-    bits in one of the n with the chance recall.
+    bits in one of the n with the chance recall. The limit is five deviations above the mean of such pairs.
     """
     bits = 8
     while rows * len(ball(radius, bits)) > 0.02 * 2**bits:
         bits += 1
     p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
     one = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(2 * radius + 1))
-    return bits, 1 if one >= recall else math.ceil(math.log(1 - recall) / math.log(1 - one))
+    n = 1 if one >= recall else math.ceil(math.log(1 - recall) / math.log(1 - one))
+    return bits, n, math.ceil(bits * n * p + 5 * math.sqrt(bits * n * p * (1 - p)))
 
 
 def jaccard(a: Column, b: Column, shingle: int) -> Column:
@@ -284,8 +284,8 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text: str = "text", shin
     """One row of each component of df: that with the least id, and of several with this id that with the least hash of its text.
 
     Rows link if their sets of word shingles have a Jaccard similarity of at least `similarity`. Candidates come from several short
-    fingerprints of a text (see tables), each searched by balls of half the radius; every candidate is verified on whole
-    texts. Equal word sequences are one class whatever their number; null and empty texts are one, too. A variant's
+    fingerprints of a text (see tables), each searched by balls of half the radius; candidates are verified on all
+    fingerprints, then on whole texts. Equal word sequences are one class whatever their number; null and empty texts are one, too. A variant's
     members are held against its least one, so a link may also be missed where that is no near copy of either.
 
     So a row only goes if another one of its component stays, whatever texts share an id. Rows with a null id can't be
@@ -294,7 +294,7 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text: str = "text", shin
     bound_batches(df.sparkSession)
     key = [F.col(quoted(id_col)).alias("__id"), F.xxhash64(F.col(quoted(text))).alias("__hash")]
     named = df.where(F.col(quoted(id_col)).isNotNull())
-    bits, n = tables(named.count(), similarity, recall, radius)
+    bits, n, limit = tables(named.count(), similarity, recall, radius)
 
     @F.pandas_udf("class long, at array<long>")
     def prints(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -313,7 +313,9 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text: str = "text", shin
     near = near_pairs(firsts.select("fp"), radius, chunk=CHUNK * len(ball(2)) // len(ball(radius, bits)), bits=bits)
     inside = cells.join(firsts.where("n > 1"), "fp").select(F.col("class").alias("x"), F.col("first").alias("y"))
     across = near.join(firsts.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select("x", "y")
-    pairs = written(inside.union(across).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "candidates")
+    met = inside.union(across).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    sides = met.join(classes.select(F.col("class").alias("a"), F.col("at").alias("s")), "a").join(classes.select(F.col("class").alias("b"), F.col("at").alias("t")), "b")
+    pairs = written(sides.where(F.expr(f"aggregate(zip_with(s, t, (x, y) -> bit_count(x ^ y)), 0, (m, x) -> m + x) <= {limit}")).select("a", "b"), "candidates")
     held = classes.join(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct(), "class", "left_semi").select("class", "least.*")
     texts = written(named.select(*key, F.col(quoted(text)).alias("text")).dropDuplicates(["__id", "__hash"]).join(held, ["__id", "__hash"]).select("class", "text"), "texts")
     sides = pairs.join(texts.toDF("a", "s"), "a").join(texts.toDF("b", "t"), "b")
