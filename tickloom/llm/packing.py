@@ -9,6 +9,7 @@ bounded size and each pool is packed in one task, so pools run side by side and
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import math
 import os
@@ -29,6 +30,8 @@ from tickloom.llm.common import bound_batches, own_columns, quoted, written
 POOL = 8192
 #: Words whose ids a worker remembers, twice: those met lately, and those before. Rows that it takes at a time.
 REMEMBERED, AT_ONCE = 250_000, 2048
+#: Words that the tokenizer takes at a time.
+SLICE = 4096
 
 
 @dataclass(frozen=True)
@@ -67,16 +70,15 @@ class WordIds:
         self.before: dict[str, bytes] = {}
 
     def _learn(self, letters: set[str], others: set[str]) -> None:
-        if letters:
-            words = list(letters)
+        """In slices: the tokenizer's own records of a word take many times what is kept of it."""
+        for words in itertools.batched(letters, SLICE):
             ids = np.array(self.letters.encode_batch_fast([" \\ ".join(words)], add_special_tokens=False)[0].ids, "<u4")
             raw, at = ids.tobytes(), 0
             for w, end in zip(words, [*np.flatnonzero(ids == self.mark).tolist(), len(ids)], strict=True):
                 self.known[w] = raw[4 * at : 4 * end]
                 at = end + 1
-        if others:
-            words = list(others)
-            for w, e in zip(words, self.full.encode_batch_fast(words, add_special_tokens=False)):
+        for words in itertools.batched(others, SLICE):
+            for w, e in zip(words, self.full.encode_batch_fast(list(words), add_special_tokens=False)):
                 self.known[w] = np.array(e.ids, "<u4").tobytes()
 
     def of_words(self, words: list[str]) -> list[bytes]:

@@ -310,7 +310,7 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text: str = "text", shin
     classes = written(fps.groupBy("class").agg(F.min(F.struct("__id", "__hash")).alias("least"), F.first("at").alias("at")), "classes")
     cells = classes.select("class", F.explode("at").alias("fp"))
     firsts = written(cells.groupBy("fp").agg(F.min("class").alias("first"), F.count("*").alias("n")), "cells")
-    near = near_pairs(firsts.select("fp"), radius, chunk=CHUNK * len(ball(2)) // len(ball(radius, bits)), bits=bits)
+    near = near_pairs(firsts.select("fp"), radius, chunk=CHUNK * len(ball(2)) // len(ball(radius, bits)) // 4, bits=bits)  # a quarter of the variants that a task of radius 2 holds
     inside = cells.join(firsts.where("n > 1"), "fp").select(F.col("class").alias("x"), F.col("first").alias("y"))
     across = near.join(firsts.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select("x", "y")
     met = inside.union(across).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
