@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import licenses, mixing, outliers, packing, pii, quality_gam, recompression, sharding, simhash, topk
+from tickloom.llm import licenses, merkle, mixing, outliers, packing, pii, quality_gam, recompression, sharding, simhash, stable, topk, whitening
 
 
 #: Target shares of tokens, and bytes of text that a shard may hold.
@@ -68,7 +68,27 @@ def op10_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licensed(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_feistel_pii, op2_simhash_ball, op3_quality_gam, op4_recompression, op5_soft_mixing, op6_mcd_outliers, op7_vector_packing, conversation_packing, op8_extendible_shards, op9_histogram_topk, op10_license_digests)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = merkle.manifest(table(spark, sf_dir, "documents"), merkle.without_line_feeds())
+    siblings = F.regexp_replace("proof", "[;|]", "")
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op12_lanczos_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), k=16)
+
+
+def op13_stable_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return stable.nearest(rows, rows.where("vec_id % 50 = 0"), k=5)
+
+
+QUERIES = {f.__name__: f for f in (op1_feistel_pii, op2_simhash_ball, op3_quality_gam, op4_recompression, op5_soft_mixing, op6_mcd_outliers, op7_vector_packing, conversation_packing, op8_extendible_shards, op9_histogram_topk, op10_license_digests, op11_merkle_manifest, op12_lanczos_whitening, op13_stable_neighbours)}
+
+def _bytes(x: str) -> str:
+    """SQL of a field as '-' if null, else its UTF-8 byte count, a colon and its value."""
+    return f"(CASE WHEN {x} IS NULL THEN '-' ELSE strlen({x}) || ':' || {x} END)"
+
 
 #: Of the others, SQL has no permutations under a key, XXH64, boosting, iterations to a target, or tokenizers.
 SQL: dict[str, str] = {
@@ -83,4 +103,26 @@ SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
  s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
 SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20""",
+    "op11_merkle_manifest": f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, text, {_bytes('doc_id::VARCHAR')} || {_bytes('source')} || {_bytes('lang')} || {_bytes('n_chars::VARCHAR')} AS head,
+    list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(doc_id::VARCHAR, '.'), lambda x: ascii(x)::BIGINT)),
+      lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)) + y)) AS crc FROM documents),
+ h AS (SELECT r, doc_id, source, sha256(head || {_bytes('text')}) AS leaf, sha256(head || CASE WHEN xor(crc, 4294967295) % 2 = 0 THEN {_bytes("replace(text, chr(10), '')")} ELSE {_bytes('text')} END) AS seen FROM d),
+ o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM h),
+ t AS (SELECT source, 0 AS lvl, i, n, leaf AS h FROM o UNION ALL
+   SELECT source, lvl + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY source, lvl, i // 3, n),
+ s AS (SELECT source, h AS subroot, lvl AS top, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+ u AS (SELECT 0 AS lvl, i, n, subroot AS h FROM s UNION ALL
+   SELECT lvl + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY lvl, i // 3, n),
+ f AS (SELECT r, source, 0 AS lvl, i, n, seen AS h, '' AS p FROM o UNION ALL
+   SELECT f.r, f.source, f.lvl + 1, f.i // 3, any_value((f.n + 2) // 3), sha256(string_agg(CASE WHEN t.i = f.i THEN f.h ELSE t.h END, '' ORDER BY t.i)),
+     any_value(f.p) || coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (t.i <> f.i), '')
+   FROM f JOIN t ON t.source IS NOT DISTINCT FROM f.source AND t.lvl = f.lvl AND t.i // 3 = f.i // 3 WHERE f.n > 1 GROUP BY f.r, f.source, f.lvl, f.i),
+ g AS (SELECT f.r, 0 AS lvl, s.i, s.n, f.h, f.p FROM f JOIN s ON s.source IS NOT DISTINCT FROM f.source WHERE f.n = 1 UNION ALL
+   SELECT g.r, g.lvl + 1, g.i // 3, any_value((g.n + 2) // 3), sha256(string_agg(CASE WHEN u.i = g.i THEN g.h ELSE u.h END, '' ORDER BY u.i)),
+     any_value(g.p) || coalesce(string_agg(u.h, '' ORDER BY u.i) FILTER (u.i <> g.i), '')
+   FROM g JOIN u ON u.lvl = g.lvl AND u.i // 3 = g.i // 3 WHERE g.n > 1 GROUP BY g.r, g.lvl, g.i)
+SELECT doc_id, leaf, subroot, u.h AS root, sha256(g.p) AS proof_sha256, g.h AS folded_root, g.h = u.h AS verified
+FROM o JOIN s ON s.source IS NOT DISTINCT FROM o.source JOIN g ON g.r = o.r AND g.n = 1 JOIN u ON u.n = 1""",
 }
