@@ -91,3 +91,52 @@ def test_length_and_number_of_fingerprints():
     sizes = [simhash.tables(n, 0.8, 0.98, 1) for n in (0, 1, 1000, 10**6, 10**10)]
     assert sizes == sorted(sizes) and all(x[2] < x[0] * x[1] for x in sizes) and sizes[0][1] >= 1 and sizes[-1][0] < 48
     assert simhash.tables(1000, 1.0, 0.98, 1)[1] == 1
+
+
+@pytest.mark.parametrize("size", [100, 128, 129, 260, 600, 1500, 3200, 4000, 5000, 20_000, 100_000])
+def test_long_values_are_replaced_whole(size):
+    """In every part equal places are as rare as chance has them, the map inverts, and one character changes all others."""
+    rng = random.Random(size)
+    chars = "abcdefghijklmnopqrstuvwxyz0123456789"
+    value = "".join(rng.choice(chars) for _ in range(size))
+    go = lambda v, sign=1: pii.pseudonymize_text(f"token={v} end", pii.Pseudonyms("k", sign), dict.fromkeys(pii.KINDS, 0))[6:-4]
+    out = go(value)
+    assert go(out, -1) == value and len(out) == size
+    same = [a == b for a, b in zip(value, out)]
+    assert all(sum(same[i : i + 100]) <= 25 for i in range(0, size, 100))
+    for at in (0, size // 2, size - 1):
+        other = value[:at] + ("a" if value[at] != "a" else "b") + value[at + 1 :]
+        assert sum(a == b for a, b in zip(go(other), out)) < 0.25 * size
+
+
+def test_very_long_values_in_spark(spark):
+    texts = ["secret=" + "aZ9" * 20_000, "a" * 5000 + "@" + "b" * 5000 + ".org", "password: " + "é" * 3000]
+    got = [r["text"] for r in pii.pseudonymize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), key="k").orderBy("doc_id").collect()]
+    assert all(a != b and len(a) == len(b) for a, b in zip(texts, got))
+    assert [r["text"] for r in pii.pseudonymize(spark.createDataFrame(list(enumerate(got)), "doc_id long, text string"), key="k", sign=-1).orderBy("doc_id").collect()] == texts
+
+
+FORMATS = [
+    ("4111.1111.1111.1111", "card"), ("4111-1111-1111-1111-", "card"), ("Tel. 030 12345678", "phone"), ("0049 30 1234567", "phone"), ("phone: 2125550187", "phone"), ("2024-1-5", "date"), ("1/2/2024", "date"), ("1/15/2024", "date"), ("2024-2-29", "date"),
+    ("Authorization: Bearer abcdefgh.ijklmnop-qrst", "secret"), ("xoxb-" + "1234567890-abcdefghij", "secret"), ("AIza" + "SyA1234567890abcdefghijklmnopqrstuv", "secret"), ("eyJhbGciOiJI." + "eyJzdWIiOiIx.SflKxwRJSMeKKF2QT4", "secret"),
+    ("-----BEGIN RSA PRIVATE " + "KEY-----\nMIIEowIBAAKCAQEAabcdefghijkl\nmnopqrstuvwxyz0123456789\n-----END RSA PRIVATE KEY-----", "secret"),
+]
+
+
+@pytest.mark.parametrize("value, kind", FORMATS)
+def test_more_formats(value, kind):
+    n = dict.fromkeys(pii.KINDS, 0)
+    out = pii.pseudonymize_text(f"a {value} b", pii.Pseudonyms("k"), n)
+    assert n[kind] == 1 == sum(n.values()) and value not in out and len(out) >= len(value) and pii.HINT.search(value)
+    assert pii.pseudonymize_text(out, pii.Pseudonyms("k", -1), dict.fromkeys(pii.KINDS, 0)) == f"a {value} b"
+
+
+@pytest.mark.parametrize("text", ["version 10.2.3.4 is out", "2024-13-1", "0/5/2024", "bearer of bad news", "call me later", "the year 2024-01-5"])
+def test_what_only_looks_like_a_value_stays(text):
+    assert pii.pseudonymize_text(text, pii.Pseudonyms("k"), dict.fromkeys(pii.KINDS, 0)) == text
+
+
+def test_dates_without_zeros_are_a_permutation():
+    days = [f"{d}/{m}/2000" for m in range(1, 13) for d in range(1, 29) if (m < 10 or d < 10) and not (m, d) == (2, 29)]
+    go = lambda x, sign=1: pii.Pseudonyms("k", sign).date(x)
+    assert len({go(x) for x in days}) == len(days) and all(go(go(x), -1) == x for x in days)

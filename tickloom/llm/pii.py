@@ -27,7 +27,8 @@ from pyspark.sql import types as T
 
 from tickloom.llm.common import bound_batches, own_columns, quoted
 
-ROUNDS = 10
+#: Rounds of a permutation, characters that one permutes together, and permutations that a worker remembers.
+ROUNDS, BLOCK, NETS = 10, 128, 4096
 KINDS = ("email", "phone", "card", "iban", "ssn", "ip", "date", "secret")
 KEY = "spark.tickloom.pii.key"
 
@@ -48,13 +49,19 @@ class Feistel:
     def __init__(self, key: bytes, tweak: str, n: int):
         self.n, self.a = n, math.isqrt(max(n - 1, 0)) + 1
         self.b = -(-n // self.a)
-        self.size = max(8, min(64, (self.a.bit_length() + 7) // 8 + 8))
-        self.base = hashlib.blake2b(f"{tweak}:{n}".encode(), key=key[:64], digest_size=self.size)
+        self.size = (self.a.bit_length() + 7) // 8 + 8  # bytes of a round's digest: eight more than a half has
+        self.base = hashlib.blake2b(tweak.encode() + b":" + n.to_bytes((n.bit_length() + 7) // 8, "big"), key=key[:64], digest_size=64)
 
     def _f(self, i: int, x: int) -> int:
+        """A digest as wide as any half, block by block."""
         h = self.base.copy()
-        h.update(b"%d:%d" % (i, x))
-        return int.from_bytes(h.digest(), "big")
+        h.update(b"%d:" % i + x.to_bytes((x.bit_length() + 7) // 8, "big"))
+        out = b""
+        for block in range(-(-self.size // 64)):
+            own = h.copy()
+            own.update(b"/%d" % block)
+            out += own.digest()
+        return int.from_bytes(out[: self.size], "big")
 
     def _once(self, x: int, sign: int) -> int:
         left, right = divmod(x, self.b)
@@ -78,6 +85,10 @@ LOWER, UPPER, DIGIT, HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUV
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 LEAP_YEARS = [y for y in range(1900, 2100) if calendar.isleap(y)]
 LATE_DAYS = [(m, d) for m in range(1, 13) for d in range(13, calendar.monthrange(2001, m)[1] + 1)]
+#: Days (no leap day) of which the month or the day has one digit: all, and those that can only be read with the month first.
+LOOSE_DAYS = [[(m, d) for m in range(1, 13) for d in range(1, calendar.monthrange(2001, m)[1] + 1) if (m < 10 or d < 10) and (d > 12 or not late)] for late in (False, True)]
+#: How keys of known makes begin; that stays.
+PREFIX = re.compile(r"(?:gh[pousr]_|sk-|xox[abprs]-|AIza|eyJ)?")
 #: First octets of addresses.
 OCTETS = range(1, 256)
 #: How long an IBAN is by country.
@@ -133,11 +144,30 @@ class Pseudonyms:
 
     def _go(self, tweak: str, n: int, x: int) -> int:
         if (net := self.nets.get((tweak, n))) is None:
+            if len(self.nets) >= NETS:
+                self.nets.clear()
             net = self.nets[tweak, n] = Feistel(self.key, tweak, n)
         return net.permute(x, self.sign)
 
     def mixed(self, tweak: str, text: str, alphabets: list[str]) -> str:
-        """text's characters as a number of mixed radix, permuted; an empty alphabet leaves its character."""
+        """text's characters as a number of mixed radix, permuted; an empty alphabet leaves its character.
+
+        Longer texts go block by block, forward and then backward, each block under the pseudonym of its neighbour: every character of the result
+        depends on every one of the text, and the time on the length.
+        """
+        if len(text) <= BLOCK:
+            return self.radix(tweak, text, alphabets)
+        parts = [text[i : i + BLOCK] for i in range(0, len(text), BLOCK)]
+        sets = [alphabets[i : i + BLOCK] for i in range(0, len(text), BLOCK)]
+        for way in ("f", "b")[:: self.sign]:
+            order = list(range(len(parts)))[:: 1 if way == "f" else -1]
+            before = dict(zip(order[1:], order))
+            for i in order[:: self.sign]:  # a block is permuted under its neighbour's pseudonym, which inverting reads before it turns that back
+                beside = hashlib.blake2b(parts[before[i]].encode(), digest_size=16).hexdigest() if i in before else ""
+                parts[i] = self.radix(f"{tweak}:{way}{i}:{beside}", parts[i], sets[i])
+        return "".join(parts)
+
+    def radix(self, tweak: str, text: str, alphabets: list[str]) -> str:
         n, x = 1, 0
         for c, alphabet in zip(text, alphabets):
             if alphabet:
@@ -180,10 +210,14 @@ class Pseudonyms:
             area, x = divmod(self._go("phone", 6_400_000_000, x), 8_000_000)
             first, rest = divmod(x, 1_000_000)
             return self._laid(s, f"{head}{area // 100 + 2}{area % 100:02d}{first + 2}{rest:06d}")
+        if s.startswith("00") and 11 <= len(d) <= 17:
+            return self._laid(s, d[:4] + f"{self._go('phone' + d[2:4], 10 ** (len(d) - 4), int(d[4:])):0{len(d) - 4}d}")
         if not s.startswith("+") or not 9 <= len(d) <= 15:
             return None
         return self._laid(s, d[:2] + f"{self._go('phone' + d[:2], 10 ** (len(d) - 2), int(d[2:])):0{len(d) - 2}d}")
 
+    abroad = phone
+
     def card(self, s: str) -> tuple[int, str] | None:
         """The longest valid number that s begins with: all of s, or groups of digits as cards have them."""
         groups = list(re.finditer(r"\d+", s))
@@ -250,6 +284,18 @@ class Pseudonyms:
         y, m, d = (int(p[i]) for i in order)
         if not (1900 <= y <= 2099 and 1 <= m <= 12 and 1 <= d <= calendar.monthrange(y, m)[1]):
             return None
+        if min(len(p[i]) for i in order[1:]) == 1:
+            # written without leading zeros, which another day must show too
+            if any(p[i][0] == "0" for i in order[1:]):
+                return None
+            days = LOOSE_DAYS[order == (2, 0, 1)]
+            if (m, d) == (2, 29):
+                y = LEAP_YEARS[self._go("loose-leap", len(LEAP_YEARS), LEAP_YEARS.index(y))]
+            else:
+                y, x = divmod(self._go(f"loose{order}", 200 * len(days), (y - 1900) * len(days) + days.index((m, d))), len(days))
+                y, (m, d) = y + 1900, days[x]
+            new = dict(zip(order, (f"{y:04d}", str(m), str(d))))
+            return sep.join(new[i] for i in range(3))
         if order == (0, 1, 2):
             # all days of two centuries
             day = datetime.date.fromordinal(FIRST_DAY + self._go("date", LAST_DAY - FIRST_DAY + 1, datetime.date(y, m, d).toordinal() - FIRST_DAY))
@@ -291,37 +337,52 @@ class Pseudonyms:
             return "AKIA" + self.mixed("akia", s[4:], [UPPER + DIGIT] * 16)
         if re.fullmatch(r"[0-9a-f]{8,}", s):
             return self.mixed("hex", s, [HEX] * len(s))
-        return self.classed("secret", s)
+        prefix = PREFIX.match(s)[0]
+        return prefix + self.classed("secret" + prefix, s[len(prefix) :])
+
+    def cued(self, s: str) -> str | None:
+        """A number that a word announces as a telephone's: one of the plan, or all digits but the first."""
+        d = re.sub(r"\D", "", s)
+        if (out := self.phone(s)) is not None or not 7 <= len(d) <= 13:
+            return out
+        head, d = (d[:-10], d[-10:]) if len(d) == 10 or len(d) == 11 and d[0] == "1" else (d[:1], d[1:])
+        outside = len(d) == 10 and head in ("", "1")  # such numbers stay outside the plan
+        while (d := f"{self._go(f'cued{len(d)}', 10 ** len(d), int(d)):0{len(d)}d}") and outside and nanp(d):
+            pass
+        return self._laid(s, head + d)
 
 
 NAMES = "|".join(sorted(MONTH_OF, key=len, reverse=True))
 #: One pass over a text; the first alternative that matches at a place is tried, and what its format's rule rejects is searched again from the next character on.
 PATTERN = re.compile(
-    r"(?<!\w)(?:"
+    r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----\s(?P<pem>[A-Za-z0-9+/=\s]{40,})-----END|(?<!\w)(?:"
     r"(?P<email>(?u:(?<![\w.+%\u0300-\u036f-])\w[\w.%+\u0300-\u036f-]*@(?:[\w\u0300-\u036f-]+\.)+[^\W\d_]{2,}(?![\w-])))"
-    r"|(?P<secret>\bAKIA[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{20,}\b|\bsk-[A-Za-z0-9]{20,}\b)"
+    r"|(?P<secret>\bAKIA[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{20,}\b|\bsk-[A-Za-z0-9]{20,}\b|\bxox[abprs]-[A-Za-z0-9-]{10,}|\bAIza[\w-]{35}(?![\w-])|\beyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,})"
+    r"|(?i:\bbearer\s{1,3})(?P<bearer>[A-Za-z0-9._~+/=-]{16,})"
+    r"|(?i:\b(?:tel|phone|telephone|telefon|fon|fax|mobil|mobile)\b\.?:?\s{0,3})(?P<cued>\+?\(?\d[\d ()/.-]{5,17}\d)(?![\w-])"
     r"|(?=[PSTApsta])(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?)(?P<value>[^\s\"',;]{6,})"
     r"|(?P<iban>(?<!\w)[A-Za-z]{2}\d{2}(?: ?[A-Za-z0-9]{4}){2,7}(?: ?[A-Za-z0-9]{1,3})?(?!\w))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<date>(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4}|\d{2}-\d{2}-\d{4})(?:(?=T\d\d:)|(?![\w/-])))"
+    r"|(?P<date>(?<![\w./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4})(?:(?=T\d\d:)|(?![\w/-])))"
     r"|(?P<written>(?<![\w./-])(?iu:\d{1,2}(?:st|nd|rd|th)?\.?\s{1,3}(?:(?:of|de)\s)?(?:" + NAMES + r")\.?(?:\sde|,)?\s{1,3}\d{4}|(?=\w{3,10}\.?\s{1,3}\d)(?:" + NAMES + r")\.?\s{1,3}\d{1,2}(?:st|nd|rd|th)?,?\s{1,3}\d{4})(?![\w-]))"
-    r"|(?P<ip>(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d))"
+    r"|(?P<ip>(?<![\w.])(?<![vV]ersion )\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d))"
     r"|(?P<ip6>(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:|::)[0-9A-Fa-f:]{3,38}(?<!:)(?![\w.:]))"
-    r"|(?P<card>(?<![\w+-])\d(?:[ -]?\d){12,18}(?![\w-]))"
+    r"|(?P<abroad>(?<![\w+.-])00[1-9]\d{0,2}[ .-]\d{1,4}(?:[ .-]?\d{2,9}){1,4}(?![\w-]))"
+    r"|(?P<card>(?<![\w+-])(?:\d{4}(?:\.\d{4}){3}|\d(?:[ -]?\d){12,18})(?!\w|-\w))"
     r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w(+-])\(\d{3}\) ?\d{3}[ .-]\d{4}(?![\w-])|(?<![\w.+-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])))",
     re.ASCII,
 )
 #: Whatever PATTERN matches holds one of these; keys may be of letters alone.
-HINT = re.compile(r"[0-9@]|(?:AKIA|gh[pousr]_|sk-)[A-Za-z0-9]{16}|(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,3}[=:]")
+HINT = re.compile(r"[0-9@]|(?:AKIA|gh[pousr]_|sk-)[A-Za-z0-9]{16}|xox[abprs]-|AIza|eyJ|PRIVATE KEY|(?i:bearer)\s|(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,3}[=:]")
 #: What a group of PATTERN counts as, where it isn't named so.
-COUNTED = {"value": "secret", "written": "date", "ip6": "ip"}
+COUNTED = {"value": "secret", "bearer": "secret", "pem": "secret", "cued": "phone", "abroad": "phone", "written": "date", "ip6": "ip"}
 
 
 def pseudonymize_text(text: str, names: Pseudonyms, counts: dict[str, int]) -> str:
     out, done, at = [], 0, 0
     while m := PATTERN.search(text, at):
         kind = m.lastgroup
-        new = names.secret(m[kind]) if kind == "value" else getattr(names, kind)(m[kind])
+        new = names.secret(m[kind]) if kind in ("value", "bearer", "pem") else getattr(names, kind)(m[kind])
         if new is None:
             at = m.start() + 1
             continue
