@@ -178,7 +178,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
     boxes = sorted(celled.groupBy("cell").agg(F.count("*").alias("n"), *sides).collect())  # CELLS at most
     cell_ids, low, high = np.array([r["cell"] for r in boxes]), np.array([r[2 : 2 + MEASURES] for r in boxes]), np.array([r[2 + MEASURES :] for r in boxes])
     chunks_in = spark.createDataFrame([(r["cell"], -(-r["n"] // chunk)) for r in boxes], "cell int, chunks int")
-    index = written(celled.join(chunks_in, "cell").select("cell", F.pmod(F.xxhash64("vector", F.lit(5)), "chunks").cast("int").alias("chunk"), "vector", "ids", "at").groupBy("cell", "chunk").applyInArrow(packed_chunk, "cell int, chunk int, ids array<array<long>>, vectors binary"), "index")
+    index = written(celled.join(F.broadcast(chunks_in), "cell").select("cell", F.pmod(F.xxhash64("vector", F.lit(5)), "chunks").cast("int").alias("chunk"), "vector", "ids", "at").groupBy("cell", "chunk").applyInArrow(packed_chunk, "cell int, chunk int, ids array<array<long>>, vectors binary"), "index")
 
     # queries that ask for the same vector search once
     asked = asked.select("id", filled)
@@ -210,9 +210,9 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
 
     def searching(requests: DataFrame, home: bool, name: str) -> DataFrame:
         open_ = written(requests.select("query", "vector", "bound").mapInArrow(routed(home), "query long, vector array<double>, bound double, cell int"), f"{name}-requests")
-        busy = open_.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).join(chunks_in, "cell")  # CELLS rows at most
-        one = open_.join(busy, "cell").withColumn("part", F.pmod(F.xxhash64("query", F.lit(3)), "parts").cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        other = index.join(busy.select("cell", "parts"), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        busy = open_.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).join(F.broadcast(chunks_in), "cell")  # CELLS rows at most
+        one = open_.join(F.broadcast(busy), "cell").withColumn("part", F.pmod(F.xxhash64("query", F.lit(3)), "parts").cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        other = index.join(F.broadcast(busy.select("cell", "parts")), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         keys = ("cell", "chunk", "part")
         met = other.select(*keys, "ids", "vectors").groupBy(*keys).cogroup(one.select(*keys, "query", "vector", "bound").groupBy(*keys)).applyInArrow(answer, "query long, id long, score double")
         return written(best(met, want), name)
