@@ -7,8 +7,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.operators import asof, bars, entries, features, ledger, learning, pairs, universe, walkforward
-from tickloom.plans import fixtures
+from tickloom.operators import asof, bars, entries, features, ledger, learning, pairs, screening, universe, walkforward
+from tickloom.plans import fixtures, scans
 from tickloom.sources import runs, tables
 from tickloom.streaming import kalman, regimes, ticks
 
@@ -277,11 +277,13 @@ def test_histories_skip_bad_lines_and_reports_come_back(spark, tmp_path):
 
 
 def test_cells_of_a_sweep_are_runs(spark, sf):
-    b, w = fixtures.pair_bars(spark, sf).where("pair in ('click-view', 'click-purchase', 'error-view')"), fixtures.windows(spark)
-    got = {(r["max_p"], r["entry_z"], r["exit_z"]): r for r in walkforward.sweep_runs(b, w, [1.5, 9.0], [0.5], [0.01, 1.0]).collect()}
+    prices, w = scans.prices(spark, sf).where("symbol in ('click', 'view', 'error')"), fixtures.windows(spark)
+    limits = screening.Limits(max_p=1.0, max_z=1e9, min_half_life=0.0)
+    spreads = walkforward.picked_spreads(prices, w, limits, 24, 0.8)
+    got = {(r["max_p"], r["entry_z"], r["exit_z"]): r for r in walkforward.sweep_runs(spreads, [1.5, 9.0], [0.5], [0.01, 1.0]).collect()}
     assert len(got) == 4 and sorted(r["rank_net"] for r in got.values()) == [1, 2, 3, 4]
     for p in (0.01, 1.0):
-        alone = walkforward.run(b, w, max_p=p, entry=1.5, leave=0.5).agg(F.coalesce(F.sum("trades"), F.lit(0)).alias("trades"), F.coalesce(F.sum("net"), F.lit(0.0)).alias("net")).first()
+        alone = walkforward.run(walkforward.run_trades(spreads.where(F.col("p_value") < p))).agg(F.coalesce(F.sum("trades"), F.lit(0)).alias("trades"), F.coalesce(F.sum("net"), F.lit(0.0)).alias("net")).first()
         assert got[(p, 1.5, 0.5)]["trades"] == alone["trades"] and got[(p, 1.5, 0.5)]["net"] == pytest.approx(alone["net"])
         assert got[(p, 9.0, 0.5)]["trades"] == 0 and got[(p, 9.0, 0.5)]["cheap"] is False
     assert got[(1.0, 1.5, 0.5)]["trades"] > 0

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators import pairs as P
 from tickloom.operators.entries import clip
+from tickloom.operators.ledger import trade_stats
 
 #: Entry threshold added, size factor and open positions by regime.
 REGIMES = (("GREEN", 0.0, 1.0, 8), ("YELLOW", 0.3, 0.6, 5), ("RED", 1.0, 0.0, 2))
@@ -66,10 +66,16 @@ def stepped(windows: DataFrame, start: float, step: float, least: float, most: f
     return rows.select(F.explode(fold).alias("r")).where("r.w is not null").select(F.col("r.w").alias("window_id"), F.col("r.t").alias("threshold"))
 
 
-def two_stage(pair_bars: DataFrame, cut: Column, loose: float, strict: float, lo: float, hi: float) -> DataFrame:
-    """(pair, p_value, half_life_bars, stage1_*, stage2_*): pairs found on all bars and confirmed on those from the cut on."""
-    cols = ("direction", "beta", "spread_vol", "half_life", "p_value")
-    one = P.scan(pair_bars).where(F.col("p_value") <= loose).select("pair", *(F.col(c).alias(f"stage1_{c}") for c in cols))
-    two = P.scan(pair_bars.where(F.col("ts") >= cut).join(one.select("pair"), "pair", "left_semi")).where((F.col("p_value") <= strict) & F.col("half_life").between(lo, hi)).select("pair", *(F.col(c).alias(f"stage2_{c}") for c in cols))
-    return one.join(two, "pair").select("pair", F.col("stage2_p_value").alias("p_value"), F.col("stage2_half_life").alias("half_life_bars"), *(f"stage{k}_{c}" for k in (1, 2) for c in cols))
+def trailing_parameters(trades: DataFrame, entry_z: float, size: float, period_days: int, trailing_days: int, least: int = 20) -> DataFrame:
+    """(period_end, n, mode, entry_z, size) at each end of a period since 1970 that has `least` trades or more in its last trailing_days.
 
+    trades has (pair, trade_seq, exit_ts, net); a trade counts for the ends that come within trailing_days after its exit, its own moment included. One shuffle by end.
+    """
+    day = F.datediff(F.col("exit_ts"), F.lit("1970-01-01"))
+    first = F.ceil((day + F.when(F.date_trunc("day", "exit_ts") < F.col("exit_ts"), 1).otherwise(0)) / period_days)
+    k = F.explode(F.sequence(first, F.floor((day + trailing_days) / period_days)))
+    d = trades.where(first <= F.floor((day + trailing_days) / period_days)).withColumn("__k", k)
+    end = F.date_add(F.lit("1970-01-01").cast("date"), (F.col("__k") * period_days).cast("int")).cast("timestamp_ntz")
+    d = d.select(end.alias("period_end"), F.struct("exit_ts", "pair", "trade_seq").alias("trade_seq"), "net", "exit_ts").where(F.col("exit_ts") > F.col("period_end") - F.make_dt_interval(F.lit(trailing_days)))
+    s = trade_stats(d, ["period_end"]).where(F.col("n") >= least)
+    return recommended(s, entry_z, size).select("period_end", "n", "mode", "entry_z", "size")

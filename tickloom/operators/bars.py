@@ -123,3 +123,27 @@ def sentiment(funding: DataFrame, n: int) -> DataFrame:
     """(symbol, funding_sentiment): the mean of the last n rates, in percent."""
     d = funding.withColumn("k", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ts")))).where(F.col("k") <= n)
     return d.groupBy("symbol").agg((100 * F.avg("rate")).alias("funding_sentiment"))
+
+
+def last_values(x: str, n: int, keys: Sequence[str] = ("pair",)) -> Column:
+    """The known values of the last n rows, the oldest first."""
+    return F.collect_list(x).over(Window.partitionBy(*keys).orderBy("ts").rowsBetween(1 - n, 0))
+
+
+def ewma_vol(x: str, n: int, alpha: float, keys: Sequence[str] = ("pair",)) -> Column:
+    """Square root of the squares of the last n rows, averaged from 0 on with weight alpha for each later one; null where none is known."""
+    v = last_values(x, n, keys)
+    return F.when(F.size(v) > 0, F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, e: alpha * e * e + (1 - alpha) * a)))
+
+
+def mad_vol(x: str, n: int, scale: float = 1.4826, keys: Sequence[str] = ("pair",)) -> Column:
+    """Median distance of the last n rows from their median, scaled to a deviation; null where none is known."""
+
+    def middle(v: Column) -> Column:
+        s, k = F.array_sort(v), F.size(v)
+        return (F.get(s, F.floor((k - 1) / 2).cast("int")) + F.get(s, F.floor(k / 2).cast("int"))) / 2
+
+    v = last_values(x, n, keys)
+    # the median is bound once, as the only element of an array, not found again for each value
+    off = F.transform(F.array(middle(v)), lambda m: F.transform(v, lambda e: F.abs(e - m)))[0]
+    return F.when(F.size(v) > 0, scale * F.transform(F.array(off), middle)[0])

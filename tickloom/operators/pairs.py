@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 
 def correlated(prices: DataFrame, least: float, least_rows: int, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, pair, n, corr) of symbols a < b with at least |corr| and rows in common; prices has (keys, ts, symbol, lp).
+    """(keys, pair, n, corr) of symbols a < b with at least |corr| and rows in common; prices has (keys, ts, symbol, lp). What doesn't move has no correlation.
 
     Symbols are paired within a bar: the prices of one bar come together once and pair up there, so what is shuffled is
     the prices, and sums for each pair.
@@ -19,7 +19,7 @@ def correlated(prices: DataFrame, least: float, least_rows: int, keys: Sequence[
     at = prices.groupBy(*keys, "ts").agg(F.sort_array(F.collect_list(F.struct("symbol", "lp"))).alias("all"))
     a = at.select(*keys, "ts", F.posexplode("all").alias("i", "a"), "all")
     both = a.select(*keys, F.col("a"), F.explode(F.expr("slice(all, i + 2, size(all))")).alias("b"))
-    out = both.groupBy(*keys, F.concat_ws("-", "a.symbol", "b.symbol").alias("pair")).agg(F.count("*").alias("n"), F.corr("a.lp", "b.lp").alias("corr"))
+    out = both.groupBy(*keys, F.concat_ws("-", "a.symbol", "b.symbol").alias("pair")).agg(F.count("*").alias("n"), F.try_divide(F.covar_pop("a.lp", "b.lp"), F.stddev_pop("a.lp") * F.stddev_pop("b.lp")).alias("corr"))
     return out.where((F.col("n") >= least_rows) & (F.abs("corr") >= least))
 
 
@@ -50,7 +50,7 @@ def weighted_hedge(pair_bars: DataFrame, half: float, keys: Sequence[str] = ("pa
 
 
 def block_betas(pair_bars: DataFrame, size: int, step: int) -> DataFrame:
-    """(pair, n_blocks, beta_std, beta_range, beta_drift) of regressions over blocks of `size` bars, begun every `step`."""
+    """(pair, n_blocks, beta_std, beta_range, beta_drift, beta_start) of regressions over blocks of `size` bars, begun every `step`."""
     n = F.count("*").over(Window.partitionBy("pair"))
     i = F.row_number().over(Window.partitionBy("pair").orderBy("ts")) - 1
     d = pair_bars.withColumns({"i": i, "n": n})
@@ -58,7 +58,7 @@ def block_betas(pair_bars: DataFrame, size: int, step: int) -> DataFrame:
     last = F.least(F.floor(F.col("i") / step), F.floor((F.col("n") - size) / step)).cast("int")
     blocks = d.where(F.col("n") >= size).withColumns({"f": first, "l": last}).where("l >= f").withColumn("block", F.explode(F.sequence("f", "l")))
     beta = blocks.groupBy("pair", "block").agg(F.regr_slope("y", "x").alias("beta")).where("beta is not null")
-    return beta.groupBy("pair").agg(F.count("*").alias("n_blocks"), F.stddev_pop("beta").alias("beta_std"), (F.max("beta") - F.min("beta")).alias("beta_range"), (F.max_by("beta", "block") - F.min_by("beta", "block")).alias("beta_drift"))
+    return beta.groupBy("pair").agg(F.count("*").alias("n_blocks"), F.stddev_pop("beta").alias("beta_std"), (F.max("beta") - F.min("beta")).alias("beta_range"), (F.max_by("beta", "block") - F.min_by("beta", "block")).alias("beta_drift"), F.min_by("beta", "block").alias("beta_start"))
 
 
 def parts(df: DataFrame, k: int) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators import ledger as L
-from tickloom.operators import pairs as P
+from tickloom.operators import screening as S
 from tickloom.operators.entries import clip
+from tickloom.operators.intervals import interval_trades
 
 
 def with_windows(bars: DataFrame, windows: DataFrame, short_days: int = 0) -> DataFrame:
@@ -72,37 +73,50 @@ def trade_funding(trades: DataFrame, per_bar: DataFrame) -> DataFrame:
     return d.withColumn("funding", -F.col("dir") * (F.col("r1") - F.col("r0"))).select(*trades.columns, "funding")
 
 
-def picked_spreads(pair_bars: DataFrame, windows: DataFrame, max_p: float, n: int) -> DataFrame:
-    """Test bars of the pairs that pass the test on train, with p_value, beta and z; z also looks back into train."""
-    d = with_windows(pair_bars, windows)
-    picked = P.scan(d.where("role = 'train'").select("window_id", "pair", "ts", "y", "x"), ("window_id", "pair")).where(F.col("p_value") <= max_p).select("window_id", "pair", "p_value", F.col("beta").alias("hedge"))
+def picked_spreads(prices: DataFrame, windows: DataFrame, limits: S.Limits, n: int, ratio: float = 0.8, least_corr: float = 0.0, max_lags: int | None = 5) -> DataFrame:
+    """Test bars (window_id, pair, ts, y, x, beta, z) of the pairs that a scan of the training part lets pass, with p_value if it tests; z also looks back into train.
+
+    prices has (ts, symbol, lp). All windows are one scan; bars are joined for pairs that passed alone, in the direction that did.
+    """
+    d = with_windows(prices, windows)
+    found = S.scan(d.where("role = 'train'").select("window_id", "ts", "symbol", "lp"), ("window_id",), limits, ratio, least_corr, 3, max_lags).where("reason is null")
+    b = S.bars_of(found.select("window_id", "pair"), d.select("window_id", "ts", "symbol", "lp"), ("window_id",)).join(found.select("window_id", "pair", "direction", F.col("hedge_ratio").alias("beta"), *(["p_value"] if max_lags is not None else [])), ["window_id", "pair"])
+    turned = F.col("direction") == S.DIRECTIONS[1]
+    b = b.withColumns({"y": F.when(turned, F.col("x")).otherwise(F.col("y")), "x": F.when(turned, F.col("y")).otherwise(F.col("x"))})
     w = Window.partitionBy("window_id", "pair").orderBy("ts").rowsBetween(1 - n, 0)
-    s = d.join(picked, ["window_id", "pair"]).withColumn("spread", F.col("y") - F.col("hedge") * F.col("x"))
+    s = b.withColumn("spread", F.col("y") - F.col("beta") * F.col("x"))
     s = s.withColumn("z", F.when((F.count("spread").over(w) >= n) & (F.stddev_samp("spread").over(w) > 1e-9), (F.col("spread") - F.avg("spread").over(w)) / F.stddev_samp("spread").over(w)))
-    return s.where("role = 'test'").withColumn("beta", F.col("hedge"))
+    return s.join(F.broadcast(windows.select("window_id", "train_end")), "window_id").where("ts >= train_end").drop("train_end")  # a row for each window
 
 
-def run(pair_bars: DataFrame, windows: DataFrame, max_p: float = 0.5, n: int = 24, entry: float = 1.5, leave: float = 0.5) -> DataFrame:
-    """(window_id, pair, trades, win_rate, gross, net) of a run: pairs are picked on train, signals and trades made on test.
+def with_masks(spreads: DataFrame, entry: Column, leave: Column) -> DataFrame:
+    return spreads.withColumns({"entry_mask": F.coalesce(F.abs("z") > entry, F.lit(False)), "exit_mask": F.coalesce(F.abs("z") < leave, F.lit(False))})
 
-    All windows are one job; no window needs another's result.
-    """
-    s = picked_spreads(pair_bars, windows, max_p, n).withColumns({"entry_mask": F.coalesce(F.abs("z") > entry, F.lit(False)), "exit_mask": F.coalesce(F.abs("z") < leave, F.lit(False))})
-    t = L.fold_trades(s, ["window_id"], 5e-4, 5e-4, 48, 0.5)
-    return L.ledger_stats(t, ["window_id", "pair"], total=False).select("window_id", "pair", "trades", "win_rate", "gross", "net")
+
+#: Costs of a trade (fee and slippage), most bars that it is held, and loss at which it stops.
+TRADE = {"fee": 5e-4, "slip": 5e-4, "max_hold": 48, "stop": 0.5}
+
+
+def run_trades(spreads: DataFrame, entry: float = 1.5, leave: float = 0.5, **trade: float) -> DataFrame:
+    """Trades of all windows, as one job."""
+    return interval_trades(with_masks(spreads, F.lit(entry), F.lit(leave)), ["window_id"], **(TRADE | trade))
+
+
+def run(trades: DataFrame) -> DataFrame:
+    """(window_id, pair, trades, win_rate, gross, net) of a run in which no window needs another's result."""
+    return L.ledger_stats(trades, ["window_id", "pair"], total=False).select("window_id", "pair", "trades", "win_rate", "gross", "net")
 
 
-def sweep_runs(pair_bars: DataFrame, windows: DataFrame, entries: Sequence[float], leaves: Sequence[float], max_ps: Sequence[float], n: int = 24) -> DataFrame:
+def sweep_runs(spreads: DataFrame, entries: Sequence[float], leaves: Sequence[float], max_ps: Sequence[float]) -> DataFrame:
     """(max_p, entry_z, exit_z, trades, win_rate, gross, net, cost_to_gross, cheap, rank_net): a run of all windows for each cell of the grid.
 
-    Pairs are tested once, at the loosest limit; cells are rows of the same job, and a task folds one pair of one window and cell. A cell
+    spreads are those of pairs that the loosest limit lets pass, with p_value; cells are rows of the same job. A cell
     without a trade has 0 trades and no rate. Ranks, over the cells alone, go by net, then by the cell.
     """
     axis = lambda xs: F.array(*(F.lit(float(x)) for x in xs))
     cell = ["max_p", "entry_z", "exit_z"]
     grid = lambda d: d.withColumn("max_p", F.explode(axis(max_ps))).withColumn("entry_z", F.explode(axis(entries))).withColumn("exit_z", F.explode(axis(leaves)))
-    s = grid(picked_spreads(pair_bars, windows, max(max_ps), n)).where("p_value <= max_p")
-    s = s.withColumns({"entry_mask": F.coalesce(F.abs("z") > F.col("entry_z"), F.lit(False)), "exit_mask": F.coalesce(F.abs("z") < F.col("exit_z"), F.lit(False))})
-    t = L.ledger_stats(L.fold_trades(s, [*cell, "window_id"], 5e-4, 5e-4, 48, 0.5), cell, total=False).select(*cell, "trades", "win_rate", "gross", "net", "cost_to_gross")
-    all_ = grid(pair_bars.sparkSession.range(1)).drop("id").join(t, cell, "left").fillna(0, ["trades"]).fillna(0.0, ["gross", "net"])
+    s = with_masks(grid(spreads).where("p_value < max_p"), F.col("entry_z"), F.col("exit_z"))
+    t = L.ledger_stats(interval_trades(s, [*cell, "window_id"], **TRADE), cell, total=False).select(*cell, "trades", "win_rate", "gross", "net", "cost_to_gross")
+    all_ = grid(spreads.sparkSession.range(1)).drop("id").join(t, cell, "left").fillna(0, ["trades"]).fillna(0.0, ["gross", "net"])
     return all_.withColumns({"cheap": F.coalesce(F.col("cost_to_gross") < 0.5, F.lit(False)), "rank_net": F.row_number().over(Window.orderBy(F.round("net", 9).desc(), *cell)).cast("long")})

@@ -13,7 +13,6 @@ from tickloom.operators.entries import in_and_out
 from tickloom.plans import fixtures as X
 from tickloom.plans.catalog import query, rounded
 from tickloom.plans.signals import HEDGE, REGIME, S
-from tickloom.streaming import kalman as N
 
 
 @query(f"""WITH {REGIME}, s AS (SELECT ts, vol_rank, CASE WHEN coalesce(vol_rank, 0.5) > 0.85 OR coalesce(dispersion_pos, 0.5) > 0.85 THEN 'RED' WHEN coalesce(vol_rank, 0.5) > 0.6 OR coalesce(dispersion_pos, 0.5) > 0.6 THEN 'YELLOW' ELSE 'GREEN' END AS state FROM regime)
@@ -91,18 +90,3 @@ def training_stop_rate(spark, sf):
     g = g.withColumn("stop_rate", F.when(F.col("entries") > 0, F.least(F.col("stops") / F.col("entries"), F.lit(1.0))).otherwise(0.5))
     t = in_and_out(s, 1.5, 0.5).select("pair", "n_trades", (F.round("expectancy", 5) + 0.0).alias("expectancy"))
     return rounded(g.join(t, "pair", "left").na.fill({"n_trades": 0, "expectancy": 0.0}))
-
-
-@query()
-def two_stage_scan(spark, sf):
-    """Pairs found on all bars and confirmed on the last ten days."""
-    return A.two_stage(X.pair_bars(spark, sf), F.lit("2024-01-21").cast("timestamp_ntz"), 0.9, 0.9, 0.0, 500.0)
-
-
-@query()
-def kalman_stationarity(spark, sf):
-    """Whether what the online regression leaves over is stationary, and how far its ratio strays."""
-    f = N.filtered(X.pair_bars(spark, sf), N.Params(window=48))
-    t = P.stationarity(f.select("pair", "ts", F.col("innovation").alias("spread")), ("pair",), 1, 1)
-    drift = f.groupBy("pair").agg((F.max("beta") - F.min("beta")).alias("beta_range"))
-    return t.join(drift, "pair")

@@ -13,7 +13,6 @@ from tickloom.plans.catalog import query, rounded
 from tickloom.plans.ledgers import STATS, STATS_ROUND, T
 from tickloom.plans.signals import REGIME
 from tickloom.sources import runs as R
-from tickloom.streaming import kalman as N
 from tickloom.streaming import ticks as K
 
 
@@ -37,15 +36,6 @@ def trade_history(spark, sf):
     return rounded(R.read_trades(spark, path, t.schema, F.lit("1997-01-01").cast("timestamp_ntz")))
 
 
-@query()
-def warm_states(spark, sf):
-    """States of the online regression after the first ten days, saved and loaded; signals go on from there."""
-    path, params = R.new_folder(spark), N.Params(window=48)
-    p, cut = X.pair_bars(spark, sf), F.lit("2024-01-11").cast("timestamp_ntz")
-    R.save_states(N.warm_states(p.where(F.col("ts") < cut), params), path)
-    return N.filtered(p.where(F.col("ts") >= cut), params, R.load_states(spark, path))
-
-
 @query(f"WITH {T} SELECT pair, {STATS_ROUND} FROM (SELECT pair, {STATS} FROM trades GROUP BY pair)")
 def report_sink(spark, sf):
     """The ledger's report as CSV and JSON, read again; both hold the same."""
@@ -72,7 +62,7 @@ def run_comparison(spark, sf):
 def streamed(spark, sf):
     """The events as a stream of (event_id, symbol, ts, value); watermarks need TIMESTAMP."""
     schema = X.table(spark, sf, "events").schema
-    e = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)  # a stream reads folders
+    e = R.stream_of(spark, f"{sf}/events.parquet", schema)
     return e.select("event_id", F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), "value")
 
 
@@ -99,15 +89,6 @@ def stream_once(spark, sf):
     return rounded(landed(K.once(twice, ["event_id"], "30 days"), spark).withColumn("ts", F.col("ts").cast("timestamp_ntz")))
 
 
-@query("""WITH h AS (SELECT event_type AS pair, ts, (value - 50) / 15 AS z FROM events)
-SELECT pair, ts, round(z, 6) + 0.0 AS z, CASE WHEN pair IN ('click', 'view') AND abs(z) > 3 THEN 'stop' WHEN pair IN ('click', 'view') AND abs(z) < 0.5 THEN 'exit' WHEN pair NOT IN ('click', 'view') AND abs(z) > 1.5 AND abs(z) <= 3 THEN 'enter' ELSE 'hold' END AS action FROM h""")
-def stream_decisions(spark, sf):
-    """M5: what a live bot would do at each tick, with two positions open; no order is placed."""
-    s = streamed(spark, sf).select(F.col("symbol").alias("pair"), "ts", ((F.col("value") - 50) / 15).alias("z"))
-    open_ = X.table(spark, sf, "events").where("event_type in ('click', 'view')").select(F.col("event_type").alias("pair")).distinct()
-    return rounded(landed(K.decisions(s, open_, 1.5, 0.5, 3.0), spark).withColumn("ts", F.col("ts").cast("timestamp_ntz")))
-
-
 @query(f"""WITH {T} SELECT exit_reason, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) + 0.0 AS share, round(sum(net), 6) + 0.0 AS net FROM trades GROUP BY exit_reason""")
 def exit_reasons(spark, sf):
     """The data of a chart, shares of exit reasons."""

@@ -492,13 +492,6 @@ def hedge_ratios(spark, sf):
     return out.select("pair", "n", (F.round("beta", 5) + 0.0).alias("beta"), (F.round("alpha", 5) + 0.0).alias("alpha"), (F.round("half_life", 4) + 0.0).alias("half_life"))
 
 
-@query()
-def pair_scan(spark, sf):
-    """Engle-Granger both ways for each window and pair."""
-    d = X.pair_bars(spark, sf).join(F.broadcast(X.windows(spark)), F.expr("ts >= train_start and ts < train_end"))
-    return P.scan(d.select("window_id", "pair", "ts", "y", "x"), ("window_id", "pair"))
-
-
 @query(f"""WITH {X.PAIR_BARS}, w AS (SELECT pair, y, x, pow(0.5, (row_number() OVER (PARTITION BY pair ORDER BY ts DESC) - 1) / 120) AS w FROM pair_bars), s AS (SELECT pair, sum(w) AS w, sum(w * x) AS x, sum(w * y) AS y, sum(w * x * x) AS xx, sum(w * x * y) AS xy FROM w GROUP BY pair),
  b AS (SELECT *, (w * xy - x * y) / (w * xx - x * x) AS beta FROM s) SELECT pair, round(beta, 5) + 0.0 AS beta, round((y - beta * x) / w, 5) + 0.0 AS alpha FROM b""")
 def weighted_hedge(spark, sf):
@@ -517,7 +510,7 @@ def rolling_stationarity(spark, sf):
 SELECT pair, count(*) AS n_blocks, round(stddev_pop(beta), 5) + 0.0 AS beta_std, round(max(beta) - min(beta), 5) + 0.0 AS beta_range, round(arg_max(beta, block) - arg_min(beta, block), 5) + 0.0 AS beta_drift FROM b WHERE beta IS NOT NULL GROUP BY pair""")
 def beta_stability(spark, sf):
     """How hedge ratios move from block to block."""
-    return rounded(P.block_betas(X.pair_bars(spark, sf), 100, 25), 5)
+    return rounded(P.block_betas(X.pair_bars(spark, sf), 100, 25).drop("beta_start"), 5)
 
 
 @query(f"""WITH {X.PAIR_BARS}, i AS (SELECT pair, ts, y, x, least(floor((row_number() OVER ({OVER}) - 1) / greatest(floor(count(*) OVER (PARTITION BY pair) / 3), 1)), 2)::BIGINT AS part FROM pair_bars), h AS (SELECT pair, part, regr_slope(y, x) AS beta, regr_intercept(y, x) AS alpha FROM i GROUP BY ALL),
@@ -599,18 +592,6 @@ def ratio_split(spark, sf):
     return d.groupBy("role").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
-@query()
-def walk_forward_run(spark, sf):
-    """Scan, signals, entries, trades and result of all windows in one job."""
-    return W.run(X.pair_bars(spark, sf), X.windows(spark))
-
-
-@query()
-def sweep_runs(spark, sf):
-    """A run of all windows for each cell of entry, exit and test limit, ranked."""
-    return W.sweep_runs(X.pair_bars(spark, sf), X.windows(spark), [1.0, 1.5, 2.0], [0.0, 0.5], [0.05, 0.5])
-
-
 @query()
 def trade_ledger(spark, sf):
     """K1: trades of each test window, no more than three at a time and one for each leg; a window's last bar closes what is open."""
@@ -618,25 +599,6 @@ def trade_ledger(spark, sf):
     return L.fold_trades(m, ["window_id"], 5e-4, 5e-4, 48, 0.5, {"portfolio": 3, "leg": 1})
 
 
-@query()
-def in_trade_bars(spark, sf):
-    """Bars at which a pair is in a trade."""
-    m = X.masks(spark, sf)
-    return L.in_trade(m.select("pair", "ts"), L.fold_trades(m, [], 5e-4, 5e-4, 48, 0.5))
-
-
-@query()
-def trade_funding(spark, sf):
-    """K2: funding paid by each trade over its bars."""
-    return W.trade_funding(L.fold_trades(X.masks(spark, sf), [], 5e-4, 5e-4, 48, 0.5), asof_rates(spark, sf))
-
-
-def asof_rates(spark, sf):
-    from tickloom.plans.sources_joins import asof_funding
-
-    return asof_funding(spark, sf)
-
-
 @query(f"""WITH {K}, e AS (SELECT *, lead(ts, 6) OVER ({OVER}) AS xt, lead(y, 6) OVER ({OVER}) AS xy, lead(x, 6) OVER ({OVER}) AS xx FROM masks)
 SELECT pair, ts, round(-sign(z) * ((xy - y) - beta * (xx - x)) / (1 + abs(beta)), 5) + 0.0 AS ret, date_diff('hour', ts, xt) AS hours FROM e WHERE entry_mask AND xt IS NOT NULL""")
 def realised_returns(spark, sf):
@@ -646,17 +608,6 @@ def realised_returns(spark, sf):
     return rounded(d.select("pair", "ts", ret.alias("ret"), F.timestamp_diff("HOUR", F.col("ts"), F.col("xt")).alias("hours")), 5)
 
 
-@query()
-def kalman_signals(spark, sf):
-    """M1, M2, M3: online hedge ratios and z-scores of all pairs, warmed up on the days before."""
-    from tickloom.streaming import kalman as N
-
-    p = X.pair_bars(spark, sf)
-    cut = "2024-01-11"
-    warm = N.warm_states(p.where(F.col("ts") < F.lit(cut).cast("timestamp_ntz")), N.Params(window=48))
-    return N.filtered(p.where(F.col("ts") >= F.lit(cut).cast("timestamp_ntz")), N.Params(window=48), warm)
-
-
 @query()
 def regime_machine(spark, sf):
     """M4: states of the market by a machine with a cool-down."""

@@ -71,3 +71,37 @@ def compared(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Metrics of many runs, JSON objects in each path, with the path's last folder as run_id; a metric that a run lacks is null."""
     rows = spark.read.json(paths).select("*", F.input_file_name().alias("__f"))
     return rows.withColumn("run_id", F.element_at(F.split("__f", "/"), -2)).drop("__f")
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again: rounds of a loop don't grow one plan, and a lost executor costs one round."""
+    path = new_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _file(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def has_files(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at a path, in any store that Spark reads."""
+    fs, p = _file(spark, path)
+    return fs.exists(p)
+
+
+def stream_of(spark: SparkSession, path: str, schema: T.StructType, **options: str) -> DataFrame:
+    """A stream of a Parquet table that is one file or a folder of part files; FileNotFoundError if it is neither."""
+    fs, p = _file(spark, path)
+    if not fs.exists(p):
+        raise FileNotFoundError(path)
+    reader = spark.readStream.schema(schema).options(**options)
+    if fs.getFileStatus(p).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", p.getName()).parquet(path.rsplit("/", 1)[0])  # a stream reads folders
+
+
+def done(spark: SparkSession, path: str) -> bool:
+    """Whether a write to the folder was committed."""
+    return has_files(spark, f"{path}/_SUCCESS")

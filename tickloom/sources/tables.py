@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickloom.sources.runs import has_files, saved
+
 CANDLE = T.StructType([T.StructField("ts", T.TimestampNTZType()), T.StructField("symbol", T.StringType()), *(T.StructField(c, T.DoubleType()) for c in ("open", "high", "low", "close", "volume", "turnover")), T.StructField("data_source", T.StringType())])
 #: Price factor of the thousand-unit tokens by source; volume takes its inverse.
 THOUSANDS = ("kPEPE", "kSHIB", "kBONK", "kFLOKI", "kLUNC")
@@ -90,7 +92,30 @@ def unseen(df: DataFrame, loaded: DataFrame) -> DataFrame:
 
 
 def write_by_month(df: DataFrame, path: str) -> None:
-    df.withColumn("month", F.date_trunc("month", "ts").cast("date")).write.mode("overwrite").partitionBy("month").parquet(path)
+    """df as a table with a folder for each month of ts; what was there goes."""
+    with_month(df).write.mode("overwrite").partitionBy("month").parquet(path)
+
+
+def with_month(df: DataFrame) -> DataFrame:
+    return df.withColumn("month", F.date_trunc("month", "ts").cast("date"))
+
+
+def upsert_by_month(new: DataFrame, path: str, keys: Sequence[str], arrival: Sequence[str]) -> None:
+    """Puts rows into a table by month: of rows with the same key the last to arrive stays, also against what is there (see `latest`).
+
+    Only months that new rows touch are read and written; the others keep their files. Keys hold ts, so that a key stays in its month. The same rows
+    twice change nothing.
+    """
+    new = saved(with_month(new))
+    months = [r[0] for r in new.select("month").distinct().collect()]  # a calendar
+    if not months:
+        return
+    merged = new
+    if has_files(new.sparkSession, path):
+        there = new.sparkSession.read.schema(new.schema).parquet(path).where(F.col("month").isin(months))
+        merged = there.unionByName(new)
+    merged = saved(latest(merged, [*keys, "month"], arrival))
+    merged.repartition("month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
 
 
 def members(clusters: DataFrame) -> DataFrame:

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import dataclasses
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from tickloom.operators.adapting import trailing_parameters
+from tickloom.sources.runs import has_files, saved
+from tickloom.sources.tables import upsert_by_month
 
 
 def live_bars(ticks: DataFrame, width: str, late: str, slide: str | None = None) -> DataFrame:
@@ -37,3 +44,147 @@ def decisions(signals: DataFrame, positions: DataFrame, entry: float, leave: flo
 def each_batch(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str):
     """Starts a stream that hands each batch to apply; what was done survives a restart by the checkpoint."""
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+@dataclasses.dataclass(frozen=True)
+class Rules:
+    """|z| above which a position opens, below which it closes, above which it is stopped and none opens; hours after which it closes."""
+
+    entry: float = 1.5
+    leave: float = 0.5
+    stop: float = 3.0
+    hours: int = 48
+
+
+ACTIONS = "pair string, ts timestamp, z double, action string"
+
+
+def _act(rules: Rules, pair: str, ticks: pd.DataFrame, since: pd.Timestamp | None) -> tuple[list[tuple], pd.Timestamp | None]:
+    """(rows, when the position that is then open was opened) of a pair's ticks, in order of time and z."""
+    out, hold = [], pd.Timedelta(hours=rules.hours)
+    for ts, z in ticks.sort_values(["ts", "z"])[["ts", "z"]].itertuples(index=False):
+        if since is not None and since + hold <= ts:
+            out.append((pair, since + hold, None, "time"))
+            since = None
+        size, action = abs(z) if z == z and z is not None else None, "hold"
+        if size is not None and since is not None and size > rules.stop:
+            action, since = "stop", None
+        elif size is not None and since is not None and size < rules.leave:
+            action, since = "exit", None
+        elif size is not None and since is None and rules.entry < size <= rules.stop:
+            action, since = "enter", ts
+        out.append((pair, ts, z, action))
+    return out, since
+
+
+def _rows(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["pair", "ts", "z", "action"]).astype({"pair": object, "ts": "datetime64[ns]", "z": float, "action": object})
+
+
+def live_decisions(signals: DataFrame, rules: Rules, late: str) -> DataFrame:
+    """(pair, ts, z, action) of a stream of (pair, ts, z): enter, exit, stop, time or hold, each by the position that the pair's ticks before have left open.
+
+    A pair's position is kept as state between batches; a timer closes it (time, without z) once the watermark passes its last hour, if no tick has. A null z holds.
+    No order is placed. Ticks of a pair come in order of time.
+    """
+
+    def go(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        since = pd.Timestamp(state.get[0], unit="us") if state.exists else None
+        hold = pd.Timedelta(hours=rules.hours)
+        if state.hasTimedOut:
+            state.remove()
+            yield _rows([(key[0], since + hold, None, "time")])
+            return
+        rows, since = _act(rules, key[0], pd.concat(list(batches)), since)
+        if since is not None and (since + hold).timestamp() * 1000 <= state.getCurrentWatermarkMs():
+            rows.append((key[0], since + hold, None, "time"))
+            since = None
+        if since is None:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((since.value // 1000,))
+            state.setTimeoutTimestamp(int((since + hold).timestamp() * 1000))
+        yield _rows(rows)
+
+    return signals.withWatermark("ts", late).groupBy("pair").applyInPandasWithState(go, ACTIONS, "since long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def decided(signals: DataFrame, rules: Rules, late: str) -> DataFrame:
+    """What `live_decisions` makes of the same rows in the end, as one batch. A task sees a pair, whose ticks depend on those before."""
+    mark = signals.agg((F.max("ts") - F.expr(f"interval {late}")).alias("mark"))
+    d = signals.select("pair", "ts", "z").crossJoin(F.broadcast(mark))  # one row
+
+    def go(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, since = _act(rules, pdf["pair"].iat[0], pdf, None)
+        hold = pd.Timedelta(hours=rules.hours)
+        if since is not None and since + hold < pdf["mark"].iat[0]:
+            rows.append((pdf["pair"].iat[0], since + hold, None, "time"))
+        return _rows(rows)
+
+    return d.groupBy("pair").applyInPandas(go, ACTIONS)
+
+
+def late_aside(path: str, keys: Sequence[str], days: int) -> Callable[[DataFrame, int], None]:
+    """What a stream of rows (keys, ts, ...) does with each batch: on-time rows go to {path}/on_time, each key once; rows more than `days` behind the latest of the batches before
+    go to {path}/late, merged by key and month.
+
+    The latest time is a table with a version for each batch, so a batch that is done again meets the same mark, and does the same. On-time
+    rows are compared with those of the last `days` alone, which earlier rows of the same key must be among.
+    """
+    mark_at, out = (lambda k: f"{path}/mark/version={k}"), f"{path}/on_time"
+
+    def go(batch: DataFrame, k: int) -> None:
+        spark = batch.sparkSession
+        batch = saved(batch)
+        old = spark.read.parquet(mark_at(k - 1)).first()[0] if k and has_files(spark, mark_at(k - 1)) else None
+        behind = F.lit(False) if old is None else F.col("ts") < F.lit(old) - F.expr(f"interval {days} days")
+        late = batch.where(behind).dropDuplicates(list(keys))
+        if not late.isEmpty():
+            upsert_by_month(late, f"{path}/late", keys if "ts" in keys else [*keys, "ts"], list(keys))
+        fine = batch.where(~F.coalesce(behind, F.lit(False))).dropDuplicates(list(keys))
+        seen = [f"{out}/version={i}" for i in range(k) if has_files(spark, f"{out}/version={i}")]
+        if seen and old is not None:
+            before = spark.read.schema(batch.schema).parquet(*seen).where(F.col("ts") >= F.lit(old) - F.expr(f"interval {days} days"))
+            fine = fine.join(before.select(*keys), list(keys), "left_anti")
+        fine.write.mode("overwrite").parquet(f"{out}/version={k}")
+        newest = batch.agg(F.max("ts").alias("ts")).select(F.greatest("ts", F.lit(old).cast(batch.schema["ts"].dataType)).alias("ts"))
+        newest.write.mode("overwrite").parquet(mark_at(k))
+
+    return go
+
+
+def parameter_updates(path: str, entry_z: float, size: float, period_days: int, trailing_days: int) -> Callable[[DataFrame, int], None]:
+    """What a stream of trades (pair, trade_seq, exit_ts, net), in order of time, does with each batch: at the end of each period that it completes, parameters by the
+    trailing trades (see `trailing_parameters`) go to {path}/out, if they aren't those before.
+
+    Trades of trailing_days are kept, as a version for each batch; a batch that is done again writes the same.
+    """
+
+    def go(batch: DataFrame, k: int) -> None:
+        spark = batch.sparkSession
+        kept = f"{path}/trades/version={k - 1}"
+        known = saved(batch.unionByName(spark.read.schema(batch.schema).parquet(kept)) if k and has_files(spark, kept) else batch)
+        before = [f"{path}/out/version={i}" for i in range(k) if has_files(spark, f"{path}/out/version={i}")]
+        last = spark.read.parquet(*before).orderBy(F.desc("period_end")).first() if before else None
+        marks = [f"{path}/mark/version={i}" for i in range(k) if has_files(spark, f"{path}/mark/version={i}")]
+        done_to = spark.read.parquet(marks[-1]).first()[0] if marks else None
+        mark = known.agg(F.max("exit_ts").alias("mark"))
+        ends = trailing_parameters(known, entry_z, size, period_days, trailing_days).crossJoin(F.broadcast(mark)).where("period_end <= mark").drop("mark")
+        ends = ends if done_to is None else ends.where(F.col("period_end") > F.lit(done_to))
+        changed(ends, (last["entry_z"], last["size"]) if last else None).write.mode("overwrite").parquet(f"{path}/out/version={k}")
+        known.crossJoin(F.broadcast(mark)).where(F.col("exit_ts") > F.col("mark") - F.make_dt_interval(F.lit(trailing_days + period_days))).drop("mark").write.mode("overwrite").parquet(f"{path}/trades/version={k}")
+        mark.write.mode("overwrite").parquet(f"{path}/mark/version={k}")
+
+    return go
+
+
+def changed(ends: DataFrame, last: tuple[float, float] | None = None) -> DataFrame:
+    """Rows (period_end, entry_z, size, ...) whose parameters aren't those of the row before, or, for the first, the last ones."""
+    from pyspark.sql import Window
+
+    w = Window.orderBy("period_end")  # a calendar's rows
+    first = F.struct(F.lit(last[0]).alias("entry_z"), F.lit(last[1]).alias("size")) if last else F.lit(None).cast("struct<entry_z: double, size: double>")
+    now = F.struct("entry_z", "size")
+    before = F.coalesce(F.lag(now).over(w), first)
+    return ends.withColumn("__b", before).where(~F.col("__b").eqNullSafe(now)).drop("__b")
