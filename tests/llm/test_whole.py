@@ -140,3 +140,13 @@ def test_dates_without_zeros_are_a_permutation():
     days = [f"{d}/{m}/2000" for m in range(1, 13) for d in range(1, 29) if (m < 10 or d < 10) and not (m, d) == (2, 29)]
     go = lambda x, sign=1: pii.Pseudonyms("k", sign).date(x)
     assert len({go(x) for x in days}) == len(days) and all(go(go(x), -1) == x for x in days)
+
+
+def test_clean_texts_that_repeat_a_line_are_kept(spark):
+    """At least 95 % of labelled clean documents pass, 90 % of those with repeated lines; what is labelled bad does not."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = outliers.outliers(docs).join(labels, "doc_id").where("not base_failed").toPandas()
+    clean, bad = got[got["quality"] == 1], got[got["quality"] == 0]
+    assert clean["kept"].mean() >= 0.95 and clean[clean["n_dup_lines"] > 0]["kept"].mean() >= 0.9 and (clean["n_dup_lines"] > 0).sum() >= 10
+    assert len(bad) > 10 and bad["kept"].mean() <= 0.1

@@ -28,6 +28,8 @@ HOT = 1000
 #: A statistic's least standard deviation: differences well below it mean nothing, even where all rows are alike. Where they are, each
 #: statistic can reject by itself: words a tenth longer or shorter, half a sign in 100 letters, or 8 % of repeated lines or words.
 FLOORS = (0.02, 0.1, 0.5, 0.5)
+#: Statistics that most texts have none of and good ones may have: lines and words that repeat.
+REPEATS = (2, 3)
 #: Share of a normal group's rows that the cutoff leaves.
 CUTOFF = 0.999
 WORD, SPACES = r"[^\x20\x09-\x0D]", r"[\x20\x09-\x0D]+"
@@ -82,6 +84,27 @@ def counted(used: DataFrame) -> DataFrame:
     return written(every.join(totals, KEYS).select(*KEYS, "cell", "n", "total", *means, *(f"q{i}{j}" for i, j in LOWER)), "cells")
 
 
+def units(cells: DataFrame) -> DataFrame:
+    """(language, s2, s3): what a language's repeats are divided by, so that the ALPHA quantile of the rows that have any lies two least deviations from none.
+
+    Most rows repeat nothing, so their spread says nothing about those that do. A language with under PRIOR rows that repeat takes the unit of all rows; without these it is 1.
+    """
+    d = cells.where(F.col(KEYS[1]) == ALL)
+    some = lambda i: F.col(X[i]) > 0
+    g = d.groupBy(KEYS[0]).agg(*(F.percentile(F.when(some(i), F.col(X[i])), F.lit(ALPHA), F.col("n")).alias(f"p{i}") for i in REPEATS), *(F.coalesce(F.sum(F.when(some(i), F.col("n"))), F.lit(0)).alias(f"k{i}") for i in REPEATS))
+    g = g.select(KEYS[0], *(F.when(F.col(f"k{i}") >= PRIOR, F.greatest(F.lit(1.0), F.col(f"p{i}") / (2 * FLOORS[i]))).alias(f"s{i}") for i in REPEATS))
+    of_all = F.broadcast(g.where(F.col(KEYS[0]) == ALL).select(*(F.col(f"s{i}").alias(f"a{i}") for i in REPEATS)))  # one row
+    return g.join(of_all, how="left").select(KEYS[0], *(F.coalesce(f"s{i}", f"a{i}", F.lit(1.0)).alias(f"s{i}") for i in REPEATS))
+
+
+def in_units(df: DataFrame, products: bool = False) -> DataFrame:
+    """df, which has s2 and s3, with its repeats, and sums of products with them, in these units."""
+    of = lambda i: F.col(f"s{i}") if i in REPEATS else F.lit(1.0)
+    new = {X[i]: F.col(X[i]) / of(i) for i in REPEATS}
+    new |= {f"q{i}{j}": F.col(f"q{i}{j}") / (of(i) * of(j)) for i, j in LOWER if products and (i in REPEATS or j in REPEATS)}
+    return df.withColumns(new)
+
+
 def with_factor(df: DataFrame, cov: dict[tuple[int, int], Column]) -> DataFrame:
     """df with l00..: the lower Cholesky factor of a covariance, of which the least standard deviations are FLOORS, and logdet."""
     for i, j in LOWER:
@@ -194,7 +217,7 @@ def outliers(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: st
 
     A row fails the base rules with under 50 words, or if over half of its words are in windows of three that repeat. Of the
     others, all are kept whose distance is within the cutoff. Estimates rest on rows that pass the base rules; distance is null where a
-    language and source has no such row. A group of few rows has
+    language and source has no such row. Repeats are measured by those of the language's rows that have any (see `units`). A group of few rows has
     hardly an estimate of its own: it widens that of its language enough to hold its own centre. Null languages and sources are groups of
     their own. Null and empty texts have no words and fail. Repeated rows and ids each count and come back, ties fare alike; an empty table
     gives an empty result. Other columns play no part.
@@ -202,7 +225,10 @@ def outliers(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: st
     stats = with_statistics(df.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text)).alias("text"), *(F.coalesce(F.concat(F.lit("="), F.col(quoted(c)).cast("string")), F.lit("null")).alias(k) for c, k in zip((lang, source), KEYS)))).drop("text")
     rows = stats.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).withColumns(dict(zip(X, vector())))
     rows = written(rows, "statistics")
-    found = written(estimates(counted(rows.where("not base_failed"))), "final")
+    cells = counted(rows.where("not base_failed"))
+    of_language = written(units(cells), "units")
+    scaled = written(in_units(cells.join(of_language, KEYS[0]), True).select(*cells.columns), "scaled")
+    found = written(estimates(scaled).join(of_language, KEYS[0]), "final")
     sizes = written(rows.groupBy(*KEYS).agg(F.count("*").alias("rows")), "sizes")
-    final = distance(looked_up(rows, found.drop("n", "logdet"), sizes))
+    final = distance(in_units(looked_up(rows, found.drop("n", "logdet"), sizes)))
     return final.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.coalesce(F.col("d2") <= chi2_quantile(cutoff, P), F.lit(True))).alias("kept"), F.sqrt("d2").alias("distance"))
