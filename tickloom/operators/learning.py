@@ -1,15 +1,13 @@
-"""Drift, calibration, splits, clusters and boosted models of features, with MLlib where a model is fitted."""
+"""Drift, calibration, splits and clusters of features, with MLlib where a model is fitted."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, Imputer, RobustScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression
+from pyspark.ml.feature import PCA, RobustScaler, VectorAssembler
+from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,11 +85,3 @@ def clusters(features: DataFrame, cols: Sequence[str], dims: int, k: int, by: st
     out = Pipeline(stages=steps).fit(features).transform(features)
     means = out.groupBy("__c").agg(F.avg(by).alias("__m")).withColumn("cluster", (F.dense_rank().over(Window.orderBy("__m", "__c")) - 1).cast("long"))
     return out.join(F.broadcast(means), "__c").select(*features.columns, "cluster")
-
-
-def boosted(train: DataFrame, test: DataFrame, cols: Sequence[str], label: str, classify: bool = True, rounds: int = 10) -> DataFrame:
-    """test with score: a probability of label 1, or a value; missing features count as their mean in training."""
-    prep = [Imputer(inputCols=list(cols), outputCols=[f"__{c}" for c in cols]), VectorAssembler(inputCols=[f"__{c}" for c in cols], outputCol="__v")]
-    model = GBTClassifier(featuresCol="__v", labelCol=label, maxIter=rounds, seed=7).setProbabilityCol("__p") if classify else GBTRegressor(featuresCol="__v", labelCol=label, maxIter=rounds, seed=7, predictionCol="__y")
-    out = Pipeline(stages=[*prep, model]).fit(train).transform(test)
-    return out.select(*test.columns, (vector_to_array("__p")[1] if classify else F.col("__y")).alias("score"))

@@ -532,29 +532,6 @@ def false_discovery(spark, sf):
     return rounded(P.false_discovery(t, 0.2))
 
 
-@query()
-def feature_clusters(spark, sf):
-    """Clusters of embeddings, numbered by a mean."""
-    e = X.table(spark, sf, "embeddings").select("vec_id", *(F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(7)))
-    return M.clusters(e, [f"f{i}" for i in range(7)], 4, 7, "f0").select("vec_id", "cluster")
-
-
-@query()
-def win_classifier(spark, sf):
-    """A boosted classifier on earlier rows, scores of the later ones."""
-    d = X.table(spark, sf, "documents").join(X.table(spark, sf, "labels"), "doc_id").select("doc_id", F.col("n_chars").cast("double").alias("a"), F.length(F.regexp_replace("text", "[^,.]", "")).cast("double").alias("b"), F.col("quality").cast("double").alias("y"))
-    cut = d.agg(F.percentile("doc_id", 0.8)).first()[0]
-    return M.boosted(d.where(F.col("doc_id") <= cut), d.where(F.col("doc_id") > cut), ["a", "b"], "y", rounds=5).select("doc_id", "score")
-
-
-@query()
-def risk_regressor(spark, sf):
-    """A boosted regressor of forward volatility."""
-    f = X.signals(spark, sf).withColumn("forward", F.stddev_samp("spread").over(of_pair().rowsBetween(1, 12))).where("z is not null and forward is not null").select("pair", "ts", F.abs("z").alias("a"), "vol", "forward")
-    cut = F.lit("2024-01-24").cast("timestamp_ntz")
-    return M.boosted(f.where(F.col("ts") < cut), f.where(F.col("ts") >= cut), ["a", "vol"], "forward", classify=False, rounds=5).select("pair", "ts", "score")
-
-
 @query()
 def platt_scaling(spark, sf):
     """Probabilities of scores, by a logistic curve and by a monotone one."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickloom.plans import adaptive, ledgers, online, runs, scans, signals, sources_joins  # noqa: F401
+from tickloom.plans import adaptive, learned, ledgers, online, reports, runs, scans, signals, sources_joins  # noqa: F401
 from tickloom.plans.catalog import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
