@@ -48,13 +48,13 @@ def regime_ranges(prices: DataFrame, windows: DataFrame, benchmark: str, lookbac
     """(window_id, vol_percentile, vol, autocorr, volatility, trend, min_half_life, max_half_life) of each window's training part.
 
     vol_percentile is the share of the benchmark's rolling volatilities in the last `lookback` bars that are below the last one (0.5 with under two); autocorr the median of the
-    symbols' lag-1 autocorrelations there, of those with twenty returns. prices has (symbol, ts, px); a trend decides the range before volatility does.
+    symbols' lag-1 autocorrelations there, of those with twenty returns. Volatilities that agree to nine digits are equal. prices has (symbol, ts, px); a trend decides the range before volatility does.
     """
     d = with_windows(prices, windows).where("role = 'train'")
     own = Window.partitionBy("window_id", "symbol")
     d = d.withColumn("lr", F.log(F.col("px") / F.lag("px").over(own.orderBy("ts")))).where("lr is not null")
     frame = own.orderBy("ts").rowsBetween(1 - vol_bars, 0)
-    d = d.withColumns({"r1": F.lag("lr").over(own.orderBy("ts")), "back": F.row_number().over(own.orderBy(F.desc("ts"))), "vol": F.when(F.count("lr").over(frame) >= vol_bars, F.stddev_samp("lr").over(frame))}).where(F.col("back") <= lookback)
+    d = d.withColumns({"r1": F.lag("lr").over(own.orderBy("ts")), "back": F.row_number().over(own.orderBy(F.desc("ts"))), "vol": F.when(F.count("lr").over(frame) >= vol_bars, F.round(F.stddev_samp("lr").over(frame), 9))}).where(F.col("back") <= lookback)
     v = d.where(F.col("symbol") == benchmark).withColumn("now", F.max(F.when(F.col("back") == 1, F.col("vol"))).over(Window.partitionBy("window_id")))
     p = v.groupBy("window_id").agg(F.when(F.count("vol") < 2, 0.5).otherwise(F.avg((F.col("vol") < F.col("now")).cast("int"))).alias("vol_percentile"), (F.coalesce(F.max("now"), F.lit(0.0)) * per_year**0.5).alias("vol"))
     varied = F.when((F.stddev_pop("lr") > 0) & (F.stddev_pop("r1") > 0), F.lit(True))

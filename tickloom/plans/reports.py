@@ -46,7 +46,7 @@ def window_advice(spark, sf):
 
 @query(f"""WITH {X.RETURNS}, {X.windows_sql()}, lr AS (SELECT symbol, ts, CASE WHEN px > 0 AND b > 0 THEN ln(px / b) END AS lr FROM (SELECT *, lag(px) OVER (PARTITION BY symbol ORDER BY ts) AS b FROM bars)),
  w AS (SELECT window_id, symbol, ts, lr, lag(lr) OVER (PARTITION BY window_id, symbol ORDER BY ts) AS r1, row_number() OVER (PARTITION BY window_id, symbol ORDER BY ts DESC) AS back FROM lr JOIN windows ON ts > train_start AND ts < train_end WHERE lr IS NOT NULL),
- v AS (SELECT window_id, back, CASE WHEN count(lr) OVER q >= 24 THEN stddev_samp(lr) OVER q END AS vol FROM w WHERE symbol = 'click' WINDOW q AS (PARTITION BY window_id ORDER BY ts ROWS 23 PRECEDING)),
+ v AS (SELECT window_id, back, CASE WHEN count(lr) OVER q >= 24 THEN round(stddev_samp(lr) OVER q, 9) END AS vol FROM w WHERE symbol = 'click' WINDOW q AS (PARTITION BY window_id ORDER BY ts ROWS 23 PRECEDING)),
  h AS (SELECT window_id, count(vol) AS n, max(CASE WHEN back = 1 THEN vol END) AS now FROM v WHERE back <= 168 GROUP BY window_id),
  p AS (SELECT h.window_id, CASE WHEN any_value(n) < 2 THEN 0.5 ELSE avg((vol < now)::INT) END AS vol_percentile, coalesce(any_value(now), 0) * sqrt(24 * 365) AS vol FROM h JOIN v ON v.window_id = h.window_id AND back <= 168 AND vol IS NOT NULL GROUP BY h.window_id),
  c AS (SELECT window_id, symbol, corr(lr, r1) AS c FROM w WHERE r1 IS NOT NULL AND back <= 168 GROUP BY ALL HAVING count(*) >= 20), a AS (SELECT window_id, quantile_cont(c, 0.5) AS autocorr FROM c GROUP BY window_id),
