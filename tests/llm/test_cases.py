@@ -110,3 +110,27 @@ def test_one_row_beyond_the_limit(spark):
     d = spark.createDataFrame([(1, "a" * 100), (2, "b" * 10)], "doc_id long, text string")
     got = {r["doc_id"]: r for r in sharding.shards(d, limit=50).collect()}
     assert got[1]["oversized"] and not got[2]["oversized"] and got[1]["shard"] != got[2]["shard"]
+
+
+@pytest.mark.parametrize("kind", ["int", "smallint", "bigint", "string", "date", "decimal(20,2)"])
+def test_ids_of_any_type_are_cut_alike(spark, kind):
+    long = " ".join(f"w{i}" for i in range(60))
+    made = "date_add(date'2024-01-01', cast(k as int))" if kind == "date" else f"cast(k as {kind})"
+    d = spark.createDataFrame([(1, long), (2, f"x {long}"), (3, "short"), (None, None)], "k int, text string").selectExpr(f"{made} as `doc.id`", "text")
+    got = recompression.repeated_words(d, id_col="doc.id")
+    assert got.dtypes[0] == d.dtypes[0] and sorted(map(str, (r[0] for r in got.collect()))) == sorted(map(str, (r[0] for r in d.collect())))
+    assert sorted(r["n_removed"] for r in got.collect()) == [0, 0, 60, 60]
+
+
+def test_packing_of_odd_conversations(spark):
+    limits = packing.Limits(tokens=64, segments=4, loss=40)
+    turns = [(1, "user", "hello there"), (1, "assistant", "hi"), (1, "assistant", "hi"), (2, None, None), (2, "assistant", ""), (None, "user", "lost"), (None, "assistant", "found"), (3, "assistant", "word " * 500), (4, "user", "a")]
+    d = spark.createDataFrame([(*t, 1, 2) for t in turns], "conv_id long, role string, text string, offset int, sequence_id int")
+    got = {r["conv_id"]: r for r in packing.packed_conversations(d, limits).collect()}
+    assert set(got) == {1, 2, 3, 4, None} and got[1]["segments"] == 3 and got[2]["tokens"] == 2 and got[2]["loss"] == 1 and got[None]["segments"] == 2
+    assert sum(r["sequence_id"] == got[3]["sequence_id"] for r in got.values()) == 1 and got[3]["tokens"] > limits.tokens
+    fits = [r for r in got.values() if r["conv_id"] != 3]
+    for s in {r["sequence_id"] for r in fits}:
+        own = [r for r in fits if r["sequence_id"] == s]
+        assert sum(r["tokens"] for r in own) <= 64 and sum(r["segments"] for r in own) <= 4 and sum(r["loss"] for r in own) <= 40
+    assert packing.packed_conversations(d.where("false"), limits).count() == 0

@@ -254,5 +254,8 @@ def conversation_examples(turns: DataFrame, conv: str = "conv_id", role: str = "
 
 
 def packed_conversations(turns: DataFrame, limits: Limits, conv: str = "conv_id", role: str = "role", text: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """Conversations as wholes in sequences under all three limits: conv, tokens, segments, loss, sequence_id, offset."""
+    """Conversations as wholes in sequences under all three limits: conv, tokens, segments, loss, sequence_id, offset.
+
+    Odd turns count as in `conversation_examples`. A conversation beyond a limit has a sequence of its own, whole; an empty table gives an empty result.
+    """
     return pack(written(conversation_examples(turns, conv, role, text, tokenizer), "examples"), "tokens", "segments", "loss", limits)

@@ -137,10 +137,11 @@ def repeated_words(df: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     A word goes if a window of consecutive words that covers it also starts anywhere else, in the same text or another, as
     texts were given. spans has the removed ranges of words, [begin, end). Null and empty texts have no words and keep an
     empty string; a text shorter than a window stays whole; ids may be null or repeat (all but the ids' own rows are
-    kept apart); an empty table gives an empty result. Other columns play no part.
+    kept apart), and of any type that text can stand for; an empty table gives an empty result. Other columns play no part.
     """
-    kind = df.schema[id_col].dataType
-    docs = df.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text)).alias("text"))
+    kind = df.select(F.col(quoted(id_col))).schema[0].dataType
+    carried = "long" if kind.typeName() == "long" else "string"  # other ids travel as text
+    docs = df.select(F.col(quoted(id_col)).cast(carried).alias("id"), F.col(quoted(text)).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks, bits = math.ceil(max(size, 1) / CHUNK), max(0, math.ceil(math.log2(max(1, size / BUCKET))))
     # rows that repeat are spread by their place, which matters to none of them
@@ -227,9 +228,9 @@ def repeated_words(df: DataFrame, id_col: str = "doc_id", text: str = "text", wi
         spans = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(whose, minlength=len(chunk)))], pa.int32()), spans)
         return pa.table([chunk["id"].combine_chunks(), pa.array(words.counts), pa.array(words.counts - kept_n), pc.binary_join(kept, " "), spans], schema=out_schema)
 
-    out_schema = out_type.set(0, pa.field("id", pa.string())) if kind.typeName() == "string" else out_type
+    out_schema = out_type.set(0, pa.field("id", pa.string())) if carried == "string" else out_type
     learnt = dealt.groupBy("chunk").applyInArrow(name, parts).groupBy("bucket").applyInArrow(named, "chunk int, found binary")
     asked = dealt.groupBy("chunk").cogroup(learnt.groupBy("chunk")).applyInArrow(candidates, parts)
     told = asked.groupBy("bucket").applyInArrow(verified, "chunk int, found binary, second binary")
-    done = dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(cut, f"id {kind.simpleString()}, n_words long, n_removed long, kept string, spans array<struct<begin:long,end:long>>")
-    return done.withColumnRenamed("id", id_col)
+    done = dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(cut, f"id {carried}, n_words long, n_removed long, kept string, spans array<struct<begin:long,end:long>>")
+    return done.select(F.col("id").cast(kind).alias(id_col), "n_words", "n_removed", "kept", "spans")
