@@ -156,3 +156,16 @@ def trade_funding(spark, sf):
     """K2: funding paid by each trade over its bars."""
     out = W.trade_funding(pair_trades(spark, sf), asof_funding(spark, sf))
     return rounded(out.select("pair", "trade_seq", "entry_ts", "exit_ts", "dir", "hold_bars", "exit_reason", "gross", "net", "funding"))
+
+
+WIDE = """closes AS (SELECT event_type || '/' || (user_id % 3) AS symbol, date_trunc('hour', ts)::TIMESTAMP AS ts, arg_max(value, ts) AS close FROM events GROUP BY ALL), lp AS (SELECT ts, symbol, ln(close) AS lp FROM closes WHERE close > 0),
+ windows AS (SELECT 0::BIGINT AS window_id, TIMESTAMP '1900-01-01' AS train_start, TIMESTAMP '2900-01-01' AS train_end, TIMESTAMP '2900-01-01' AS test_end)"""
+
+
+@query(f"""WITH {WIDE}, {scan_sql(True)}
+SELECT pair, direction, n, round(hedge_ratio, 5) + 0.0 AS hedge_ratio, round(spread_vol, 5) + 0.0 AS spread_vol, round(half_life, 4) + 0.0 AS half_life, round(max_z, 4) + 0.0 AS max_z, round(current_z, 4) + 0.0 AS current_z, round(df, 4) + 0.0 AS df, reason FROM ranked WHERE nth = 1""")
+def wide_scan(spark, sf):
+    """The gates over all bars of fifteen series, a hundred pairs and more, of which candidates alone are joined."""
+    c = X.closes(spark, sf, "concat(event_type, '/', user_id % 3)").where("close > 0").select("ts", "symbol", F.log("close").alias("lp"))
+    out = S.scan(c, (), LIMITS, RATIO, CORR, 3, None)
+    return out.select("pair", "direction", "n", *((F.round(c, k) + 0.0).alias(c) for c, k in (("hedge_ratio", 5), ("spread_vol", 5), ("half_life", 4), ("max_z", 4), ("current_z", 4), ("df", 4))), "reason")
