@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 
@@ -147,3 +148,27 @@ def mad_vol(x: str, n: int, scale: float = 1.4826, keys: Sequence[str] = ("pair"
     # the median is bound once, as the only element of an array, not found again for each value
     off = F.transform(F.array(middle(v)), lambda m: F.transform(v, lambda e: F.abs(e - m)))[0]
     return F.when(F.size(v) > 0, scale * F.transform(F.array(off), middle)[0])
+
+
+@F.udtf(returnType="symbol string, ts timestamp_ntz, close double, filled boolean")
+class GapFill:
+    """A table function over one series in order of time: its bars, and between them the missing ones with the last known close."""
+
+    def __init__(self):
+        self.ts, self.close = None, None
+
+    def eval(self, row: Row, seconds: int):
+        step = datetime.timedelta(seconds=seconds)
+        while self.ts is not None and self.ts + step < row["ts"]:
+            self.ts += step
+            yield row["symbol"], self.ts, self.close, True
+        self.ts, self.close = row["ts"], self.close if row["close"] is None else row["close"]
+        yield row["symbol"], self.ts, self.close, row["close"] is None
+
+
+def gap_filled(bars: DataFrame, seconds: int) -> DataFrame:
+    """(symbol, ts, close, filled) of bars (symbol, ts, close) at whole steps: one for each step from a series' first bar to its last; missing closes take the last known one.
+
+    A task fills one series as it passes and holds one bar of it. Bars are at whole steps from the first, and don't repeat.
+    """
+    return GapFill(bars.select("symbol", "ts", "close").asTable().partitionBy("symbol").orderBy("ts"), F.lit(seconds))

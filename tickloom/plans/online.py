@@ -207,3 +207,10 @@ def stream_parameters(spark, sf):
     src = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
     K.each_batch(src, K.parameter_updates(path, 2.0, 0.8, 30, 60), f"{path}/checkpoint").awaitTermination()
     return rounded(spark.read.parquet(f"{path}/out/*"))
+
+
+@query("""WITH closes AS (SELECT event_type AS symbol, date_trunc('hour', ts)::TIMESTAMP AS ts, arg_max(value, ts) AS close FROM events GROUP BY ALL), g AS (SELECT symbol, unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM closes GROUP BY symbol)
+SELECT symbol, ts, round(last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING), 6) + 0.0 AS close, close IS NULL AS filled FROM g LEFT JOIN closes USING (symbol, ts)""")
+def gap_fill(spark, sf):
+    """2.M: a table function by series, equal to a join with the grid."""
+    return rounded(B.gap_filled(X.closes(spark, sf), 3600))
