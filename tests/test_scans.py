@@ -36,6 +36,22 @@ def test_intervals_are_what_a_walk_over_bars_finds(spark, hold, stop, most):
     assert [g[:8] for g in got] == [x[:8] for x in want] and all(a == pytest.approx(b) for g, x in zip(got, want) for a, b in zip(g[8:], x[8:]))
 
 
+@pytest.mark.parametrize("block", [1, 3, 8])
+def test_chains_over_many_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(intervals, "BLOCK", block)
+    rng, rows, want = random.Random(block), [], set()
+    for key, n in (("p", 60), ("q", 1), ("r", block), ("s", 2 * block + 1)):
+        ends = [min(i + rng.choice([1, 1, 2, 5, 20]), n) for i in range(n)]
+        rows += [(key, i, e if e < n else None) for i, e in enumerate(ends)]
+        at = 0
+        while at < n:
+            want.add((key, at))
+            at = ends[at]
+    d = spark.createDataFrame(rows, "k string, i long, next long")
+    got = [tuple(r) for r in intervals.chained(d, ["k"]).select("k", "i").collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_no_signals_no_intervals(spark):
     d = spark.createDataFrame(walks(1), SIGNALS)
     assert intervals.interval_trades(d.where("false"), ["w"], 0.0, 0.0, 5, 1.0).count() == 0

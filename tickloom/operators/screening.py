@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators.pairs import block_betas, correlated, p_value, rolling_stationarity
+from tickloom.sources.runs import saved
 
 #: Both directions of a pair; the first wins ties.
 DIRECTIONS = ("y~x", "x~y")
@@ -155,10 +156,12 @@ def scan(prices: DataFrame, keys: Sequence[str] = (), limits: Limits = Limits(),
     """One row for each candidate: (keys, pair, direction, n, hedge_ratio, spread_vol, half_life, max_z, current_z, df, lags, statistic, p_value, reason).
 
     prices has (keys, ts, symbol, lp). Candidates correlate by least_corr over least_rows bars or more; the first `ratio` of a pair's bars train. With max_lags None
-    nothing is tested, and neither lags, statistic nor p_value come back.
+    nothing is tested, and neither lags, statistic nor p_value come back. prices are read four times, so they are best a written table.
     """
     pairs = correlated(prices, least_corr, least_rows, keys)
     sides = spreads(bars_of(pairs, prices, keys), keys, ratio)
+    if max_lags is not None:
+        sides = saved(sides)  # gates and tests read it
     rows = gates(sides, keys)
     if max_lags is not None:
         rows = rows.join(tested(sides, keys, max_lags), [*keys, "pair", "direction"])

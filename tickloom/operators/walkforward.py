@@ -11,6 +11,7 @@ from tickloom.operators import ledger as L
 from tickloom.operators import screening as S
 from tickloom.operators.entries import clip
 from tickloom.operators.intervals import interval_trades
+from tickloom.sources.runs import saved
 
 
 def with_windows(bars: DataFrame, windows: DataFrame, short_days: int = 0) -> DataFrame:
@@ -78,7 +79,7 @@ def picked_spreads(prices: DataFrame, windows: DataFrame, limits: S.Limits, n: i
 
     prices has (ts, symbol, lp). All windows are one scan; bars are joined for pairs that passed alone, in the direction that did.
     """
-    d = with_windows(prices, windows)
+    d = saved(with_windows(prices, windows))  # both legs of candidates and of found pairs read it
     found = S.scan(d.where("role = 'train'").select("window_id", "ts", "symbol", "lp"), ("window_id",), limits, ratio, least_corr, 3, max_lags).where("reason is null")
     b = S.bars_of(found.select("window_id", "pair"), d.select("window_id", "ts", "symbol", "lp"), ("window_id",)).join(found.select("window_id", "pair", "direction", F.col("hedge_ratio").alias("beta"), *(["p_value"] if max_lags is not None else [])), ["window_id", "pair"])
     turned = F.col("direction") == S.DIRECTIONS[1]

@@ -14,7 +14,7 @@ from tickloom.operators.intervals import interval_trades
 from tickloom.plans import fixtures as X
 from tickloom.plans.catalog import query, rounded
 from tickloom.plans.sources_joins import asof_funding
-from tickloom.sources.runs import new_folder
+from tickloom.sources.runs import new_folder, saved
 
 #: Limits of the queries: the tables' pairs revert within hours, and no two series are close.
 LIMITS = S.Limits(max_p=1.0, min_vol=0.002, max_z=2.5, min_half_life=0.0, max_half_life=720.0)
@@ -89,7 +89,7 @@ def scan_gates(spark, sf):
 @query()
 def pair_scan(spark, sf):
     """Engle-Granger tests with chosen lags, both ways, and all gates, for each window and candidate."""
-    d = W.with_windows(prices(spark, sf), X.windows(spark)).where("role = 'train'").select("window_id", "ts", "symbol", "lp")
+    d = saved(W.with_windows(prices(spark, sf), X.windows(spark)).where("role = 'train'").select("window_id", "ts", "symbol", "lp"))
     return S.scan(d, ("window_id",), S.Limits(max_p=0.05, max_z=3.0, min_half_life=0.0), 0.9, CORR)
 
 
