@@ -277,7 +277,7 @@ def test_histories_skip_bad_lines_and_reports_come_back(spark, tmp_path):
 
 
 def test_cells_of_a_sweep_are_runs(spark, sf):
-    prices, w = scans.prices(spark, sf).where("symbol in ('click', 'view', 'error')"), fixtures.windows(spark)
+    prices, w = scans.prices(spark, sf).where("symbol in ('click', 'view', 'error')"), fixtures.windows(spark, sf)
     limits = screening.Limits(max_p=1.0, max_z=1e9, min_half_life=0.0)
     spreads = walkforward.picked_spreads(prices, w, limits, 24, 0.8)
     got = {(r["max_p"], r["entry_z"], r["exit_z"]): r for r in walkforward.sweep_runs(spreads, [1.5, 9.0], [0.5], [0.01, 1.0]).collect()}

@@ -4,8 +4,10 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tickloom.operators import learning, pairs
+from tickloom.plans import fixtures
 
 
 def plain_adf(x, lags):
@@ -95,3 +97,17 @@ def test_platt_and_isotonic(spark):
             (m, k), (q, n) = blocks.pop(), blocks.pop()
             blocks.append([(m * k + q * n) / (k + n), k + n])
     assert np.allclose(got["p"], np.concatenate([np.full(n, m) for m, n in blocks]))
+
+
+def test_bars_and_windows_follow_the_events(spark, tmp_path):
+    rows = [("2025-03-02 05:10:00", "a", 1.0), ("2025-03-02 05:40:00", "a", 2.0), ("2025-03-21 23:30:00", "b", 3.0)]
+    e = spark.createDataFrame(rows, "ts string, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    e.write.parquet(str(tmp_path / "some" / "events.parquet"))
+    sf = str(tmp_path / "some")
+    b = {(r.symbol, str(r.ts)): r.px for r in fixtures.bars(spark, sf).collect()}
+    assert len(b) == 2 * 20 * 24 and b["a", "2025-03-02 04:00:00"] is None and b["a", "2025-03-21 23:00:00"] == 2.0 and b["b", "2025-03-21 23:00:00"] == 3.0
+    w = fixtures.windows(spark, sf).orderBy("window_id").collect()
+    assert [r.window_id for r in w] == [0, 1] and str(w[1].train_start) == "2025-03-07 00:00:00" and str(w[1].test_end) == "2025-03-22 00:00:00"
+    assert fixtures.windows(spark, sf, 20, 5, 5).count() == 0
+    e.where("false").write.parquet(str(tmp_path / "none" / "events.parquet"))
+    assert fixtures.bars(spark, str(tmp_path / "none")).count() == 0 == fixtures.windows(spark, str(tmp_path / "none")).count()

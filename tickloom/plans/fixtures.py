@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-START, HOURS = "2024-01-01 00:00:00", 720
+#: Where weeks and blocks of hours begin to count.
+START = "2024-01-01 00:00:00"
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -38,8 +39,24 @@ CANDLES = """candles AS (
   GROUP BY symbol, hour, data_source)"""
 
 
-def grid(spark: SparkSession) -> DataFrame:
-    return spark.range(HOURS).select((F.lit(START).cast("timestamp_ntz") + F.expr("make_dt_interval(0, id)")).alias("ts"))
+def span(spark: SparkSession, sf: str) -> DataFrame:
+    """(lo, hi): the first day with events, and the day after the last. One row, so it may go to all tasks."""
+    day = lambda c: F.date_trunc("day", c).cast("timestamp_ntz")
+    return table(spark, sf, "events").agg(day(F.min("ts")).alias("lo"), (day(F.max("ts")) + F.expr("interval '1' day")).alias("hi"))
+
+
+SPAN = "span AS (SELECT date_trunc('day', min(ts))::TIMESTAMP AS lo, date_trunc('day', max(ts))::TIMESTAMP + INTERVAL 1 DAY AS hi FROM events)"
+#: The hours of a span.
+EACH_HOUR = "sequence(lo, hi - interval '1' hour, interval '1' hour)"
+
+
+def grid(spark: SparkSession, sf: str) -> DataFrame:
+    return span(spark, sf).select(F.explode(F.expr(EACH_HOUR)).alias("ts"))
+
+
+def hourly(symbols: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
+    """symbols at each hour of the span."""
+    return symbols.join(F.broadcast(span(spark, sf))).select(*symbols.columns, F.explode(F.expr(EACH_HOUR)).alias("ts"))
 
 
 def closes(spark: SparkSession, sf: str, symbol: str = "event_type") -> DataFrame:
@@ -50,14 +67,13 @@ def closes(spark: SparkSession, sf: str, symbol: str = "event_type") -> DataFram
 def bars(spark: SparkSession, sf: str) -> DataFrame:
     """(symbol, ts, close, px) on the full grid; px is the last known close."""
     c = closes(spark, sf)
-    # the grid has a fixed number of hours, and symbols are few: what is joined is the grid
-    full = c.select("symbol").distinct().withColumn("ts", F.explode(F.expr(f"sequence(timestamp_ntz'{START}', timestamp_ntz'{START}' + interval '{HOURS - 1}' hour, interval 1 hour)")))
-    return full.join(c, ["symbol", "ts"], "left").withColumn("px", F.last("close", True).over(by_symbol().rowsBetween(Window.unboundedPreceding, 0)))
+    return hourly(c.select("symbol").distinct(), spark, sf).join(c, ["symbol", "ts"], "left").withColumn("px", F.last("close", True).over(by_symbol().rowsBetween(Window.unboundedPreceding, 0)))
 
 
-BARS = f"""closes AS (
+BARS = f"""{SPAN},
+closes AS (
   SELECT event_type AS symbol, date_trunc('hour', ts)::TIMESTAMP AS ts, arg_max(value, ts) AS close FROM events GROUP BY ALL),
-grid AS (SELECT symbol, TIMESTAMP '{START}' + to_hours(h::INT) AS ts FROM (SELECT DISTINCT symbol FROM closes), range({HOURS}) t(h)),
+grid AS (SELECT symbol, unnest(range(lo, hi, INTERVAL 1 HOUR)) AS ts FROM (SELECT DISTINCT symbol FROM closes), span),
 bars AS (
   SELECT symbol, ts, close, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS px
   FROM grid LEFT JOIN closes USING (symbol, ts))"""
@@ -161,15 +177,16 @@ def daily(spark: SparkSession, sf: str) -> DataFrame:
 DAILY = "daily AS (SELECT o_orderpriority AS series, date_trunc('day', o_orderdate)::TIMESTAMP AS ts, (avg(o_totalprice) / 200000 - 1) / 100 AS ret FROM orders GROUP BY ALL)"
 
 
-def windows(spark: SparkSession, train: int = 10, test: int = 5, step: int = 5) -> DataFrame:
-    """(window_id, train_start, train_end, test_end) over the grid, in days."""
-    last = f"timestamp_ntz'{START}' + interval '{HOURS}' hour - interval '{train + test}' day"
-    starts = spark.range(1).select(F.posexplode(F.expr(f"sequence(timestamp_ntz'{START}', {last}, interval '{step}' day)")).alias("window_id", "train_start"))
-    return starts.select(F.col("window_id").cast("long").alias("window_id"), "train_start", (F.col("train_start") + F.expr(f"interval '{train}' day")).alias("train_end"), (F.col("train_start") + F.expr(f"interval '{train + test}' day")).alias("test_end"))
+def windows(spark: SparkSession, sf: str, train: int = 10, test: int = 5, step: int = 5) -> DataFrame:
+    """(window_id, train_start, train_end, test_end): all that fit into the span, in days."""
+    n = F.floor((F.date_diff("hi", "lo") - (train + test)) / step) + 1
+    after = lambda days: (F.col("lo") + F.make_dt_interval(F.col("window_id").cast("int") * step + days)).cast("timestamp_ntz")
+    d = span(spark, sf).where(n > 0).select("lo", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("window_id"))
+    return d.select("window_id", after(0).alias("train_start"), after(train).alias("train_end"), after(train + test).alias("test_end"))
 
 
 def windows_sql(train: int = 10, test: int = 5, step: int = 5) -> str:
-    n = (HOURS // 24 - train - test) // step + 1
+    """windows, which needs span."""
     return f"""windows AS (
-  SELECT w AS window_id, TIMESTAMP '{START}' + to_days((w * {step})::INT) AS train_start, TIMESTAMP '{START}' + to_days((w * {step} + {train})::INT) AS train_end,
-         TIMESTAMP '{START}' + to_days((w * {step} + {train + test})::INT) AS test_end FROM range({n}) t(w))"""
+  SELECT w AS window_id, lo + to_days((w * {step})::INT) AS train_start, lo + to_days((w * {step} + {train})::INT) AS train_end, lo + to_days((w * {step} + {train + test})::INT) AS test_end
+  FROM (SELECT lo, unnest(range(greatest(0, (date_diff('day', lo, hi) - {train + test}) // {step} + 1))) AS w FROM span WHERE date_diff('day', lo, hi) >= {train + test}))"""

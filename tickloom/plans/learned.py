@@ -20,7 +20,7 @@ COST = 4 * 5e-4
 def entries_with(features, spark, sf):
     """Entries of each test window with their features, what became of them (won, mae, stopped, forward_vol), and when that was known."""
     t = would_be(X.masks(spark, sf), [], 48, 0.5).select("pair", F.col("entry_ts").alias("ts"), F.col("exit_ts").alias("known_at"), (F.col("gross") > COST).cast("double").alias("won"), (-F.col("mae")).alias("mae"), (F.col("exit_reason") == 3).cast("double").alias("stopped"))
-    w = X.windows(spark).select("window_id", F.col("train_end").alias("starts"), "test_end")
+    w = X.windows(spark, sf).select("window_id", F.col("train_end").alias("starts"), "test_end")
     t = t.join(F.broadcast(w), (F.col("ts") >= F.col("starts")) & (F.col("ts") < F.col("test_end"))).drop("test_end")  # a row for each window
     return features.join(t, ["pair", "ts"]).join(forward_labels(spark, sf).select("pair", "ts", "forward_vol"), ["pair", "ts"])
 

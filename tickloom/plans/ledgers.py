@@ -107,7 +107,7 @@ def window_conditions(spark, sf):
     """Benchmark return and volatility, dispersion and mean correlation in each test window."""
     from tickloom.operators.pairs import correlated
 
-    w = X.returns(spark, sf).join(F.broadcast(X.windows(spark)), F.expr("ts >= train_end and ts < test_end"))
+    w = X.returns(spark, sf).join(F.broadcast(X.windows(spark, sf)), F.expr("ts >= train_end and ts < test_end"))
     # returns inside the window: its first bar has none
     w = w.select("window_id", "symbol", "ts", "px", F.when(F.col("ts") > F.col("train_end"), F.col("ret")).alias("ret"))
     b = w.where("symbol = 'click' and px > 0").groupBy("window_id").agg((F.max_by("px", "ts") / F.min_by("px", "ts") - 1).alias("bench_return"), (F.stddev_samp("ret") * (24 * 365) ** 0.5).alias("bench_vol"))

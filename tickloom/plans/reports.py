@@ -26,7 +26,7 @@ WINDOWS = f"""{RUN}, rt AS (SELECT symbol, ts, px, CASE WHEN b > 0 THEN px / b -
 
 
 def window_figures(spark, sf):
-    w = X.returns(spark, sf).join(F.broadcast(X.windows(spark, *DAYS)), F.expr("ts >= train_end and ts < test_end"))
+    w = X.returns(spark, sf).join(F.broadcast(X.windows(spark, sf, *DAYS)), F.expr("ts >= train_end and ts < test_end"))
     w = w.select("window_id", "symbol", "ts", "px", F.when(F.col("ts") > F.col("train_end"), F.col("ret")).alias("ret"))
     return R.window_figures(W.run_trades(run_spreads(spark, sf)), w, "click", 24 * 365)
 
@@ -56,7 +56,7 @@ SELECT window_id, round(vol_percentile, 5) + 0.0 AS vol_percentile, round(vol, 4
 def regime_ranges(spark, sf):
     """Each training part's volatility rank, autocorrelation, their classes, and the half-lives that suit them."""
     px = X.bars(spark, sf).where("px > 0").select("symbol", "ts", "px")
-    out = R.regime_ranges(px, X.windows(spark), "click", 168, 24, 24 * 365)
+    out = R.regime_ranges(px, X.windows(spark, sf), "click", 168, 24, 24 * 365)
     return out.select("window_id", *((F.round(c, k) + 0.0).alias(c) for c, k in (("vol_percentile", 5), ("vol", 4), ("autocorr", 5))), "volatility", "trend", "min_half_life", "max_half_life")
 
 

@@ -20,7 +20,7 @@ from tickloom.streaming import ticks as K
 def run_artifacts(spark, sf):
     """Signals and masks of a run, written by window and read again, two windows of it."""
     path = R.new_folder(spark)
-    d = X.masks(spark, sf).join(F.broadcast(X.windows(spark)), F.expr("ts >= train_end and ts < test_end")).withColumn("run_id", F.lit("r1"))
+    d = X.masks(spark, sf).join(F.broadcast(X.windows(spark, sf)), F.expr("ts >= train_end and ts < test_end")).withColumn("run_id", F.lit("r1"))
     R.write_run(d.select("run_id", "window_id", "pair", "ts", "z", "vol", "entry_mask", "exit_mask"), path)
     got = R.read_run(spark, path, "r1", [0, 2], ["run_id", "window_id", "pair", "ts", "z", "vol", "entry_mask", "exit_mask"])
     return rounded(got.withColumn("window_id", F.col("window_id").cast("long")))

@@ -74,14 +74,14 @@ RUN = f"""{BASE}, {scan_sql(False)},
 
 
 def run_spreads(spark, sf):
-    return W.picked_spreads(prices(spark, sf), X.windows(spark, *DAYS), LIMITS, 24, RATIO, CORR, None)
+    return W.picked_spreads(prices(spark, sf), X.windows(spark, sf, *DAYS), LIMITS, 24, RATIO, CORR, None)
 
 
 @query(f"""WITH {BASE}, {scan_sql(True)}
 SELECT window_id, pair, direction, n, round(hedge_ratio, 5) + 0.0 AS hedge_ratio, round(spread_vol, 5) + 0.0 AS spread_vol, round(half_life, 4) + 0.0 AS half_life, round(max_z, 4) + 0.0 AS max_z, round(current_z, 4) + 0.0 AS current_z, round(df, 4) + 0.0 AS df, reason FROM ranked WHERE nth = 1""")
 def scan_gates(spark, sf):
     """Candidates of each window with ratio, half-life, validation |z| and the first gate that they fail, in the better direction."""
-    d = W.with_windows(prices(spark, sf), X.windows(spark, *DAYS)).where("role = 'train'").select("window_id", "ts", "symbol", "lp")
+    d = W.with_windows(prices(spark, sf), X.windows(spark, sf, *DAYS)).where("role = 'train'").select("window_id", "ts", "symbol", "lp")
     out = S.scan(d, ("window_id",), LIMITS, RATIO, CORR, 3, None)
     return out.select("window_id", "pair", "direction", "n", *((F.round(c, k) + 0.0).alias(c) for c, k in (("hedge_ratio", 5), ("spread_vol", 5), ("half_life", 4), ("max_z", 4), ("current_z", 4), ("df", 4))), "reason")
 
@@ -89,7 +89,7 @@ def scan_gates(spark, sf):
 @query()
 def pair_scan(spark, sf):
     """Engle-Granger tests with chosen lags, both ways, and all gates, for each window and candidate."""
-    d = saved(W.with_windows(prices(spark, sf), X.windows(spark)).where("role = 'train'").select("window_id", "ts", "symbol", "lp"))
+    d = saved(W.with_windows(prices(spark, sf), X.windows(spark, sf)).where("role = 'train'").select("window_id", "ts", "symbol", "lp"))
     return S.scan(d, ("window_id",), S.Limits(max_p=0.05, max_z=3.0, min_half_life=0.0), 0.9, CORR)
 
 
@@ -135,7 +135,7 @@ def run_feedback(spark, sf):
 def sweep_runs(spark, sf):
     """A run of all windows for each cell of entry, exit and test limit, ranked."""
     limits = S.Limits(max_p=0.5, max_z=math.inf, min_half_life=0.0)
-    return W.sweep_runs(W.picked_spreads(prices(spark, sf), X.windows(spark), limits, 24, RATIO), [1.0, 1.5, 2.0], [0.0, 0.5], [0.001, 0.5])
+    return W.sweep_runs(W.picked_spreads(prices(spark, sf), X.windows(spark, sf), limits, 24, RATIO), [1.0, 1.5, 2.0], [0.0, 0.5], [0.001, 0.5])
 
 
 def pair_trades(spark, sf):

@@ -103,7 +103,7 @@ def market_regime(spark, sf):
 SELECT window_id, round(autocorr, 5) + 0.0 AS autocorr, CASE WHEN autocorr > 0.15 THEN 'trending' WHEN autocorr < -0.1 THEN 'mean_reverting' ELSE 'neutral' END AS trend FROM a""")
 def trend_regime(spark, sf):
     """Median autocorrelation of each window, and its class."""
-    return rounded(W.trend_regime(X.returns(spark, sf), X.windows(spark)), 5)
+    return rounded(W.trend_regime(X.returns(spark, sf), X.windows(spark, sf)), 5)
 
 
 COOL = K + ", m AS (SELECT *, CASE WHEN abs(z) > 2 THEN 3 ELSE 1 END AS exit_reason, exit_mask OR abs(z) > 2 AS out FROM masks)"
@@ -316,7 +316,7 @@ def persistent_pairs(spark, sf):
 @query(f"""WITH {X.MASKS}, {X.windows_sql(10, 5, 3)} SELECT window_id, m.pair, m.ts, round(coalesce(z, 0), 6) + 0.0 AS z, entry_mask FROM masks m JOIN windows ON ts >= train_end AND ts < test_end""")
 def window_union(spark, sf):
     """G1: signals of overlapping windows, told apart by window."""
-    d = X.masks(spark, sf).join(F.broadcast(X.windows(spark, 10, 5, 3)), F.expr("ts >= train_end and ts < test_end"))
+    d = X.masks(spark, sf).join(F.broadcast(X.windows(spark, sf, 10, 5, 3)), F.expr("ts >= train_end and ts < test_end"))
     return rounded(d.select("window_id", "pair", "ts", F.coalesce("z", F.lit(0.0)).alias("z"), "entry_mask"))
 
 
@@ -551,18 +551,18 @@ def purged_folds(spark, sf):
 @query(f"""WITH {X.BARS}, {X.windows_sql()} SELECT window_id, CASE WHEN ts < train_end THEN 'train' ELSE 'test' END AS role, symbol, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, round(avg(px), 6) + 0.0 AS mean_px FROM bars JOIN windows ON ts >= train_start AND ts < test_end GROUP BY ALL""")
 def walk_forward(spark, sf):
     """Training and test parts of each window."""
-    d = W.with_windows(X.bars(spark, sf), X.windows(spark))
+    d = W.with_windows(X.bars(spark, sf), X.windows(spark, sf))
     return rounded(d.groupBy("window_id", "role", "symbol").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.avg("px").alias("mean_px")))
 
 
 @query(f"""WITH {X.BARS}, {X.windows_sql()} SELECT window_id, count(*) AS n, round(avg(px), 6) + 0.0 AS mean_px FROM bars JOIN windows ON ts >= train_end - INTERVAL 3 DAY AND ts < train_end GROUP BY ALL""")
 def short_term(spark, sf):
     """The last days of each training part."""
-    d = W.with_windows(X.bars(spark, sf), X.windows(spark), short_days=3).where("short")
+    d = W.with_windows(X.bars(spark, sf), X.windows(spark, sf), short_days=3).where("short")
     return rounded(d.groupBy("window_id").agg(F.count("*").alias("n"), F.avg("px").alias("mean_px")))
 
 
-@query(f"""WITH {X.BARS}, c AS (SELECT TIMESTAMP '{X.START}' + to_seconds(floor(0.7 * 3600 * ({X.HOURS} - 1))::BIGINT) AS t) SELECT CASE WHEN ts < t THEN 'train' ELSE 'test' END AS role, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM bars, c GROUP BY ALL""")
+@query(f"""WITH {X.BARS}, c AS (SELECT lo + to_seconds(floor(0.7 * 3600 * (date_diff('hour', lo, hi) - 1))::BIGINT) AS t FROM span) SELECT CASE WHEN ts < t THEN 'train' ELSE 'test' END AS role, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM bars, c GROUP BY ALL""")
 def ratio_split(spark, sf):
     """A split in time that leaks nothing."""
     d = W.split(X.bars(spark, sf), 0.7)
@@ -572,7 +572,7 @@ def ratio_split(spark, sf):
 @query()
 def trade_ledger(spark, sf):
     """K1: trades of each test window, no more than three at a time and one for each leg; a window's last bar closes what is open."""
-    m = X.masks(spark, sf).join(F.broadcast(X.windows(spark)), F.expr("ts >= train_end and ts < test_end"))
+    m = X.masks(spark, sf).join(F.broadcast(X.windows(spark, sf)), F.expr("ts >= train_end and ts < test_end"))
     return L.fold_trades(m, ["window_id"], 5e-4, 5e-4, 48, 0.5, {"portfolio": 3, "leg": 1})
 
 

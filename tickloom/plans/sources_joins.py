@@ -15,7 +15,7 @@ from tickloom.sources import tables as T
 @query(f"WITH {X.BARS} SELECT ts, symbol, round(close, 6) + 0.0 AS close FROM bars")
 def wide_to_long(spark, sf):
     """A1: a wide price matrix becomes long rows."""
-    wide = X.bars(spark, sf).groupBy("ts").pivot("symbol", ["click", "error", "purchase", "signup", "view"]).agg(F.first("close"))
+    wide = X.bars(spark, sf).groupBy("ts").pivot("symbol").agg(F.first("close"))
     return rounded(T.long_prices(wide))
 
 
@@ -32,11 +32,11 @@ def scan_by_source(spark, sf):
     return rounded(T.scan(X.candles(spark, sf), F.lit("2024-01-31").cast("timestamp_ntz"), 10, "okx").select("ts", "symbol", "close", "data_source"))
 
 
-@query(f"""WITH {X.BARS}, good AS (SELECT symbol FROM closes WHERE ts < TIMESTAMP '2024-01-31' GROUP BY symbol HAVING count(*) >= 0.5 * {X.HOURS})
+@query(f"""WITH {X.BARS}, good AS (SELECT symbol FROM closes, span GROUP BY symbol, lo, hi HAVING count(*) >= 0.5 * date_diff('hour', lo, hi))
 SELECT symbol, ts, round(px, 6) + 0.0 AS close FROM bars SEMI JOIN good USING (symbol)""")
 def regular_export(spark, sf):
     """A4: complete bars of symbols with enough coverage, filled forward."""
-    return rounded(T.regular(X.closes(spark, sf), X.grid(spark), 0.5))
+    return rounded(T.regular(X.closes(spark, sf), X.grid(spark, sf), 0.5))
 
 
 @query(f"""WITH {X.FUNDING} SELECT symbol, ts, round(last_value(rate IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING), 9) + 0.0 AS rate FROM funding""")
@@ -184,7 +184,7 @@ def history_filter(spark, sf):
 @query(f"""WITH {X.BARS}, {X.windows_sql()} SELECT window_id, symbol, round(avg((close IS NOT NULL)::INT), 6) + 0.0 AS coverage FROM bars JOIN windows ON ts >= train_start AND ts < train_end GROUP BY ALL HAVING avg((close IS NOT NULL)::INT) >= 0.2""")
 def window_coverage(spark, sf):
     """Symbols that cover enough of a window's training part."""
-    return rounded(U.window_coverage(X.bars(spark, sf), X.windows(spark), 0.2))
+    return rounded(U.window_coverage(X.bars(spark, sf), X.windows(spark, sf), 0.2))
 
 
 @query(f"""WITH {X.SIGNALS}, {X.FUNDING}, f AS (SELECT *, avg(rate) OVER (PARTITION BY symbol ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS day_rate FROM funding),
@@ -215,9 +215,9 @@ def risk_limits(spark, sf):
     return rounded(d.select("series", "ts", "drawdown", F.least(F.when(F.col("vol") > 0, 0.01 / F.col("vol")).otherwise(0.0), F.lit(1.5)).alias("size"), (F.col("drawdown") > 0.05).alias("killed")), 5)
 
 
-@query(f"""WITH {X.CANDLES}, best AS (SELECT symbol, ts, arg_min(close, CASE data_source WHEN 'hyperliquid' THEN 1 WHEN 'okx' THEN 2 WHEN 'coinbase' THEN 3 ELSE 4 END) AS close,
+@query(f"""WITH {X.SPAN}, {X.CANDLES}, best AS (SELECT symbol, ts, arg_min(close, CASE data_source WHEN 'hyperliquid' THEN 1 WHEN 'okx' THEN 2 WHEN 'coinbase' THEN 3 ELSE 4 END) AS close,
   min(CASE data_source WHEN 'hyperliquid' THEN 1 WHEN 'okx' THEN 2 WHEN 'coinbase' THEN 3 ELSE 4 END) AS prio FROM candles GROUP BY symbol, ts),
- grid AS (SELECT symbol, TIMESTAMP '{X.START}' + to_hours(h::INT) AS ts FROM (SELECT DISTINCT symbol FROM candles), range({X.HOURS}) t(h)),
+ grid AS (SELECT symbol, unnest(range(lo, hi, INTERVAL 1 HOUR)) AS ts FROM (SELECT DISTINCT symbol FROM candles), span),
  filled AS (SELECT symbol, ts, prio, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS 5 PRECEDING) AS close FROM grid LEFT JOIN best USING (symbol, ts)),
  good AS (SELECT symbol FROM filled GROUP BY symbol HAVING avg((close IS NOT NULL)::INT) >= 0.3)
 SELECT symbol, ts, round(last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING), 6) + 0.0 AS close, coalesce(prio > 1, false) AS gap_filled FROM filled SEMI JOIN good USING (symbol)""")
@@ -226,8 +226,7 @@ def merged_sources(spark, sf):
     rank = F.expr("case data_source when 'hyperliquid' then 1 when 'okx' then 2 when 'coinbase' then 3 else 4 end")
     c = X.candles(spark, sf).withColumn("prio", rank)
     best = c.groupBy("symbol", "ts").agg(F.min_by("close", "prio").alias("close"), F.min("prio").alias("prio"))
-    hours = f"sequence(timestamp_ntz'{X.START}', timestamp_ntz'{X.START}' + interval '{X.HOURS - 1}' hour, interval 1 hour)"
-    filled = c.select("symbol").distinct().withColumn("ts", F.explode(F.expr(hours))).join(best, ["symbol", "ts"], "left").withColumn("close", F.last("close", True).over(X.rows(X.by_symbol(), 6)))
+    filled = X.hourly(c.select("symbol").distinct(), spark, sf).join(best, ["symbol", "ts"], "left").withColumn("close", F.last("close", True).over(X.rows(X.by_symbol(), 6)))
     share = F.avg(F.col("close").isNotNull().cast("int")).over(Window.partitionBy("symbol"))
     good = filled.withColumn("share", share).where("share >= 0.3")
     all_ = X.by_symbol().rowsBetween(Window.unboundedPreceding, 0)
