@@ -479,6 +479,42 @@ def test_longer_licences_by_digest(spark):
     assert got == {i: n for i, n, _ in rows}
 
 
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.
+
+In jurisdictions that recognize copyright laws, the author or authors
+of this software dedicate any and all copyright interest in the
+software to the public domain. We make this dedication for the benefit
+of the public at large and to the detriment of our heirs and
+successors. We intend this dedication to be an overt act of
+relinquishment in perpetuity of all present and future rights to this
+software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND,
+EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR
+OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR
+OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <http://unlicense.org/>
+"""  # fixed value
+
+
+def test_licence_files_of_packages(spark):
+    zlib, boost = (next(t for n, t in licenses.KNOWN if n == k) for k in ("Zlib", "BSL-1.0"))
+    isc = "The ISC License\n\nCopyright (c) 2019 Some Body\n\n" + next(t for n, t in licenses.KNOWN if n == "ISC").removeprefix("ISC License ")
+    rows = [(1, UNLICENSE), (2, UNLICENSE.upper().replace("RECOGNIZE", "RECOGNISE")), (3, isc), (4, "Copyright (C) 2001 Some Body\n" + zlib.replace("acknowledgment", "acknowledgement")), (5, boost.lower()), (6, UNLICENSE.replace("sell", "lend")), (7, "Before.\n" + zlib + "\nAfter.")]
+    got = {r["doc_id"]: r for r in licenses.licensed(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i]["license"] for i in range(1, 8)] == ["Unlicense", "Unlicense", "ISC", "Zlib", "BSL-1.0", None, None]
+    assert got[7]["notices"] == ["Zlib"]
+
+
 def test_notices_over_several_lines_and_doubled_spellings(spark):
     words = next(t for n, t in licenses.KNOWN if n == "Apache-2.0" and len(t) > 200).split(" ")
     wrapped = "Code.\n\n" + "\n".join(" ".join(words[i : i + 9]) for i in range(0, len(words), 9)) + "\n \nMore."

@@ -86,6 +86,25 @@ _WARRANTY_ISC = (
     "WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF "
     "OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
 )
+_ZLIB = (
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising "
+    "from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to "
+    "alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must "
+    "not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be "
+    "appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original "
+    "software. 3. This notice may not be removed or altered from any source distribution."
+)
+_BOOST = (
+    'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation '
+    'covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative '
+    "works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright "
+    "notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be "
+    "included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are "
+    "solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT "
+    "WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, "
+    "TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER "
+    "LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
 #: Published licence texts and notices, by SPDX identifier.
 KNOWN = (
     ("MIT", "MIT License " + _GRANT_MIT + ", subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _WARRANTY_MIT),
@@ -101,6 +120,10 @@ KNOWN = (
     ("ISC", "ISC License " + _GRANT_ISC + ", provided that the above copyright notice and this permission notice appear in all copies. " + _WARRANTY_ISC),
     ("ISC", _GRANT_ISC + ", provided that the above copyright notice and this permission notice appear in all copies. " + _WARRANTY_ISC),
     ("0BSD", "BSD Zero Clause License " + _GRANT_ISC + ". " + _WARRANTY_ISC),
+    ("Zlib", "zlib License " + _ZLIB),
+    ("Zlib", _ZLIB),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003 " + _BOOST),
+    ("BSL-1.0", _BOOST),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
     ("GPL-2.0-only", "This work is licensed under the GNU General Public License, version 2."),
@@ -112,12 +135,20 @@ KNOWN = (
 )
 
 
-#: SHA-256 of the canonical forms of longer texts as published: whole, up to the end of their terms, and without that line.
+#: SHA-256 of the canonical forms of longer texts as published: whole, up to the end of their terms, and without that line;
+#: and of the licence files that packages publish in other wordings or with other headings.
 DIGESTS = {
+    "25a274d52b3014d9bd64e0f3362fd279ac1655f163d5c518f6b9f6c43354802c": "0BSD",
     "8318fc18753641674a0b35f73f00e865e8cceb1ed8b6eb85f62d4a5d5146a5f1": "Apache-2.0",
     "6530dac82be99e5bbcc128a6caf5bfdd0451a21fe23ac3df15ed85a1c550c859": "Apache-2.0",
     "2b4a3f34572f63637f58db72bdacad38516a1e1e6788b08931d0a0d5c0be33dd": "Apache-2.0",
+    "6366c4fe55cd4a3d37bfe3798a0b5d7cb972fd18662663ce3bd50855a8e6dd50": "Apache-2.0",
+    "45c5565dedc03ff2a570c67c5af611f8a3d0a0227c6e81d9fb11fbf0c004b959": "Apache-2.0",
     "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702": "Artistic-1.0",
+    "a5a08badf4f858856e4ae957819d129c23951a120461f1afdc3b9ea889264f00": "Artistic-2.0",
+    "17c874d8b4f2dad075c57f6a98f014a7c9a2cdc0d3046a532cba6120dc31711e": "BlueOak-1.0.0",
+    "6cffa606d4960a0fadb3c8161a99b92c53dbe7b999697a5e26d35cfdc1d80f3d": "BlueOak-1.0.0",
+    "032f33a9fad178d38ba062bc5f6e47fde5eb48f13d4c8895fe1360e806c83a69": "BSD-2-Clause",
     "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f": "CC0-1.0",
     "5379e6f33e826ba185b23fd11a414555c2161fda481478babd1e73a3ae098a71": "GFDL-1.2-only",
     "93d6108daecdddc5f284cf8f2512fb0d72f6e9ee12381feb9704ba194b00c3e6": "GFDL-1.3-only",
@@ -130,6 +161,11 @@ DIGESTS = {
     "a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68": "GPL-3.0-only",
     "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636": "GPL-3.0-only",
     "092a7f3b82e6c22949b46388bca99e725b6e756f1c2b1e3f575447fbd44b6191": "GPL-3.0-only",
+    "26e4206957c7666b28ef84b2af8d4b65149b7bd410821beb7eb11a2c67691c3a": "ISC",
+    "13db54df0465781e4f38f2a1d5bc17ae68060b438e0595b7f1c6a358ddea332f": "ISC",
+    "63baaf2854baf0bb2e682f11a1853fb567b1e4cc0321733264b9b1cea90dc48d": "ISC",
+    "2b614fb2c18253fb7c1d5d24276593e12d81b854b5e79442a26885adc7ddc0c0": "ISC",
+    "40e6eb51c3b409d93549806b55b249c261dab149d19b56cc163624f39a08b1db": "ISC",
     "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908": "LGPL-2.0-only",
     "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260": "LGPL-2.0-only",
     "430627da7218a92ab4a6d75d5140cdb70ee750be7a53f913299b37e0d1b0eea2": "LGPL-2.0-only",
@@ -137,8 +173,17 @@ DIGESTS = {
     "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4": "LGPL-2.1-only",
     "bf2f0c6bf1c47b3b1e3cbedeefecddd1e7db21d1919858d45c2f918efaf426df": "LGPL-2.1-only",
     "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be": "LGPL-3.0-only",
+    "05b5bb4210ef34613b7fba09acceb67f4d5c44c9dbbe4dcd3d48fd2df7d2b076": "MIT",
+    "aa3ae45a7d28a73e578dac7bfd3bc13e51e870807df0dc5ded9c1b2ffb1efe17": "MIT",
+    "c7754aa1635a9d3a327d430f623da9fb11bb1057f480f376c86472d921581038": "MIT",
+    "72c5f2893682c3a79d1365d75700aa0b60dc8eb2db88735ab26c1c2ee10f3f58": "MIT",
+    "899c82726aa63d714765cb656cfa0f128d93af497bf389da5ea13a633f68d2bd": "MIT",
+    "c9e0b21ff70f6dd1855f8a502dd7a9f1911ad6fcf2dfadda0b0770fd5a43808c": "MIT",
+    "6ad3654379e72bbdf8478d5c90fb1e2525aba033fbe675e0ef2248aac67c0f6f": "MIT",
     "26ba73e836ecb04fe87d5eca80ca27cff1afa2d7683455be1517bd23b8d27986": "MPL-1.1",
     "9eab7902f21bef0326dee4ed0cae1402c781cbf1f8e3dbeed6fbe176d641bb13": "MPL-2.0",
+    "0e59092bad8c558766e5ee70e352d2fff12b82132cf77ce17060e87fc44e13aa": "Python-2.0",
+    "fd1b07be5f4f94926b6ea4df3943b05ab90c1a1f3b1a3d574ae7ab58bca58fff": "Unlicense",
 }
 
 COPYRIGHT = r"(?im)^[^\p{L}\n]*(?:copyright\b[^\n]*(?:\d{4}|\(c\)|©)|\(c\) ?\d{4}|©|all rights reserved)[^\n]*$"
