@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.operators import adapting, bars
+from tickloom.operators import adapting, bars, ledger
 from tickloom.plans import fixtures
 from tickloom.sources import runs as R
 from tickloom.sources import tables
@@ -118,6 +118,36 @@ def test_parameters_of_a_stream_are_those_of_a_batch(spark, tmp_path):
     assert got == want and len({r[3] for r in got}) > 1
 
 
+def test_folds_in_a_row_are_the_figures_of_all_trades(spark):
+    rng = random.Random(6)
+    rows = [(k % 3, k // 40, k, None if rng.random() < 0.1 else round(rng.gauss(0, 1), 2)) for k in range(1500)] + [(3, 0, 0, -1.0), (3, 1, 1, None), (4, 5, 9, None), (5, 0, 0, 2.0)]
+    d = spark.createDataFrame(rows, "g int, hour int, trade_seq int, net double")
+    got = ledger.folds_in_a_row(ledger.trade_folds(d, ["g", "hour"]), ["g"], "hour").orderBy("g").collect()
+    want = ledger.trade_stats(d, ["g"]).orderBy("g").collect()
+    assert len(got) == len(want) == 6
+    for a, b in zip(got, want):
+        assert {c: a[c] for c in ("g", "n", "win_rate")} == {c: b[c] for c in ("g", "n", "win_rate")} and all(a[c] == pytest.approx(b[c]) for c in ("max_dd", "profit_factor"))
+
+
+def test_a_delivery_of_many_files_is_one_batch(spark, tmp_path):
+    got = []
+    start = lambda src: ticks.each_batch(src, lambda b, k: got.append((k, sorted(r[0] for r in b.collect()))), f"{tmp_path}/checkpoint")
+    ticks.delivered([spark.range(a, b, 1, 3) for a, b in ((0, 30), (30, 32), (32, 90))], str(tmp_path), start)
+    assert got == [(0, list(range(30))), (1, [30, 31]), (2, list(range(32, 90)))]
+    assert len(list((tmp_path / "in").glob("*.parquet"))) > 3
+
+
+@pytest.mark.parametrize("name", ["stream_parameters"])
+def test_no_task_writes_a_whole_delivery(spark, sf, monkeypatch, name):
+    """Deliveries of large tables have the files that their tasks write."""
+    from tickloom import registry
+
+    seen, plain = [], ticks.delivered
+    monkeypatch.setattr(ticks, "delivered", lambda parts, *rest: plain((seen.append(p._jdf.queryExecution().optimizedPlan().toString()) or p for p in parts), *rest))
+    assert registry.QUERIES[name](spark, sf).count()
+    assert len(seen) > 1 and not any("Repartition 1" in plan for plan in seen)
+
+
 def test_volatilities(spark):
     rng = np.random.default_rng(2)
     e = rng.standard_normal(120)

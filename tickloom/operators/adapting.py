@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators.entries import clip
-from tickloom.operators.ledger import trade_stats
+from tickloom.operators.ledger import folds_in_a_row, trade_folds
 
 #: Entry threshold added, size factor and open positions by regime.
 REGIMES = (("GREEN", 0.0, 1.0, 8), ("YELLOW", 0.3, 0.6, 5), ("RED", 1.0, 0.0, 2))
@@ -69,13 +69,13 @@ def stepped(windows: DataFrame, start: float, step: float, least: float, most: f
 def trailing_parameters(trades: DataFrame, entry_z: float, size: float, period_days: int, trailing_days: int, least: int = 20) -> DataFrame:
     """(period_end, n, mode, entry_z, size) at each end of a period since 1970 that has `least` trades or more in its last trailing_days.
 
-    trades has (pair, trade_seq, exit_ts, net); a trade counts for the ends that come within trailing_days after its exit, its own moment included. One shuffle by end.
+    trades has (pair, trade_seq, exit_ts, net); a trade counts for the ends that come within trailing_days after its exit, its own moment included. Trades fold into the hours
+    that end with them or after them, once, and an end sees its hours alone, however many trades those have.
     """
-    day = F.datediff(F.col("exit_ts"), F.lit("1970-01-01"))
-    first = F.ceil((day + F.when(F.date_trunc("day", "exit_ts") < F.col("exit_ts"), 1).otherwise(0)) / period_days)
-    k = F.explode(F.sequence(first, F.floor((day + trailing_days) / period_days)))
-    d = trades.where(first <= F.floor((day + trailing_days) / period_days)).withColumn("__k", k)
+    at = F.datediff(F.col("exit_ts"), F.lit("1970-01-01")).cast("long") * 24 + F.hour("exit_ts") + F.when((F.minute("exit_ts") > 0) | (F.expr("extract(second from exit_ts)") > 0), 1).otherwise(0)
+    hours = trade_folds(trades.select(at.alias("__at"), F.struct("exit_ts", "pair", "trade_seq").alias("trade_seq"), "net"), ["__at"])
+    first, last = F.ceil(F.col("__at") / (24 * period_days)), F.floor((F.col("__at") + 24 * trailing_days - 1) / (24 * period_days))
+    ends = hours.where(first <= last).withColumn("__k", F.explode(F.sequence(first, last)))
+    s = folds_in_a_row(ends, ["__k"], "__at").where(F.col("n") >= least)
     end = F.date_add(F.lit("1970-01-01").cast("date"), (F.col("__k") * period_days).cast("int")).cast("timestamp_ntz")
-    d = d.select(end.alias("period_end"), F.struct("exit_ts", "pair", "trade_seq").alias("trade_seq"), "net", "exit_ts").where(F.col("exit_ts") > F.col("period_end") - F.make_dt_interval(F.lit(trailing_days)))
-    s = trade_stats(d, ["period_end"]).where(F.col("n") >= least)
-    return recommended(s, entry_z, size).select("period_end", "n", "mode", "entry_z", "size")
+    return recommended(s, entry_z, size).select(end.alias("period_end"), "n", "mode", "entry_z", "size")

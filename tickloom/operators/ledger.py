@@ -57,6 +57,29 @@ def trade_stats(t: DataFrame, keys: Sequence[str]) -> DataFrame:
     return out.withColumn("sharpe", F.when(F.col("std") > 1e-12, F.col("mean") / F.col("std")))
 
 
+def trade_folds(t: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, n, known, wins, won, lost, total, top, low, fall) of trades in order of trade_seq: counts and sums of net, the highest and the lowest of its running sum, and the deepest fall
+    of that from a top of the same group. Folds of groups that follow each other give the figures of all: see `folds_in_a_row`.
+    """
+    w = Window.partitionBy(*keys).orderBy("trade_seq").rowsBetween(Window.unboundedPreceding, 0)
+    run = t.withColumn("cum", F.sum("net").over(w)).withColumn("top", F.max("cum").over(w))
+    return run.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.count("net").alias("known"), F.sum((F.col("net") > 0).cast("long")).alias("wins"), F.sum(F.when(F.col("net") > 0, F.col("net"))).alias("won"), F.sum(F.when(F.col("net") < 0, -F.col("net"))).alias("lost"),
+        F.sum("net").alias("total"), F.max("cum").alias("top"), F.min("cum").alias("low"), F.max(F.col("top") - F.col("cum")).alias("fall"),
+    )
+
+
+def folds_in_a_row(folds: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """(keys, n, win_rate, max_dd, profit_factor) as in `trade_stats`, of folds of trades (see `trade_folds`) that follow each other by `order`."""
+    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    d = folds.withColumn("__sum", F.coalesce(F.sum("total").over(before), F.lit(0.0)))
+    d = d.withColumn("__top", F.greatest(F.max(F.col("__sum") + F.col("top")).over(before), F.lit(0.0)))
+    won, lost = F.coalesce(F.sum("won"), F.lit(0.0)), F.coalesce(F.sum("lost"), F.lit(0.0))
+    return d.groupBy(*keys).agg(
+        F.sum("n").alias("n"), (F.sum("wins") / F.sum("known")).alias("win_rate"), F.max(F.greatest("fall", F.col("__top") - F.col("__sum") - F.col("low"))).alias("max_dd"), F.when(lost > 0, won / lost).otherwise(99.0).alias("profit_factor"),
+    )
+
+
 def portfolio_metrics(returns: DataFrame, benchmark: DataFrame, per_year: int, keys: Sequence[str] = ("series",)) -> DataFrame:
     """Return (from the first bar's equity on), drawdown, longest time under water (bars), Calmar, Sharpe, correlation to the benchmark.
 

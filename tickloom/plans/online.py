@@ -201,11 +201,9 @@ def trailing_parameters(spark, sf):
 @query(f"WITH {TRAIL}")
 def stream_parameters(spark, sf):
     """M8: the same, from a stream of trades that keeps what the next period needs."""
-    path, d = R.new_folder(spark), closed_trades(spark, sf)
-    for years in ("exit_ts < '1994-05-06'", "exit_ts >= '1994-05-06' and exit_ts < '1996-07-08'", "exit_ts >= '1996-07-08'"):
-        d.where(years).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    src = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    K.each_batch(src, K.parameter_updates(path, 2.0, 0.8, 30, 60), f"{path}/checkpoint").awaitTermination()
+    path, d = R.new_folder(spark), R.saved(closed_trades(spark, sf))
+    years = ("exit_ts < '1994-05-06'", "exit_ts >= '1994-05-06' and exit_ts < '1996-07-08'", "exit_ts >= '1996-07-08'")
+    K.delivered([d.where(y) for y in years], path, lambda src: K.each_batch(src, K.parameter_updates(path, 2.0, 0.8, 30, 60), f"{path}/checkpoint"))
     return rounded(spark.read.parquet(f"{path}/out/*"))
 
 

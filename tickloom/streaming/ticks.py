@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import dataclasses
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tickloom.operators.adapting import trailing_parameters
@@ -46,6 +47,14 @@ def each_batch(stream: DataFrame, apply: Callable[[DataFrame, int], None], check
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def delivered(parts: Iterable[DataFrame], path: str, start: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Puts parts of equal columns into {path}/in one after the other, each in as many files as it has tasks. What start makes of the stream of these files takes each part as one batch, and
+    goes on from its checkpoint when the next has come."""
+    for part in parts:
+        part.write.mode("append").parquet(f"{path}/in")
+        start(part.sparkSession.readStream.schema(part.schema).parquet(f"{path}/in")).awaitTermination()
+
+
 @dataclasses.dataclass(frozen=True)
 class Rules:
     """|z| above which a position opens, below which it closes, above which it is stopped and none opens; hours after which it closes."""
