@@ -67,6 +67,70 @@ def test_decisions_of_a_stream_are_those_of_a_batch(spark, tmp_path, batches):
         assert all((x == "enter") != (y == "enter") for x, y in zip(acts, acts[1:]))  # never two open, never one closed twice
 
 
+def by_rule(rules, rows, since=None):
+    """Decisions tick by tick."""
+    out, hold = [], dt.timedelta(hours=rules.hours)
+    for ts, z in rows:
+        if since is not None and since + hold <= ts:
+            out.append((since + hold, "time"))
+            since = None
+        size, action = abs(z) if z is not None else None, "hold"
+        if size is not None and since is not None and size > rules.stop:
+            action, since = "stop", None
+        elif size is not None and since is not None and size < rules.leave:
+            action, since = "exit", None
+        elif size is not None and since is None and rules.entry < size <= rules.stop:
+            action, since = "enter", ts
+        out.append((ts, action))
+    return out, since
+
+
+@pytest.mark.parametrize("rules", [ticks.Rules(hours=2), ticks.Rules(1.0, 1.3, 2.0, 1), ticks.Rules(1.5, 0.1, 9.0, 5), ticks.Rules(hours=0)])
+def test_decisions_follow_the_rule_tick_by_tick(rules):
+    ns = lambda t: int(np.datetime64(t, "ns").view(np.int64))
+    for seed in range(60):
+        rng, t, rows = random.Random(seed), T0, []
+        for _ in range(seed):
+            t += dt.timedelta(minutes=rng.choice([0, 10, 30, 60, 600]))
+            rows.append((t, rng.choice([None, rng.gauss(0, 1.5), rng.gauss(0, 1.5), rng.gauss(0, 1.5)])))
+        rows.sort(key=lambda r: (r[0], r[1] is None, r[1] or 0.0))
+        for since in (None, T0 - dt.timedelta(minutes=50)):
+            want, left = by_rule(rules, rows, since)
+            does, timed, now = ticks._act(rules, np.array([ns(r[0]) for r in rows], np.int64), np.array([np.nan if r[1] is None else r[1] for r in rows], float), None if since is None else ns(since))
+            assert list(ticks.DOES[does]) == [a for _, a in want if a != "time"] and list(timed) == [ns(x) for x, a in want if a == "time"]
+            assert now == (None if left is None else ns(left))
+
+
+def test_a_pairs_ticks_are_held_as_numbers():
+    """A worker's memory is a few numbers for each tick, and rows go out in pieces."""
+    import tracemalloc
+
+    n, rng = 300_000, np.random.default_rng(8)
+    frames = [ticks.pd.DataFrame({"pair": "p", "ts": ticks.pd.Timestamp(T0) + ticks.pd.to_timedelta(rng.integers(0, 10**9, 10_000), "s"), "z": rng.standard_normal(10_000)}) for _ in range(n // 10_000)]
+    tracemalloc.start()
+    sizes = [len(p) for p in ticks._decide(ticks.Rules(), "p", iter(frames), None, lambda at: False)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(sizes) >= n and max(sizes) <= ticks.CHUNK and peak < 90 * n
+
+
+def test_parts_in_order(spark):
+    d = spark.range(1000).select((F.col("id") % 300).cast("timestamp").alias("ts"), "id")
+    parts = [sorted(map(tuple, p.collect())) for p in ticks.in_order(d, 200, 3)]
+    assert len(parts) == 5 and sorted(x for p in parts for x in p) == sorted(map(tuple, d.collect()))
+    assert all(a[-1][0] < b[0][0] for a, b in zip(parts, parts[1:])) and max(map(len, parts)) < 400
+    assert [p.count() for p in ticks.in_order(d, 1000)] == [1000]
+
+
+def test_decisions_over_batches_are_those_of_one(spark, sf, monkeypatch):
+    from tickloom import registry
+    from tickloom.plans import online
+
+    one = sorted(map(str, registry.QUERIES["stream_decisions"](spark, sf).collect()))
+    monkeypatch.setattr(online, "BATCH", 300)
+    assert sorted(map(str, registry.QUERIES["stream_decisions"](spark, sf).collect())) == one
+
+
 def test_no_rows_no_decisions(spark):
     d = spark.createDataFrame([], "pair string, ts timestamp, z double")
     assert ticks.decided(d, ticks.Rules(), "1 hours").count() == 0

@@ -10,7 +10,7 @@ from tickloom.operators import bars as B
 from tickloom.operators import pairs as P
 from tickloom.plans import fixtures as X
 from tickloom.plans.catalog import query, rounded
-from tickloom.plans.runs import streamed
+from tickloom.plans.runs import landing
 from tickloom.plans.signals import HEDGE, S
 from tickloom.sources import runs as R
 from tickloom.sources import tables as T
@@ -119,6 +119,8 @@ def mad_vol(spark, sf):
 #: Ticks that decisions are made on, and the rules.
 TICKS = "o AS (SELECT event_type AS pair, ts, (value - 50) / 15 AS z, row_number() OVER (PARTITION BY event_type ORDER BY ts, value) AS k FROM events)"
 RULES = K.Rules(entry=1.5, leave=0.5, stop=3.0, hours=2)
+#: Ticks in a batch.
+BATCH = 8_000_000
 
 
 @query(f"""WITH RECURSIVE {TICKS},
@@ -131,14 +133,10 @@ SELECT pair, ts, round(z, 6) + 0.0 AS z, action FROM f WHERE k > 0 UNION ALL SEL
 UNION ALL SELECT pair, since + INTERVAL 2 HOUR, NULL, 'time' FROM e WHERE since + INTERVAL 2 HOUR < (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
 def stream_decisions(spark, sf):
     """M5: what a live bot would do at each tick, by the positions that its own decisions have opened; no order is placed."""
-    s = streamed(spark, sf).select(F.col("symbol").alias("pair"), "ts", ((F.col("value") - 50) / 15).alias("z"))
-    return rounded(landed_at(K.live_decisions(s, RULES, "1 hour"), spark))
-
-
-def landed_at(stream, spark):
-    from tickloom.plans.runs import landed
-
-    return landed(stream, spark).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    s = X.table(spark, sf, "events").select(F.col("event_type").alias("pair"), F.col("ts").cast("timestamp").alias("ts"), ((F.col("value") - 50) / 15).alias("z"))
+    path = R.new_folder(spark)
+    K.delivered(K.in_order(s, BATCH), path, lambda src: landing(K.live_decisions(src, RULES, "1 hour"), path))
+    return rounded(spark.read.schema(K.ACTIONS).parquet(f"{path}/out").withColumn("ts", F.col("ts").cast("timestamp_ntz")))
 
 
 ARRIVE = "a AS (SELECT event_id, event_type AS symbol, ts, value, event_id % 7 = 0 AS last FROM events), m AS (SELECT max(ts) - INTERVAL 5 DAY AS t FROM a WHERE NOT last)"

@@ -69,10 +69,15 @@ def streamed(spark, sf):
 def landed(stream, spark):
     """What a stream writes until all that is there is read, as a table."""
     path = R.new_folder(spark)
-    stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    landing(stream, path).awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
+def landing(stream, path):
+    """Starts a stream that writes all that is there to {path}/out."""
+    return stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
+
+
 @query("""WITH b AS (SELECT event_type AS symbol, time_bucket(INTERVAL 4 HOUR, ts, TIMESTAMP '2024-01-01')::TIMESTAMP AS start, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close, count(*) AS n FROM events GROUP BY ALL)
 SELECT symbol, start, round(open, 6) + 0.0 AS open, round(high, 6) + 0.0 AS high, round(low, 6) + 0.0 AS low, round(close, 6) + 0.0 AS close, n FROM b WHERE start + INTERVAL 4 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
 def stream_bars(spark, sf):

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import dataclasses
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Generator, Iterable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tickloom.operators.adapting import trailing_parameters
-from tickloom.sources.runs import has_files, saved
+from tickloom.sources.runs import has_files, new_folder, saved
 from tickloom.sources.tables import upsert_by_month
 
 
@@ -66,55 +67,101 @@ class Rules:
 
 
 ACTIONS = "pair string, ts timestamp, z double, action string"
+#: A time that is null.
+NEVER = np.iinfo(np.int64).min
 
 
-def _act(rules: Rules, pair: str, ticks: pd.DataFrame, since: pd.Timestamp | None) -> tuple[list[tuple], pd.Timestamp | None]:
-    """(rows, when the position that is then open was opened) of a pair's ticks, in order of time and z."""
-    out, hold = [], pd.Timedelta(hours=rules.hours)
-    for ts, z in ticks.sort_values(["ts", "z"])[["ts", "z"]].itertuples(index=False):
-        if since is not None and since + hold <= ts:
-            out.append((pair, since + hold, None, "time"))
-            since = None
-        size, action = abs(z) if z == z and z is not None else None, "hold"
-        if size is not None and since is not None and size > rules.stop:
-            action, since = "stop", None
-        elif size is not None and since is not None and size < rules.leave:
-            action, since = "exit", None
-        elif size is not None and since is None and rules.entry < size <= rules.stop:
-            action, since = "enter", ts
-        out.append((pair, ts, z, action))
-    return out, since
+#: What a tick may do, by number, and rows handed on at once.
+DOES, CHUNK = np.array(["hold", "enter", "exit", "stop"], object), 20_000
 
 
-def _rows(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["pair", "ts", "z", "action"]).astype({"pair": object, "ts": "datetime64[ns]", "z": float, "action": object})
+def _act(rules: Rules, ts: np.ndarray, z: np.ndarray, since: int | None) -> tuple[np.ndarray, np.ndarray, int | None]:
+    """(what each tick does, times at which positions ran out, when the position that is then open was opened) of a pair's ticks in order of time and z; times in nanoseconds.
+
+    Where a position ends depends on the ticks after it alone, so all possible entries get their ends at once, and a loop follows those that are taken.
+    """
+    hold, size, n = rules.hours * 3_600_000_000_000, np.abs(z), len(ts)
+    known = ts != NEVER
+    closes = np.flatnonzero(known & ((size > rules.stop) | (size < rules.leave)))
+    opens = np.flatnonzero(known & (size > rules.entry) & (size <= rules.stop))
+
+    def first(at: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """The first of the ticks `at` that isn't before i; n where there is none."""
+        return np.append(at, n)[np.searchsorted(at, i)]
+
+    closed, over = first(closes, opens + 1), np.maximum(np.searchsorted(ts, ts[opens] + hold), opens + 1)
+    follows = np.searchsorted(opens, np.where(closed < over, closed + 1, over)).tolist()
+    does, timed, taken, k = np.zeros(n, np.int8), [], [], 0
+    if since is not None:
+        close, end = int(first(closes, np.array(0))), int(np.searchsorted(ts, since + hold))
+        if min(close, end) == n:
+            return does, np.array([], np.int64), since
+        if close < end:
+            does[close] = 3 if size[close] > rules.stop else 2
+        else:
+            timed.append(since + hold)
+        k = int(np.searchsorted(opens, close + 1 if close < end else end))
+    while k < len(follows):
+        taken.append(k)
+        k = follows[k]
+    at, closed, over = opens[taken], closed[taken], over[taken]
+    does[at] = 1
+    ends = closed[closed < over]
+    does[ends] = np.where(size[ends] > rules.stop, 3, 2)
+    timed = np.append(np.array(timed, np.int64), ts[at[(over <= closed) & (over < n)]] + hold)
+    still = len(at) and min(closed[-1], over[-1]) == n
+    return does, timed, int(ts[at[-1]]) if still else None
+
+
+def _numbers(ticks: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    return ticks["ts"].to_numpy("datetime64[ns]").view(np.int64), ticks["z"].to_numpy(float)
+
+
+def _decide(rules: Rules, pair: str, batches: Iterable[pd.DataFrame], since: int | None, run_out: Callable[[int], bool]) -> Generator[pd.DataFrame, None, int | None]:
+    """Rows of a pair's ticks, which are held as two numbers each, and when the position that is then open was opened; a position for which run_out holds doesn't stay open."""
+    parts = [_numbers(b) for b in batches]
+    ts, z = (np.concatenate(p) for p in zip(*parts))
+    del parts
+    later = ts[1:] > ts[:-1]
+    if not later.all():
+        order = np.lexsort((z, ts))
+        ts, z = ts[order], z[order]
+        del order
+    does, timed, since = _act(rules, ts, z, since)
+    if since is not None and run_out(since):
+        timed, since = np.append(timed, since + rules.hours * 3_600_000_000_000), None
+    for i in range(0, len(ts), CHUNK):
+        yield _rows(pair, ts[i : i + CHUNK], z[i : i + CHUNK], DOES[does[i : i + CHUNK]])
+    for i in range(0, len(timed), CHUNK):
+        yield _rows(pair, timed[i : i + CHUNK], np.nan, "time")
+    return since
+
+
+def _rows(pair: str, ts: np.ndarray, z: np.ndarray | float, action: np.ndarray | str) -> pd.DataFrame:
+    return pd.DataFrame({"pair": np.full(len(ts), pair, object), "ts": ts.view("datetime64[ns]"), "z": z, "action": action})
 
 
 def live_decisions(signals: DataFrame, rules: Rules, late: str) -> DataFrame:
     """(pair, ts, z, action) of a stream of (pair, ts, z): enter, exit, stop, time or hold, each by the position that the pair's ticks before have left open.
 
     A pair's position is kept as state between batches; a timer closes it (time, without z) once the watermark passes its last hour, if no tick has. A null z holds.
-    No order is placed. Ticks of a pair come in order of time.
+    No order is placed. Ticks of a pair come in order of time, within a batch in any; a task holds those of one pair in one batch, some 50 bytes each, so batches bound it (see `in_order`).
     """
+    hold = rules.hours * 3_600_000_000_000
 
     def go(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        since = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        hold = pd.Timedelta(hours=rules.hours)
+        since = state.get[0] * 1000 if state.exists else None
         if state.hasTimedOut:
             state.remove()
-            yield _rows([(key[0], since + hold, None, "time")])
+            yield _rows(key[0], np.array([since + hold]), np.nan, "time")
             return
-        rows, since = _act(rules, key[0], pd.concat(list(batches)), since)
-        if since is not None and (since + hold).timestamp() * 1000 <= state.getCurrentWatermarkMs():
-            rows.append((key[0], since + hold, None, "time"))
-            since = None
+        since = yield from _decide(rules, key[0], batches, since, lambda at: (at + hold) / 1e6 <= state.getCurrentWatermarkMs())
         if since is None:
             if state.exists:
                 state.remove()
         else:
-            state.update((since.value // 1000,))
-            state.setTimeoutTimestamp(int((since + hold).timestamp() * 1000))
-        yield _rows(rows)
+            state.update((since // 1000,))
+            state.setTimeoutTimestamp((since + hold) // 1_000_000)
 
     return signals.withWatermark("ts", late).groupBy("pair").applyInPandasWithState(go, ACTIONS, "since long", "append", GroupStateTimeout.EventTimeTimeout)
 
@@ -123,17 +170,25 @@ def decided(signals: DataFrame, rules: Rules, late: str) -> DataFrame:
     """What `live_decisions` makes of the same rows in the end, as one batch. A task sees a pair, whose ticks depend on those before."""
     mark = signals.agg((F.max("ts") - F.expr(f"interval {late}")).alias("mark"))
     d = signals.select("pair", "ts", "z").crossJoin(F.broadcast(mark))  # one row
+    hold = pd.Timedelta(hours=rules.hours)
 
     def go(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, since = _act(rules, pdf["pair"].iat[0], pdf, None)
-        hold = pd.Timedelta(hours=rules.hours)
-        if since is not None and since + hold < pdf["mark"].iat[0]:
-            rows.append((pdf["pair"].iat[0], since + hold, None, "time"))
-        return _rows(rows)
+        return pd.concat(_decide(rules, pdf["pair"].iat[0], [pdf], None, lambda at: pd.Timestamp(at) + hold < pdf["mark"].iat[0]))
 
     return d.groupBy("pair").applyInPandas(go, ACTIONS)
 
 
+def in_order(ticks: DataFrame, rows: int, pieces: int = 12) -> list[DataFrame]:
+    """ticks (ts, ...) as parts of about `rows` rows, each later than the one before; equal times stay together. For batches of a size that doesn't grow with the table."""
+    n = -(-ticks.count() // rows)
+    if n <= 1:
+        return [ticks]
+    path = new_folder(ticks.sparkSession)
+    part = F.floor(F.spark_partition_id() / pieces).cast("int")
+    ticks.repartitionByRange(n * pieces, "ts").withColumn("part", part).write.partitionBy("part").parquet(path)
+    return [ticks.sparkSession.read.schema(ticks.schema).parquet(f"{path}/part={k}") for k in range(n) if has_files(ticks.sparkSession, f"{path}/part={k}")]
+
+
 def late_aside(path: str, keys: Sequence[str], days: int) -> Callable[[DataFrame, int], None]:
     """What a stream of rows (keys, ts, ...) does with each batch: on-time rows go to {path}/on_time, each key once; rows more than `days` behind the latest of the batches before
     go to {path}/late, merged by key and month.
