@@ -167,6 +167,23 @@ def test_months_that_nothing_touches_keep_their_files(spark, tmp_path):
     assert files() == after
 
 
+def test_a_large_month_has_several_writers(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "MONTH_FILE", 50)
+    schema, path = "symbol string, ts timestamp_ntz, value double, seq int", str(tmp_path / "t")
+    rows = [("a", T0 + dt.timedelta(minutes=k if k < 400 else 10**5 + k), float(k), k) for k in range(420)] + [("n", None, 1.0, 0)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which joins tasks as small as these
+    try:
+        tables.upsert_by_month(spark.createDataFrame(rows, schema), path, ["symbol", "ts"], ["seq"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = [f.parent.name for f in (tmp_path / "t").rglob("*.parquet")]
+    assert files.count("month=2025-01-01") > 1 and files.count("month=2025-03-01") == 1 and len(set(files)) == 3
+    for _ in range(2):
+        got = sorted(map(tuple, spark.read.schema(schema).parquet(path).drop("month").collect()), key=lambda r: (r[0], r[3]))
+        assert got == sorted(rows, key=lambda r: (r[0], r[3]))
+        tables.upsert_by_month(spark.createDataFrame(rows, schema), path, ["symbol", "ts"], ["seq"])
+
+
 def test_parameters_of_a_stream_are_those_of_a_batch(spark, tmp_path):
     rng = random.Random(5)
     rows = [("p", k, T0 + dt.timedelta(hours=7 * k + rng.random()), rng.gauss(0.0005 if k // 150 % 2 else -0.0005, 0.001)) for k in range(900)]
@@ -201,7 +218,7 @@ def test_a_delivery_of_many_files_is_one_batch(spark, tmp_path):
     assert len(list((tmp_path / "in").glob("*.parquet"))) > 3
 
 
-@pytest.mark.parametrize("name", ["stream_parameters"])
+@pytest.mark.parametrize("name", ["stream_parameters", "stream_late"])
 def test_no_task_writes_a_whole_delivery(spark, sf, monkeypatch, name):
     """Deliveries of large tables have the files that their tasks write."""
     from tickloom import registry

@@ -147,10 +147,8 @@ def stream_late(spark, sf):
     """M7: rows that come twice stay once; those that come days behind go to a table of their own, merged by key and month."""
     path, e = R.new_folder(spark), X.table(spark, sf, "events").select("event_id", F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), "value")
     first = e.where("event_id % 7 <> 0")
-    for part in (first, e.where("event_id % 7 = 0").unionByName(first.where("event_id % 3 = 0"))):  # a seventh comes last, with copies of rows that came before
-        part.coalesce(1).write.mode("append").parquet(f"{path}/in")
-    src = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    K.each_batch(src, K.late_aside(path, ["event_id"], 5), f"{path}/checkpoint").awaitTermination()
+    parts = (first, e.where("event_id % 7 = 0").unionByName(first.where("event_id % 3 = 0")))  # a seventh comes last, with copies of rows that came before
+    K.delivered(parts, path, lambda src: K.each_batch(src, K.late_aside(path, ["event_id"], 5), f"{path}/checkpoint"))
     return rounded(both_tables(spark, path, e.schema).withColumn("ts", F.col("ts").cast("timestamp_ntz")))
 
 

@@ -15,6 +15,9 @@ CANDLE = T.StructType([T.StructField("ts", T.TimestampNTZType()), T.StructField(
 THOUSANDS = ("kPEPE", "kSHIB", "kBONK", "kFLOKI", "kLUNC")
 PRICE_FACTOR = {"okx": 1000.0, "binance": 0.001}
 
+#: Rows of a month that one task writes into one file.
+MONTH_FILE = 500_000
+
 
 class BadIndex(ValueError):
     """A price table repeats a (ts, symbol)."""
@@ -103,7 +106,7 @@ def with_month(df: DataFrame) -> DataFrame:
 def upsert_by_month(new: DataFrame, path: str, keys: Sequence[str], arrival: Sequence[str]) -> None:
     """Puts rows into a table by month: of rows with the same key the last to arrive stays, also against what is there (see `latest`).
 
-    Only months that new rows touch are read and written; the others keep their files. Keys hold ts, so that a key stays in its month. The same rows
+    Only months that new rows touch are read and written, each by as many tasks as its rows need; the others keep their files. Keys hold ts, so that a key stays in its month. The same rows
     twice change nothing.
     """
     new = saved(with_month(new))
@@ -115,7 +118,10 @@ def upsert_by_month(new: DataFrame, path: str, keys: Sequence[str], arrival: Seq
         there = new.sparkSession.read.schema(new.schema).parquet(path).where(F.col("month").isin(months))
         merged = there.unionByName(new)
     merged = saved(latest(merged, [*keys, "month"], arrival))
-    merged.repartition("month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+    files = merged.groupBy(F.col("month").alias("__month")).agg(F.ceil(F.count("*") / MONTH_FILE).alias("__files"))
+    dealt = merged.join(F.broadcast(files), F.col("month").eqNullSafe(F.col("__month")))  # a calendar
+    dealt = dealt.repartition("month", F.pmod(F.xxhash64(*keys), "__files")).drop("__month", "__files")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
 
 
 def members(clusters: DataFrame) -> DataFrame:

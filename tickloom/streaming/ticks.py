@@ -200,7 +200,7 @@ def late_aside(path: str, keys: Sequence[str], days: int) -> Callable[[DataFrame
 
     def go(batch: DataFrame, k: int) -> None:
         spark = batch.sparkSession
-        batch = saved(batch)
+        batch = saved(batch.repartition(*keys))  # even files: what removes copies sorts one at a time
         old = spark.read.parquet(mark_at(k - 1)).first()[0] if k and has_files(spark, mark_at(k - 1)) else None
         behind = F.lit(False) if old is None else F.col("ts") < F.lit(old) - F.expr(f"interval {days} days")
         late = batch.where(behind).dropDuplicates(list(keys))
