@@ -229,6 +229,15 @@ def test_no_task_writes_a_whole_delivery(spark, sf, monkeypatch, name):
     assert len(seen) > 1 and not any("Repartition 1" in plan for plan in seen)
 
 
+def test_tasks_grow_with_the_rows(spark, sf, monkeypatch):
+    from tickloom import registry
+
+    assert R.tasks_for(spark, 10**6) is None and R.tasks_for(spark, 36 * 10**6 + 1) == 37
+    whole = [sorted(map(str, registry.QUERIES[q](spark, sf).collect())) for q in ("stream_parameters", "trailing_parameters")]
+    monkeypatch.setattr(R, "TASK_ROWS", 900)
+    assert [sorted(map(str, registry.QUERIES[q](spark, sf).collect())) for q in ("stream_parameters", "trailing_parameters")] == whole
+
+
 def test_volatilities(spark):
     rng = np.random.default_rng(2)
     e = rng.standard_normal(120)

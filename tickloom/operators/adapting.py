@@ -66,14 +66,15 @@ def stepped(windows: DataFrame, start: float, step: float, least: float, most: f
     return rows.select(F.explode(fold).alias("r")).where("r.w is not null").select(F.col("r.w").alias("window_id"), F.col("r.t").alias("threshold"))
 
 
-def trailing_parameters(trades: DataFrame, entry_z: float, size: float, period_days: int, trailing_days: int, least: int = 20) -> DataFrame:
+def trailing_parameters(trades: DataFrame, entry_z: float, size: float, period_days: int, trailing_days: int, least: int = 20, tasks: int | None = None) -> DataFrame:
     """(period_end, n, mode, entry_z, size) at each end of a period since 1970 that has `least` trades or more in its last trailing_days.
 
     trades has (pair, trade_seq, exit_ts, net); a trade counts for the ends that come within trailing_days after its exit, its own moment included. Trades fold into the hours
-    that end with them or after them, once, and an end sees its hours alone, however many trades those have.
+    that end with them or after them, once, dealt over so many tasks, if named, and an end sees its hours alone, however many trades those have.
     """
     at = F.datediff(F.col("exit_ts"), F.lit("1970-01-01")).cast("long") * 24 + F.hour("exit_ts") + F.when((F.minute("exit_ts") > 0) | (F.expr("extract(second from exit_ts)") > 0), 1).otherwise(0)
-    hours = trade_folds(trades.select(at.alias("__at"), F.struct("exit_ts", "pair", "trade_seq").alias("trade_seq"), "net"), ["__at"])
+    d = trades.select(at.alias("__at"), F.struct("exit_ts", "pair", "trade_seq").alias("trade_seq"), "net")
+    hours = trade_folds(d.repartition(tasks, "__at") if tasks else d, ["__at"])
     first, last = F.ceil(F.col("__at") / (24 * period_days)), F.floor((F.col("__at") + 24 * trailing_days - 1) / (24 * period_days))
     ends = hours.where(first <= last).withColumn("__k", F.explode(F.sequence(first, last)))
     s = folds_in_a_row(ends, ["__k"], "__at").where(F.col("n") >= least)

@@ -144,10 +144,10 @@ FUNDING = """funding AS (
   SELECT event_type AS symbol, time_bucket(INTERVAL 8 HOUR, ts, TIMESTAMP '2024-01-01')::TIMESTAMP AS ts, (avg(value) - 50) / 1e5 AS rate FROM events GROUP BY ALL)"""
 
 
-def trades(spark: SparkSession, sf: str) -> DataFrame:
+def trades(spark: SparkSession, sf: str, tasks: int | None = None) -> DataFrame:
     """(window_id, pair, trade_seq, entry_ts, exit_ts, hold_bars, exit_reason, gross, fees, slippage, net), one per line item.
 
-    exit_reason: 1 signal, 2 time, 3 stop, 4 forced. The sequence is by window, then by all other figures.
+    exit_reason: 1 signal, 2 time, 3 stop, 4 forced. The sequence is by window, then by all other figures. Pairs are dealt over so many tasks, if named.
     """
     t = table(spark, sf, "lineitem").join(table(spark, sf, "part").select("p_partkey", "p_brand", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
     t = t.select(
@@ -156,6 +156,7 @@ def trades(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(5e-4).alias("fees"), F.lit(5e-4).alias("slippage"), "l_orderkey", "l_linenumber", "l_suppkey",
     )
     t = t.withColumns({"net": F.col("gross") - F.col("fees") - F.col("slippage"), "exit_ts": F.col("entry_ts") + F.expr("make_dt_interval(0, hold_bars)")})
+    t = t.repartition(tasks, "pair") if tasks else t
     order = Window.partitionBy("pair").orderBy("window_id", "entry_ts", "l_orderkey", "l_linenumber", "l_suppkey", "gross", "hold_bars")
     return t.withColumn("trade_seq", F.row_number().over(order).cast("long")).drop("l_orderkey", "l_linenumber", "l_suppkey")
 

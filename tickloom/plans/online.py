@@ -182,14 +182,18 @@ SELECT period_end, n, mode, entry_z, size FROM u WHERE period_end <= (SELECT max
 def closed_trades(spark, sf):
     """Trades that are small beside the limits, better in every other quarter."""
     good = F.when(F.quarter("exit_ts") % 2 == 1, 1e-5).otherwise(-1e-5)
-    return X.trades(spark, sf).select("pair", "trade_seq", "exit_ts", (F.col("net") / 1000 + good).alias("net"))
+    return X.trades(spark, sf, line_tasks(spark, sf)).select("pair", "trade_seq", "exit_ts", (F.col("net") / 1000 + good).alias("net"))
+
+
+def line_tasks(spark, sf):
+    return R.tasks_for(spark, X.table(spark, sf, "lineitem").count())
 
 
 @query(f"WITH {TRAIL}")
 def trailing_parameters(spark, sf):
     """M8: parameters at the end of each month by the trades of the last two, where they change."""
     d = closed_trades(spark, sf)
-    ends = A.trailing_parameters(d, 2.0, 0.8, 30, 60)
+    ends = A.trailing_parameters(d, 2.0, 0.8, 30, 60, tasks=line_tasks(spark, sf))
     last = d.agg(F.max("exit_ts").alias("last"))
     return rounded(K.changed(ends.crossJoin(F.broadcast(last)).where("period_end <= last").drop("last")))
 

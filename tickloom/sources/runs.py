@@ -80,6 +80,16 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that one task sorts at a time.
+TASK_ROWS = 1_000_000
+
+
+def tasks_for(spark: SparkSession, rows: int) -> int | None:
+    """How many tasks so many rows need; None where the cores are enough, and Spark's own choice does."""
+    n = -(-rows // TASK_ROWS)
+    return n if n > spark.sparkContext.defaultParallelism else None
+
+
 def _file(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p

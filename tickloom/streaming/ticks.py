@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tickloom.operators.adapting import trailing_parameters
-from tickloom.sources.runs import has_files, new_folder, saved
+from tickloom.sources.runs import has_files, new_folder, saved, tasks_for
 from tickloom.sources.tables import upsert_by_month
 
 
@@ -234,7 +234,7 @@ def parameter_updates(path: str, entry_z: float, size: float, period_days: int,
         marks = [f"{path}/mark/version={i}" for i in range(k) if has_files(spark, f"{path}/mark/version={i}")]
         done_to = spark.read.parquet(marks[-1]).first()[0] if marks else None
         mark = known.agg(F.max("exit_ts").alias("mark"))
-        ends = trailing_parameters(known, entry_z, size, period_days, trailing_days).crossJoin(F.broadcast(mark)).where("period_end <= mark").drop("mark")
+        ends = trailing_parameters(known, entry_z, size, period_days, trailing_days, tasks=tasks_for(spark, known.count())).crossJoin(F.broadcast(mark)).where("period_end <= mark").drop("mark")
         ends = ends if done_to is None else ends.where(F.col("period_end") > F.lit(done_to))
         changed(ends, (last["entry_z"], last["size"]) if last else None).write.mode("overwrite").parquet(f"{path}/out/version={k}")
         known.crossJoin(F.broadcast(mark)).where(F.col("exit_ts") > F.col("mark") - F.make_dt_interval(F.lit(trailing_days + period_days))).drop("mark").write.mode("overwrite").parquet(f"{path}/trades/version={k}")
