@@ -365,6 +365,57 @@ def test_ids_by_words_are_the_tokenizers_ids(text):
     assert ids.tolist() == want * 2 and at.tolist() == [0, len(want), len(want), 2 * len(want)]
 
 
+@pytest.mark.parametrize("text", ["ÉÇ!! Straße*** STRASSE,. ẞ... HALY,!!", "İ! abİ.. iİI", "ΣΑΣ!! σας. Ω! \u2126? \u212aÅ\u212b!", "abc.\u0338 e\u0301!! a\u0301b", "ª. nº! ŉ? Ǆ| ﬁ!!", "中日!! \u1100\u1161. \uac00! \uf900.", "l'!! rock'n'roll's. 'll' don''t", "1!! a1.. |||<>& <|endoftext|>! a<|endoftext|>"])
+def test_ids_of_letters_with_punctuation_are_the_tokenizers_ids(text, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "REMEMBERED", 2)
+    w = packing.WordIds(packing.default_tokenizer())
+    want = w.full.encode(text, add_special_tokens=False).ids
+    for _ in range(4):  # words are forgotten and met again
+        ids, at = w.of_texts(pa.array(["to be, or", text]))
+        assert ids[at[1] :].tolist() == want
+
+
+def test_letters_with_punctuation_are_coded_once_and_without_patterns():
+    import pyarrow as pa
+
+    w = packing.WordIds(packing.default_tokenizer())
+    full, asked = w.full, []
+
+    class Spy:
+        def encode_batch_fast(self, words, **kw):
+            asked.extend(words)
+            return full.encode_batch_fast(words, **kw)
+
+    w.full = Spy()
+    w.of_texts(pa.array(["HALY,!! haly*** Haly### straße&&& STRAßE!! Straße"]))
+    assert not any(c.isalpha() for x in asked for c in x)
+
+
+def test_vector_packing_is_the_dot_product_heuristic():
+    """Against the rule itself: of all kinds that fit, that with the largest dot product of demands and room."""
+    rng = np.random.default_rng(5)
+    d = np.stack([rng.integers(0, 1100, 700), rng.integers(0, 18, 700), rng.integers(0, 1100, 700)], axis=1)
+    caps = np.array([1024, 16, 1024])
+    to = packing.packed(d, caps)
+    over = (d > caps).any(axis=1)
+    assert sorted(to[over]) == list(range(over.sum()))
+    rest = collections.Counter(map(tuple, d[~over].tolist()))
+    for s in range(over.sum(), to.max() + 1):
+        inside, room = collections.Counter(map(tuple, d[to == s].tolist())), caps.copy()
+        while inside:
+            fit = {k: float(np.dot(np.array(k) / caps, room / caps)) for k in rest if (k <= room).all()}
+            took = max(inside, key=lambda k: fit[k])
+            assert fit[took] > max(fit.values()) - 1e-9
+            for c in (inside, rest):
+                c[took] -= 1
+            inside, rest = +inside, +rest  # without kinds that are used up
+            room -= took
+        assert not any((k <= room).all() for k in rest)
+    assert not rest
+
+
 def test_vector_packing_keeps_all_limits():
     rng = np.random.default_rng(2)
     d = np.stack([rng.integers(1, 900, 3000), rng.integers(1, 9, 3000), rng.integers(0, 500, 3000)], axis=1)

@@ -13,6 +13,7 @@ import itertools
 import json
 import math
 import os
+import string
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -32,6 +33,8 @@ POOL = 8192
 REMEMBERED, AT_ONCE = 250_000, 2048
 #: Words that the tokenizer takes at a time.
 SLICE = 4096
+#: What may stand behind letters as a piece of its own: nothing that the tokenizer takes for a letter, a number or white space.
+PUNCTUATION = string.punctuation
 
 
 @dataclass(frozen=True)
@@ -47,12 +50,33 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_chars() -> dict[int, str]:
+    """The character that byte-level tokenizers write for each byte: itself if it shows, else one from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+
+
+BYTE_CHARS = byte_chars()
+
+
+def one_piece(word: str) -> bool:
+    """Whether the tokenizer's normalizer and patterns leave word as it is, whole."""
+    return word.isalpha() and word == word.lower() and unicodedata.is_normalized("NFC", word) and "σ" not in word and "ς" not in word
+
+
+def places(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The n places from each begin on, one after another."""
+    out = np.repeat((begin - (np.cumsum(n) - n)).astype(np.int32), n)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
+
+
 class WordIds:
     """A tokenizer's ids of whole texts, by way of their words.
 
-    Only for tokenizers that drop white space: there the ids of a text are those of its words, one after another. Ids
-    always come from the tokenizer's own model; words of letters alone skip its normalizer and patterns, which leave
-    them one piece, in lower case.
+    Only for tokenizers that drop white space: there the ids of a text are those of its words, one after another, and
+    those of letters with punctuation behind them are those of both parts. Ids always come from the tokenizer's own
+    model; letters alone skip its normalizer and patterns, which leave them one piece, in lower case.
     """
 
     def __init__(self, path: str):
@@ -63,68 +87,81 @@ class WordIds:
         spec = json.loads(self.full.to_str())
         if spec["normalizer"]["normalizers"] != [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]:
             raise ValueError("words are only taken apart for a tokenizer that drops white space and ignores case")
-        spec |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
-        self.letters = Tokenizer.from_str(json.dumps(spec))
-        (self.mark,) = self.full.encode("\\", add_special_tokens=False).ids
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-
-    def _learn(self, letters: set[str], others: set[str]) -> None:
-        """In slices: the tokenizer's own records of a word take many times what is kept of it."""
-        for words in itertools.batched(letters, SLICE):
-            ids = np.array(self.letters.encode_batch_fast([" \\ ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-            raw, at = ids.tobytes(), 0
-            for w, end in zip(words, [*np.flatnonzero(ids == self.mark).tolist(), len(ids)], strict=True):
-                self.known[w] = raw[4 * at : 4 * end]
-                at = end + 1
-        for words in itertools.batched(others, SLICE):
-            for w, e in zip(words, self.full.encode_batch_fast(list(words), add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-
-    def of_words(self, words: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:  # what is met again in time moves over, the rest is forgotten
-            self.known, self.before = {}, self.known
-        known, before = self.known, self.before
-        out = list(map(known.get, words))
-        fresh = [i for i, x in enumerate(out) if x is None]
-        parts, letters, others = [], set(), set()
-        for i in fresh:
-            w = words[i]
-            if (x := before.get(w)) is not None:
-                out[i] = known[w] = x
-                continue
-            core = w.rstrip(".,")
-            if core.isalpha() and (core.isascii() or "Σ" not in core and unicodedata.is_normalized("NFC", core) and core.lower().isalpha()):
-                tail, core = w[len(core) :], core.lower()
-                if core not in known:
-                    if (x := before.get(core)) is None:
-                        letters.add(core)
-                    else:
-                        known[core] = x
-                if tail and tail not in known:
-                    others.add(tail)
-                parts.append((i, core, tail))
-            else:
-                others.add(w)
-                parts.append((i, w, ""))
-        self._learn(letters, others)
-        for i, core, tail in parts:
-            out[i] = known[words[i]] = known[core] + known[tail] if tail else known[core]
-        return out
+        if spec["pre_tokenizer"]["pretokenizers"][1:] != [{"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]:
+            raise ValueError("letters only go to the model of a tokenizer that takes them as bytes")
+        self.model = self.full.model
+        self._keep(pa.array([], pa.string()), np.empty(0, np.int64), np.empty(0, "<u4"))
+
+    def _keep(self, names: pa.Array, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """What is known: words, and their ids one after another."""
+        self.names, self.sizes, self.ids = names, sizes, ids
+        self.met = np.zeros(len(names), bool)
+
+    def _forget(self) -> None:
+        """What was met again in time stays."""
+        if np.count_nonzero(self.met) > REMEMBERED:
+            sizes = self.sizes[self.met]
+            self._keep(self.names.filter(pa.array(self.met)), sizes, self.ids[places((np.cumsum(self.sizes) - self.sizes)[self.met], sizes)])
+
+    def _learn(self, words: pa.Array) -> np.ndarray:
+        """The numbers of words that aren't known yet.
+
+        Words that aren't letters alone in slices: the tokenizer's own records of a word take many times what is kept of it.
+        """
+        tokenize, ids, sizes = self.model.tokenize, [], []
+        ascii = pc.and_(pc.ascii_is_alpha(words), pc.ascii_is_lower(words))
+        letters, rest = (words.filter(x).to_pylist() for x in (ascii, pc.invert(ascii)))
+        whole, others = [], []
+        for w in rest:
+            (whole if one_piece(w) else others).append(w)
+        for w in itertools.chain(letters, (w.encode().decode("latin-1").translate(BYTE_CHARS) for w in whole)):
+            found = tokenize(w)
+            sizes.append(len(found))
+            ids += [t.id for t in found]
+        for part in itertools.batched(others, SLICE):
+            for e in self.full.encode_batch_fast(list(part), add_special_tokens=False):
+                sizes.append(len(e.ids))
+                ids += e.ids
+        fresh = pa.array(letters + whole + others, pa.string())
+        self.names, n = pa.concat_arrays([self.names, fresh]), len(self.names)
+        self.sizes, self.ids = np.r_[self.sizes, np.array(sizes, np.int64)], np.r_[self.ids, np.array(ids, "<u4")]
+        self.met = np.r_[self.met, np.ones(len(sizes), bool)]
+        return n + pc.index_in(words, value_set=fresh).to_numpy()
+
+    def _numbers(self, words: pa.Array) -> np.ndarray:
+        """The number of each of these different words among what is known."""
+        found = pc.index_in(words, value_set=self.names)
+        at = pc.fill_null(found, -1).to_numpy().copy()
+        self.met[at[at >= 0]] = True
+        if found.null_count:
+            at[at < 0] = self._learn(words.filter(pc.is_null(found)))
+        return at
+
+    def of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of different words, and how many each has.
+
+        Letters go without their case and apart from punctuation behind them, so that few different words are left.
+        """
+        self._forget()
+        core = pc.ascii_rtrim(words, characters=PUNCTUATION)
+        # İ is two letters for the tokenizer
+        plain = pc.and_not(pc.utf8_is_alpha(core), pc.match_substring(core, "İ"))
+        head = pc.if_else(plain, pc.utf8_lower(core), words)
+        tail = pc.if_else(plain, pc.replace_substring_regex(words, "^[^[:punct:]]+", ""), "")
+        parts = pa.concat_arrays([head, tail]).dictionary_encode()
+        at = self._numbers(parts.dictionary)[parts.indices.to_numpy()].reshape(2, -1).T.ravel()
+        n = self.sizes[at]
+        return self.ids[places((np.cumsum(self.sizes) - self.sizes)[at], n)], n.reshape(-1, 2).sum(axis=1)
 
     def of_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin and end."""
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = split.flatten().dictionary_encode()
-        each = self.of_words(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
-        ids, at = np.frombuffer(b"".join(each), "<u4"), coded.indices.to_numpy()
-        n, begin = sizes[at], (np.cumsum(sizes) - sizes)[at]
-        ends = np.cumsum(n)
-        place = np.repeat((begin - (ends - n)).astype(np.int32), n)
-        place += np.arange(len(place), dtype=np.int32)
-        ids = ids[place]
-        return ids, np.r_[0, ends][split.offsets.to_numpy()]
+        ids, sizes = self.of_words(coded.dictionary.cast(pa.string()))
+        at = coded.indices.to_numpy()
+        n = sizes[at]
+        ids = ids[places((np.cumsum(sizes) - sizes)[at], n)]
+        return ids, np.r_[0, np.cumsum(n)][split.offsets.to_numpy()]
 
 
 @functools.lru_cache(1)
@@ -183,18 +220,23 @@ def packed(demands: np.ndarray, limits: np.ndarray) -> np.ndarray:
             take(kind)
             sequence += 1
     live = np.flatnonzero(left)
-    while len(live):
-        room = limits.copy()
-        while True:
-            fits = live[(kinds[live] <= room).all(axis=1)]
-            if not len(fits):
-                break
-            kind = fits[np.argmax(share[fits] @ (room / limits))]
-            take(kind)
-            room -= kinds[kind]
-            if not left[kind]:
-                live = live[live != kind]
-        sequence += 1
+    # kinds stand by their first demand, so that those with room for it are the first ones; a column for each kind
+    need, weight = np.ascontiguousarray(kinds[live].T), np.ascontiguousarray(share[live].T)
+    for kind in live[np.argsort(-weight.sum(axis=0), kind="stable")].tolist():
+        while left[kind]:  # the best for an empty sequence
+            room, chosen = limits.copy(), kind
+            while True:
+                take(chosen)
+                room -= kinds[chosen]
+                if not left[chosen]:
+                    at = np.searchsorted(live, chosen)
+                    live, need, weight = np.delete(live, at), np.delete(need, at, axis=1), np.delete(weight, at, axis=1)
+                n = np.searchsorted(need[0], room[0], "right")
+                fits = (need[1:, :n] <= room[1:, None]).all(axis=0)
+                if not fits.any():
+                    break
+                chosen = live[np.argmax(np.where(fits, (room / limits) @ weight[:, :n], -np.inf))]
+            sequence += 1
     return out
 
 
