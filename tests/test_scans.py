@@ -192,3 +192,18 @@ def test_a_run_goes_on_from_its_last_version(spark, tmp_path):
     listed.write.mode("overwrite").parquet(f"{path}/symbols/version=2")
     assert [r["verdict"] for r in feedback.carried(d, path, rules).orderBy("window_id").collect()] == ["traded", "traded", "traded", "listed"]
     assert feedback.carried(d.where("false"), str(tmp_path / "none"), rules).count() == 0
+
+
+def test_two_steps_have_a_statistic(spark):
+    """Five bars leave three to train on: two steps, and one degree of freedom."""
+    y, x = [1.0, 1.3, 1.1, 1.6, 1.2], [0.5, 0.9, 0.4, 0.8, 0.7]
+    bars = spark.createDataFrame([("a-b", i, p, q) for i, (p, q) in enumerate(zip(y, x))], "pair string, ts long, y double, x double")
+    got = {r["direction"]: r["df"] for r in screening.gates(screening.spreads(bars, (), 0.7), ()).collect()}
+    for way, p, q in (("y~x", y, x), ("x~y", x, y)):
+        p, q = np.array(p[:3]), np.array(q[:3])
+        e = p - np.cov(p, q)[0, 1] / np.var(q, ddof=1) * q
+        e -= e.mean()
+        before, step = e[:-1], np.diff(e)
+        rho = before @ step / (before @ before)
+        left = step - rho * before
+        assert got[way] == pytest.approx(rho / np.sqrt(left @ left / (before @ before)), rel=1e-6)

@@ -82,7 +82,7 @@ def gates(sides: DataFrame, keys: Sequence[str]) -> DataFrame:
     fine = F.col("spread_vol") > 1e-8
     return g.select(
         *by, "n", "hedge_ratio", "spread_vol", F.when(F.col("slope") < -1e-10, -F.log(F.lit(2.0)) / F.col("slope")).otherwise(float("inf")).alias("half_life"),
-        F.when(fine, F.col("far") / F.col("spread_vol")).alias("max_z"), F.when(fine, F.col("now") / F.col("spread_vol")).alias("current_z"), F.when(fine & (F.col("k") > 2) & (F.col("ss") > 0), rho / error).alias("df"),
+        F.when(fine, F.col("far") / F.col("spread_vol")).alias("max_z"), F.when(fine, F.col("now") / F.col("spread_vol")).alias("current_z"), F.when(fine & (F.col("k") > 1) & (F.col("ss") > 0), F.try_divide(rho, error)).alias("df"),
     )
 
 
